@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import mixing, quality_rules, secrets_scan, simhash
+from strideframe.llm import mixing, piece_fst, quality_rules, secrets_scan, simhash, token_orc
 from strideframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.token_report(documents(spark, sf_dir))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.piece_report(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op6_quality_rules, op9_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op6_quality_rules, op7_token_orc, op8_pieces, op9_simhash)}
 
 ORACLE: dict[str, str] = {}
 
