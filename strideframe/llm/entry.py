@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import mixing, piece_fst, quality_rules, secrets_scan, simhash, token_orc
+from strideframe.llm import hmm, mixing, piece_fst, pq_dedup, quality_rules, secrets_scan, simhash, token_orc
 from strideframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secret_report(documents(spark, sf_dir))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.embedding_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
@@ -36,7 +40,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op6_quality_rules, op7_token_orc, op8_pieces, op9_simhash)}
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.hmm_scores(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_embeddings, op6_quality_rules, op7_token_orc, op8_pieces, op9_simhash, op10_hmm)}
 
 ORACLE: dict[str, str] = {}
 
