@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import hmm, mixing, piece_fst, pq_dedup, quality_rules, secrets_scan, simhash, token_orc
+from strideframe.llm import hmm, mixing, piece_fst, pq_dedup, quality_net, quality_rules, secrets_scan, simhash, token_orc, tool_calls
 from strideframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.embedding_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
@@ -44,7 +52,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.hmm_scores(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_embeddings, op6_quality_rules, op7_token_orc, op8_pieces, op9_simhash, op10_hmm)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_embeddings, op4_quality_net, op5_tool_calls, op6_quality_rules, op7_token_orc, op8_pieces, op9_simhash, op10_hmm)}
 
 ORACLE: dict[str, str] = {}
 
