@@ -88,7 +88,7 @@ def repeats_itself(m: Measures) -> bool:
 
 
 def symbols_for_words(m: Measures) -> bool:
-    return 10 * m.n_symbols > 7 * max(1, m.n_words)
+    return 4 * m.n_symbols > max(1, m.n_words)
 
 
 def repeated_lines(m: Measures) -> bool:
