@@ -21,15 +21,23 @@ from pyspark.sql import functions as F
 from strideframe.llm.common import as_text, scratch, slices
 
 END = 0
-CACHE = 600_000
+#: Units kept in each of the two generations of a worker's cache.
+CACHE = 400_000
 #: The characters with the Unicode property White_Space.
-WHITE = "\t-\r \x85\xa0  -     　"
-#: The byte-level pre-tokeniser never lets a token cross the border between two of these units.
-UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f"
+MARK = "!-&(-/:-@\\[-`{-~"
+#: The byte-level pre-tokeniser never lets a token cross the border between two of these units: letters before marks
+#: that end a word, such marks, any other word, white space that precedes white space, a single white space.
+UNIT = re.compile(f" ?[{LETTER}]+(?=[{MARK}]*(?:[{WHITE}]|$))| ?[{MARK}]+(?=[{WHITE}]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
 
 class Encoder:
-    """The tokenizers library over a bounded cache of units: a repeated unit is encoded once."""
+    """The tokenizers library over a bounded cache of units: a repeated unit is encoded once.
+
+    The cache has two generations. When the young one is full it becomes the old one, whose units come back as they are
+    met again, so that common units stay.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
@@ -37,21 +45,30 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, units: set[str]) -> None:
+        if len(self.young) + len(units) > CACHE:
+            self.old, self.young = self.young, {}
+        found = {u: self.old[u] for u in units if u in self.old}
+        new = list(units - found.keys())
+        for start in range(0, len(new), 4096):
+            some = new[start : start + 4096]
+            found.update((u, np.array(e.ids, "<i4").tobytes()) for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+        self.young.update(found)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         units = [UNIT.findall(t) for t in texts]
-        new = list(set().union(*units) - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set().union(*units))
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[unit] = np.array(found.ids, "<i4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, u)) for u in units]
+        get = self.young.get
+        ids = [list(map(get, u)) for u in units]
+        missing = {u for us, found in zip(units, ids) if None in found for u, x in zip(us, found) if x is None}
+        if missing:
+            self._learn(missing)
+            late = self.young
+            ids = [[late[u] if x is None else x for u, x in zip(us, found)] if None in found else found for us, found in zip(units, ids)]
+        return [b"".join(x) for x in ids]
 
 
 @lru_cache(maxsize=2)
