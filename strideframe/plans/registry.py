@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("metrics", "records")
 
 
 def _loaded():
