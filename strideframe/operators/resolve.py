@@ -36,14 +36,15 @@ def winners(rows: DataFrame, on: Sequence[str], tie: Sequence[str] = (), value:
 
     The five keys are compared in order; the rule is the first on which the winner and the runner-up differ, ``single``
     without a runner-up. Candidates are in dispute if two or more have values that differ by over 5 % of the larger of
-    one and the largest. A grouped minimum of the sort key replaces a full sort of the group.
+    one and the largest. The rank is cut at two, so that a group is pruned to its two best
+    before it is shuffled.
     """
     keyed = rows.select(*on, F.struct(*(c.alias(f"k{i}") for i, c in enumerate(sort_key())), *(F.col(c).alias(c) for c in tie)).alias("key_"), F.struct("*").alias("row_"))
-    two = keyed.groupBy(*on).agg(
-        F.slice(F.array_sort(F.collect_list("key_")), 1, 2).alias("top"), F.min_by("row_", "key_").alias("w"), F.count(F.lit(1)).alias("n"),
-        F.max(f"row_.{value}").alias("high"), F.min(f"row_.{value}").alias("low"), F.count(f"row_.{value}").alias("values"),
-    )
-    first, second = F.col("top")[0], F.try_element_at("top", F.lit(2))
+    rank = F.row_number().over(Window.partitionBy(*on).orderBy("key_"))
+    top = keyed.withColumn("rank_", rank).where("rank_ <= 2").groupBy(*on).agg(F.min("key_").alias("first"), F.max("key_").alias("second"), F.min_by("row_", "rank_").alias("w"))
+    sums = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("high"), F.min(value).alias("low"), F.count(value).alias("values"))
+    two = top.join(sums, list(on))
+    first, second = F.col("first"), F.col("second")
     rule = F.lit("identical")
     for i in reversed(range(len(KEYS))):
         rule = F.when(first[f"k{i}"] != second[f"k{i}"], KEYS[i]).otherwise(rule)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("metrics", "records")
+_MODULES = ("metrics", "records", "serving")
 
 
 def _loaded():
