@@ -54,7 +54,35 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_embeddings, op4_quality_net, op5_tool_calls, op6_quality_rules, op7_token_orc, op8_pieces, op9_simhash, op10_hmm)}
 
-ORACLE: dict[str, str] = {}
+#: Sound vectors only: the driver's tables hold no nulls. Links by cosine in double precision, classes by closure.
+EMBEDDINGS = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS n, vec_id AS m FROM e UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+c AS (SELECT n, min(m) AS m FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT c.n AS vec_id, coalesce(k.n, 0) AS n_links, c.m AS component_id, c.n = c.m AS kept FROM c LEFT JOIN k ON k.a = c.n"""
+
+#: Plain turns only: the driver's conversations hold no tool calls.
+TOOL_CALLS = """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, role = 'system' AS sys FROM conversations WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, turn - 1 AS turn, min(coalesce(text, '')) AS text, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1, 2), z AS (SELECT DISTINCT conv_id FROM c WHERE turn = 0)
+SELECT c.conv_id, c.turn, CAST(0 AS BIGINT) AS place, c.conv_id || ':' || c.turn AS call_id, CASE WHEN sys THEN 'instruct' ELSE 'respond' END AS name,
+CAST(CASE WHEN sys OR c.turn = 0 OR z.conv_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS level, c.text <> '' AS valid, CASE WHEN c.text = '' THEN '$.text: minLength' END AS violation, coalesce(r.n, 0) AS n_results,
+'{"arguments":{"text":' || to_json(c.text) || CASE WHEN sys THEN '' ELSE ',"turn":' || c.turn END || '},"id":"' || c.conv_id || ':' || c.turn || '","name":"' || CASE WHEN sys THEN 'instruct' ELSE 'respond' END
+|| '","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS line
+FROM c LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn LEFT JOIN z ON c.conv_id = z.conv_id"""
+
+QUALITY_RULES = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, text FROM d),
+w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM p),
+x AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 THEN 1 ELSE 0 END AS f FROM x),
+h AS (SELECT doc_id, i, max(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS h FROM f), n AS (SELECT doc_id, CAST(sum(h) AS BIGINT) AS n FROM h GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d), m AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT l) AS dups FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+s AS (SELECT p.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+coalesce(dups, 0) AS n_dup_lines, coalesce(lines, 0) AS lines, coalesce(n, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS low
+FROM p LEFT JOIN m ON p.doc_id = m.doc_id LEFT JOIN n ON p.doc_id = n.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 4 * n_symbols > greatest(1, n_words) OR 2 * n_dup_lines > lines OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR (up > 2 * low AND up > 20)) AS kept FROM b"""
+
+ORACLE: dict[str, str] = {"op3_embeddings": EMBEDDINGS, "op5_tool_calls": TOOL_CALLS, "op6_quality_rules": QUALITY_RULES}
 
 
 def queries() -> dict[str, Query]:

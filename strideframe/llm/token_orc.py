@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from strideframe.llm.common import as_text, scratch, slices
 
 END = 0
 #: Units kept in each of the two generations of a worker's cache.
-CACHE = 400_000
+CACHE = 700_000
 #: The characters with the Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f"
@@ -55,7 +56,7 @@ class Encoder:
         new = list(units - found.keys())
         for start in range(0, len(new), 4096):
             some = new[start : start + 4096]
-            found.update((u, np.array(e.ids, "<i4").tobytes()) for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+            found.update((u, array("i", e.ids).tobytes()) for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
         self.young.update(found)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
