@@ -4,13 +4,12 @@ import tempfile
 from pathlib import Path
 
 import pytest
+from support import DATA, normal
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-DATA = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -36,13 +35,6 @@ def duck():
     return con
 
 
-def normal(rows, columns):
-    """Rows as sorted tuples of text, columns by name."""
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    text = lambda v: repr(v + 0.0) if isinstance(v, float) else str(v)
-    return [columns[i] for i in order], sorted(tuple(text(r[i]) for i in order) for r in rows)
-
-
 @pytest.fixture(scope="session")
 def same(spark, duck):
     """Compare a query with its SQL over the smallest tables."""
