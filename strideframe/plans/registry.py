@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("metrics", "records", "serving", "incremental")
+_MODULES = ("metrics", "records", "serving", "incremental", "lifecycle")
 
 
 def _loaded():

@@ -135,3 +135,21 @@ def test_track_keeps_corners(spark):
 def test_empty_tables(spark):
     none = stream(spark, [1]).where("false")
     assert power.normalized_power(none).count() == power.mean_maximal_power(none).count() == heart.decoupling(none).count() == series.runs(none, "power").count() == 0
+
+
+def test_sessions_are_matched_in_order(spark):
+    from strideframe.operators import lifecycle
+
+    rows = [("a", 0, 600.0, None), ("b", 100, 610.0, None), ("c", 200, 600.0, None), ("d", 90_000, 600.0, "p"), ("e", 300_000, 50.0, "p"), ("f", 210, 5000.0, None)]
+    df = spark.createDataFrame([(1, "cycling", i, s, d, p) for i, s, d, p in rows], "athlete long, sport string, id string, s long, duration_s double, fingerprint string").withColumn("start", F.col("s").cast("timestamp"))
+    out = {r.id: r.session_id for r in lifecycle.identities(df).collect()}
+    assert out == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d", "f": "f"}
+
+
+def test_bucket_and_context(spark):
+    from strideframe.operators import lifecycle
+
+    r = spark.createDataFrame([(1, i, float(t)) for i, t in enumerate([0, 0, 0, 1, 2])], "u long, id long, at double")
+    assert [x.admitted for x in lifecycle.token_bucket(r, ["u"], "at", 1.0, 2.0).orderBy("id").collect()] == [True, True, False, True, True]
+    c = spark.createDataFrame([(1, 1, 9.0, 50), (1, 2, 8.0, 60), (1, 3, 7.0, 40)], "u long, id long, relevance double, tokens long")
+    assert sorted(x.id for x in lifecycle.greedy_context(c, ["u"], 100).collect()) == [1, 3]
