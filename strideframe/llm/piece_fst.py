@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from strideframe.llm.common import as_text, slices
 
 SPACE = "▁"
 START = -1
-CACHE = 300_000
+#: Stretches kept in each of the two generations of a worker's cache.
+CACHE = 400_000
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -96,7 +98,8 @@ class PieceMachine:
         # What the piece machine can read from a state on: whole pieces, and with START the beginnings of pieces.
         self.reads = {piece[:k]: START for piece in self.arcs for k in range(1, len(piece))} | self.arcs
         self.borders: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _merged(self, text: str) -> list[int]:
         """Merges of one piece from its characters; remembers the two halves that its last merge joins."""
@@ -138,7 +141,7 @@ class PieceMachine:
                 limit, a = late_a, self.halves[a][1]
             else:
                 limit, b = late_b + 1, self.halves[b][0]
-        if len(self.borders) >= 4 * CACHE:
+        if len(self.borders) >= 2 * CACHE:
             self.borders.clear()
         self.borders[left, right] = fits
         return fits
@@ -176,18 +179,22 @@ class PieceMachine:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        cache = self.cache
-        for stretch in _STRETCH.findall(self.prefix + text.replace(" ", SPACE)):
-            path = cache.get(stretch)
-            if path is None:
-                path = self.shortest_path(stretch)
-                if len(cache) >= CACHE:
-                    cache.clear()
-                if len(stretch) <= 64:
-                    cache[stretch] = path
-            out += path
-        return out
+        stretches = _STRETCH.findall(self.prefix + text.replace(" ", SPACE))
+        paths = list(map(self.young.get, stretches))
+        if None in paths:
+            paths = [self._path(s) if p is None else p for s, p in zip(stretches, paths)]
+        return list(chain.from_iterable(paths))
+
+    def _path(self, stretch: str) -> tuple[int, ...]:
+        """The shortest path, kept in the young generation; a full one becomes the old one, so that common stretches stay."""
+        path = self.old.get(stretch)
+        if path is None:
+            path = self.shortest_path(stretch)
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        if len(stretch) <= 64:
+            self.young[stretch] = path
+        return path
 
     def decode(self, ids: list[int]) -> str:
         """The inverse composition; bytes that are not UTF-8 become U+FFFD."""
