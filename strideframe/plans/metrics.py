@@ -122,6 +122,18 @@ def mmp_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 MMP_LONG = f"WITH {fx.LONG}, {_curve_sql('long', CURVE_LONG)} SELECT key, CAST(d AS BIGINT) AS duration_s, round(m, 6) AS best_w, CAST(n AS BIGINT) AS window_s, CAST(t AS BIGINT) AS start_t FROM best WHERE k = 1"
 
 
+def power_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best power of the users of each group of ten, by the user it comes from."""
+    curves = power.mean_maximal_power(fx.short_stream(spark, sf_dir), CURVE_SHORT).withColumn("best_w", F.round("best_w", 6))
+    users = fx.events(spark, sf_dir).groupBy(F.col("user_id").alias("activity_id")).agg((F.first("user_id") % 10).alias("athlete"), F.min("ts").alias("start"))
+    return power.power_curve(curves, users)
+
+
+POWER_CURVE = f"""WITH {fx.SHORT}, {_curve_sql('short', CURVE_SHORT)}, u AS (SELECT user_id, user_id % 10 AS athlete, min(ts) AS start FROM events GROUP BY 1, 2),
+b AS (SELECT key, d, round(max(m), 6) AS m FROM legs GROUP BY 1, 2)
+SELECT athlete, CAST(d AS BIGINT) AS duration_s, m AS best_w, key AS activity_id, CAST(start AS DATE) AS on_date FROM b JOIN u ON key = user_id QUALIFY row_number() OVER (PARTITION BY athlete, d ORDER BY m DESC, start, key) = 1"""
+
+
 def critical_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = power.mean_maximal_power(fx.long_stream(spark, sf_dir), CP_POINTS)
     out = power.critical_power(points, least_ratio=1.5)
@@ -250,12 +262,12 @@ a IS NULL AND (b IS NOT NULL OR c IS NOT NULL) AS substituted FROM j"""
 QUERIES = {
     f.__name__: f
     for f in (
-        pmc_daily, resample_1hz, seeded_mean, stream_runs, normalized_power, load_metrics, mmp_curve, mmp_long, critical_power, w_balance, work_above_cp, durability, trimp, trimp_zonal, hrv_time_domain,
+        pmc_daily, resample_1hz, seeded_mean, stream_runs, normalized_power, load_metrics, mmp_curve, mmp_long, power_curve, critical_power, w_balance, work_above_cp, durability, trimp, trimp_zonal, hrv_time_domain,
         hrv_frequency_domain, decoupling, session_load, load_chain,
     )
 }
 ORACLE = {
-    "pmc_daily": PMC, "resample_1hz": RESAMPLE, "seeded_mean": SEEDED, "stream_runs": RUNS, "normalized_power": NORMALIZED, "load_metrics": LOAD_METRICS, "mmp_curve": MMP, "mmp_long": MMP_LONG,
+    "pmc_daily": PMC, "resample_1hz": RESAMPLE, "seeded_mean": SEEDED, "stream_runs": RUNS, "normalized_power": NORMALIZED, "load_metrics": LOAD_METRICS, "mmp_curve": MMP, "mmp_long": MMP_LONG, "power_curve": POWER_CURVE,
     "critical_power": CRITICAL, "w_balance": WBAL, "work_above_cp": WORK, "durability": DURABILITY, "trimp": TRIMP, "trimp_zonal": ZONAL, "hrv_time_domain": HRV, "decoupling": DECOUPLING,
     "session_load": SRPE, "load_chain": CHAIN,
 }

@@ -52,6 +52,14 @@ k AS (SELECT key, CAST(floor(j * n / least(12, n)) AS BIGINT) AS t FROM n, range
 SELECT key, t FROM k WHERE t IS NOT NULL"""
 
 
+def track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's walk of values and counters, simplified to ten points."""
+    e = fx.short_stream(spark, sf_dir).where("power IS NOT NULL")
+    walk = Window.partitionBy("key").orderBy("t")
+    points = e.select("key", "t", (F.sum("power").over(walk) / 1e6).alias("lat"), (F.sum("hr").over(walk) / 1e6).alias("lng"))
+    return serve.simplified_track(points, 10).select("key", "t")
+
+
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = load.pmc(load.daily_grid(fx.daily_loads(spark, sf_dir), "2024-01-31")).select("key", "day", "load", "ctl", "atl", "tsb")
     out = serve.dashboard(days, F.to_date(F.lit(ON)))
@@ -258,7 +266,7 @@ ROLLUP = "SELECT user_id % 10 AS grp, CAST(date_trunc('week', ts) AS DATE) AS we
 QUERIES = {
     f.__name__: f
     for f in (
-        keyset_page, nullable_sort_page, topk_recall, decimate, dashboard, coverage_diagnosis, readiness, sufficiency, endurance_score, quantiles, conformal, label_rates, regression_diff, export_union, number_sweep, url_normalize,
+        keyset_page, nullable_sort_page, topk_recall, decimate, track, dashboard, coverage_diagnosis, readiness, sufficiency, endurance_score, quantiles, conformal, label_rates, regression_diff, export_union, number_sweep, url_normalize,
         claim_verify, decision, constraint_gate, day_tumbling, user_sessions, load_rollup,
     )
 }
