@@ -125,10 +125,11 @@ def token_bucket(requests: DataFrame, on: Sequence[str], at: str, rate: float, b
 def greedy_context(records: DataFrame, on: Sequence[str], budget: int) -> DataFrame:
     """Records taken by relevance while they fit a token budget; one too large is passed over and smaller ones are still tried.
 
-    ``(id, relevance, tokens)``; ties go to the smaller id. Only the 1,024 most relevant of a group can be read by a person
-    or a model and are tried, so a group's task is bounded.
+    ``(id, relevance, tokens)``; ties go to the smaller id. Of the records of one size only the best ``budget / size`` can ever
+    fit, so the others are left out before a group's records meet in a task.
     """
-    top = records.withColumn("rn_", F.row_number().over(Window.partitionBy(*on).orderBy(F.desc("relevance"), "id"))).where("rn_ <= 1024").drop("rn_")
+    rank = F.row_number().over(Window.partitionBy(*on, "tokens").orderBy(F.desc("relevance"), "id"))
+    top = records.where(F.col("tokens") <= budget).withColumn("rank_", rank).where(F.col("rank_") * F.col("tokens") <= budget)
 
     def pick(frames: pd.DataFrame) -> pd.DataFrame:
         frames = frames.sort_values(["relevance", "id"], ascending=[False, True])

@@ -70,3 +70,22 @@ def test_running_fitness_takes_late_loads(spark):
     for x in (100, 80, 50):
         want = want * c + (1 - c) * x
     assert spark.read.parquet(f"{at}/out/1").first().ctl == pytest.approx(want)
+
+
+def test_payloads(spark):
+    import json
+
+    from strideframe.sources import payloads
+
+    at = tempfile.mkdtemp(prefix="spark-")
+    ride = {"id": "a1", "type": "Ride", "start_date": "2024-05-01T06:00:00Z", "icu_average_watts": 200, "icu_joules": 3000, "icu_rpe": 11, "feel": 3, "streams": [{"type": "watts", "data": [1, None, 3]}, {"type": "cadence", "data": [None, None]}, {"type": "w", "data": [1]}]}
+    rows = [ride, {"type": "Kite", "start_date": "2024-05-01T06:00:00Z"}, {"id": "a3", "start_date": "2024-05-01T06:00:00"}]
+    Path(f"{at}/a.json").write_text("\n".join(map(json.dumps, rows)))
+    Path(f"{at}/w.json").write_text('{"id": "2024-05-01", "hrv": 55, "weight": 70.5}\n{"id": "today"}')
+    out = {r.native_id: r for r in payloads.read_activities(spark, f"{at}/a.json").collect()}
+    a = out["a1"]
+    assert (a.sport, a.energy_kj, a.perceived_exertion, a.feel, a.has_power, a.has_hr, a.has_cadence, a.streams, a.rejected) == ("cycling", 3.0, None, 3, True, False, False, {"power_w": [1, None, 3]}, None)
+    assert (out[None].rejected, out[None].sport, out["a3"].rejected) == ("missing:id", "other", "invalid:start_date")
+    assert [(r.t, r.v) for r in payloads.stream_rows(payloads.read_activities(spark, f"{at}/a.json")).orderBy("t").collect()] == [(0, 1), (1, None), (2, 3)]
+    w = payloads.read_wellness(spark, f"{at}/w.json").collect()
+    assert [(str(r.local_date), r.hrv_rmssd_ms, r.body_mass_kg, r.rejected) for r in w] == [("2024-05-01", 55, 70.5, None), ("None", None, None, "invalid:id")]
