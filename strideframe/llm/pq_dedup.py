@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import saved
+from strideframe.llm.common import hash_sample, saved
 from strideframe.llm.components import components
 
 LEAST_COSINE = 0.9
@@ -125,7 +125,7 @@ def with_vectors(embeddings: DataFrame, width: int) -> DataFrame:
 def fitted(vectors: DataFrame, lists: int | None = None) -> Index | None:
     """The index for ``vectors(vec_id, v)``, from the TRAIN vectors of least hash."""
     n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN).select("v").toPandas()["v"]
+    sample = hash_sample(vectors, "vec_id", TRAIN).select("v").toPandas()["v"]
     if not len(sample):
         return None
     x = _unit(np.stack(sample))

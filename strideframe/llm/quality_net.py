@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import as_bytes, crc_mod, saved, slices
+from strideframe.llm.common import as_bytes, crc_mod, hash_sample, saved, slices
 from strideframe.llm.quality_rules import Measures
 
 DIMENSIONS = 64
@@ -212,7 +212,7 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) ->
     one document the least counts; null labels and labels other than 0 and 1 don't."""
     modulus, remainder = HELD_OUT
     may = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", modulus) != remainder))
-    chosen = may.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = hash_sample(may.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", most)
     # At most `most` rows of two numbers.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
 
