@@ -84,3 +84,18 @@ def upserted(stored: DataFrame, batch: DataFrame, on: Sequence[str], position: s
     key that is met are replaced whole. On tables with row-level updates the same rows go through MERGE."""
     last = current_version(batch, on, [F.desc(position)]).drop(position)
     return stored.join(last.select(*on), list(on), "left_anti").unionByName(last)
+
+
+def resolve_fields(rows: DataFrame, on: Sequence[str], fields: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+    """Each field's winning value by itself: sources without a value for a field don't take part in it.
+
+    One row per key with, for each field, its value (null where no source has one), ``<field>_source`` and
+    ``<field>_rule``.
+    """
+    shared = ["tier", "confidence", "observed", "completeness", "source", *tie]
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields))
+    long = rows.select(*on, *shared, F.inline(pairs)).where("value IS NOT NULL")
+    won = winners(long, [*on, "field"], tie).select(*on, "field", F.struct(F.col("w.value").alias("value"), F.col("w.source").alias("source"), "rule").alias("r"))
+    wide = won.groupBy(*on).pivot("field", list(fields)).agg(F.first("r"))
+    every = rows.select(*on).distinct().join(wide, list(on), "left")
+    return every.select(*on, *(c for f in fields for c in (F.col(f"{f}.value").alias(f), F.col(f"{f}.source").alias(f"{f}_source"), F.col(f"{f}.rule").alias(f"{f}_rule"))))

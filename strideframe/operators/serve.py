@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import hmac
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,6 +25,28 @@ def clamp_limit(limit: int) -> int:
     return min(limit, MOST_PAGE)
 
 
+def encode_cursor(values: Sequence, filters: dict, secret: bytes) -> str:
+    """An opaque cursor, signed and bound to the filters of its listing."""
+    bound = hashlib.sha256(json.dumps(filters, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    body = json.dumps([bound, *values], default=str).encode()
+    return base64.urlsafe_b64encode(hmac.new(secret, body, hashlib.sha256).digest() + body).decode()
+
+
+def decode_cursor(cursor: str, filters: dict, secret: bytes) -> list:
+    """The values of a cursor; ValueError for one that is forged or belongs to another listing."""
+    try:
+        raw = base64.urlsafe_b64decode(cursor.encode())
+    except ValueError:
+        raise ValueError("not a cursor") from None
+    sign, body = raw[:32], raw[32:]
+    if not hmac.compare_digest(sign, hmac.new(secret, body, hashlib.sha256).digest()):
+        raise ValueError("not a cursor of this service")
+    bound, *values = json.loads(body)
+    if bound != hashlib.sha256(json.dumps(filters, sort_keys=True, default=str).encode()).hexdigest()[:16]:
+        raise ValueError("a cursor of another listing")
+    return values
+
+
 def keyset_page(rows: DataFrame, order: Sequence[tuple[str, bool]], limit: int, cursor: Sequence | None = None) -> DataFrame:
     """One page after the cursor's row, and a row more to tell that another page follows.
 

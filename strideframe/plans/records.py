@@ -115,6 +115,23 @@ WHEN comp <> p2 THEN 'completeness' WHEN source <> s2 THEN 'source_id' ELSE 'ide
 FROM r JOIN g ON r.key = g.key AND r.line = g.line WHERE rn = 1"""
 
 
+def field_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value and price of each (order, line), each from the best source that has it."""
+    rows = _candidates(spark, sf_dir).withColumns({"value": F.when(F.col("source") % 3 > 0, F.col("value")), "price": F.when(F.col("source") % 4 > 0, F.col("price"))})
+    rows = rows.withColumn("ship", F.col("observed").cast("long"))
+    out = resolve.resolve_fields(rows, ["key", "line"], ["value", "price"], ("native", "ship"))
+    return out.select("key", "line", F.round("value", 4).alias("value"), "value_source", F.round("price", 4).alias("price"), "price_source")
+
+
+def _field_sql(f: str, condition: str) -> str:
+    return f"""SELECT key, line, {f}, source FROM c WHERE {condition} QUALIFY row_number() OVER (PARTITION BY key, line ORDER BY rk, confidence DESC, observed DESC, comp DESC, source, native, {f}) = 1"""
+
+
+RESOLUTION = f"""WITH {fx.CANDIDATES}, c AS (SELECT *, CASE WHEN value > 25 THEN 2.0 ELSE 1.0 END AS comp, CASE tier WHEN 'raw_stream' THEN 0 WHEN 'platform_computed' THEN 2 ELSE 4 END AS rk FROM candidates),
+v AS ({_field_sql('value', 'source % 3 > 0')}), p AS ({_field_sql('price', 'source % 4 > 0')}), k AS (SELECT DISTINCT key, line FROM c)
+SELECT k.key, k.line, round(v.value, 4) AS value, v.source AS value_source, round(p.price, 4) AS price, p.source AS price_source FROM k LEFT JOIN v USING (key, line) LEFT JOIN p USING (key, line)"""
+
+
 def effective_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's tier for two channels under layered preferences."""
     s = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.explode(F.array(F.lit("power"), F.lit("hr"))).alias("channel"))
@@ -172,9 +189,9 @@ SELECT key, round(balance, 4) AS balance FROM b UNION ALL SELECT c_custkey, roun
 
 QUERIES = {
     f.__name__: f
-    for f in (signature_asof, identity_band_join, session_match, gap_self_heal, local_day_bucket, backfill_chunks, signature_intervals, field_winner, effective_tier, current_candidates, quarantine, tombstones, upsert)
+    for f in (signature_asof, identity_band_join, session_match, gap_self_heal, local_day_bucket, backfill_chunks, signature_intervals, field_winner, field_resolution, effective_tier, current_candidates, quarantine, tombstones, upsert)
 }
 ORACLE = {
-    "signature_asof": ASOF, "identity_band_join": BAND, "session_match": SESSIONS, "gap_self_heal": HEAL, "local_day_bucket": LOCAL, "backfill_chunks": CHUNKS, "signature_intervals": INTERVALS, "field_winner": WINNER,
+    "signature_asof": ASOF, "identity_band_join": BAND, "session_match": SESSIONS, "gap_self_heal": HEAL, "local_day_bucket": LOCAL, "backfill_chunks": CHUNKS, "signature_intervals": INTERVALS, "field_winner": WINNER, "field_resolution": RESOLUTION,
     "effective_tier": TIER, "current_candidates": CURRENT, "quarantine": QUARANTINE, "tombstones": TOMBSTONES, "upsert": UPSERT,
 }

@@ -153,3 +153,25 @@ def test_bucket_and_context(spark):
     assert [x.admitted for x in lifecycle.token_bucket(r, ["u"], "at", 1.0, 2.0).orderBy("id").collect()] == [True, True, False, True, True]
     c = spark.createDataFrame([(1, 1, 9.0, 50), (1, 2, 8.0, 60), (1, 3, 7.0, 40)], "u long, id long, relevance double, tokens long")
     assert sorted(x.id for x in lifecycle.greedy_context(c, ["u"], 100).collect()) == [1, 3]
+
+
+def test_cursor_is_bound_and_signed():
+    c = serve.encode_cursor([1.5, "2024-01-01", 7], {"sport": "cycling"}, b"k")
+    assert serve.decode_cursor(c, {"sport": "cycling"}, b"k") == [1.5, "2024-01-01", 7]
+    for bad in ((c, {"sport": "running"}, b"k"), (c, {"sport": "cycling"}, b"x"), ("!", {}, b"k")):
+        with pytest.raises(ValueError):
+            serve.decode_cursor(*bad)
+    assert serve.clamp_limit(500) == 200
+
+
+def test_capabilities(spark):
+    from strideframe.plans import engine
+
+    s = stream(spark, [250] * 1300, 120)
+    daily = grid(spark, [100.0, 0.0]).select("key", "day", "load", "substituted")
+    beats = spark.createDataFrame([(1, i, 800.0) for i in range(200)], "key long, i long, rr double")
+    x = engine.Inputs(s, daily, beats, spark.createDataFrame([(1, 250.0)], "key long, ftp_w double"))
+    run = lambda name, **p: engine.run(spark, name, x, **p).collect()
+    assert run("load_metrics")[0].tss == pytest.approx(1300 / 36, rel=1e-6) and run("hrv")[0].rmssd == 0 and run("decoupling")[0].drift_pct == pytest.approx(0)
+    assert len(run("weekly_load", first="2020-01-01", last="2020-01-07")) == 7 and run("trimp", rest=50, most=190, sex="m")[0].trimp > 0
+    assert run("nothing")[0].reason == "missing_dependency" and run("trimp")[0].reason == "missing_required_input"
