@@ -10,19 +10,26 @@ from pyspark.sql import functions as F
 from strideframe.functions import constants as C
 
 
-def as_of(probes: DataFrame, versions: DataFrame, on: Sequence[str], at: str, since: str, values: Sequence[str], gate: Column | None = None) -> DataFrame:
+def as_of(probes: DataFrame, versions: DataFrame, on: Sequence[str], at: str, since: str, values: Sequence[str], gate: Column | None = None, bucket: str = "month") -> DataFrame:
     """``probes`` with the ``values`` of the latest version whose ``since`` is not after ``at``; null where there is none.
 
-    One shuffle on the keys: versions and probes stand in one order and each probe takes the last version before it, so
-    no probe meets more than its own version. Versions must be unique in (keys, since). ``gate`` is over the version's
-    columns and is asked after the choice: a version that it rejects gives nulls, not an older version.
+    Versions and probes of a key and a stretch of time (``bucket``, a unit of date_trunc) stand in one order and each probe
+    takes the last version before it, so no probe meets more than its own version and a key with many rows is spread over
+    its stretches. The version in force at the start of a stretch is carried in from the key's earlier ones, of which each
+    adds one row. Versions must be unique in (keys, since). ``gate`` is over the version's columns and is asked after the
+    choice: a version that it rejects gives nulls, not an older version.
     """
     held = F.struct(*(F.col(v).alias(v) for v in (since, *values)), *([gate.alias("ok")] if gate is not None else []))
-    v = versions.select(*on, F.col(since).cast("timestamp").alias("at_"), F.lit(0).alias("kind_"), held.alias("held"))
-    p = probes.select(*on, F.col(at).cast("timestamp").alias("at_"), F.lit(1).alias("kind_"), F.struct("*").alias("probe"))
-    both = v.unionByName(p, allowMissingColumns=True)
-    before = Window.partitionBy(*on).orderBy("at_", "kind_").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("found", F.last("held", ignorenulls=True).over(before)).where("kind_ = 1")
+    stretch = F.date_trunc(bucket, "at_").alias("stretch_")
+    v = versions.select(*on, F.col(since).cast("timestamp").alias("at_"), F.lit(1).alias("kind_"), held.alias("held")).select("*", stretch)
+    p = probes.select(*on, F.col(at).cast("timestamp").alias("at_"), F.lit(2).alias("kind_"), F.struct("*").alias("probe")).select("*", stretch)
+    last = v.select(*on, "stretch_", "at_", "held").unionByName(p.select(*on, "stretch_"), allowMissingColumns=True)
+    last = last.groupBy(*on, "stretch_").agg(F.max_by("held", "at_").alias("held"))
+    earlier = Window.partitionBy(*on).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*on, "stretch_", F.col("stretch_").alias("at_"), F.lit(0).alias("kind_"), F.last("held", ignorenulls=True).over(earlier).alias("held"))
+    both = v.unionByName(carried).unionByName(p, allowMissingColumns=True)
+    before = Window.partitionBy(*on, "stretch_").orderBy("at_", "kind_").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("found", F.last("held", ignorenulls=True).over(before)).where("kind_ = 2")
     ok = F.col("found.ok") if gate is not None else F.lit(True)
     return found.select("probe.*", *(F.when(ok, F.col(f"found.{c}")).alias(c) for c in (since, *values)))
 
