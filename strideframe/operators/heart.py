@@ -128,20 +128,19 @@ def decoupling(stream: DataFrame, least_s: int = C.DECOUPLING_LEAST_S, smooth: i
     Seconds with both channels count; standing still (output 0) is left out before smoothing over the seconds that
     remain. Halves are told by the middle of the time from the first to the last second with both channels.
     """
-    both = stream.where(F.col("power").isNotNull() & F.col("hr").isNotNull())
-    whole = Window.partitionBy("key")
-    both = both.withColumn("t0", F.min("t").over(whole)).withColumn("t1", F.max("t").over(whole))
-    moving = both.where("power <> 0").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("t")))
-    last = Window.partitionBy("key").orderBy("i").rowsBetween(-(smooth - 1), 0)
-    smoothed = moving.withColumn("out", F.when(F.count("power").over(last) == smooth, F.avg("power").over(last))).where("out IS NOT NULL")
-    first = F.col("t") <= (F.col("t0") + F.col("t1")) / 2
+    both = F.col("power").isNotNull() & F.col("hr").isNotNull()
+    per_key = Window.partitionBy("key")
+    rows = stream.withColumn("moving", both & (F.coalesce("power", F.lit(0.0)) != 0)).withColumn("a", F.min(F.when(both, F.col("t"))).over(per_key)).withColumn("b", F.max(F.when(both, F.col("t"))).over(per_key))
+    last = Window.partitionBy("key", "moving").orderBy("t").rowsBetween(-(smooth - 1), 0)
+    rows = rows.withColumn("out", F.when(F.col("moving") & (F.count("power").over(last) == smooth), F.avg("power").over(last)))
+    counted = F.col("out").isNotNull()
+    first = counted & (F.col("t") <= (F.col("a") + F.col("b")) / 2)
+    second = counted & ~first
     half = lambda c, keep: F.avg(F.when(keep, F.col(c)))
-    per_key = smoothed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("out").alias("mean"), F.stddev_pop("out").alias("sd"), F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"),
-        ratio(half("out", first), half("hr", first)).alias("e1"), ratio(half("out", ~first), half("hr", ~first)).alias("e2"),
+    rows = rows.groupBy("key").agg(
+        F.count("power").alias("np"), F.count("hr").alias("nh"), F.min("a").alias("a"), F.min("b").alias("b"), F.count("out").alias("n"), F.avg("out").alias("mean"), F.stddev_pop("out").alias("sd"), F.count_if(first).alias("n1"),
+        F.count_if(second).alias("n2"), ratio(half("out", first), half("hr", first)).alias("e1"), ratio(half("out", second), half("hr", second)).alias("e2"),
     )
-    seen = stream.groupBy("key").agg(F.count("power").alias("np"), F.count("hr").alias("nh"), F.min(F.when(F.col("power").isNotNull() & F.col("hr").isNotNull(), F.col("t"))).alias("a"), F.max(F.when(F.col("power").isNotNull() & F.col("hr").isNotNull(), F.col("t"))).alias("b"))
-    rows = seen.join(per_key, "key", "left")
     why = ladder(
         [
             ((F.col("np") == 0) | (F.col("nh") == 0) | F.col("a").isNull(), "missing_required_input"), (F.col("b") - F.col("a") + 1 < least_s, "insufficient_data"), (F.coalesce("n", F.lit(0)) == 0, "insufficient_data"),

@@ -107,15 +107,16 @@ def critical_power(points: DataFrame, domain: tuple[int, int] = C.CP_DOMAIN_S, l
     """One row per key of ``points(key, duration_s, best_w)``: cp_w, w_prime_j, r2, se_cp, se_w_prime, n, reason.
 
     The line of work over time through the curve's points inside the domain: slope is critical power, intercept the work
-    above it. Standard errors come from the residuals themselves, in a second pass.
+    above it. Standard errors come from the residuals themselves. A key has no more points than the curve has durations, so
+    they are folded from an array in the same pass.
     """
-    inside = points.where(F.col("duration_s").between(*domain) & finite(F.col("best_w"))).select("key", F.col("duration_s").cast("double").alias("x"), "best_w", (F.col("best_w") * F.col("duration_s")).alias("w"))
-    fit = inside.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("x").alias("x_max"), F.min("x").alias("x_min"), F.max("best_w").alias("p_max"), F.min("best_w").alias("p_min"), F.regr_slope("w", "x").alias("cp"),
-        F.regr_intercept("w", "x").alias("wp"), F.regr_r2("w", "x").alias("r2"), F.regr_sxx("w", "x").alias("sxx"), F.regr_syy("w", "x").alias("syy"), F.avg("x").alias("x_mean"),
+    inside = F.col("duration_s").between(*domain) & finite(F.col("best_w"))
+    x, w, p = F.when(inside, F.col("duration_s").cast("double")), F.when(inside, F.col("best_w") * F.col("duration_s")), F.when(inside, F.col("best_w"))
+    every = points.groupBy("key").agg(
+        F.count(x).alias("n"), F.max(x).alias("x_max"), F.min(x).alias("x_min"), F.max(p).alias("p_max"), F.min(p).alias("p_min"), F.regr_slope(w, x).alias("cp"), F.regr_intercept(w, x).alias("wp"),
+        F.regr_r2(w, x).alias("r2"), F.regr_sxx(w, x).alias("sxx"), F.regr_syy(w, x).alias("syy"), F.avg(x).alias("x_mean"), F.array_sort(F.collect_list(F.when(inside, F.struct(x.alias("x"), w.alias("w"))))).alias("pts"),
     )
-    rest = inside.join(fit.select("key", "cp", "wp"), "key").groupBy("key").agg(F.sum(F.pow(F.col("w") - F.col("cp") * F.col("x") - F.col("wp"), F.lit(2.0))).alias("ssr"))
-    every = points.select("key").distinct().join(fit, "key", "left").join(rest, "key", "left")
+    every = every.withColumn("ssr", F.aggregate("pts", F.lit(0.0), lambda sum_, q: sum_ + F.pow(q["w"] - F.col("cp") * q["x"] - F.col("wp"), F.lit(2.0))))
     n = F.coalesce("n", F.lit(0))
     spread = ratio(F.col("p_max") - F.col("p_min"), F.col("p_max"))
     why = ladder(
@@ -165,11 +166,11 @@ def durability(stream: DataFrame, cp: float, w_prime: float, target: int = C.DUR
     """
     worked = work_above(stream, cp)
     tired = F.col("work_j") >= multiple * w_prime
-    split = worked.groupBy("key").agg(F.min(F.when(tired, F.col("t"))).alias("split_t"), F.count("power").alias("valid"))
     # The running work never falls, so a side is told without joining the split back.
     sides = seeded_mean(worked.withColumn("side", tired), "power", target, "m", ("key", "side"))
-    best = sides.groupBy("key").agg(F.max(F.when(~F.col("side"), F.col("m"))).alias("fresh"), F.max(F.when(F.col("side"), F.col("m"))).alias("fatigued"))
-    rows = split.join(best, "key")
+    rows = sides.groupBy("key").agg(
+        F.min(F.when(F.col("side"), F.col("t"))).alias("split_t"), F.count("power").alias("valid"), F.max(F.when(~F.col("side"), F.col("m"))).alias("fresh"), F.max(F.when(F.col("side"), F.col("m"))).alias("fatigued")
+    )
     why = ladder(
         [
             (F.lit(w_prime <= 0), "out_of_domain"), (F.col("valid") == 0, "missing_required_input"), (F.lit(cp <= 0), "out_of_domain"), (F.col("split_t").isNull(), "insufficient_data"),

@@ -37,7 +37,7 @@ def erasure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"customer": t("customer").select("c_custkey", "c_nationkey"), "orders": t("orders").select("o_orderkey", "o_custkey"), "lineitem": t("lineitem").select("l_orderkey", "l_linenumber")}
     parents = {"orders": ("customer", "o_custkey", "c_custkey"), "lineitem": ("orders", "l_orderkey", "o_orderkey")}
     out = None
-    for name, (stay, go) in lifecycle.erased(tables, parents, spark.sql("SELECT 7 AS c_nationkey"), "c_nationkey").items():
+    for name, (stay, go) in lifecycle.erased(tables, parents, t("nation").where("n_nationkey % 25 = 7").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey").items():
         one = stay.select(F.lit(name).alias("table"), F.lit(0).alias("gone")).unionByName(go.select(F.lit(name).alias("table"), F.lit(1).alias("gone")))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("table").agg(F.count_if(F.col("gone") == 0).alias("kept"), F.count_if(F.col("gone") == 1).alias("erased"))
