@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,25 +29,29 @@ def identities(recordings: DataFrame) -> DataFrame:
     pause = F.unix_timestamp("start") - F.lag(F.unix_timestamp("start")).over(order) > C.MATCH_START_S
     runs = heads.withColumn("run", F.sum(F.coalesce(pause, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "id"])
-        opened: list[tuple] = []
-        found = []
-        for row in pdf.itertuples():
-            for start, duration, ident in opened:
-                slack = max(C.MATCH_DURATION_S, C.MATCH_DURATION_SHARE * max(duration, row.duration_s))
-                if abs((row.start - start).total_seconds()) <= C.MATCH_START_S and abs(row.duration_s - duration) <= slack:
-                    found.append(ident)
-                    break
-            else:
-                opened.append((row.start, row.duration_s, row.id))
-                found.append(row.id)
-        return pd.DataFrame({"head": pdf["id"], "session_id": found})
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come run by run in order; a run may go on in the next frame.
+        run, opened = None, []
+        for pdf in frames:
+            found = []
+            for row in pdf.itertuples(index=False):
+                if run != (row.athlete, row.sport, row.run):
+                    run, opened = (row.athlete, row.sport, row.run), []
+                for start, duration, ident in opened:
+                    slack = max(C.MATCH_DURATION_S, C.MATCH_DURATION_SHARE * max(duration, row.duration_s))
+                    if abs(row.s - start) <= C.MATCH_START_S and abs(row.duration_s - duration) <= slack:
+                        found.append(ident)
+                        break
+                else:
+                    opened.append((row.s, row.duration_s, row.id))
+                    found.append(row.id)
+            yield pd.DataFrame({"head": pdf["id"], "session_id": found})
 
     kind = dict(recordings.dtypes)["id"]
     sized = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("athlete", "sport", "run")))
-    several = sized.where("size > 1").select("athlete", "sport", "run", "id", "start", "duration_s")
-    matched = several.groupBy("athlete", "sport", "run").applyInPandas(match, f"head {kind}, session_id {kind}")
+    several = sized.where("size > 1").select("athlete", "sport", "run", "id", F.unix_micros("start").alias("us"), (F.unix_micros("start") / 1e6).alias("s"), "duration_s")
+    groups = ["athlete", "sport", "run"]
+    matched = several.repartition(*groups).sortWithinPartitions(*groups, "us", "id").mapInPandas(match, f"head {kind}, session_id {kind}")
     named = matched.unionByName(sized.where("size = 1").select(F.col("id").alias("head"), F.col("id").alias("session_id")))
     named = named.groupBy("head").agg(F.min("session_id").alias("session_id"))  # rows that repeat an id are one recording
     return rows.join(named, F.col("lead") == F.col("head")).drop("lead", "head")
