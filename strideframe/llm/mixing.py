@@ -24,6 +24,8 @@ from strideframe.llm.common import as_bytes, saved, slices
 
 BLOCK_DOCS = 256
 MOST_BLOCKS = 1024
+#: Tables of at most so many rows of a few numbers are sent to every task; larger ones are joined by a shuffle.
+SENT_ROWS = 200_000
 #: The per-source recipe (a few numbers for each source) is solved on the driver; more sources than this are refused.
 MOST_SOURCES = 1_000_000
 SEED = 17
@@ -129,7 +131,8 @@ def solve(items: DataFrame, budget_tokens: int | None, entropy_share: float | No
         rest = max(0, math.floor((passes - whole) * share.tokens + 1e-6))
         rows.append((share.source, weight, whole, rest, min(MOST_BLOCKS, max(1, -(-share.docs // BLOCK_DOCS)))))
     recipe = spark.createDataFrame(rows, "src string, weight double, whole long, rest long, n_blocks long")
-    placed = items.join(recipe, F.col("source").eqNullSafe(F.col("src"))).withColumn("block", F.pmod(_draw(), F.col("n_blocks")))
+    # At most MOST_SOURCES rows; a shuffle by source would put a hot source into one task.
+    placed = items.join(F.broadcast(recipe), F.col("source").eqNullSafe(F.col("src"))).withColumn("block", F.pmod(_draw(), F.col("n_blocks")))
     sums = placed.groupBy("src", "block", "weight", "whole", "rest").agg(F.sum("n_tokens").alias("tokens"))
     # At most MOST_BLOCKS rows for a source.
     order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(SEED), "src", "block", "whole"), "block")
@@ -150,8 +153,9 @@ def _located(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` with its block's row and ``copies``, the number of times that a document is taken."""
     spark = docs.sparkSession
     n_blocks = spark.createDataFrame([(s.source, min(MOST_BLOCKS, max(1, -(-s.docs // BLOCK_DOCS)))) for s in mix.shares], "n_src string, n_blocks long")
-    placed = docs.join(n_blocks, F.col("source").cast("string").eqNullSafe(F.col("n_src"))).withColumn("mix_block", F.pmod(_draw(), F.col("n_blocks")))
-    found = placed.join(mix.blocks, F.col("n_src").eqNullSafe(F.col("src")) & (F.col("mix_block") == F.col("block")))
+    placed = docs.join(F.broadcast(n_blocks), F.col("source").cast("string").eqNullSafe(F.col("n_src"))).withColumn("mix_block", F.pmod(_draw(), F.col("n_blocks")))
+    few = sum(min(MOST_BLOCKS, max(1, -(-s.docs // BLOCK_DOCS))) for s in mix.shares) <= SENT_ROWS
+    found = placed.join(F.broadcast(mix.blocks) if few else mix.blocks, F.col("n_src").eqNullSafe(F.col("src")) & (F.col("mix_block") == F.col("block")))
     partly = F.coalesce(F.col("takes") | (_edge_draw() <= F.col("edge")), F.lit(False))
     return found.withColumn("copies", F.col("whole") + partly.cast("long"))
 
