@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import constants as C
 from strideframe.functions.result import computed, finite, ladder, ratio
-from strideframe.operators.series import runs, seeded_mean
+from strideframe.operators.series import seeded_mean
 
 
 def normalized_power(stream: DataFrame, window: int = C.NP_WINDOW_S, sport: str | None = None) -> DataFrame:
