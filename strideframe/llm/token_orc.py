@@ -24,6 +24,8 @@ from strideframe.llm.common import as_text, scratch, slices
 END = 0
 #: Units kept in each of the two generations of a worker's cache.
 CACHE = 700_000
+#: Longer units are encoded each time, so that the cache's bytes are bounded too.
+LONGEST = 64
 #: The characters with the Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f"
@@ -69,6 +71,8 @@ class Encoder:
             self._learn(missing)
             late = self.young
             ids = [[late[u] if x is None else x for u, x in zip(us, found)] if None in found else found for us, found in zip(units, ids)]
+            for unit in [u for u in missing if len(u) > LONGEST]:
+                self.young.pop(unit, None)
         return [b"".join(x) for x in ids]
 
 
