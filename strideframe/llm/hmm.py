@@ -31,7 +31,7 @@ ENDINGS = 512
 END = FREQUENT + ENDINGS
 CLASSES = END + 1
 #: At most so many words are sent to every task.
-KNOWN = 300_000
+KNOWN = 200_000
 SEGMENT = 128
 ROUNDS = 4
 HELD_OUT = (7, 2)
@@ -80,8 +80,8 @@ class Lexicon:
     end_log_count: float
 
 
-def commonest(counts: DataFrame, most: int) -> tuple[int, list]:
-    """The least count t that at most ``most`` words reach, and the words that reach it."""
+def commonest(counts: DataFrame, most: int) -> tuple[int, list[bytes], np.ndarray]:
+    """The least count t that at most ``most`` words reach, the words that reach it in order, and their counts."""
     by_count = counts.groupBy("c").count().orderBy(F.desc("c"))
     least, n = 1 << 62, 0
     for row in by_count.toLocalIterator():
@@ -89,14 +89,14 @@ def commonest(counts: DataFrame, most: int) -> tuple[int, list]:
         if n > most:
             break
         least = row["c"]
-    return least, counts.where(F.col("c") >= least).collect()
+    found = counts.where(F.col("c") >= least).select("word", "c").toArrow()
+    words, c = found.column("word").to_pylist(), found.column("c").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
+    return least, [words[i] for i in order], c[order].astype(np.int64)
 
 
 def lexicon(counts: DataFrame, training_texts: int, most: int = KNOWN) -> tuple[Lexicon, int]:
-    least, rows = commonest(counts, most)
-    rows.sort(key=lambda r: (-r.c, bytes(r.word)))
-    words = [bytes(r.word) for r in rows]
-    c = np.array([r.c for r in rows], np.int64)
+    least, words, c = commonest(counts, most)
     own = {w: i for i, w in enumerate(words[:FREQUENT])}
     classes = np.array([own.get(w) if i < FREQUENT else ending_class(w) for i, w in enumerate(words)], np.uint16)
 
