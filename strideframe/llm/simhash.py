@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.llm import near_copies
 from strideframe.llm.common import as_bytes, saved, slices
 from strideframe.llm.components import components
 
@@ -194,11 +195,31 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return simhash_classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _prints(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, key, bands)``: fingerprint, shingle set and its bands for each row."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = as_bytes(part.column("text"))
+            sets = [near_copies.shingle_set(t) for t in texts]
+            fps = np.array([fingerprint(t) for t in texts], np.uint64)
+            keys = np.array([near_copies.key_of(s) for s in sets], np.uint64)
+            bands = pa.array([near_copies.bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), pa.array(keys.view(np.int64)), bands], names=["doc_id", "fp", "key", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, fp long, key long, bands array<long>")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class, all columns kept; rows with a null doc_id stay.
 
-    Rows that repeat such a doc_id are copies of each other in their class and only one of them stays.
+    Texts link by their fingerprints, and by a similarity of 0.8 or more (``near_copies``). Rows that repeat such a
+    doc_id are copies of each other in their class and only one of them stays.
     """
-    keep = simhash_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    prints = saved(_prints(docs), "prints")
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    classes = near_copies.classes(prints, docs, linked(distinct)).withColumnRenamed("node", "fp")
+    rooted = distinct.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    keep = rooted.groupBy("root").agg(F.min("least_id").alias("doc_id")).select("doc_id").distinct()
     stays = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stays.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
