@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new in a sensitive context.
 
 Base spans are the leftmost non-overlapping matches of three patterns (whole match, code points, end exclusive).
-The method adds ``novel`` spans: a run of 16 or more key-like characters that follows a sensitive word within
-``REACH`` characters is a candidate. Its novelty is the number of bytes it adds to the zstandard frame of the text
+The method adds ``novel`` spans: a run of 16 or more key-like characters with a sensitive word before it on its
+line, or within ``REACH`` bytes of it, is a candidate, and so are the runs that continue it and all in a key block. Its novelty is the number of bytes it adds to the zstandard frame of the text
 around it, under a dictionary of the identifiers that stand around candidates all over the corpus. A candidate that
 stays nearly incompressible is reported. Base spans are never dropped; a candidate that overlaps one is not repeated.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +32,10 @@ HEX = re.compile(rb"[0-9a-f]{16,}")  # runs of 16 or more: a shorter run fails w
 
 SENSITIVE = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"cred", b"bearer", b"private", b"salt")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+SENSITIVE_WORD = re.compile(b"(?=(" + b"|".join(SENSITIVE) + b"))")
+WORD = re.compile(rb"[A-Za-z0-9]")
+BLOCK = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----(.*?)(?=-----END |-----BEGIN |\Z)", re.S)
+TAIL = re.compile(rb"\s([A-Za-z0-9+/=]{1,15})\s*\Z")
 IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{2,23}")
 REACH = 48
 AROUND = 96
@@ -60,17 +65,44 @@ def _key_like(run: bytes) -> bool:
     return (digits and bool(letters)) or changes >= 3
 
 
+def _blocks(text: bytes) -> list[tuple[int, int]]:
+    """Bodies of BEGIN/END blocks whose label has a sensitive word; one without an end runs to the text's end."""
+    if b"-----BEGIN " not in text:
+        return []
+    return [m.span(2) for m in BLOCK.finditer(text) if any(word in m[1].lower() for word in SENSITIVE)]
+
+
 def candidates(text: bytes, base: list[Span]) -> list[tuple[int, int]]:
+    """Key-like runs beside a sensitive word: before the run on its line, or within REACH bytes before or after it.
+
+    The context holds for a whole BEGIN/END block, and is carried on over runs with no letter or digit between them.
+    """
     low = text.lower()
     if not any(word in low for word in SENSITIVE):
         return []
-    found, k = [], 0
-    for m in CANDIDATE.finditer(text):
-        while k < len(base) and base[k][2] <= m.start():
+    blocks = _blocks(text)
+    # The last line of a block may be short.
+    tails = [m.span(1) for s, e in blocks if (m := TAIL.search(text, max(s, e - REACH), e))]
+    runs = sorted([(*m.span(), True) for m in CANDIDATE.finditer(text)] + [(s, e, False) for s, e in tails])
+    words = [m.span(1) for m in SENSITIVE_WORD.finditer(low)] if runs else []
+    starts, ends = [s for s, _ in words], sorted(e for _, e in words)
+    found, k, block, line, before, carried = [], 0, 0, 0, 0, False
+    for start, end, long in runs:
+        while k < len(base) and base[k][2] <= start:
             k += 1
-        near = low[max(0, m.start() - REACH) : m.start()]
-        if any(word in near for word in SENSITIVE) and _key_like(m[0]) and not any(s < m.end() and e > m.start() for s, _, e in base[k : k + 64]):
-            found.append(m.span())
+        while block < len(blocks) and blocks[block][1] <= start:
+            block += 1
+        line = max(line, text.rfind(b"\n", before, start) + 1)
+        near = carried and not WORD.search(text, before, start)
+        near = near or (block < len(blocks) and blocks[block][0] <= start)
+        at = bisect_right(ends, start) - 1
+        near = near or (at >= 0 and ends[at] > min(line, start - REACH))
+        at = bisect_left(starts, end)
+        near = near or (at < len(starts) and starts[at] < end + REACH)
+        known = any(s < end and e > start for s, _, e in base[k : k + 64])
+        if near and not known and (_key_like(text[start:end]) or not long):
+            found.append((start, end))
+        carried, before = near or known, end
     return found
 
 
@@ -110,8 +142,17 @@ class Novelty:
 
 
 def spans(text: bytes, novelty: Novelty) -> list[Span]:
+    """Base spans, and candidates that are novel by themselves or, inside a block, together with the run before them."""
     base = base_spans(text)
-    return sorted(base + [(s, 3, e) for s, e in candidates(text, base) if novelty(text, (s, e)) >= LEAST_NOVELTY])
+    found, blocks = candidates(text, base), _blocks(text)
+    novel = []
+    for i, (s, e) in enumerate(found):
+        new = novelty(text, (s, e)) >= LEAST_NOVELTY
+        if not new and i and any(x <= found[i - 1][0] and e <= y for x, y in blocks):
+            new = novelty(text, (found[i - 1][0], e)) >= LEAST_NOVELTY
+        if new:
+            novel.append((s, 3, e))
+    return sorted(base + novel)
 
 
 def in_code_points(text: bytes, found: list[Span]) -> list[Span]:
