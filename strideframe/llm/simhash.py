@@ -210,16 +210,39 @@ def _prints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, fp long, key long, bands array<long>")
 
 
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows(row, text)`` as ``(row, fp, key)``."""
+    out = rows.select("row").withColumns({"fp": F.lit(0).cast("long"), "key": F.lit(0).cast("long")}).schema
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = as_bytes(part.column("text"))
+            fps = np.array([fingerprint(t) for t in texts], np.uint64)
+            keys = np.array([near_copies.key_of(near_copies.shingle_set(t)) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(fps.view(np.int64)), pa.array(keys.view(np.int64))], names=["row", "fp", "key"])
+
+    return rows.mapInArrow(per_batch, out)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class, all columns kept; rows with a null doc_id stay.
+    """One row of each class, all columns kept; rows with a null doc_id stay.
 
-    Texts link by their fingerprints, and by a similarity of 0.8 or more (``near_copies``). Rows that repeat such a
-    doc_id are copies of each other in their class and only one of them stays.
+    Texts link by their fingerprints, and by a similarity of 0.8 or more (``near_copies``). The row that stays is that of
+    the smallest doc_id, fingerprint and shingle set; of rows equal in these, the one least in text and then in all columns.
+    A doc_id that is repeated with unrelated texts stays once in each of the classes in which it is the smallest.
     """
     prints = saved(_prints(docs), "prints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    distinct = saved(prints.groupBy("fp").agg(F.min(named).alias("least")), "distinct")
     classes = near_copies.classes(prints, docs, linked(distinct)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    keep = rooted.groupBy("root").agg(F.min("least_id").alias("doc_id")).select("doc_id").distinct()
-    stays = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rooted = distinct.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp")).where("least IS NOT NULL")
+    best = rooted.groupBy("root").agg(F.min(F.struct("least.doc_id", "fp", "least.key")).alias("best")).select("best.*")
+    again = prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
+    keep = saved(best.join(again, "doc_id", "left").select(F.col("doc_id").alias("keep_id"), F.col("fp").alias("keep_fp"), F.col("key").alias("keep_key"), "again"), "kept")
+    of = F.col("doc_id").cast("long") == F.col("keep_id")
+    once = docs.join(keep.where("again IS NULL").select("keep_id"), of, "left_semi")
+    # Ids with several rows: which of them is meant is found by their texts.
+    more = docs.join(keep.where("again").select("keep_id").distinct(), of, "left_semi").select(F.struct(*docs.columns).alias("row"), "text")
+    meant = _marked(more).join(keep.where("again"), (F.col("row.doc_id").cast("long") == F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")) & (F.col("key") == F.col("keep_key")), "left_semi")
+    chosen = meant.groupBy(F.col("row.doc_id").alias("id"), "fp", "key").agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row"))
+    return once.unionByName(chosen.select("row.*")).unionByName(docs.where("doc_id IS NULL"))
