@@ -47,7 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: The library finds these strings in a whole text, before units; a text that holds one is encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -63,7 +64,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        units = [UNIT.findall(t) for t in texts]
+        whole = {i: array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        units = [() if i in whole else UNIT.findall(t) for i, t in enumerate(texts)]
         get = self.young.get
         ids = [list(map(get, u)) for u in units]
         missing = {u for us, found in zip(units, ids) if None in found for u, x in zip(us, found) if x is None}
@@ -73,7 +75,7 @@ class Encoder:
             ids = [[late[u] if x is None else x for u, x in zip(us, found)] if None in found else found for us, found in zip(units, ids)]
             for unit in [u for u in missing if len(u) > LONGEST]:
                 self.young.pop(unit, None)
-        return [b"".join(x) for x in ids]
+        return [whole[i] if i in whole else b"".join(x) for i, x in enumerate(ids)]
 
 
 @lru_cache(maxsize=2)
