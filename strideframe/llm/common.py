@@ -21,8 +21,13 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared ``spark.checkpoint.dir``; a temporary folder where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder name under the cluster's shared ``spark.checkpoint.dir``. Where that is unset a local master gets a
+    temporary folder, and a cluster, whose executors would not see one, an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -7,12 +7,14 @@ and a Bloom filter on doc_id let a reader skip stripes and row groups by metadat
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,32 @@ MARK = "!-&(-/:-@\\[-`{-~"
 UNIT = re.compile(f" ?[{LETTER}]+(?=[{MARK}]*(?:[{WHITE}]|$))| ?[{MARK}]+(?=[{WHITE}]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
 
+class Cache(dict):
+    """Unit -> ids in two generations. A full young one becomes the old one, whose units come back as they are met again,
+    so that common units stay. A unit in neither is its own value."""
+
+    old: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes | str:
+        found = self.old.get(unit)
+        if found is None:
+            return unit
+        self[unit] = found
+        return found
+
+    def take(self, found: dict[str, bytes]) -> None:
+        if len(self) + len(found) > CACHE:
+            self.old = dict(self)
+            self.clear()
+        self.update((u, x) for u, x in found.items() if len(u) <= LONGEST)
+
+
 class Encoder:
     """The tokenizers library over a bounded cache of units: a repeated unit is encoded once.
 
-    The cache has two generations. When the young one is full it becomes the old one, whose units come back as they are
-    met again, so that common units stay.
+    New units are handed to the library side by side in one text: the pre-tokeniser parts them as it parts them in their
+    own texts, and every id stands for a known number of bytes, so that the ids fall back to their units. A file with
+    another pre-tokeniser has no such units; its texts are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -47,35 +70,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        self.in_units = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and parts["normalizer"] is None and parts["model"]["type"] == "BPE"
         #: The library finds these strings in a whole text, before units; a text that holds one is encoded whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, units: set[str]) -> None:
-        if len(self.young) + len(units) > CACHE:
-            self.old, self.young = self.young, {}
-        found = {u: self.old[u] for u in units if u in self.old}
-        new = list(units - found.keys())
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            found.update((u, array("i", e.ids).tobytes()) for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        self.young.update(found)
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character of the byte alphabet is a byte
+        self.cache = Cache()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learnt(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of distinct units."""
+        blank = [u for u in units if u.isspace()]
+        found = dict(zip(blank, self.whole(blank)))
+        words = [u for u in units if not u.isspace()]
+        # A unit without a blank of its own follows a line feed, which is a token by itself there.
+        apart = np.fromiter((u[0] != " " for u in words), np.int64, len(words))
+        texts = [u if u[0] == " " else "\n" + u for u in words]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(["".join(texts[i : i + 64]) for i in range(0, len(texts), 64)], add_special_tokens=False)), "<i4")
+        ends = np.cumsum(self.n_bytes[ids])
+        borders = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        last = np.searchsorted(ends, borders) + 1
+        if len(words) and (last[-1] != len(ids) or (ends[last - 1] != borders).any()):
+            raise ValueError("the tokenizer file's ids don't add up to its units' bytes")
+        data, first = ids.tobytes(), np.r_[0, last[:-1]] + apart
+        found.update((u, data[4 * a : 4 * b]) for u, a, b in zip(words, first.tolist(), last.tolist()))
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        whole = {i: array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        units = [() if i in whole else UNIT.findall(t) for i, t in enumerate(texts)]
-        get = self.young.get
-        ids = [list(map(get, u)) for u in units]
-        missing = {u for us, found in zip(units, ids) if None in found for u, x in zip(us, found) if x is None}
-        if missing:
-            self._learn(missing)
-            late = self.young
-            ids = [[late[u] if x is None else x for u, x in zip(us, found)] if None in found else found for us, found in zip(units, ids)]
-            for unit in [u for u in missing if len(u) > LONGEST]:
-                self.young.pop(unit, None)
-        return [whole[i] if i in whole else b"".join(x) for i, x in enumerate(ids)]
+        if not self.in_units:
+            return self.whole(texts)
+        special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        units = [UNIT.findall(t) for t in texts]
+        for i in special:
+            units[i] = []
+        ends = list(accumulate(map(len, units), initial=0))
+        ids = list(map(self.cache.__getitem__, chain.from_iterable(units)))
+        new = [i for i, x in enumerate(ids) if x.__class__ is str]
+        if new:
+            found = self.learnt(list({ids[i] for i in new}))
+            for i in new:
+                ids[i] = found[ids[i]]
+            self.cache.take(found)
+        out = [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
+        for i, x in zip(special, self.whole([texts[i] for i in special])):
+            out[i] = x
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +140,8 @@ STORED = "part int, at long, doc_id long, ids array<int>"
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None, partitions: int | None = None) -> None:
     """Encode every text and write it to ``path``. A null text counts as empty and is the end id alone; rows with a null
-    doc_id come first; rows that repeat a doc_id are stored each, by text. An empty table writes no row."""
+    doc_id come first; rows that repeat a doc_id are stored each, by a hash of the text and by text, and may fill several
+    files. An empty table writes no row."""
     tokenizer_file = tokenizer_file or default_tokenizer()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None,
 
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(encoded, STORED)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
     rows.write.options(**options).orc(path)
