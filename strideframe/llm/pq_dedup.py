@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import hash_sample, saved
+from strideframe.llm.common import dropped, hash_sample, saved
 from strideframe.llm.components import components
 
 LEAST_COSINE = 0.9
@@ -109,30 +109,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usual_width(embeddings: DataFrame) -> int:
-    """The commonest number of components, the larger of equally common ones; 0 for no vector."""
-    first = embeddings.select(F.size("embedding").alias("w")).where("w > 0").groupBy("w").count().orderBy(F.desc("count"), F.desc("w")).first()
-    return first["w"] if first else 0
+def with_vectors(embeddings: DataFrame) -> DataFrame:
+    """``(vec_id, v)``: v is the vector in its own floating type, or in doubles; null where it can link with nothing."""
+    kind = embeddings.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding") if kind in ("float", "double") else F.transform("embedding", lambda x: x.cast("double"))
+    sound = F.forall("d", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("d", lambda x: x != 0)
+    return embeddings.select("vec_id", v.alias("d")).select("vec_id", F.when(F.col("vec_id").isNotNull() & sound, F.col("d")).alias("v"))
 
 
-def with_vectors(embeddings: DataFrame, width: int) -> DataFrame:
-    """``(vec_id, v)``: v is the vector in doubles, null where the row can link with nothing."""
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    ok = F.col("vec_id").isNotNull() & (F.size("d") == width) & F.forall("d", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("d", lambda x: x != 0)
-    return embeddings.select("vec_id", v.alias("d")).select("vec_id", F.when(ok, F.col("d")).alias("v"))
-
-
-def fitted(vectors: DataFrame, lists: int | None = None) -> Index | None:
-    """The index for ``vectors(vec_id, v)``, from the TRAIN vectors of least hash."""
+def fitted(vectors: DataFrame, lists: int | None = None) -> Index:
+    """The index for ``vectors(vid, v)``, which has a row, from the TRAIN vectors of least hash."""
     n = vectors.count()
-    sample = hash_sample(vectors, "vec_id", TRAIN).select("v").toPandas()["v"]
-    if not len(sample):
-        return None
-    x = _unit(np.stack(sample))
+    sample = hash_sample(vectors, "vid", TRAIN).select("v").toPandas()["v"]
+    x = _unit(np.stack(sample).astype(np.float64))
     return Index.fit(x, lists or min(MOST_LISTS, max(1, int(2 * n**0.5))))
 
 
-PLACED = "vec_id long, copies long, v array<double>, lists array<int>, codes binary, error double"
+PLACED = "vid long, copies long, v array<%s>, lists array<int>, codes binary, error double"
 
 
 def _placed(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
@@ -146,11 +139,11 @@ def _placed(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
                 lists = _nearest(x, index.coarse, probes)
                 codes, error = index.encode(x, lists[:, 0])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id"), part.column("copies"), part.column("v"), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                    names=["vec_id", "copies", "v", "lists", "codes", "error"],
+                    [part.column("vid"), part.column("copies"), part.column("v"), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
+                    names=["vid", "copies", "v", "lists", "codes", "error"],
                 )
 
-    return vectors.select("vec_id", "copies", "v").mapInArrow(place, PLACED)
+    return vectors.select("vid", "copies", "v").mapInArrow(place, PLACED % vectors.schema["v"].dataType.elementType.simpleString())
 
 
 def _searched(index: Index, least: float):
@@ -162,21 +155,21 @@ def _searched(index: Index, least: float):
         which = int(rows["list"][0])
         b = {k: v[base] for k, v in rows.items()}
         codes = np.stack([np.frombuffer(c, np.uint8) for c in b["codes"]]) if len(b["codes"]) else np.empty((0, SUBSPACES), np.uint8)
-        bv = np.stack(b["v"]) if len(codes) else np.empty((0, 1))
+        bv = np.stack(b["v"]).astype(np.float64) if len(codes) else np.empty((0, 1))
         q = {k: v[asks] for k, v in rows.items()}
-        if not len(q["vec_id"]) or not len(codes):
+        if not len(q["vid"]) or not len(codes):
             return
         links, edges = {}, []
         bn = np.linalg.norm(bv, axis=1)
         b_probes = np.stack(b["lists"])
         counts = np.zeros(len(codes), np.int64)
-        for start in range(0, len(q["vec_id"]), 32):
+        for start in range(0, len(q["vid"]), 32):
             cut = slice(start, start + 32)
-            qv = np.stack(q["v"][cut])
+            qv = np.stack(q["v"][cut]).astype(np.float64)
             near = np.sqrt(index.distances(_unit(qv), which, codes)) <= reach + b["error"][None]
             home = np.array([x[0] for x in q["lists"][cut]])
-            ids = q["vec_id"][cut]
-            near &= np.where((home == which)[:, None], ids[:, None] < b["vec_id"][None], True)
+            ids = q["vid"][cut]
+            near &= np.where((home == which)[:, None], ids[:, None] < b["vid"][None], True)
             cols = np.nonzero(near.any(0))[0]
             if not len(cols):
                 continue
@@ -189,10 +182,10 @@ def _searched(index: Index, least: float):
                 for i in np.nonzero(near.any(1))[0]:
                     links[ids[i]] = links.get(ids[i], 0) + int(b["copies"][cols][near[i]].sum())
                 i, j = np.nonzero(near)
-                edges.append(np.stack([ids[i], b["vec_id"][cols[j]]]))
+                edges.append(np.stack([ids[i], b["vid"][cols[j]]]))
                 if sum(e.shape[1] for e in edges) > 65_536:
                     edges = [_forest(np.concatenate(edges, 1))]
-        out_id = np.r_[np.fromiter(links, np.int64, len(links)), b["vec_id"][counts > 0]]
+        out_id = np.r_[np.fromiter(links, np.int64, len(links)), b["vid"][counts > 0]]
         out_n = np.r_[np.fromiter(links.values(), np.int64, len(links)), counts[counts > 0]]
         if len(out_id):
             tree = _forest(np.concatenate(edges, 1))
@@ -200,10 +193,10 @@ def _searched(index: Index, least: float):
             u, v, i, n = nothing.copy(), nothing.copy(), nothing.copy(), nothing.copy()
             i[: len(out_id)], n[: len(out_id)] = out_id, out_n
             u[len(out_id) :], v[len(out_id) :] = tree
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (i, n, u, v)], names=["vec_id", "n", "u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (i, n, u, v)], names=["vid", "n", "u", "v"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, key = ("base", "vec_id", "copies", "v", "lists", "codes", "error", "list"), [], None
+        names, held, key = ("base", "vid", "copies", "v", "lists", "codes", "error", "list"), [], None
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("list", "q_part", "b_part"))))
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
@@ -249,37 +242,42 @@ def _links(placed: DataFrame, index: Index, least: float, fair_share: int | None
         fair_share = max(256, PROBES * placed.count() // (8 * parallel))
     parts = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / fair_share).cast("int")
     sizes = F.broadcast(sizes.select("list", parts("q_rows").alias("q_parts"), parts("b_rows").alias("b_parts")))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = asks.join(sizes, "list").withColumn("q_part", own("q_parts")).withColumn("b_part", every("b_parts")).withColumn("base", F.lit(False))
     b = placed.withColumn("list", F.element_at("lists", 1)).join(sizes, "list").withColumn("b_part", own("b_parts")).withColumn("q_part", every("q_parts")).withColumn("base", F.lit(True))
-    columns = ["list", "q_part", "b_part", "base", "vec_id", "copies", "v", "lists", "codes", "error"]
+    columns = ["list", "q_part", "b_part", "base", "vid", "copies", "v", "lists", "codes", "error"]
     keys = columns[:3]
     tiles = q.select(columns).unionByName(b.select(columns)).repartition(*keys).sortWithinPartitions(*keys)
-    return tiles.mapInArrow(_searched(index, least), "vec_id long, n long, u long, v long")
+    return tiles.mapInArrow(_searched(index, least), "vid long, n long, u long, v long")
 
 
 def embedding_classes(embeddings: DataFrame, least: float = LEAST_COSINE, probes: int = PROBES, lists: int | None = None, fair_share: int | None = None) -> DataFrame:
     """One row per row of ``embeddings(vec_id, embedding)``: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, empty, zero, of another width than the commonest, or hold null or non-finite components, and
-    rows with a null vec_id, link with nothing (component_id is their own vec_id, null where that is null). Rows that
-    repeat a vec_id count for n_links as vectors of their own. Other columns are not read.
+    Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null vec_id, link with
+    nothing (component_id is their own vec_id, null where that is null). Vectors of different widths don't link; each
+    width has an index of its own. Rows that repeat a vec_id count as vectors of their own, equal or not. Other columns
+    are not read.
     """
-    rows = embeddings.select("vec_id", "embedding")
-    every = with_vectors(rows, usual_width(rows))
+    every = with_vectors(embeddings.select("vec_id", "embedding"))
     good = every.where("v IS NOT NULL")
     alone = every.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    distinct = saved(good.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "vectors")
-    index = fitted(distinct, lists)
+    equal = good.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    distinct = saved(equal.withColumn("vid", F.monotonically_increasing_id()), "vectors")
     classes = alone
-    if index is not None:
-        placed = saved(_placed(distinct, index, min(probes, len(index.coarse))), "placed")
+    # One row for each width in use.
+    for width in sorted(r.w for r in distinct.select(F.size("v").alias("w")).distinct().collect()):
+        of_width = distinct.where(F.size("v") == width)
+        index = fitted(of_width, lists)
+        placed = saved(_placed(of_width, index, min(probes, len(index.coarse))), "placed")
         found = saved(_links(placed, index, least, fair_share), "links")
-        counts = found.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.sum("n").alias("n"))
-        roots = components(found.where("u IS NOT NULL").select("u", "v"))
-        named = distinct.join(counts, "vec_id", "left").join(roots, F.col("vec_id") == F.col("node"), "left")
-        # Roots are the smallest ids, as every node is the smallest id of its equal vectors.
-        named = named.select(F.col("v").alias("key"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
-        classes = good.join(named, F.col("v") == F.col("key")).select("vec_id", "n_links", "component_id").unionByName(alone)
+        dropped(placed)
+        counts = found.where("vid IS NOT NULL").groupBy("vid").agg(F.sum("n").alias("n"))
+        roots = components(found.where("u IS NOT NULL").select("u", "v")).withColumnRenamed("node", "vid")
+        named = saved(of_width.join(counts, "vid", "left").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid")), "named")
+        least_ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        of_vector = named.join(least_ids, "root").select(F.col("v").alias("key"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+        rows = good.where(F.size("v") == width).join(of_vector, F.col("v") == F.col("key"))
+        classes = classes.unionByName(rows.select("vec_id", "n_links", "component_id"))
     return classes.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
