@@ -5,8 +5,9 @@ similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS, 0.9999 at s =
 confirmed on the whole shingle sets. Equal sets are one unit, named by its hash.
 
 Within a bucket every unit first meets the bucket's least. Then each unit outside the bucket's largest component meets
-every unit of another component, so that any two units of a bucket are compared or already in one component, while a
-large group of copies takes a number of comparisons in proportion to its size.
+every unit of another component, so that any two units of a bucket are compared or already in one component. What meets
+is laid out in tiles: a task holds a bounded part of a bucket's units and streams the units that ask against them; the
+numbers of common shingles are one matrix product. A unit's asks return one link for each component, not its pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from strideframe.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
-#: A unit's set goes to so many keys of a join at most, so that a unit that meets many others is not one task's.
-PARTS = 64
+#: A tile holds about so many units, and about so many bytes of their sets.
+TILE_UNITS, TILE_BYTES = 1_024, 32 << 20
+#: Units asked at a time, and shingles of one matrix product.
+ASKED, COLUMNS = 256, 4_096
 STEP = 2048
 SEED = 42
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -68,11 +71,28 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * common >= 4 * (len(a) + len(b) - common)
+def alike(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Which sets of ``one`` have a similarity of 0.8 or more to which of ``two``."""
+    size = [np.array([len(x) for x in side]) for side in (one, two)]
+    words, column = np.unique(np.concatenate(one), return_inverse=True)
+    other = np.concatenate(two)
+    at = np.minimum(np.searchsorted(words, other), len(words) - 1)
+    hit = words[at] == other
+    rows = np.repeat(np.arange(len(one)), size[0]), np.repeat(np.arange(len(two)), size[1])[hit]
+    used, at = np.unique(at[hit], return_inverse=True)
+    place = np.full(len(words), -1)
+    place[used] = np.arange(len(used))
+    column = place[column]
+    common = np.zeros((len(one), len(two)), np.float32)
+    for start in range(0, len(used), COLUMNS):
+        factors = []
+        for row, c in ((rows[0], column), (rows[1], at)):
+            inside = (c >= start) & (c < start + COLUMNS)
+            factor = np.zeros((common.shape[len(factors)], min(COLUMNS, len(used) - start)), np.float32)
+            factor[row[inside], c[inside] - start] = 1
+            factors.append(factor)
+        common += factors[0] @ factors[1].T
+    return 5 * common >= 4 * (size[0][:, None] + size[1][None] - common)
 
 
 def _sets(docs: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -89,20 +109,45 @@ def _sets(docs: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(per_batch, "key long, shingles binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of units whose sets are alike."""
-
-    def with_set(p: DataFrame, key: str, other: str) -> DataFrame:
-        dealt = p.withColumn("part", F.pmod(F.xxhash64(other), F.lit(PARTS)))
-        copies = dealt.select(key, "part").distinct().join(sets.select(F.col("key").alias(key), F.col("shingles").alias(f"set_{key}")), key)
-        return dealt.join(copies, [key, "part"]).drop("part")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sides = [[np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in ("set_a", "set_b")]
-            yield part.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(*sides)], pa.bool_()))
-
-    return with_set(with_set(pairs, "a", "b"), "b", "a").select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long")
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, part, asks, key, label, shingles) sorted by the first three: links of a tile's asking units."""
+    tile, held, labels, sets = None, [], np.empty(0, np.int64), []
+
+    def links(keys: list[int], own: list[int], asked: list[np.ndarray]) -> pa.RecordBatch:
+        out = []
+        for i, near in enumerate(alike(asked, sets) & (np.array(own)[:, None] != labels[None])):
+            found = np.nonzero(near)[0]
+            out += [(keys[i], held[found[k]]) for k in np.unique(labels[found], return_index=True)[1]]
+        a, b = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for part in slices([batch], ASKED):
+            rows = list(zip(*(part.column(c).to_pylist() for c in ("tile", "part", "asks", "key", "label", "shingles"))))
+            start = 0
+            for end in range(1, len(rows) + 1):
+                if end < len(rows) and rows[end][:3] == rows[start][:3]:
+                    continue
+                at, asks = rows[start][:2], rows[start][2]
+                if at != tile:
+                    tile, held, labels, sets = at, [], np.empty(0, np.int64), []
+                keys, own = [r[3] for r in rows[start:end]], [r[4] for r in rows[start:end]]
+                some = [np.frombuffer(r[5], np.uint64) for r in rows[start:end]]
+                if not asks:
+                    held, labels, sets = held + keys, np.r_[labels, np.array(own, np.int64)], sets + some
+                elif held:
+                    yield links(keys, own, some)
+                start = end
+
+
+def _linked(asking: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between units ``asking(tile, key, label)`` and like units ``members`` of the tile, where labels differ."""
+    sized = members.join(sets.select("key", F.length("shingles").alias("n_bytes")), "key")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_UNITS), F.ceil(F.sum("n_bytes") / TILE_BYTES)).cast("int")
+    parts = sized.groupBy("tile").agg(parts.alias("parts"))
+    base = members.join(parts, "tile").select("tile", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "key", "label")
+    asks = asking.join(parts, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "key", "label")
+    return base.unionByName(asks).join(sets, "key").repartition("tile", "part").sortWithinPartitions("tile", "part", "asks").mapInArrow(_met, "a long, b long")
 
 
 def classes(prints: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
@@ -122,16 +167,24 @@ def classes(prints: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
         left, right = print_of.toDF("a", "u"), print_of.toDF("b", "v")
         return found.join(left, "a").join(right, "b").select("u", "v")
 
-    first = shared.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
-    now = saved(components(links.union(same).union(edges(_confirmed(first, sets)))), "classes")
+    starred = shared.where("key <> least").select(F.col("least").alias("tile"), "key", F.col("key").alias("label")).distinct()
+    # A tile for every so many askers of one least unit, so that a hot one is many tasks'.
+    n_askers = starred.groupBy("tile").count()
+    dealt = starred.join(n_askers, "tile").withColumn("deal", F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / TILE_UNITS)))
+    dealt = dealt.select(F.struct(F.col("tile").alias("of"), "deal").alias("tile"), "key", "label")
+    leasts = dealt.select("tile").distinct().select("tile", F.col("tile.of").alias("key"), F.col("tile.of").alias("label"))
+    now = saved(components(links.union(same).union(edges(_linked(dealt, leasts, sets)))), "classes")
 
     labelled = shared.join(print_of, "key").join(now.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "key", F.coalesce("root", "fp").alias("label"))
     sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    open_ = saved(labelled.join(split, "bucket"), "split-buckets")
-    minor = open_.where("label <> major").select("bucket", F.col("key").alias("one"), F.col("label").alias("one_label"))
-    meets = minor.join(open_, "bucket").where("label <> one_label").select(F.greatest("one", "key").alias("a"), F.least("one", "key").alias("b")).distinct()
-    late = saved(_confirmed(meets.join(first, ["a", "b"], "left_anti"), sets), "late-links")
+    open_ = labelled.join(split, "bucket")
+    # Buckets of the same units are one.
+    hashed = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.xxhash64("key").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"))
+    once = hashed.groupBy("n", "low", "high", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
+    open_ = saved(open_.join(once, "bucket", "left_semi"), "split-buckets")
+    units_of = lambda rows: rows.select(F.struct(F.col("bucket").alias("of"), F.lit(0).cast("long").alias("deal")).alias("tile"), "key", "label")
+    late = saved(_linked(units_of(open_.where("label <> major")), units_of(open_), sets), "late-links")
     if late.isEmpty():
         return now
     return components(now.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges(late)))
