@@ -104,28 +104,43 @@ def forest(left: np.ndarray, right: np.ndarray | None = None) -> tuple[np.ndarra
     return every[child], every[root[child]]
 
 
-def _small_groups(key: np.ndarray, fp: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal keys, by comparing each row with the next, the next but one, and so on."""
-    found = [(np.empty(0, np.uint64),) * 2]
-    for step in range(1, longest):
-        same = key[step:] == key[:-step]
-        if not same.any():
+def _one_tile_each(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links inside many groups of at most a tile each, all compared at once.
+
+    Rows stand by group and population count. The k-th step compares each row with the k-th after it; a row leaves when
+    that one is of another group or its population count lies beyond the radius.
+    """
+    bits = np.bitwise_count(fp).astype(np.int16)
+    order = np.lexsort((bits, group))
+    group, fp, bits = group[order], fp[order], bits[order]
+    rows, found = np.arange(len(fp)), []
+    for step in range(1, len(fp)):
+        rows = rows[rows + step < len(fp)]
+        after = rows + step
+        rows = rows[(group[after] == group[rows]) & (bits[after] - bits[rows] <= RADIUS)]
+        if not len(rows):
             break
-        near = same & (np.bitwise_count(fp[step:] ^ fp[:-step]) <= RADIUS)
-        found.append((fp[step:][near], fp[:-step][near]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+        near = rows[np.bitwise_count(fp[rows + step] ^ fp[rows]) <= RADIUS]
+        found.append((near, near + step))
+    if sum(len(a) for a, _ in found) > len(fp):
+        root = _roots(len(fp), found)
+        child = np.nonzero(root != np.arange(len(fp)))[0]
+        found = [(child, root[child])]
+    ends = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 2
+    return fp[ends[0]], fp[ends[1]]
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, part_a, part_b, own, fp) sorted by the first three: links of each tile pair."""
+    """Rows (tile, part_a, part_b, own, fp) sorted by the first three: links of each group of fingerprints."""
 
     def links(tile, a, b, own, fp):
         key = np.cumsum(np.r_[0, (tile[1:] != tile[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         starts = np.r_[np.nonzero(np.r_[True, key[1:] != key[:-1]])[0], len(key)]
         size = np.diff(starts)
-        small = np.repeat((size <= 24) & (a[starts[:-1]] == b[starts[:-1]]), size)
-        out = [_small_groups(key[small], fp[small], 24)] if small.any() else []
-        for k in np.nonzero(~small[starts[:-1]])[0]:
+        single = (size <= TILE) & (a[starts[:-1]] == b[starts[:-1]])
+        rows = np.repeat(single, size)
+        out = [_one_tile_each(key[rows], fp[rows])] if rows.any() else []
+        for k in np.nonzero(~single)[0]:
             rows = slice(starts[k], starts[k + 1])
             if a[starts[k]] == b[starts[k]]:
                 out.append(forest(fp[rows]))
@@ -138,18 +153,20 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[tuple] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         tile, a, b, own, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "part_a", "part_b", "own", "fp"))
-        if not len(tile):
+        now, last = (tile[-1], a[-1], b[-1]), (tile == tile[-1]) & (a == a[-1]) & (b == b[-1])
+        rows = (tile, a, b, own, fp.view(np.uint64))
+        if last.all() and held and all(x[0] == y for x, y in zip(held[0], now)):
+            held.append(rows)  # a group of several batches
             continue
-        held.append((tile, a, b, own, fp.view(np.uint64)))
-        whole = [np.concatenate(x) for x in zip(*held)]
-        last = (whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1]) & (whole[2] == whole[2][-1])
-        done = ~last
-        if done.any():
-            yield from links(*(x[done] for x in whole))
-        held = [tuple(x[last] for x in whole)]
+        done = [np.concatenate(x) for x in zip(*held, tuple(x[~last] for x in rows))]
+        if len(done[0]):
+            yield from links(*done)
+        held = [tuple(x[last] for x in rows)]
     if held:
-        yield from links(*held[0])
+        yield from links(*(np.concatenate(x) for x in zip(*held)))
 
 
 def linked(distinct: DataFrame, fair_share: int | None = None) -> DataFrame:
