@@ -1,18 +1,19 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from the model file and composed with each input:
-
-* the normaliser maps a text to the piece alphabet: one dummy prefix, and the visible space for each blank (the model
-  at hand has the identity charsmap and keeps all white space);
-* the piece machine has a state for each piece. An arc that reads a piece leads to that piece's state. Its tropical
-  weight is 1, or infinity where the model's merges would join or cut across the border between the state's piece and
-  the new one: then the two never stand side by side in an encoding;
-* byte fallback reads one character that is in no piece, writes its UTF-8 bytes, and leads to the start state.
-
-The tropical shortest path through the composition is the encoding. Under the border weights at most one path of
-finite weight reaches each position, so the relaxation keeps one state for each. Blanks never follow another
-character inside a piece, so the composition splits before each run of blanks, and the paths of such stretches are
-found once and kept in a bounded cache.
+Three machines are compiled from the model file and composed with each input. Weights add along a path, and of the
+paths to one place the least counts (the tropical semiring):
+
+* the normaliser reads the longest stretch that its charsmap rewrites, or one character as it is, at weight 0; it can
+  drop superfluous blanks, and writes one dummy prefix and the visible space for each blank;
+* the piece machine has a state for each piece. An arc that reads a piece leads to that piece's state at weight 1 plus
+  the weight of the border between the two pieces: 0, or infinity where the model's merges would join or cut across it;
+* byte fallback reads one character that is in no piece, writes its UTF-8 bytes at weight 1 each, and leads to the start
+  state.
+
+The arcs of the piece machine share their beginnings in a trie. The shortest path through the composition is the
+encoding: under the border weights at most one path of finite weight reaches each position, so the relaxation keeps
+one state for each. Blanks never follow another character inside a piece, so the composition splits before each run
+of blanks, and the paths of such stretches are found once and kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from strideframe.llm.common import as_text, slices
 
 SPACE = "▁"
 START = -1
+INFINITE = float("inf")
 #: Stretches kept in each of the two generations of a worker's cache.
 CACHE = 400_000
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -68,15 +70,53 @@ def normaliser_of(model: bytes) -> dict[str, object]:
     return spec
 
 
+def charsmap_rules(blob: bytes) -> dict[str, str]:
+    """What the charsmap rewrites to what: the keys of its double-array trie, with the strings that their leaves point to."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    trie, strings = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    offset = (trie >> 10) << ((trie & 512) >> 6)
+    label = trie & (1 << 31 | 255)
+    letters = np.arange(1, 256)
+    found, open_ = {}, [(0, b"")]
+    while open_:
+        node, key = open_.pop()
+        if trie[node] >> 8 & 1 and key:
+            at = int(trie[node ^ offset[node]] & (1 << 31) - 1)
+            found[key.decode()] = strings[at : strings.index(b"\0", at)].decode()
+        below = node ^ offset[node] ^ letters
+        below = below[below < len(trie)]
+        open_ += [(int(x), key + bytes([label[x]])) for x in below[label[below] == (node ^ offset[node] ^ below)]]
+    return found
+
+
+class Normaliser:
+    """Text to piece alphabet."""
+
+    def __init__(self, spec: dict[str, object]):
+        if not spec["escape"]:
+            raise ValueError("a normaliser that leaves blanks as they are")
+        self.prefix = SPACE if spec["dummy_prefix"] else ""
+        self.squeeze = bool(spec["remove_extra"])
+        self.rules = charsmap_rules(spec["charsmap"])
+        longest_first = sorted(self.rules, key=len, reverse=True)
+        self.arcs = re.compile("|".join(map(re.escape, longest_first))) if self.rules else None
+
+    def __call__(self, text: str) -> str:
+        if self.arcs:
+            text = self.arcs.sub(lambda m: self.rules[m[0]], text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        return self.prefix + text.replace(" ", SPACE) if text else ""
+
+
 class PieceMachine:
     """The compiled transducer of one model file."""
 
     def __init__(self, model_file: str):
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        spec = normaliser_of(model.serialized_model_proto())
-        if spec["charsmap"] or spec["remove_extra"] or not spec["escape"]:
-            raise ValueError(f"this normaliser isn't the identity with white space kept: {spec['name']!r}")
-        self.prefix = SPACE if spec["dummy_prefix"] else ""
+        self.normalise = Normaliser(normaliser_of(model.serialized_model_proto()))
         n = model.get_piece_size()
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(n)]
         self.text = [model.id_to_piece(i) for i in range(n)]
@@ -90,14 +130,16 @@ class PieceMachine:
         ordered = sorted(self.ids.values(), key=lambda i: (-model.get_score(i), -len(self.text[i]), i))
         self.rank = {i: r for r, i in enumerate(ordered)}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.arcs = {}
+        #: Arcs that read pieces: character -> (the piece read so far or START, the arcs that go on from there).
+        self.arcs: dict[str, list] = {}
         for i in ordered:
-            path = self._merged(self.text[i])
-            if len(path) == 1:
-                self.arcs[self.text[i]] = i
-        # What the piece machine can read from a state on: whole pieces, and with START the beginnings of pieces.
-        self.reads = {piece[:k]: START for piece in self.arcs for k in range(1, len(piece))} | self.arcs
-        self.borders: dict[tuple[int, int], bool] = {}
+            piece = self.text[i]
+            if len(self._merged(piece)) == 1:
+                node = self.arcs
+                for c in piece[:-1]:
+                    node = node.setdefault(c, [START, {}])[1]
+                node.setdefault(piece[-1], [START, {}])[0] = i
+        self.borders: dict[int, float] = {}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
@@ -118,53 +160,60 @@ class PieceMachine:
             path[where : where + 2] = [best]
         return path
 
-    def border(self, left: int, right: int) -> bool:
-        """Whether the weight between two pieces is finite: undoing the merges of both from the last back to the
-        first, no earlier merge joins what then stands at the border."""
-        known = self.borders.get((left, right))
-        if known is not None:
-            return known
+    def border(self, left: int, right: int) -> float:
+        """The weight between two pieces, infinite unless, undoing the merges of both from the last back to the first, no
+        earlier merge joins what then stands at the border."""
         a, b = left, right
         limit = len(self.rank)  # merges ranked before this one came first
-        while True:
+        weight = None
+        while weight is None:
             joined = self.ids.get(self.text[a] + self.text[b])
-            if joined is not None and self.rank[joined] < limit:
-                fits = False
-                break
             # Of two merges of one rank the left one comes first, so the right one is undone first.
             late_a = self.rank[a] if a in self.halves else -1
             late_b = self.rank[b] if b in self.halves else -1
-            if late_a < 0 and late_b < 0:
-                fits = True
-                break
-            if late_a > late_b:
+            if joined is not None and self.rank[joined] < limit:
+                weight = INFINITE
+            elif late_a < 0 and late_b < 0:
+                weight = 0.0
+            elif late_a > late_b:
                 limit, a = late_a, self.halves[a][1]
             else:
                 limit, b = late_b + 1, self.halves[b][0]
         if len(self.borders) >= 2 * CACHE:
             self.borders.clear()
-        self.borders[left, right] = fits
-        return fits
+        self.borders[left << 32 | right] = weight
+        return weight
 
     def shortest_path(self, stretch: str) -> tuple[int, ...]:
         """Output of the path of least weight through the composition with one stretch."""
         n = len(stretch)
-        state: list[int | None] = [None] * (n + 1)  # the piece that the path to a position ends in
+        weight = [0.0] + [INFINITE] * n  # of the least path to a position
+        state = [START] * (n + 1)  # the piece that path ends in
         back = [0] * (n + 1)
-        state[0] = START
-        arc = self.reads.get
+        arcs, border, ids = self.arcs, self.borders.get, self.ids
         for start in range(n):
-            before = state[start]
-            if before is None:
+            so_far = weight[start]
+            if so_far == INFINITE:
                 continue
-            if stretch[start] not in self.ids and state[start + 1] is None:
-                state[start + 1], back[start + 1] = START, start
-            for end in range(start + 1, n + 1):
-                piece = arc(stretch[start:end])
-                if piece is None:
+            before, step, node = state[start], so_far + 1, arcs
+            for end in range(start, n):
+                arc = node.get(stretch[end])
+                if arc is None:
                     break
-                if piece >= 0 and state[end] is None and (before == START or self.border(before, piece)):
-                    state[end], back[end] = piece, start
+                piece, node = arc
+                if piece < 0 or step >= weight[end + 1]:
+                    continue
+                if before >= 0:
+                    between = border(before << 32 | piece)
+                    if between is None:
+                        between = self.border(before, piece)
+                    if step + between >= weight[end + 1]:
+                        continue
+                weight[end + 1], state[end + 1], back[end + 1] = step, piece, start
+            if stretch[start] not in ids:
+                step = so_far + len(stretch[start].encode("utf-8", "replace"))
+                if step < weight[start + 1]:
+                    weight[start + 1], state[start + 1], back[start + 1] = step, START, start
         out: list[int] = []
         end = n
         while end:
@@ -177,9 +226,7 @@ class PieceMachine:
         return tuple(reversed(out))
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        stretches = _STRETCH.findall(self.prefix + text.replace(" ", SPACE))
+        stretches = _STRETCH.findall(self.normalise(text))
         paths = list(map(self.young.get, stretches))
         if None in paths:
             paths = [self._path(s) if p is None else p for s, p in zip(stretches, paths)]
@@ -205,8 +252,9 @@ class PieceMachine:
             elif i not in self.silent:
                 parts.append(self.text[i].encode())
         text = b"".join(parts).decode("utf-8", "replace")
-        if self.prefix and text.startswith(self.prefix):
-            text = text[len(self.prefix) :]
+        prefix = self.normalise.prefix
+        if prefix and text.startswith(prefix):
+            text = text[len(prefix) :]
         return text.replace(SPACE, " ")
 
 
@@ -230,7 +278,7 @@ def piece_report(docs: DataFrame, model_file: str | None = None, with_pieces: bo
     decoding gives the text back, and the decoded text's length; ``pieces array<int>`` on request.
 
     Null and empty texts have no pieces and decode to the empty text. A text that holds U+2581 itself decodes with a
-    blank in its place, which counts as given back. A null doc_id stays null; repeated rows get a row each.
+    blank in its place and is not given back. A null doc_id stays null; repeated rows get a row each.
     """
     model_file = model_file or default_model()
 
@@ -244,7 +292,7 @@ def piece_report(docs: DataFrame, model_file: str | None = None, with_pieces: bo
                 decoded = machine.decode(ids)
                 n.append(len(ids))
                 crc.append(zlib.crc32(packed.tobytes()))
-                same.append(decoded == text.replace(SPACE, " "))
+                same.append(decoded == text)
                 chars.append(len(decoded))
                 pieces.append(packed.astype(np.int32))
             out = [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(chars, pa.int64())]
