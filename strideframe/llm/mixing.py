@@ -20,32 +20,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import as_bytes, saved, slices
+from strideframe.llm.common import as_bytes, row_of, saved, slices
 
 BLOCK_DOCS = 256
-MOST_BLOCKS = 1024
-#: Tables of at most so many rows of a few numbers are sent to every task; larger ones are joined by a shuffle.
-SENT_ROWS = 200_000
-#: The per-source recipe (a few numbers for each source) is solved on the driver; more sources than this are refused.
-MOST_SOURCES = 1_000_000
+#: Up to so many blocks a source's blocks hold BLOCK_DOCS documents each; beyond, their number and their size grow alike.
+FEW_BLOCKS = 1024
 SEED = 17
+#: Tables of sources or blocks up to this size are sent to every task.
+SENT_BYTES = 32 << 20
+SALTS = 64
+
+
+def n_blocks(docs: int) -> int:
+    """Blocks of a source of so many documents."""
+    least = max(1, -(-docs // BLOCK_DOCS))
+    return least if least <= FEW_BLOCKS else int(math.sqrt(least * FEW_BLOCKS))
 
 
 @dataclass(frozen=True)
 class Share:
+    """A source, or ``n`` sources of as many tokens and documents each."""
+
     source: str | None
     tokens: int
     docs: int
+    n: int = 1
 
 
 def weights_at(shares: list[Share], exponent: float) -> list[float]:
-    total = sum(s.tokens for s in shares) or 1
+    """The weight of each source; of one of the sources where a share stands for several."""
+    total = sum(s.tokens * s.n for s in shares) or 1
     raw = [(s.tokens / total) ** exponent if s.tokens else 0.0 for s in shares]
-    return [x / (sum(raw) or 1.0) for x in raw]
+    every = sum(x * s.n for x, s in zip(raw, shares)) or 1.0
+    return [x / every for x in raw]
 
 
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
+def entropy(weights: list[float], counts: list[int] | None = None) -> float:
+    return -sum(w * math.log(w) * n for w, n in zip(weights, counts or [1] * len(weights)) if w > 0)
 
 
 def repetitions(shares: list[Share], weights: list[float], budget: float | None) -> list[float]:
@@ -77,8 +88,9 @@ def solve_exponent(shares: list[Share], budget: float | None, entropy_share: flo
         return 1.0
     aim = 1.0
     if entropy_share is not None:
-        target = entropy_share * math.log(len(live)) - 1e-12
-        aim = _bisect(lambda a: entropy(weights_at(live, a)) >= target)
+        counts = [s.n for s in live]
+        target = entropy_share * math.log(sum(counts)) - 1e-12
+        aim = _bisect(lambda a: entropy(weights_at(live, a), counts) >= target)
     if max_repeats is not None:
         within = lambda a: max(repetitions(live, weights_at(live, a), budget)) <= max_repeats + 1e-12
         if not within(aim):
@@ -99,12 +111,11 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
-    """A solved mixture: ``blocks`` has a row for each block of each source."""
+    """A solved mixture: ``recipe`` has a row for each source, ``blocks`` one for each block of each source."""
 
-    shares: list[Share]
-    weights: list[float]
     exponent: float
-    blocks: DataFrame  # source, block, weight, passes, edge (null: not the edge block), takes
+    recipe: DataFrame  # src, tokens, docs, n_blocks, weight, whole, rest
+    blocks: DataFrame  # src, block, weight, whole, takes, edge (null: not the edge block)
 
 
 def _draw(doc_id="doc_id"):
@@ -115,47 +126,65 @@ def _edge_draw(doc_id="doc_id"):
     return F.xxhash64(F.lit(SEED + 1), F.col(doc_id))
 
 
+def _met(rows: DataFrame, table: DataFrame, source: str, keys: dict[str, str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table by source (null meets null) and the columns ``keys`` names (rows' -> table's).
+
+    A table of at most SENT_BYTES is sent to every task. A larger one meets the rows in a shuffle in which a source is
+    spread over SALTS keys, so that a hot one is many tasks'.
+    """
+    on = F.col(source).eqNullSafe(F.col("src"))
+    for mine, theirs in keys.items():
+        on = on & (F.col(mine) == F.col(theirs))
+    size = table.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("src"), F.lit(0)))).first()
+    if 64 * size[0] + (size[1] or 0) <= SENT_BYTES:
+        return rows.join(F.broadcast(table), on, how)
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 2)), F.lit(SALTS)))
+    copies = table.withColumn("their_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, on & (F.col("salt_") == F.col("their_salt_")), how).drop("salt_", "their_salt_")
+
+
 def solve(items: DataFrame, budget_tokens: int | None, entropy_share: float | None, max_repeats: float | None) -> Mix:
-    """The mixture of ``items(doc_id, source, n_tokens)``. Without a budget every source is passed over at least once."""
-    spark = items.sparkSession
-    totals = items.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    shares = sorted((Share(r.source, r.tokens, r.docs) for r in totals), key=lambda s: (s.source is None, s.source or ""))
+    """The mixture of ``items(doc_id, source, n_tokens)``. Without a budget every source is passed over at least once.
+
+    The driver sees one row for each number of tokens that a source has, at most the square root of twice the corpus's
+    tokens and no more than there are sources.
+    """
+    totals = saved(items.groupBy(F.col("source").alias("src")).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
+    shares = [Share(None, r.tokens, 0, r.n) for r in totals.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("tokens").collect()]
     exponent = solve_exponent(shares, budget_tokens, entropy_share, max_repeats)
-    weights = weights_at(shares, exponent)
-    rows = []
-    for share, weight, passes in zip(shares, weights, repetitions(shares, weights, budget_tokens)):
-        passes = passes if share.tokens else 1.0
-        whole = math.floor(passes + 1e-9)
-        rest = max(0, math.floor((passes - whole) * share.tokens + 1e-6))
-        rows.append((share.source, weight, whole, rest, min(MOST_BLOCKS, max(1, -(-share.docs // BLOCK_DOCS)))))
-    recipe = spark.createDataFrame(rows, "src string, weight double, whole long, rest long, n_blocks long")
-    # At most MOST_SOURCES rows; a shuffle by source would put a hot source into one task.
-    placed = items.join(F.broadcast(recipe), F.col("source").eqNullSafe(F.col("src"))).withColumn("block", F.pmod(_draw(), F.col("n_blocks")))
+    total = sum(s.tokens * s.n for s in shares) or 1
+    norm = sum((s.tokens / total) ** exponent * s.n for s in shares if s.tokens) or 1.0
+    if budget_tokens is None:
+        rates = [w / s.tokens for s, w in zip(shares, weights_at(shares, exponent)) if s.tokens]
+        budget_tokens = 1 / min((r for r in rates if r), default=1.0)
+    live = F.col("tokens") > 0
+    least = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long")
+    blocks = F.when(least <= FEW_BLOCKS, least).otherwise(F.floor(F.sqrt(least * FEW_BLOCKS))).cast("long")
+    recipe = totals.withColumn("n_blocks", blocks).withColumn("weight", F.when(live, F.pow(F.col("tokens") / F.lit(float(total)), F.lit(float(exponent))) / F.lit(float(norm))).otherwise(0.0))
+    recipe = recipe.withColumn("passes", F.when(live, F.try_divide(F.col("weight"), F.col("tokens")) * F.lit(float(budget_tokens))).otherwise(1.0))
+    recipe = recipe.withColumn("whole", F.floor(F.col("passes") + 1e-9)).withColumn("rest", F.greatest(F.lit(0), F.floor((F.col("passes") - F.col("whole")) * F.col("tokens") + 1e-6)))
+    recipe = saved(recipe.drop("passes"), "recipe")
+    placed = _met(items, recipe.drop("tokens", "docs"), "source", {}).withColumn("block", F.pmod(_draw(), F.col("n_blocks")))
     sums = placed.groupBy("src", "block", "weight", "whole", "rest").agg(F.sum("n_tokens").alias("tokens"))
-    # At most MOST_BLOCKS rows for a source.
+    # A row for each block of a source.
     order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(SEED), "src", "block", "whole"), "block")
     sums = sums.withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     sums = saved(sums.withColumn("takes", F.col("upto") <= F.col("rest")).withColumn("room", F.when((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") < F.col("rest")), F.col("rest") - F.col("upto") + F.col("tokens"))), "blocks")
-    edges = sums.where("room IS NOT NULL").select(F.col("src").alias("e_src"), F.col("block").alias("e_block"), "room")
-    inside = placed.join(edges, F.col("src").eqNullSafe(F.col("e_src")) & (F.col("block") == F.col("e_block")))
-    inside = inside.withColumn("draw", _edge_draw())
-    # One block of each source: a 1,024th of it at most, or 256 documents.
-    along = Window.partitionBy("e_src").orderBy("draw")
+    edges = sums.where("room IS NOT NULL").select("src", F.col("block").alias("e_block"), "room")
+    inside = _met(placed.select("doc_id", "source", "n_tokens", "block"), edges, "source", {"block": "e_block"}).withColumn("draw", _edge_draw())
+    # One block of each source.
+    along = Window.partitionBy("src").orderBy("draw")
     inside = inside.withColumn("filled", F.sum("n_tokens").over(along))
-    edge = inside.where("filled <= room").groupBy("e_src", "e_block").agg(F.max("draw").alias("edge"))
+    edge = inside.where("filled <= room").groupBy(F.col("src").alias("e_src"), "e_block").agg(F.max("draw").alias("edge"))
     blocks = sums.join(edge, F.col("src").eqNullSafe(F.col("e_src")) & (F.col("block") == F.col("e_block")), "left")
-    return Mix(shares, weights, exponent, blocks.select("src", "block", "weight", "whole", "takes", "edge"))
+    return Mix(exponent, recipe, saved(blocks.select("src", "block", "weight", "whole", "takes", "edge"), "mixture"))
 
 
 def _located(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` with its block's row and ``copies``, the number of times that a document is taken."""
-    spark = docs.sparkSession
-    n_blocks = spark.createDataFrame([(s.source, min(MOST_BLOCKS, max(1, -(-s.docs // BLOCK_DOCS)))) for s in mix.shares], "n_src string, n_blocks long")
-    placed = docs.join(F.broadcast(n_blocks), F.col("source").cast("string").eqNullSafe(F.col("n_src"))).withColumn("mix_block", F.pmod(_draw(), F.col("n_blocks")))
-    few = sum(min(MOST_BLOCKS, max(1, -(-s.docs // BLOCK_DOCS))) for s in mix.shares) <= SENT_ROWS
-    found = placed.join(F.broadcast(mix.blocks) if few else mix.blocks, F.col("n_src").eqNullSafe(F.col("src")) & (F.col("mix_block") == F.col("block")))
+    """``docs(doc_id, source, ...)`` with its block's row and ``copies``, the number of times that a document is taken."""
+    rows = docs.withColumn("n_src", F.col("source").cast("string"))
+    placed = _met(rows, mix.recipe.select("src", "n_blocks"), "n_src", {}).withColumn("mix_block", F.pmod(_draw(), F.col("n_blocks"))).drop("src", "n_blocks")
+    found = _met(placed, mix.blocks, "n_src", {"mix_block": "block"})
     partly = F.coalesce(F.col("takes") | (_edge_draw() <= F.col("edge")), F.lit(False))
     return found.withColumn("copies", F.col("whole") + partly.cast("long"))
 
@@ -176,7 +205,7 @@ def mixture(docs: DataFrame, budget_tokens: int | None = None, entropy_share: fl
     ranks = passes.select(F.col("src").alias("r_src"), F.col("block").alias("r_block"), F.col("epoch").alias("r_epoch"), F.row_number().over(order).alias("block_rank"))
     copies = taken.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     # Rows that only the last, partial pass takes carry the number of that pass.
-    ranked = copies.join(ranks, F.col("src").eqNullSafe(F.col("r_src")) & (F.col("mix_block") == F.col("r_block")) & (F.col("epoch") == F.col("r_epoch")))
+    ranked = _met(copies.drop("src"), ranks.withColumnRenamed("r_src", "src"), "n_src", {"mix_block": "r_block", "epoch": "r_epoch"})
     return ranked.select("doc_id", "source", "n_tokens", "weight", F.col("epoch").cast("long").alias("epoch"), F.col("mix_block").alias("block"), "block_rank")
 
 
@@ -188,6 +217,6 @@ def mixed_documents(docs: DataFrame, entropy_share: float | None = None, max_rep
     """
     items = saved(token_counts(docs), "tokens")
     mix = solve(items, None, 1.0 if entropy_share is None else entropy_share, max_repeats)
-    inner = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
+    inner = docs.select(row_of(docs).alias("row"), "doc_id", "source")
     taken = _located(inner, mix)
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")).select("row.*")
