@@ -2,13 +2,13 @@
 
 Words are drawn in two steps: latent states emit word classes, and a class emits a word by its add-one count within
 the class. The FREQUENT commonest training words are classes of their own, other words share a class by their ending,
-and the end of a text is a class. Baum-Welch counts come from all training texts, summed across partitions, with
-sequences cut every SEGMENT tokens for training alone; a text is scored whole, by the scaled forward recursion, so its
-score is the exact log10 probability of all its tokens and its end.
+and the end of a text is a class. Baum-Welch counts come from all training texts, each taken whole, summed across
+partitions round by round until the likelihood hardly grows. A text is scored whole too, by the scaled forward
+recursion, so its score is the exact log10 probability of all its tokens and its end.
 
-Counts of all training words are a Spark table. The at most KNOWN commonest words go to every task; the other words of
-a document meet their counts in a join. A word that training never saw adds log10(0 + 1) = 0 to the sum of
-log10(c + 1) that both scores need, so an inner join suffices.
+Counts of all training words are a Spark table. The at most KNOWN commonest words of at most LONGEST bytes go to every
+task; the other words of a document meet their counts in a join. A word that training never saw adds log10(0 + 1) = 0
+to the sum of log10(c + 1) that both scores need, so an inner join suffices.
 """
 
 from __future__ import annotations
@@ -26,14 +26,18 @@ from pyspark.sql import functions as F
 from strideframe.llm.common import as_bytes, crc_mod, saved, slices
 
 STATES = 8
-FREQUENT = 1_000
-ENDINGS = 512
+FREQUENT = 4_000
+ENDINGS = 1_024
 END = FREQUENT + ENDINGS
 CLASSES = END + 1
 #: At most so many words are sent to every task.
 KNOWN = 200_000
-SEGMENT = 128
-ROUNDS = 4
+LONGEST = 64
+#: Training stops once a round raises the mean log10 likelihood of a token by less, or after ROUNDS.
+LEAST_GAIN = 0.002
+ROUNDS = 6
+#: Tokens of the texts that are worked side by side.
+TOKENS_AT_ONCE = 1 << 20
 HELD_OUT = (7, 2)
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _LOWER_CASE = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -81,7 +85,8 @@ class Lexicon:
 
 
 def commonest(counts: DataFrame, most: int) -> tuple[int, list[bytes], np.ndarray]:
-    """The least count t that at most ``most`` words reach, the words that reach it in order, and their counts."""
+    """The least count t that at most ``most`` words of at most LONGEST bytes reach, those words in order, and their counts."""
+    counts = counts.where(F.length("word") <= LONGEST)
     by_count = counts.groupBy("c").count().orderBy(F.desc("c"))
     least, n = 1 << 62, 0
     for row in by_count.toLocalIterator():
@@ -164,86 +169,98 @@ class Model:
         return cls(share(first, 0.1), share(step, 0.1), share(emit, 0.01))
 
 
-def expected_counts(model: Model, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of sequences in the columns of ``obs`` (time x sequences); CLASSES fills the columns' ends."""
-    t_max, width = obs.shape
+def _side_by_side(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences laid out by time: their order (longest first), how many are alive at each time, and all their tokens, those
+    of time 0 first, in that order."""
+    order = np.array(sorted(range(len(sequences)), key=lambda i: -len(sequences[i])))
+    size = np.array([len(sequences[i]) for i in order])
+    alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+    flat = np.concatenate([sequences[i] for i in order]).astype(np.int64)
+    time = np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+    return order, alive, flat[np.argsort(time, kind="stable")]
+
+
+def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of whole sequences (first states, steps, emissions) and their log10 likelihood."""
+    _, alive, tokens_ = _side_by_side(sequences)
+    at = np.r_[0, np.cumsum(alive)]
     k = len(model.first)
-    table = np.vstack([model.emit.T, np.ones(k)])
-    likely = table[obs]
-    alpha, scale = np.empty((t_max, width, k)), np.empty((t_max, width))
-    for t in range(t_max):
-        now = (model.first if t == 0 else alpha[t - 1] @ model.step) * likely[t]
-        scale[t] = now.sum(1)
-        alpha[t] = now / scale[t][:, None]
-    ahead = likely / scale[..., None]
-    beta = np.ones((width, k))
-    gamma = alpha
-    step = np.zeros((k, k))
-    real = obs < CLASSES
-    for t in range(t_max - 1, 0, -1):
-        arrives = ahead[t] * beta
-        step += alpha[t - 1].T @ (arrives * real[t][:, None])
-        gamma[t] *= beta
-        beta = arrives @ model.step.T
-    gamma[0] *= beta
-    flat = obs.ravel()
-    emit = np.stack([np.bincount(flat, gamma[..., s].ravel(), CLASSES + 1)[:CLASSES] for s in range(k)])
-    return gamma[0].sum(0), step * model.step, emit
-
-
-def _segments(sequences: list[np.ndarray]) -> np.ndarray:
-    """Sequences cut every SEGMENT tokens, as columns filled up with CLASSES."""
-    cut = [s[i : i + SEGMENT] for s in sequences for i in range(0, len(s), SEGMENT)]
-    out = np.full((len(cut), SEGMENT), CLASSES, np.int64)
-    for row, s in zip(out, cut):
-        row[: len(s)] = s
-    return out.T
-
-
-def baum_welch(table: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> Model:
+    table = np.ascontiguousarray(model.emit.T)
+    alpha, scale = np.empty((len(tokens_), k)), np.empty(len(tokens_))
+    for t, w in enumerate(alive):
+        rows = slice(at[t], at[t] + w)
+        now = (model.first if t == 0 else alpha[at[t - 1] : at[t - 1] + w] @ model.step) * table[tokens_[rows]]
+        scale[rows] = now.sum(1)
+        alpha[rows] = now / scale[rows][:, None]
+    step, beta = np.zeros((k, k)), np.ones((alive[-1], k))
+    for t in range(len(alive) - 1, 0, -1):
+        w = alive[t]
+        rows = slice(at[t], at[t] + w)
+        arrives = table[tokens_[rows]] * beta / scale[rows][:, None]
+        step += alpha[at[t - 1] : at[t - 1] + w].T @ arrives
+        alpha[rows] *= beta
+        beta = np.ones((alive[t - 1], k))
+        beta[:w] = arrives @ model.step.T
+    alpha[: alive[0]] *= beta
+    emit = np.stack([np.bincount(tokens_, alpha[:, s], CLASSES) for s in range(k)])
+    return alpha[: alive[0]].sum(0), step * model.step, emit, float(np.log10(scale).sum())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Class sequences in lists of about TOKENS_AT_ONCE tokens."""
+    held, n = [], 0
+    for part in slices(batches):
+        for x in part.column(0).to_pylist():
+            held.append(np.frombuffer(x, "<u2"))
+            n += len(held[-1])
+            if n >= TOKENS_AT_ONCE:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def baum_welch(table: DataFrame, rounds: int = ROUNDS, states: int = STATES, least_gain: float = LEAST_GAIN) -> Model:
     """Train on the class sequences of ``table(classes)``; each round is one pass and a grouped sum of the counts."""
     model = Model.start(states)
+    before = -np.inf
 
     def counting(now: Model):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = [np.zeros_like(x) for x in (now.first, now.step, now.emit)]
-            for part in slices(batches, 128):
-                obs = _segments([np.frombuffer(x, "<u2") for x in part.column(0).to_pylist()])
-                for start in range(0, obs.shape[1], 1024):
-                    for t, x in zip(total, expected_counts(now, obs[:, start : start + 1024])):
-                        t += x
-            flat = np.concatenate([x.ravel() for x in total])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["place", "x"])
+            total = np.zeros(states + states * states + states * CLASSES + 2)
+            for sequences in _blocks(batches):
+                *counts, likely = expected_counts(now, sequences)
+                total += np.concatenate([*(x.ravel() for x in counts), [likely, sum(map(len, sequences))]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "x"])
 
         return count
 
     for _ in range(rounds):
-        sums = table.select("classes").mapInArrow(counting(model), "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect()
-        flat = np.zeros(states + states * states + states * CLASSES)
-        for r in sums:
-            flat[r.place] = r.x
-        first, step, emit = np.split(flat, [states, states + states * states])
+        # As many rows as the model has numbers.
+        sums = table.select("classes").mapInArrow(counting(model), "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()
+        flat = np.zeros(states + states * states + states * CLASSES + 2)
+        flat[sums.column("place").to_numpy()] = sums.column("x").to_numpy()
+        first, step, emit, (likely, n) = np.split(flat, [states, states + states * states, len(flat) - 2])
         model = Model.from_counts(first, step.reshape(states, states), emit.reshape(states, CLASSES))
+        if not n or likely / n - before < least_gain:
+            break
+        before = likely / n
     return model
 
 
 def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Exact log10 probability of each class sequence, by the scaled forward recursion over all of them at once."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    flat = np.concatenate([sequences[i] for i in order]).astype(np.int64)
-    size = np.array([len(sequences[i]) for i in order])
-    start = np.r_[0, np.cumsum(size)[:-1]]
-    alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # sequences of more than t tokens
+    order, alive, tokens_ = _side_by_side(sequences)
     table = np.ascontiguousarray(model.emit.T)
-    total = np.zeros(len(size))
-    alpha = None
-    for t in range(size[0]):
-        w = alive[t]
-        alpha = (model.first if t == 0 else alpha[:w] @ model.step) * table[flat[start[:w] + t]]
+    total = np.zeros(len(order))
+    alpha, start = None, 0
+    for t, w in enumerate(alive):
+        alpha = (model.first if t == 0 else alpha[:w] @ model.step) * table[tokens_[start : start + w]]
         scale = alpha.sum(1)
         alpha /= scale[:, None]
         total[:w] += np.log10(scale)
-    out = np.empty(len(size))
+        start += w
+    out = np.empty(len(order))
     out[order] = total
     return out
 
@@ -277,7 +294,7 @@ def hmm_scores(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> Dat
 
     scored = table.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "classes").mapInArrow(score, SCORED)
     rest = table.select("rid", F.explode("rest").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
-    found = rest.join(counts.where(F.col("c") < least), "word")
+    found = rest.join(counts.where((F.col("c") < least) | (F.length("word") > LONGEST)), "word")
     sums = found.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum(F.col("tf").cast("long")).alias("seen"))
     every = scored.join(sums, "rid", "left").withColumn("all_counts", F.col("log_counts") + F.coalesce("more", F.lit(0.0)))
     per_token = float(np.log10(lex.total + lex.distinct + 1.0))
