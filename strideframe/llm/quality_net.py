@@ -1,12 +1,15 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network over them.
 
-Every token has a sparse ternary index vector by its hash. A token's vector is its own index vector plus the normalised
-sum of the index vectors of its neighbours (WINDOW to each side), gathered over the fitting sample. Words stand in two
-streams: as they are in lower case, and as shapes (runs of letters, digits and marks). A document is the mean of its
-word vectors beside the mean of its shape vectors; words inside a repeated passage add the marker AGAIN to the shapes.
-
-The network is fitted on at most FIT_ROWS labelled rows, those of least hash among the rows that may be learnt from;
-a fifth of them sets the temperature of its probabilities. What is collected is bounded by FIT_ROWS and VOCABULARY.
+Every token has a sparse ternary index vector by its hash. The VOCABULARY commonest tokens of the corpus have a context
+vector besides, the normalised sum of the index vectors of their neighbours (WINDOW to each side) over all documents; a
+rarer token is its index vector alone. Tokens stand in two streams: words in lower case, and as an addition their shapes
+(runs of letters, digits and marks). A document is the mean of its word vectors, that of its distinct words' vectors,
+the mean of its shape vectors, and as an addition what these means are over: the number of words (its logarithm) and the
+shares of distinct words and of distinct pairs of words.
+
+Counts and contexts come from all documents, and no label enters them. The network is fitted on at most FIT_ROWS
+labelled rows, those of least hash among the rows that may be learnt from; a fifth of them sets the temperature of its
+probabilities. What is collected is bounded by FIT_ROWS and VOCABULARY.
 """
 
 from __future__ import annotations
@@ -19,23 +22,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import as_bytes, crc_mod, hash_sample, saved, slices
-from strideframe.llm.quality_rules import Measures
 
 DIMENSIONS = 64
 NONZERO = 4
 WINDOW = 2
-VOCABULARY = 4_096
-BUCKETS = 1_024  # tokens outside the vocabulary share index vectors by hash
+#: Tokens of each stream that have a context vector.
+VOCABULARY = 16_384
+#: Index vectors of the other tokens are made once for each of so many hashes.
+BUCKETS = 65_536
+#: Texts whose contexts are summed at once.
+TEXTS_AT_ONCE = 2_048
 FIT_ROWS = 20_000
 HIDDEN = 32
 THRESHOLD = 0.7
 HELD_OUT = (4, 2)
-AGAIN = b"<again>"
 MEMO = 300_000
+LONGEST = 64  # bytes of a token of the vocabulary
 _SHAPES = bytes.maketrans(bytes(range(97, 123)) + bytes(range(65, 91)) + bytes(range(48, 58)) + bytes(range(128, 256)), b"x" * 26 + b"X" * 26 + b"9" * 10 + b"x" * 128)
 _RUNS = re.compile(rb"(.)\1+", re.S)
 
@@ -45,9 +52,10 @@ def shape(word: bytes) -> bytes:
 
 
 def index_vectors(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each token's nonzero components."""
-    raw = np.array([[zlib.crc32(t, i) for i in range(NONZERO)] for t in tokens], np.int64).reshape(-1, NONZERO)
-    return raw % DIMENSIONS, np.where(raw // DIMENSIONS % 2, 1.0, -1.0)
+    """Places and signs of each token's nonzero components, from seven bits of its hash for each."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+    bits = (hashes[:, None] >> np.arange(0, 7 * NONZERO, 7, dtype=np.uint64) & np.uint64(2 * DIMENSIONS - 1)).astype(np.int64)
+    return bits % DIMENSIONS, np.where(bits >= DIMENSIONS, 1.0, -1.0)
 
 
 def dense(tokens: list[bytes]) -> np.ndarray:
@@ -58,7 +66,7 @@ def dense(tokens: list[bytes]) -> np.ndarray:
 
 
 class Stream:
-    """Ids of one stream's tokens: the vocabulary, then hash buckets."""
+    """Ids of one stream's tokens: the vocabulary, then hashes."""
 
     def __init__(self, vocabulary: list[bytes]):
         self.vocabulary = vocabulary
@@ -78,14 +86,14 @@ class Reader:
     def __init__(self, words: Stream, shapes: Stream):
         self.words, self.shapes, self.memo = words, shapes, {}
 
-    def __call__(self, m: Measures) -> tuple[np.ndarray, np.ndarray]:
-        memo = self.memo
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        words, memo = text.split(), self.memo
         if len(memo) > MEMO:
             memo.clear()
-        for w in {w for w in m.words if w not in memo}:
-            memo[w] = self.words.id(w.lower()) << 16 | self.shapes.id(shape(w))
-        both = np.fromiter(map(memo.__getitem__, m.words), np.int64, m.n_words)
-        return both >> 16, both & 0xFFFF
+        for w in {w for w in words if w not in memo}:
+            memo[w] = self.words.id(w.lower()) << 20 | self.shapes.id(shape(w))
+        both = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        return both >> 20, both & 0xFFFFF
 
 
 @dataclass(frozen=True)
@@ -96,63 +104,87 @@ class Pooler:
     shape_vectors: np.ndarray
 
     def pool(self, reader: Reader, text: bytes) -> np.ndarray:
-        m = Measures(text)
-        if not m.n_words:
-            return np.zeros(2 * DIMENSIONS)
-        words, shapes = reader(m)
-        marks = self.shape_vectors[shapes].sum(0) + m.n_repeat_words * self.shape_vectors[self.shapes.id(AGAIN)]
-        return np.concatenate([self.word_vectors[words].mean(0), marks / m.n_words])
+        words, shapes = reader(text)
+        n = len(words)
+        if not n:
+            return np.zeros(3 * DIMENSIONS + 3)
+        distinct = np.unique(words)
+        pairs = len(np.unique(words[:-1] << 20 | words[1:]))
+        size = [np.log(n), len(distinct) / n, (pairs + 1) / n]
+        return np.concatenate([self.word_vectors[words].mean(0), self.word_vectors[distinct].mean(0), self.shape_vectors[shapes].mean(0), size]).astype(np.float64)
+
 
+def _vocabularies(docs: DataFrame) -> tuple[Stream, Stream]:
+    """The commonest words and shapes of all documents."""
 
-def _vocabulary(sample: DataFrame, kind: str, token) -> Stream:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(n: Counter) -> pa.RecordBatch:
+            streams = [Counter(), Counter()]
+            for word, times in n.items():
+                streams[0][word.lower()] += times
+                streams[1][shape(word)] += times
+            rows = [(k, t, times) for k, stream in enumerate(streams) for t, times in stream.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.int64()))], names=["stream", "token", "n"])
+
+        n: Counter = Counter()
         for part in slices(batches):
-            n: Counter = Counter()
             for text in as_bytes(part.column(0)):
-                n.update(map(token, text.split()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
+                n.update(text.split())
+            if len(n) > 200_000:
+                yield out(n)
+                n = Counter()
+        if n:
+            yield out(n)
 
-    top = sample.select("text").mapInArrow(counted, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()
-    return Stream(sorted({bytes(r.token) for r in top} | ({AGAIN} if kind == "shapes" else set())))
+    counts = docs.select("text").mapInArrow(counted, "stream int, token binary, n long").groupBy("stream", "token").agg(F.sum("n").alias("n"))
+    counts = saved(counts.where(f"n > 1 AND length(token) <= {LONGEST}"), "token-counts")
+    tops = [counts.where(F.col("stream") == k).orderBy(F.desc("n"), "token").limit(VOCABULARY).select("token").toArrow().column(0).to_pylist() for k in (0, 1)]
+    return Stream(sorted(tops[0])), Stream(sorted(tops[1]))
 
 
-def context_vectors(sample: DataFrame, words: Stream, shapes: Stream) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of neighbours' index vectors for both streams, gathered on the executors over the sample."""
-    sizes = [len(s.names()) for s in (words, shapes)]
+def context_vectors(docs: DataFrame, words: Stream, shapes: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the neighbours' index vectors for the vocabularies of both streams, over all documents."""
+    known = [len(s.vocabulary) for s in (words, shapes)]
+    shared = docs.sparkSession.sparkContext.broadcast((words, shapes))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(words, shapes)
-        index = [index_vectors(s.names()) for s in (words, shapes)]
-        total = [np.zeros(n * DIMENSIONS) for n in sizes]
+        streams = shared.value
+        reader = Reader(*streams)
+        index = [index_vectors(s.names()) for s in streams]
+        total = [np.zeros(n * DIMENSIONS) for n in known]
         gap = np.full(WINDOW, -1)
-        for part in slices(batches):
-            read = [reader(Measures(text)) for text in as_bytes(part.column(0))]
+        for part in slices(batches, TEXTS_AT_ONCE):
+            read = [reader(text) for text in as_bytes(part.column(0))]
             for k, ((places, signs), t) in enumerate(zip(index, total)):
                 ids = np.concatenate([x for pair in read for x in (pair[k], gap)])
                 for step in range(1, WINDOW + 1):
-                    near = (ids[:-step] >= 0) & (ids[step:] >= 0)
-                    left, right = ids[:-step][near], ids[step:][near]
-                    for a, b in ((left, right), (right, left)):
-                        t += np.bincount((a[:, None] * DIMENSIONS + places[b]).ravel(), signs[b].ravel(), len(t))
-        rows = np.concatenate([t.reshape(-1, DIMENSIONS) for t in total])
+                    for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
+                        near = (a >= 0) & (a < known[k]) & (b >= 0)
+                        of, by = a[near], b[near]
+                        t += np.bincount((of[:, None] * DIMENSIONS + places[by]).ravel(), signs[by].ravel(), len(t))
+        rows = np.concatenate([t.reshape(-1, DIMENSIONS) for t in total]).astype(np.float32)
         used = np.nonzero(rows.any(1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(rows[used]), pa.list_(pa.float64()))], names=["id", "v"])
-
-    parts = sample.select("text").mapInArrow(gathered, "id long, v array<double>")
-    sums = parts.groupBy("id").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(DIMENSIONS))).alias("v")).collect()
-    out = np.zeros((sum(sizes), DIMENSIONS))
-    for r in sums:
-        out[r.id] = r.v
-    return out[: sizes[0]], out[sizes[0] :]
-
-
-def fit_pooler(sample: DataFrame) -> Pooler:
-    words = _vocabulary(sample, "words", bytes.lower)
-    shapes = _vocabulary(sample, "shapes", shape)
+        for start in range(0, len(used), 4_096):
+            some = used[start : start + 4_096]
+            values = pa.FixedSizeListArray.from_arrays(pa.array(rows[some].ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(some), values], names=["id", "v"])
+
+    parts = docs.select("text").mapInArrow(gathered, "id long, v array<float>")
+    # At most twice VOCABULARY rows.
+    sums = parts.groupBy("id").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(DIMENSIONS))).alias("v")).toArrow()
+    out = np.zeros((sum(known), DIMENSIONS))
+    if sums.num_rows:
+        out[sums.column("id").to_numpy()] = np.stack(sums.column("v").to_numpy())
+    return out[: known[0]], out[known[0] :]
+
+
+def fit_pooler(docs: DataFrame) -> Pooler:
+    words, shapes = _vocabularies(docs)
     vectors = []
-    for stream, context in zip((words, shapes), context_vectors(sample, words, shapes)):
-        size = np.linalg.norm(context, axis=1, keepdims=True)
-        vectors.append(dense(stream.names()) / NONZERO**0.5 + context / np.maximum(size, 1e-9))
+    for stream, context in zip((words, shapes), context_vectors(docs, words, shapes)):
+        made = dense(stream.names()) / NONZERO**0.5
+        made[: len(context)] += context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+        vectors.append(made.astype(np.float32))
     return Pooler(words, shapes, *vectors)
 
 
@@ -213,8 +245,9 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) ->
     modulus, remainder = HELD_OUT
     may = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", modulus) != remainder))
     chosen = hash_sample(may.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", most)
-    # At most `most` rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    # At most `most` rows of two numbers. Of several texts of one doc_id the least counts.
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
@@ -225,9 +258,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) ->
     """
     modulus, remainder = HELD_OUT
     sample = saved(fitting_sample(docs, labels, most), "fitting-sample")
-    pooler = fit_pooler(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_pooler(docs))
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooler = shared.value
         reader = Reader(pooler.words, pooler.shapes)
         for part in slices(batches):
             x = [pooler.pool(reader, t) for t in as_bytes(part.column("text"))]
@@ -241,6 +275,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) ->
         network = Network.fit(x[~aside] if (~aside).any() else x, y[~aside] if (~aside).any() else y).calibrated(x[aside], y[aside])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooler = shared.value
         reader = Reader(pooler.words, pooler.shapes)
         for part in slices(batches):
             x = np.stack([pooler.pool(reader, t) for t in as_bytes(part.column("text"))])

@@ -308,5 +308,5 @@ def test_training_raises_the_likelihood():
     model, scores = hmm.Model.start(3), []
     for _ in range(6):
         scores.append(hmm.log10_likelihoods(model, seqs).sum())
-        model = hmm.Model.from_counts(*hmm.expected_counts(model, hmm._segments(seqs)))
+        model = hmm.Model.from_counts(*hmm.expected_counts(model, seqs)[:3])
     assert all(b > a - 1e-6 for a, b in zip(scores, scores[1:]))
