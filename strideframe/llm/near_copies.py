@@ -4,10 +4,10 @@ Candidates come from MinHash bands: texts that agree in all ROWS values of one o
 similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS, 0.9999 at s = 0.8 and more above. Each candidate is
 confirmed on the whole shingle sets. Equal sets are one unit, named by its hash.
 
-Within a bucket every unit first meets the bucket's least. Then each unit outside the bucket's largest component meets
-every unit of another component, so that any two units of a bucket are compared or already in one component. What meets
-is laid out in tiles: a task holds a bounded part of a bucket's units and streams the units that ask against them; the
-numbers of common shingles are one matrix product. A unit's asks return one link for each component, not its pairs.
+Within a bucket every unit first meets the bucket's least. Then each unit that isn't like the least meets all others of
+the bucket, so that any two of them are compared or both like the least. What meets is laid out in tiles: a task holds
+a bounded part of a bucket's units and streams the units that ask against them; the numbers of common shingles are one
+matrix product. A unit's asks return one link for each label, not its pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ BANDS, ROWS = 30, 6
 TILE_UNITS, TILE_BYTES = 1_024, 32 << 20
 #: Units asked at a time, and shingles of one matrix product.
 ASKED, COLUMNS = 256, 4_096
+DEALS = 64
 STEP = 2048
 SEED = 42
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -140,25 +141,21 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = end
 
 
-def _linked(asking: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between units ``asking(tile, key, label)`` and like units ``members`` of the tile, where labels differ."""
-    sized = members.join(sets.select("key", F.length("shingles").alias("n_bytes")), "key")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_UNITS), F.ceil(F.sum("n_bytes") / TILE_BYTES)).cast("int")
-    parts = sized.groupBy("tile").agg(parts.alias("parts"))
-    base = members.join(parts, "tile").select("tile", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.lit(False).alias("asks"), "key", "label")
-    asks = asking.join(parts, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "key", "label")
-    return base.unionByName(asks).join(sets, "key").repartition("tile", "part").sortWithinPartitions("tile", "part", "asks").mapInArrow(_met, "a long, b long")
+def _linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of like units in ``rows(tile, part, asks, key, label)``: of those that ask with the others of their tile and
+    part, where labels differ."""
+    return rows.join(sets, "key").repartition("tile", "part").sortWithinPartitions("tile", "part", "asks").mapInArrow(_met, "a long, b long")
 
 
 def classes(prints: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, root)`` of fingerprints, from the ``links(u, v)`` among them and from all near copies.
 
-    ``prints(doc_id, fp, key, bands)`` has a row for each row of ``docs``.
+    ``prints(doc_id, fp, key, n_shingles, bands)`` has a row for each row of ``docs``.
     """
-    units = saved(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")), "units")
+    units = saved(prints.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "units")
     print_of = units.select("key", "fp")
     same = prints.select("key", F.col("fp").alias("u")).distinct().join(print_of.withColumnRenamed("fp", "v"), "key").where("u <> v").select("u", "v")
-    in_buckets = units.select("key", F.explode("bands").alias("bucket"))
+    in_buckets = units.select("key", "n_shingles", F.explode("bands").alias("bucket"))
     least = in_buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = saved(in_buckets.join(least, "bucket"), "shared-buckets")
     sets = saved(_sets(docs, units, shared.select("key").distinct()), "shingle-sets")
@@ -167,24 +164,25 @@ def classes(prints: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
         left, right = print_of.toDF("a", "u"), print_of.toDF("b", "v")
         return found.join(left, "a").join(right, "b").select("u", "v")
 
-    starred = shared.where("key <> least").select(F.col("least").alias("tile"), "key", F.col("key").alias("label")).distinct()
-    # A tile for every so many askers of one least unit, so that a hot one is many tasks'.
-    n_askers = starred.groupBy("tile").count()
-    dealt = starred.join(n_askers, "tile").withColumn("deal", F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / TILE_UNITS)))
-    dealt = dealt.select(F.struct(F.col("tile").alias("of"), "deal").alias("tile"), "key", "label")
-    leasts = dealt.select("tile").distinct().select("tile", F.col("tile.of").alias("key"), F.col("tile.of").alias("label"))
-    now = saved(components(links.union(same).union(edges(_linked(dealt, leasts, sets)))), "classes")
-
-    labelled = shared.join(print_of, "key").join(now.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "key", F.coalesce("root", "fp").alias("label"))
-    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    open_ = labelled.join(split, "bucket")
-    # Buckets of the same units are one.
-    hashed = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.xxhash64("key").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"))
-    once = hashed.groupBy("n", "low", "high", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_ = saved(open_.join(once, "bucket", "left_semi"), "split-buckets")
-    units_of = lambda rows: rows.select(F.struct(F.col("bucket").alias("of"), F.lit(0).cast("long").alias("deal")).alias("tile"), "key", "label")
-    late = saved(_linked(units_of(open_.where("label <> major")), units_of(open_), sets), "late-links")
-    if late.isEmpty():
-        return now
-    return components(now.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges(late)))
+    # The askers of one least unit are dealt out, so that a hot one is many tasks'; each deal holds that one unit.
+    asks = shared.where("key <> least").select(F.col("least").alias("tile"), F.pmod(F.xxhash64("key"), F.lit(DEALS)).cast("int").alias("part"), F.lit(True).alias("asks"), "key", F.col("key").alias("label")).distinct()
+    leasts = asks.select("tile", "part", F.lit(False).alias("asks"), F.col("tile").alias("key"), F.col("tile").alias("label")).distinct()
+    starred = saved(_linked(asks.unionByName(leasts), sets), "star-links")
+
+    # In a bucket, a unit like the least is labelled with it and any other with itself.
+    like = starred.select(F.col("a").alias("key"), F.col("b").alias("least"), F.lit(True).alias("like"))
+    labelled = shared.join(like, ["key", "least"], "left")
+    label = F.when(F.col("like") | (F.col("key") == F.col("least")), F.col("least")).otherwise(F.col("key"))
+    labelled = labelled.select("bucket", "key", "n_shingles", label.alias("label"), ((F.col("key") != F.col("least")) & F.col("like").isNull()).alias("asks"))
+    # Buckets without such a unit are done, and buckets of the same units are one.
+    n = F.count(F.lit(1))
+    hashed = labelled.groupBy("bucket").agg(
+        F.bool_or("asks").alias("open"), n.alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.xxhash64("key").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"),
+        F.greatest(F.ceil(n / TILE_UNITS), F.ceil(8 * F.sum("n_shingles") / TILE_BYTES)).cast("int").alias("parts"),
+    ).where("open")
+    once = hashed.groupBy("n", "low", "high", "sum", "parts").agg(F.min("bucket").alias("bucket")).select("bucket", "parts")
+    open_ = saved(labelled.join(once, "bucket").select(F.col("bucket").alias("tile"), "key", "label", "asks", "parts"), "open-buckets")
+    held = open_.select("tile", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "key", "label")
+    asking = open_.where("asks").select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "asks", "key", "label")
+    late = _linked(held.unionByName(asking), sets)
+    return components(links.union(same).union(edges(starred)).union(edges(late)))

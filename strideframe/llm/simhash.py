@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm import near_copies
-from strideframe.llm.common import as_bytes, saved, slices
+from strideframe.llm.common import as_bytes, row_of, saved, slices
 from strideframe.llm.components import components
 
 RADIUS = 3
@@ -213,7 +213,7 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, key, bands)``: fingerprint, shingle set and its bands for each row."""
+    """``(doc_id, fp, key, n_shingles, bands)``: fingerprint, name and size of the shingle set, and its bands, for each row."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -222,9 +222,9 @@ def _prints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in texts], np.uint64)
             keys = np.array([near_copies.key_of(s) for s in sets], np.uint64)
             bands = pa.array([near_copies.bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), pa.array(keys.view(np.int64)), bands], names=["doc_id", "fp", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), bands], names=["doc_id", "fp", "key", "n_shingles", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, fp long, key long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, fp long, key long, n_shingles long, bands array<long>")
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of = F.col("doc_id").cast("long") == F.col("keep_id")
     once = docs.join(keep.where("again IS NULL").select("keep_id"), of, "left_semi")
     # Ids with several rows: which of them is meant is found by their texts.
-    more = docs.join(keep.where("again").select("keep_id").distinct(), of, "left_semi").select(F.struct(*docs.columns).alias("row"), "text")
+    more = docs.join(keep.where("again").select("keep_id").distinct(), of, "left_semi").select(row_of(docs).alias("row"), "text")
     meant = _marked(more).join(keep.where("again"), (F.col("row.doc_id").cast("long") == F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")) & (F.col("key") == F.col("keep_key")), "left_semi")
     chosen = meant.groupBy(F.col("row.doc_id").alias("id"), "fp", "key").agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row"))
     return once.unionByName(chosen.select("row.*")).unionByName(docs.where("doc_id IS NULL"))

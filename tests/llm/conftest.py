@@ -7,7 +7,7 @@ ODD = [
     (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \n\t ", "en", None, 4), (None, "words without an id but with enough of them to stay in the corpus", None, "b", 64), (None, None, None, "b", None),
     (5, LONG, "en", "b", len(LONG)), (6, "x" * 50_000, "en", "b", 50_000), (7, "ünïcode 日本語 😀 password=abcdef123456789 end", "de", "b", 44),
 ]
-CLASH = ["fp", "fingerprint", "component_id", "root", "node", "word", "tile", "part", "at", "ids", "rid", "rest", "c", "block", "copies", "weight", "src", "row", "pass", "held_out", "score", "n_tokens", "n_words", "kept", "spans", "quality", "x"]
+CLASH = ["fp", "fingerprint", "component_id", "root", "node", "word", "tile", "part", "at", "ids", "rid", "rest", "c", "block", "copies", "weight", "src", "row", "pass", "held_out", "score", "n_tokens", "n_words", "kept", "spans", "quality", "x", "a.b", "c`d"]
 
 
 @pytest.fixture(scope="session")
