@@ -47,3 +47,41 @@ ENDURANCE_FULL_CTL = 100.0
 ENDURANCE_SHAPE = (0.5, 1.0)
 ENDURANCE_FULL_DRIFT = 10.0
 POWER_SPORTS = ("cycling",)
+PACE_SPORTS = ("running", "walking", "hiking")
+SYNC_STALE_DAYS = 3
+
+#: Plausible ranges of a candidate's scalar fields, in the order in which they are checked.
+FIELD_RANGES = {
+    "avg_power_w": (0.0, 3000.0),
+    "max_power_w": (0.0, 4000.0),
+    "avg_hr_bpm": (20.0, 260.0),
+    "max_hr_bpm": (20.0, 260.0),
+    "resting_hr_bpm": (20.0, 200.0),
+    "avg_cadence_rpm": (0.0, 300.0),
+    "avg_speed_mps": (0.0, 50.0),
+    "distance_m": (0.0, 2_000_000.0),
+    "elapsed_time_s": (0.0, 604_800.0),
+    "moving_time_s": (0.0, 604_800.0),
+    "elevation_gain_m": (0.0, 50_000.0),
+    "avg_temp_c": (-60.0, 70.0),
+    "hrv_rmssd_ms": (0.0, 500.0),
+    "hrv_sdnn_ms": (0.0, 500.0),
+    "sleep_duration_s": (0.0, 129_600.0),
+    "sleep_score": (0.0, 100.0),
+    "steps": (0.0, 500_000.0),
+    "vo2max": (10.0, 100.0),
+}
+#: Words before a number that make it a place in a plan, and units that make it a length of time or road.
+STRUCTURE_WORDS = ("day", "week", "phase", "block", "zone", "set", "rep", "reps", "round", "interval", "lap")
+PLAIN_UNITS = ("m", "min", "mins", "h", "hr", "hrs", "s", "sec", "km", "mi")
+#: Words for one kind of activity in English, German and Russian; the first stands for all.
+ACTIVITY_WORDS = (
+    ("run", "running", "runs", "ran", "laufen", "lauf", "бег", "бегать", "побегать"),
+    ("interval", "intervals", "intervalle", "intervall", "интервал", "интервалы"),
+    ("sprint", "sprints", "sprinting", "спринт", "спринты"),
+    ("jump", "jumps", "jumping", "plyometric", "plyometrics", "springen", "прыжки", "прыжок"),
+    ("swim", "swimming", "swims", "schwimmen", "плавание", "плавать"),
+    ("ride", "riding", "cycling", "bike", "biking", "radfahren", "велосипед", "езда"),
+    ("lift", "lifting", "weights", "deadlift", "deadlifts", "squat", "squats", "heben", "тяга"),
+    ("hill", "hills", "climb", "climbs", "climbing", "berg", "berge", "холм", "холмы"),
+)

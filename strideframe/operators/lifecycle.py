@@ -12,6 +12,10 @@ from strideframe.functions import constants as C
 from strideframe.operators.resolve import tier_rank
 
 
+#: Parts that a group is dealt into where it is cut down before it meets in one place.
+SALTS = 64
+
+
 def identities(recordings: DataFrame) -> DataFrame:
     """Adds ``session_id`` to ``(athlete, sport, id, start, duration_s, fingerprint)``: the id of the recording that opened the session.
 
@@ -89,18 +93,26 @@ def purged(rows: DataFrame, created: str, now: Column, days: int) -> DataFrame:
 
 
 def recent_summary(rows: DataFrame, on: Sequence[str], value: str, order: Sequence[Column], keep: int = 1024) -> DataFrame:
-    """Count and sum of all observations, and nearest-rank median and 95th percentile of the last ``keep`` of each group."""
+    """Count and sum of all observations, and nearest-rank median and 95th percentile of the last ``keep`` of each group.
+
+    A group is dealt into SALTS parts, each of which is cut to its last ``keep`` before the parts meet. ``order`` must be
+    total within a group.
+    """
     whole = rows.groupBy(*on).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
-    last = rows.withColumn("rn_", F.row_number().over(Window.partitionBy(*on).orderBy(*order))).where(F.col("rn_") <= keep)
+    dealt = rows.withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*on, *keys).orderBy(*order))
+    few = dealt.withColumn("rn_", place("salt_")).where(F.col("rn_") <= keep)
+    last = few.withColumn("rn_", place()).where(F.col("rn_") <= keep)
     rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
     return whole.join(last.groupBy(*on).agg(rank(0.5).alias("p50"), rank(0.95).alias("p95")), list(on))
 
 
 def metric_lines(summary: DataFrame, name: str, label: str) -> DataFrame:
-    """Text exposition of a summary: quantile, sum and count lines."""
+    """Text exposition of a summary: quantile lines, and its sum and count over all observations."""
     tag = lambda extra: F.concat(F.lit(f'{{{label}="'), F.col(label), F.lit(f'"{extra}}}'))
     lines = F.array(
         F.concat(F.lit(name), tag(',quantile="0.5"'), F.lit(" "), F.format_string("%.3f", "p50")), F.concat(F.lit(name), tag(',quantile="0.95"'), F.lit(" "), F.format_string("%.3f", "p95")),
+        F.concat(F.lit(name + "_sum"), tag(""), F.lit(" "), F.format_string("%.3f", "total")),
         F.concat(F.lit(name + "_count"), tag(""), F.lit(" "), F.col("n").cast("string")),
     )
     return summary.select(F.explode(lines).alias("line"))
@@ -109,21 +121,27 @@ def metric_lines(summary: DataFrame, name: str, label: str) -> DataFrame:
 def token_bucket(requests: DataFrame, on: Sequence[str], at: str, rate: float, burst: float) -> DataFrame:
     """``admitted`` for each request of a bucket that refills at ``rate`` a second up to ``burst``; requests in order of (at, id).
 
-    The state is a fold over the requests of one bucket, so a bucket is worked in a task.
+    The state is a fold over a bucket's requests, which stream through a task in order and are never held. A pause in
+    which the bucket refills from empty forgets what was before it, so a bucket is cut there and its pieces are dealt out.
     """
+    full = Window.partitionBy(*on).orderBy(at, "id")
+    rested = F.coalesce(F.col(at) - F.lag(at).over(full) >= burst / rate, F.lit(True))
+    pieces = requests.select(*on, "id", at).withColumn("piece_", F.sum(rested.cast("long")).over(full.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = [*on, "piece_"]
 
-    def admit(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values([at, "id"])
-        level, before, out = burst, None, []
-        for now in frames[at]:
-            level = level if before is None else min(burst, level + (now - before) * rate)
-            before = now
-            out.append(level >= 1)
-            level -= level >= 1
-        return frames.assign(admitted=out)
+    def admit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece, level, before = None, burst, 0.0
+        for pdf in frames:
+            out = []
+            for key, now in zip(pdf[keys].itertuples(index=False, name=None), pdf[at]):
+                level = burst if key != piece else min(burst, level + (now - before) * rate)
+                piece, before = key, now
+                out.append(level >= 1)
+                level -= level >= 1
+            yield pdf.drop(columns="piece_").assign(admitted=out)
 
     schema = requests.select(*on, "id", at).schema.add("admitted", "boolean")
-    return requests.select(*on, "id", at).groupBy(*on).applyInPandas(admit, schema)
+    return pieces.repartition(*keys).sortWithinPartitions(*keys, at, "id").mapInPandas(admit, schema)
 
 
 def greedy_context(records: DataFrame, on: Sequence[str], budget: int) -> DataFrame:

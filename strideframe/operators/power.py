@@ -63,35 +63,49 @@ def load_bundle(powers: DataFrame) -> DataFrame:
     return out.withColumn("intensity_class", intensity_class(F.col("if_")))
 
 
+#: Seconds whose windows a task looks at together, besides those that the last windows reach into.
+MMP_BLOCK_S = 32_768
+
+
 def mean_maximal_power(stream: DataFrame, durations: Sequence[int] = C.MMP_GRID_S) -> DataFrame:
     """``(key, duration_s, best_w, window_s, start_t)``: the best mean over any gap-free window of at least a duration.
 
     A window of twice the duration or more splits into two, one of which is as good, so only lengths up to 2d - 1 are
-    looked at. Ties go to the shortest, then the earliest window. A key is one recording and is worked whole in a task;
-    durations that no gap-free window reaches have no row.
+    looked at. Ties go to the shortest, then the earliest window. A key's seconds are cut into blocks, which a task works
+    together with the seconds that their last windows reach into; the blocks' bests then meet. Durations that no gap-free
+    window reaches have no row.
     """
     lengths = sorted(set(durations))
+    reach = 2 * lengths[-1]
+    size = max(MMP_BLOCK_S, 4 * lengths[-1])
+    own = F.floor(F.col("t") / size)
+    before = F.when(F.col("t") - own * size < reach, own - 1)
+    blocks = stream.select("key", "t", "power", F.explode(F.array_compact(F.array(own, before))).alias("block"))
 
     def curve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         v = pdf["power"].to_numpy(float)
         t = pdf["t"].to_numpy()
+        starts = int(np.searchsorted(t, (pdf["block"].iloc[0] + 1) * size)) if len(t) else 0
         ok = ~np.isnan(v)
         total, seen = np.r_[0, np.cumsum(np.where(ok, v, 0))], np.r_[0, np.cumsum(ok)]
         rows = []
         for d in lengths:
             best = None
             for n in range(d, min(2 * d, len(v) + 1)):
-                means = np.where(seen[n:] - seen[:-n] == n, (total[n:] - total[:-n]) / n, -np.inf)
-                at = int(means.argmax())
-                if means[at] > (best[0] if best else -np.inf):
+                means = np.where(seen[n:] - seen[:-n] == n, (total[n:] - total[:-n]) / n, -np.inf)[:starts]
+                at = int(means.argmax()) if len(means) else 0
+                if len(means) and means[at] > (best[0] if best else -np.inf):
                     best = (means[at], n, int(t[at]))
             if best:
                 rows.append((pdf["key"].iloc[0], d, *best))
         return pd.DataFrame(rows, columns=["key", "duration_s", "best_w", "window_s", "start_t"])
 
     kind = dict(stream.dtypes)["key"]
-    return stream.select("key", "t", "power").groupBy("key").applyInPandas(curve, f"key {kind}, duration_s long, best_w double, window_s long, start_t long")
+    found = blocks.groupBy("key", "block").applyInPandas(curve, f"key {kind}, duration_s long, best_w double, window_s long, start_t long")
+    rank = F.struct("best_w", -F.col("window_s"), -F.col("start_t"))
+    best = found.groupBy("key", "duration_s").agg(F.max_by(F.struct("best_w", "window_s", "start_t"), rank).alias("b"))
+    return best.select("key", "duration_s", "b.*")
 
 
 def power_curve(curves: DataFrame, activities: DataFrame) -> DataFrame:
@@ -134,22 +148,92 @@ def critical_power(points: DataFrame, domain: tuple[int, int] = C.CP_DOMAIN_S, l
     )
 
 
+#: Seconds to a block of the recovery sums: exp(50,000 / 316) is far from overflow.
+WBAL_BLOCK_S = 50_000
+
+
 def w_balance(stream: DataFrame, cp: float | Column, w_prime: float | Column, floor: bool = False) -> DataFrame:
-    """``(key, t, w_bal_j)`` for each second, the first included.
+    """``(key, t, w_bal_j)`` for each second, the first included; null where cp or w_prime is null, not finite or not positive.
 
     What is spent above critical power adds to the deficit, what lies below shrinks it by exp(-1/tau), a gap carries it
     on. The deficit never falls below zero, so it is one running sum under another: with S the running sum of 1/tau over
-    recovering seconds, D(t) = exp(-S(t)) * sum of spent(k) * exp(S(k)). S grows by at most 1/316 a second.
+    recovering seconds, D(t) = exp(-S(t)) * sum of spent(k) * exp(S(k)). S grows by at most 1/316 a second and starts
+    anew in each block of WBAL_BLOCK_S seconds; a block takes over the deficit at the end of the blocks before it.
     """
     a, b, c = C.WBAL_TAU
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("double")
     cp, w_prime = as_column(cp), as_column(w_prime)
-    so_far = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    usable = F.coalesce(finite(cp) & (cp > 0) & finite(w_prime) & (w_prime > 0), F.lit(False))
     p = F.col("power")
+    rows = stream.select("key", "t", p, cp.alias("cp_"), F.when(usable, w_prime).alias("w_prime_"), F.floor(F.col("t") / WBAL_BLOCK_S).alias("block"))
+    cp = F.col("cp_")
+    so_far = Window.partitionBy("key", "block").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     slow = F.when(p < cp, 1 / (a * F.exp(b * (cp - p)) + c)).otherwise(0.0)
-    rows = stream.withColumn("s", F.sum(slow).over(so_far)).withColumn("spent", F.when(p >= cp, p - cp).otherwise(0.0))
-    balance = w_prime - F.exp(-F.col("s")) * F.sum(F.col("spent") * F.exp("s")).over(so_far)
-    return rows.select("key", "t", (F.greatest(balance, F.lit(0.0)) if floor else balance).alias("w_bal_j"))
+    rows = rows.withColumn("s", F.sum(slow).over(so_far)).withColumn("spent", F.when(p >= cp, p - cp).otherwise(0.0))
+    rows = rows.withColumn("own", F.exp(-F.col("s")) * F.sum(F.col("spent") * F.exp("s")).over(so_far))
+    ends = rows.groupBy("key", "block").agg(F.max("s").alias("s"), F.max_by("own", "t").alias("own"))
+    # One entry for each earlier block of the key.
+    earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.collect_list(F.struct("own", "s")).over(earlier)
+    carried = ends.select("key", "block", F.aggregate(before, F.lit(0.0), lambda d, x: d * F.exp(-x["s"]) + x["own"]).alias("carried"))
+    deficit = F.col("own") + F.exp(-F.col("s")) * F.col("carried")
+    balance = F.col("w_prime_") - deficit
+    return rows.join(carried, ["key", "block"]).select("key", "t", (F.greatest(balance, F.lit(0.0)) if floor else balance).alias("w_bal_j"))
+
+
+def w_balance_summary(stream: DataFrame, settings: DataFrame, floor: bool = False) -> DataFrame:
+    """One row per key: start_j, end_j, least_j of the balance, valid_s, gap_s, reason.
+
+    ``settings(key, sport, cp_w, w_prime_j)`` has a row for each key. Gates in order: sport, no power, a missing setting,
+    a setting that isn't finite and positive.
+    """
+    with_cp = stream.join(settings, "key")
+    balance = w_balance(with_cp, F.col("cp_w"), F.col("w_prime_j"), floor)
+    ends = balance.groupBy("key").agg(F.min_by("w_bal_j", "t").alias("start_j"), F.max_by("w_bal_j", "t").alias("end_j"), F.min("w_bal_j").alias("least_j"))
+    counts = stream.groupBy("key").agg(F.count("power").alias("valid_s"), F.count_if(F.col("power").isNull()).alias("gap_s"))
+    rows = settings.join(counts, "key", "left").join(ends, "key", "left")
+    positive = lambda c: finite(F.col(c)) & (F.col(c) > 0)
+    why = ladder(
+        [
+            (~F.col("sport").isin(*C.POWER_SPORTS), "not_applicable_for_sport"),
+            (F.coalesce("valid_s", F.lit(0)) == 0, "missing_required_input"),
+            (F.col("cp_w").isNull() | F.col("w_prime_j").isNull(), "missing_required_input"),
+            (~positive("cp_w") | ~positive("w_prime_j"), "out_of_domain"),
+        ]
+    )
+    live = why.isNull()
+    values = [F.when(live, F.col(c)).alias(c) for c in ("start_j", "end_j", "least_j")]
+    return rows.select("key", *values, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("valid_s", "gap_s")), why.alias("reason"))
+
+
+def best_efforts(stream: DataFrame, curve: DataFrame, sports: DataFrame, durations: Sequence[int] = C.MMP_GRID_S) -> DataFrame:
+    """A row for each key of ``sports(key, sport)`` and each duration: best_w, or the reason why there is none.
+
+    ``curve`` is the keys' mean-maximal power. A sport without power comes first, then a recording without samples; a
+    duration that no gap-free window reaches is insufficient data.
+    """
+    samples = stream.groupBy("key").agg(F.count(F.lit(1)).alias("samples"))
+    grid = sports.join(samples, "key", "left").withColumn("duration_s", F.explode(F.array(*(F.lit(d).cast("long") for d in sorted(set(durations))))))
+    rows = grid.join(curve.select("key", "duration_s", "best_w"), ["key", "duration_s"], "left")
+    why = ladder(
+        [
+            (~F.col("sport").isin(*C.POWER_SPORTS), "not_applicable_for_sport"),
+            (F.coalesce("samples", F.lit(0)) == 0, "missing_required_input"),
+            (F.col("best_w").isNull(), "insufficient_data"),
+        ]
+    )
+    return rows.select("key", "duration_s", F.when(why.isNull(), F.col("best_w")).alias("best_w"), why.alias("reason"))
+
+
+def gated(metric: DataFrame, sports: DataFrame, applicable: Sequence[str] = C.POWER_SPORTS) -> DataFrame:
+    """``metric(key, ..., reason)`` with every value taken from keys whose sport the metric isn't defined for.
+
+    The gate stands before all others: such a key has the sport's reason, whatever its data.
+    """
+    outside = F.coalesce(~F.col("sport").isin(*applicable), F.lit(False))
+    values = [F.when(~outside, F.col(c)).alias(c) for c in metric.columns if c not in ("key", "reason")]
+    why = F.when(outside, "not_applicable_for_sport").otherwise(F.col("reason"))
+    return metric.join(sports.select("key", "sport"), "key", "left").select("key", *values, why.alias("reason"))
 
 
 def work_above(stream: DataFrame, cp: float) -> DataFrame:

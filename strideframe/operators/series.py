@@ -9,6 +9,10 @@ from strideframe.functions import constants as C
 from strideframe.functions.result import ratio
 
 
+#: Seconds that are made at once.
+BLOCK_S = 3_600
+
+
 def resample_1hz(samples: DataFrame, max_gap_s: float = C.MAX_GAP_S) -> DataFrame:
     """``(key, t, v)`` at every whole second from 0 to the last sample's.
 
@@ -17,12 +21,16 @@ def resample_1hz(samples: DataFrame, max_gap_s: float = C.MAX_GAP_S) -> DataFram
     ``max_gap_s`` apart, and is null otherwise.
     """
     first = samples.groupBy("key", "t").agg(F.min_by("v", "pos").alias("v"))
-    grid = samples.groupBy("key").agg(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.max("t")).cast("long"))).alias("t"))
+    # Seconds are made block by block, so that no row holds a whole recording's.
+    last = samples.groupBy("key").agg(F.floor(F.max("t")).cast("long").alias("last"))
+    blocks = last.select("key", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(BLOCK_S).cast("long"))).alias("from"))
+    grid = blocks.select("key", F.explode(F.sequence("from", F.least(F.col("from") + (BLOCK_S - 1), F.col("last")))).alias("t"))
     on = grid.join(first.withColumn("hit", F.lit(True)), ["key", "t"], "full_outer")
     order = Window.partitionBy("key").orderBy("t")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is looking back in the other order, which needs no more than a row at a time.
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("key").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col("v").isNotNull(), F.col("t"))
-    near = on.select("key", "t", "v", "hit", F.last("v", True).over(back).alias("v0"), F.last(at, True).over(back).alias("t0"), F.first("v", True).over(ahead).alias("v1"), F.first(at, True).over(ahead).alias("t1"))
+    near = on.select("key", "t", "v", "hit", F.last("v", True).over(back).alias("v0"), F.last(at, True).over(back).alias("t0"), F.last("v", True).over(ahead).alias("v1"), F.last(at, True).over(ahead).alias("t1"))
     line = F.col("v0") + ratio((F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")), F.col("t1") - F.col("t0"))
     value = F.when(F.col("hit"), F.col("v")).when(F.col("t1") - F.col("t0") <= max_gap_s, line)
     return near.where(F.col("t") == F.floor("t")).select("key", "t", value.alias("v"))

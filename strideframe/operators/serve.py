@@ -123,8 +123,13 @@ def simplified_track(points: DataFrame, budget: int) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, on: Sequence[str], value: str) -> DataFrame:
-    """Median and nearest-rank 95th percentile of each group."""
-    return rows.groupBy(*on).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    """Median and nearest-rank 95th percentile of each group, from counts of equal values and their running sum."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count(F.lit(1)).alias("m_"))
+    upto = counts.withColumn("upto_", F.sum("m_").over(Window.partitionBy(*on).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    upto = upto.join(rows.groupBy(*on).agg(F.count(value).alias("n")), list(on))
+    at = lambda rank: F.min(F.when(F.col("upto_") >= rank, F.col(value)))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return upto.groupBy(*on).agg(F.max("n").alias("n"), ((at(low) + at(high)) / 2).alias("median"), at(F.ceil(0.95 * F.col("n"))).alias("p95"))
 
 
 def conformal_thresholds(examples: DataFrame, alpha: float) -> DataFrame:
@@ -204,6 +209,14 @@ def coverage(inputs: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
     return found.select("key", present.alias("present"), F.array_except(names, present).alias("missing"), F.when(F.size(present) > 0, "completed").otherwise("degraded").alias("status"))
 
 
+def coverage_of(flags: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """``coverage`` from one row for each key with a flag for each input; a null flag counts as missing."""
+    names = sorted(inputs)
+    present = F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in names)))
+    missing = F.array_except(F.array(*(F.lit(n) for n in names)), present)
+    return flags.select("key", present.alias("present"), missing.alias("missing"), F.when(F.size(present) > 0, "completed").otherwise("degraded").alias("status"))
+
+
 def export_rows(tables: dict[str, DataFrame]) -> DataFrame:
     """``(table, row)`` with each row as JSON, parents first: the lines of a full export."""
     out = None
