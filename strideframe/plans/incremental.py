@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,18 @@ from pyspark.sql import functions as F
 from strideframe.streaming import ingest
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def _scratch(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder under the shared one; a local master without such a setting gets a temporary one, a cluster an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -30,14 +41,15 @@ INGEST = "SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value), 4) AS load,
 
 
 def stream_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """High-water instants by event type after two runs over the log, the second one older."""
+    """High-water instants by event type after two runs over the log: all events but those of odd numbers before 15 January, then these."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("content_hash", F.col("event_id").cast("string"))
-    early, late = rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1 AND ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    second = (F.col("event_id") % 2 == 1) & (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
+    early, late = rows.where(~second), rows.where(second)
     out = ingest.raised(ingest.watermarks(early, ["event_type"], "ts"), ingest.watermarks(late, ["event_type"], "ts"), ["event_type"])
     return out.select("event_type", F.unix_micros(F.col("high_water_at").cast("timestamp")).alias("high_water_us"), "content_hint")
 
 
-WATERMARKS = """WITH a AS (SELECT event_type, max(ts) AS t, max_by(CAST(event_id AS VARCHAR), ts) AS h FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+WATERMARKS = """WITH a AS (SELECT event_type, max(ts) AS t, max_by(CAST(event_id AS VARCHAR), ts) AS h FROM events WHERE NOT (event_id % 2 = 1 AND ts < TIMESTAMP '2024-01-15 00:00:00') GROUP BY 1),
 b AS (SELECT event_type, max(ts) AS t, max_by(CAST(event_id AS VARCHAR), ts) AS h FROM events WHERE event_id % 2 = 1 AND ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1)
 SELECT coalesce(a.event_type, b.event_type) AS event_type, epoch_us(greatest(a.t, b.t)) AS high_water_us, coalesce(b.h, a.h) AS content_hint FROM a FULL JOIN b ON a.event_type = b.event_type"""
 

@@ -74,7 +74,7 @@ def metric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METRIC_TEXT = f"""WITH s AS ({SUMMARY}) SELECT 'event_value{{event_type="' || event_type || '",quantile="0.5"}} ' || printf('%.3f', p50) AS line FROM s
-UNION ALL SELECT 'event_value{{event_type="' || event_type || '",quantile="0.95"}} ' || printf('%.3f', p95) FROM s UNION ALL SELECT 'event_value_count{{event_type="' || event_type || '"}} ' || n FROM s"""
+UNION ALL SELECT 'event_value{{event_type="' || event_type || '",quantile="0.95"}} ' || printf('%.3f', p95) FROM s UNION ALL SELECT 'event_value_sum{{event_type="' || event_type || '"}} ' || printf('%.3f', total) FROM s UNION ALL SELECT 'event_value_count{{event_type="' || event_type || '"}} ' || n FROM s"""
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +83,25 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.token_bucket(e, ["user_id"], "at", 1 / 21600, 3.0).select("user_id", "id", "admitted")
 
 
+LIMIT = """WITH RECURSIVE e AS (SELECT user_id, event_id AS id, CAST(floor(epoch(ts)) AS DOUBLE) AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+b AS (SELECT user_id, CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS s, CAST(0 AS BIGINT) AS i, CAST(3 AS DOUBLE) AS level, false AS admitted FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, id, s, i, CASE WHEN room >= 1 THEN room - 1 ELSE room END, room >= 1
+FROM (SELECT e.user_id, e.id, e.s, e.i, CASE WHEN b.i = 0 THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, level + (e.s - b.s) * (1.0::DOUBLE / 21600)) END AS room FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1))
+SELECT user_id, id, admitted FROM b WHERE i > 0"""
+
+
 def context_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation, the longest words first, within a budget of characters."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").alias("id"), (F.length("text") % 97).cast("double").alias("relevance"), F.length("text").cast("long").alias("tokens"))
     return lifecycle.greedy_context(c, ["conv_id"], 600)
 
 
+PICK = """WITH RECURSIVE c AS (SELECT conv_id, turn AS id, CAST(length(text) % 97 AS DOUBLE) AS relevance, length(text) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 97 DESC, turn) AS i FROM conversations),
+p AS (SELECT conv_id, CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS relevance, CAST(0 AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS i, CAST(600 AS BIGINT) AS room, false AS taken FROM (SELECT DISTINCT conv_id FROM c)
+UNION ALL SELECT c.conv_id, c.id, c.relevance, c.tokens, c.i, CASE WHEN c.tokens <= room THEN room - c.tokens ELSE room END, c.tokens <= room FROM p JOIN c ON c.conv_id = p.conv_id AND c.i = p.i + 1)
+SELECT conv_id, id, relevance, tokens FROM p WHERE taken"""
+
+
 def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.events(spark, sf_dir)
     k = F.col("k").cast("double")
@@ -119,5 +132,5 @@ SELECT np.key, CASE WHEN reason IS NULL THEN 'present' ELSE 'absent_true' END AS
 
 QUERIES = {f.__name__: f for f in (session_identity, never_regress, erasure_counts, retention, recent_summary, metric_text, rate_limit, context_pick, scalar_rules, coverage_states)}
 ORACLE = {
-    "never_regress": REGRESS, "erasure_counts": ERASURE, "retention": RETENTION, "recent_summary": SUMMARY, "metric_text": METRIC_TEXT, "scalar_rules": SCALARS, "coverage_states": COVERAGE,
+    "never_regress": REGRESS, "erasure_counts": ERASURE, "retention": RETENTION, "recent_summary": SUMMARY, "metric_text": METRIC_TEXT, "rate_limit": LIMIT, "context_pick": PICK, "scalar_rules": SCALARS, "coverage_states": COVERAGE,
 }

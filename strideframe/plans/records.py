@@ -180,11 +180,11 @@ AND source IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND key NOT I
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer balances after an upsert of the totals of their orders; the last order of a batch counts."""
     stored = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))
-    batch = fx.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 25 == 0, 1_000_000).otherwise(0)).alias("key"), F.col("o_totalprice").alias("balance"), F.col("o_orderkey").alias("pos"))
+    batch = fx.table(spark, sf_dir, "orders").select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 25 == 0, 1_000_000).otherwise(0)).alias("key"), F.col("o_totalprice").alias("balance"), F.col("o_orderkey").alias("pos"))
     return resolve.upserted(stored, batch, ["key"], "pos").select("key", F.round("balance", 4).alias("balance"))
 
 
-UPSERT = """WITH b AS (SELECT o_custkey + CASE WHEN o_orderkey % 25 = 0 THEN 1000000 ELSE 0 END AS key, max_by(o_totalprice, o_orderkey) AS balance FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+UPSERT = """WITH b AS (SELECT o_custkey + CASE WHEN o_orderkey % 25 = 0 THEN 1000000 ELSE 0 END AS key, max_by(o_totalprice, o_orderkey) AS balance FROM orders GROUP BY 1)
 SELECT key, round(balance, 4) AS balance FROM b UNION ALL SELECT c_custkey, round(c_acctbal, 4) FROM customer WHERE c_custkey NOT IN (SELECT key FROM b)"""
 
 QUERIES = {

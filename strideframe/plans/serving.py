@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideframe.operators import load, power, serve, text
+from strideframe.operators import load, power, serve, series, text
 from strideframe.plans import metrics
 from strideframe.sources import fixtures as fx
 
@@ -74,15 +74,14 @@ SELECT key, day, round(ctl, 5) AS ctl, round(atl, 5) AS atl, round(tsb, 5) AS ts
 
 def coverage_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which inputs each user has: a load, a power curve, a normalized power, a heart-rate stream in range, a threshold."""
-    s = fx.short_stream(spark, sf_dir)
-    inputs = {
-        "training_load": fx.daily_loads(spark, sf_dir).where("load IS NOT NULL").where("key % 4 <> 0"),
-        "power_curve": power.mean_maximal_power(s, (30,)),
-        "critical_power": power.normalized_power(s).where("reason IS NULL AND np_w > 300"),
-        "hrv": s.where("hr > 198"),
-        "signature": fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).where("key % 5 = 0"),
-    }
-    return serve.coverage(inputs, s).select("key", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"), "status")
+    smooth = series.seeded_mean(fx.short_stream(spark, sf_dir), "power", 30, "r")
+    flags = smooth.groupBy("key").agg(
+        (F.count("r") > 0).alias("power_curve"), (F.pow(F.avg(F.pow("r", F.lit(4.0))), F.lit(0.25)) > 300).alias("critical_power"), (F.max("hr") > 198).alias("hrv")
+    )
+    loads = fx.events(spark, sf_dir).where("value <= 100 AND user_id % 4 <> 0").select(F.col("user_id").alias("key")).distinct().withColumn("training_load", F.lit(True))
+    signed = fx.table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("key"), F.lit(True).alias("signature"))
+    flags = flags.join(loads, "key", "left").join(signed, "key", "left")
+    return serve.coverage_of(flags, ("training_load", "power_curve", "critical_power", "hrv", "signature")).select("key", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"), "status")
 
 
 DIAGNOSIS = f"""WITH {metrics._NP}, runs AS (SELECT DISTINCT key FROM r WHERE m IS NOT NULL), i(input) AS (VALUES ('training_load'), ('power_curve'), ('critical_power'), ('hrv'), ('signature')),
@@ -160,13 +159,14 @@ round(count(*) FILTER (n_chars > 2000 AND quality = 1) / nullif(count(*) FILTER
 
 def regression_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.events(spark, sf_dir)
-    run = lambda low, high: e.where(F.to_date("ts").between(low, high)).groupBy(F.col("user_id").alias("metric")).agg(F.avg("value").alias("value"))
-    out = serve.regressions(run("2024-01-01", "2024-01-02"), run("2024-01-03", "2024-01-04"), ["metric"])
+    early = F.to_date("ts") < F.to_date(F.lit("2024-01-16"))
+    run = lambda rows: rows.groupBy(F.col("user_id").alias("metric")).agg(F.avg("value").alias("value"))
+    out = serve.regressions(run(e.where(early)), run(e.where(~early)), ["metric"])
     return out.select("metric", F.round("base", 6).alias("base"), F.round("now", 6).alias("now"), "status")
 
 
-REGRESSION = """WITH a AS (SELECT user_id AS metric, avg(value) AS base FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-02' GROUP BY 1),
-b AS (SELECT user_id AS metric, avg(value) AS now FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-04' GROUP BY 1)
+REGRESSION = """WITH a AS (SELECT user_id AS metric, avg(value) AS base FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-16' GROUP BY 1),
+b AS (SELECT user_id AS metric, avg(value) AS now FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-16' GROUP BY 1)
 SELECT coalesce(a.metric, b.metric) AS metric, round(base, 6) AS base, round(now, 6) AS now, CASE WHEN base IS NULL THEN 'new' WHEN now IS NULL THEN 'gone' WHEN now < base - 1e-9 THEN 'regressed' ELSE 'kept' END AS status FROM a FULL JOIN b ON a.metric = b.metric"""
 
 
@@ -236,6 +236,14 @@ def constraint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.constraint_gate(c, "id", "text", ["heat", "hashe"], ["thea", "restre", "ha"], ["not", "that", "by"])
 
 
+_GATE = r"""WITH s AS (SELECT conv_id || '-' || turn AS id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS ss FROM conversations),
+p AS (SELECT id, generate_subscripts(ss, 1) - 1 AS place, unnest(ss) AS s FROM s), w AS (SELECT id, place, list_filter(string_split_regex(lower(s), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM p),
+u AS (SELECT id, place, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM w), n AS (SELECT id, place, i FROM u WHERE w IN ('not', 'that', 'by')),
+h AS (SELECT u.id, u.place, u.i, bool_or(u.w IN ('heat', 'hashe')) AS hard, count(n.i) AS negated FROM u LEFT JOIN n ON n.id = u.id AND n.place = u.place AND abs(n.i - u.i) <= 4
+WHERE u.w IN ('heat', 'hashe', 'thea', 'restre', 'ha') GROUP BY 1, 2, 3)
+SELECT id, CAST(place AS BIGINT) AS place, CASE WHEN bool_or(hard) THEN 'remove' ELSE 'caution' END AS action FROM h WHERE negated = 0 GROUP BY 1, 2"""
+
+
 def day_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An addition to the reference's operators: events in tumbling windows of six hours."""
     w = fx.events(spark, sf_dir).groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
@@ -273,5 +281,5 @@ QUERIES = {
 ORACLE = {
     "keyset_page": PAGE, "nullable_sort_page": NULLABLE, "topk_recall": RECALL, "decimate": DECIMATE, "dashboard": DASHBOARD, "coverage_diagnosis": DIAGNOSIS, "readiness": READINESS, "sufficiency": SUFFICIENCY,
     "endurance_score": ENDURANCE, "quantiles": QUANTILES, "conformal": CONFORMAL, "label_rates": RATES, "regression_diff": REGRESSION, "export_union": EXPORT, "number_sweep": SWEEP, "url_normalize": URLS,
-    "claim_verify": VERIFY, "decision": DECISION, "day_tumbling": TUMBLING, "user_sessions": USER_SESSIONS, "load_rollup": ROLLUP,
+    "claim_verify": VERIFY, "decision": DECISION, "constraint_gate": _GATE, "day_tumbling": TUMBLING, "user_sessions": USER_SESSIONS, "load_rollup": ROLLUP,
 }

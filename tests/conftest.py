@@ -37,12 +37,14 @@ def duck():
 
 @pytest.fixture(scope="session")
 def same(spark, duck):
-    """Compare a query with its SQL over the smallest tables."""
+    """Compare a query with its SQL over the smallest tables; its plan has no nested-loop join."""
 
     def compare(query, sql):
         df = query(spark, DATA)
         found = duck.execute(sql)
         columns = [d[0] for d in found.description]
         assert normal([tuple(r) for r in df.collect()], df.columns) == normal(found.fetchall(), columns)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
     return compare
