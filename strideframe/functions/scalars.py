@@ -87,3 +87,26 @@ def display(x: Column) -> Column:
     """One decimal, rounded half to even; whole numbers without it."""
     r = F.bround(x, 1)
     return F.when(r == F.floor(r), r.cast("long").cast("string")).otherwise(r.cast("string"))
+
+
+def policy_version(policy: Column) -> Column:
+    """The version of a policy given as a struct with its fields in order: ``v1:`` and sixteen digits of its hash."""
+    return F.concat(F.lit("v1:"), F.substring(F.sha2(F.to_json(policy), 256), 1, 16))
+
+
+def wall_clock(instant: Column, zone: Column) -> Column:
+    """What the clock on the wall of a zone shows at an instant, as text without a zone."""
+    return F.date_format(F.from_utc_timestamp(instant, zone), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def job_id(native_id: Column) -> Column:
+    """The id of the job of a native id in the form of a UUID; the same id always gives the same job."""
+    h = F.sha2(native_id, 256)
+    parts = [(1, 8), (9, 4), (14, 3), (18, 3), (21, 12)]
+    cut = [F.substring(h, at, n) for at, n in parts]
+    return F.concat(cut[0], F.lit("-"), cut[1], F.lit("-5"), cut[2], F.lit("-8"), cut[3], F.lit("-"), cut[4])
+
+
+def base_axis(base: str, index: Column, distance: Column) -> Column:
+    """A sample's place on a chart: its distance where that is asked for and known, else its number of seconds."""
+    return F.coalesce(distance, index.cast("double")) if base == "distance" else index.cast("double")

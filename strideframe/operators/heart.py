@@ -150,3 +150,52 @@ def decoupling(stream: DataFrame, least_s: int = C.DECOUPLING_LEAST_S, smooth: i
     rows = rows.withColumn("reason", why)
     live = F.col("reason").isNull()
     return rows.select("key", F.when(live, 100 * ratio(F.col("e1") - F.col("e2"), F.col("e1"))).alias("drift_pct"), F.when(live, F.col("n")).alias("included_s"), "reason")
+
+
+def with_summary(series: DataFrame, summary: DataFrame) -> DataFrame:
+    """Time-domain variability of each key: from its beats where they gave a value, else the device's summary as it is.
+
+    ``series(key, rmssd, sdnn, pnn50, mean_nn, reason)`` from :func:`hrv_time_domain`, ``summary`` with the same values.
+    Beats that were rejected keep their reason; only a key without beats falls back, and one without either is missing.
+    """
+    values = ("rmssd", "sdnn", "pnn50", "mean_nn")
+    s = summary.select("key", F.struct(*values).alias("summary"))
+    both = series.select("key", F.struct(*values, "reason").alias("beats")).join(s, "key", "full_outer")
+    given = F.greatest(F.lit(False), *(F.col(f"summary.{v}").isNotNull() for v in values))
+    from_summary = F.col("beats").isNull() & F.coalesce(given, F.lit(False))
+    why = F.when(F.col("beats").isNotNull(), F.col("beats.reason")).when(~from_summary, "missing_required_input")
+    source = F.when(F.col("beats").isNotNull(), "beats").when(from_summary, "summary")
+    return both.select("key", *(F.when(from_summary, F.col(f"summary.{v}")).otherwise(F.col(f"beats.{v}")).alias(v) for v in values), source.alias("source"), why.alias("reason"))
+
+
+def baseline(low: Column, high: Column) -> Column:
+    """The middle of a baseline band: the mean of those of its bounds that are finite numbers."""
+    a, b = F.when(finite(low), low), F.when(finite(high), high)
+    return F.when(a.isNotNull() & b.isNotNull(), (a + b) / 2).otherwise(F.coalesce(a, b))
+
+
+def beats_of_day(sets: DataFrame) -> DataFrame:
+    """Beats of each key and day from the first recording that carries them: ``sets(key, day, recording_id, rr array)``."""
+    carrying = sets.where(F.coalesce(F.size("rr"), F.lit(0)) > 0)
+    return carrying.groupBy("key", "day").agg(F.min("recording_id").alias("recording_id"), F.min_by("rr", "recording_id").alias("rr"))
+
+
+def hr_load(rows: DataFrame, preferred: str | None = None) -> DataFrame:
+    """The heart-rate load of ``(key, has_hr, zonal, banister)``: load, load_model, requested_load_model, load_model_substituted.
+
+    Without heart rate there is none. The preferred model counts where it gave a value, else the other, which is marked;
+    without a preference the zonal one comes first.
+    """
+    order = ("banister", "zonal") if preferred == "banister" else ("zonal", "banister")
+    live = F.coalesce(F.col("has_hr"), F.lit(False))
+    value = F.when(live, F.coalesce(*order))
+    model = F.when(live, F.when(F.col(order[0]).isNotNull(), order[0]).when(F.col(order[1]).isNotNull(), order[1]))
+    other = model.isNotNull() & (model != F.lit(preferred)) if preferred else F.lit(False)
+    return rows.select("key", value.alias("load"), model.alias("load_model"), F.when(other, F.lit(preferred)).alias("requested_load_model"), F.coalesce(other, F.lit(False)).alias("load_model_substituted"))
+
+
+def output_stream(stream: DataFrame, sports: DataFrame) -> DataFrame:
+    """``(key, t, power, hr)`` for decoupling from ``(key, t, power, speed, hr)``: output is power for cycling and speed for
+    sports on foot; other sports have none. Gate the metric with :func:`power.gated` over both kinds."""
+    out = F.when(F.col("sport").isin(*C.POWER_SPORTS), F.col("power")).when(F.col("sport").isin(*C.PACE_SPORTS), F.col("speed"))
+    return stream.join(sports.select("key", "sport"), "key").select("key", "t", out.alias("power"), "hr")

@@ -163,3 +163,37 @@ def greedy_context(records: DataFrame, on: Sequence[str], budget: int) -> DataFr
 
     return top.select(*on, "id", "relevance", "tokens").groupBy(*on).applyInPandas(pick, top.select(*on, "id", "relevance", "tokens").schema)
 
+
+
+def ensured(stored: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``stored`` and the rows of ``wanted`` whose key it lacks, the least of a key's once; what is stored is never changed."""
+    rest = [c for c in wanted.columns if c not in on]
+    once = wanted.groupBy(*on).agg(F.min(F.struct(*rest)).alias("r")).select(*on, "r.*")
+    return stored.unionByName(once.join(stored.select(*on), list(on), "left_anti"))
+
+
+def owned_by_either(children: DataFrame, branches: Sequence[tuple[DataFrame, str, str, str]]) -> DataFrame:
+    """Children that belong to any of several kinds of parents: ``branches`` of (parents, kind, parent's key, child's key);
+    a child's ``parent_kind`` says to which kind its key refers. Each child comes once."""
+    found = None
+    for parents, kind, theirs, own in branches:
+        one = children.where(F.col("parent_kind") == kind).join(parents.select(F.col(theirs).alias(own)).distinct(), own, "left_semi")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
+
+
+def table_order(parents: dict[str, Sequence[str]], first: Sequence[str] = (), delete: bool = False) -> list[str]:
+    """Tables with every parent before its children, by name where that leaves a choice; reversed to delete, with ``first``
+    hoisted to the front then. ValueError for tables that depend on each other in a ring."""
+    left, out = {t: set(p) & set(parents) for t, p in parents.items()}, []
+    while left:
+        ready = sorted(t for t, p in left.items() if not p)
+        if not ready:
+            raise ValueError(f"tables in a ring: {sorted(left)}")
+        out.append(ready[0])
+        del left[ready[0]]
+        for p in left.values():
+            p.discard(ready[0])
+    if not delete:
+        return out
+    return [t for t in first if t in parents] + [t for t in reversed(out) if t not in first]

@@ -224,3 +224,28 @@ def export_rows(tables: dict[str, DataFrame]) -> DataFrame:
         one = frame.select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def pass_rates(trials: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Trials ``(*on, case_id, passed)`` of each suite: cases, trials, share of cases that pass in all their trials (pass^k),
+    share of trials passed, and whether everything passed."""
+    per_case = trials.groupBy(*on, "case_id").agg(F.bool_and("passed").alias("all_"), F.count(F.lit(1)).alias("n_"), F.count_if("passed").alias("ok_"))
+    share = lambda a, b: ratio(a, b)
+    return per_case.groupBy(*on).agg(
+        F.count(F.lit(1)).alias("cases"), F.sum("n_").alias("trials"), share(F.count_if("all_"), F.count(F.lit(1))).alias("pass_all"), share(F.sum("ok_"), F.sum("n_")).alias("pass_rate"), F.bool_and("all_").alias("passed")
+    )
+
+
+def readiness_consistent(rows: DataFrame) -> DataFrame:
+    """Whether a given ``verdict`` is the one that the row's form and variability lead to; false where there is none."""
+    want = readiness(rows).select("key", F.col("verdict").alias("want"))
+    return rows.join(want, "key").select("key", F.coalesce(F.col("verdict") == F.col("want"), F.lit(False)).alias("consistent"))
+
+
+def write_artifact(rows: DataFrame, path: str, kind: str, oldest_first: str) -> None:
+    """An export of rows in order of ``oldest_first``: ``json`` (a row a line) or ``csv`` with a header, gzipped."""
+    if kind not in ("json", "csv"):
+        raise ValueError(f"not a kind of export: {kind}")
+    ordered = rows.orderBy(oldest_first, *(c for c, t in rows.dtypes if c != oldest_first and not t.startswith(("map", "array", "struct"))))
+    writer = ordered.write.mode("errorifexists").option("compression", "gzip")
+    writer.json(path) if kind == "json" else writer.option("header", True).csv(path)

@@ -70,3 +70,22 @@ def running_fitness(daily: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], day, ctl, atl)], columns=["key", "day", "ctl", "atl"])
 
     return daily.groupBy("key").applyInPandasWithState(advance, FITNESS, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def fold_versions(spark: SparkSession, log: str, current: str, key: str) -> DataFrame:
+    """The current version of each key, kept as a table so that a run reads the batches since the last one alone.
+
+    ``current`` has a folder for each fold, named by the last batch in it; a fold that runs again replaces its folder.
+    """
+    from pyspark.errors import AnalysisException
+
+    batches = spark.read.parquet(log)
+    last = batches.agg(F.max("batch")).first()[0]
+    try:
+        folded = spark.read.parquet(current)
+        upto = folded.where(F.col("upto") < last).agg(F.max("upto")).first()[0]
+    except AnalysisException:
+        upto = None
+    rows = batches if upto is None else folded.where(F.col("upto") == upto).drop("upto").unionByName(batches.where(F.col("batch") > upto))
+    current_version(rows, [key], [F.desc("batch"), F.col("content_hash")]).write.mode("overwrite").parquet(f"{current}/upto={last}")
+    return spark.read.parquet(current).where(F.col("upto") == last).drop("upto")
