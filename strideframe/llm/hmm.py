@@ -37,7 +37,9 @@ LONGEST = 64
 LEAST_GAIN = 0.002
 ROUNDS = 6
 #: Tokens of the texts that are worked side by side.
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 18
+#: Tokens of the pieces that long texts are worked in.
+PIECE = 1_024
 HELD_OUT = (7, 2)
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _LOWER_CASE = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -180,30 +182,83 @@ def _side_by_side(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     return order, alive, flat[np.argsort(time, kind="stable")]
 
 
+def _messages(model: Model, pieces: list[np.ndarray], chains: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """What each piece of a cut sequence takes over: the distribution of its first state given all tokens before it, and the
+    relative likelihoods of all tokens after it given its last state.
+
+    ``chains`` lists the pieces of each sequence in order. A piece's tokens act on states as one matrix; the matrices of all
+    pieces are made side by side, and only they are passed through in order.
+    """
+    k = len(model.first)
+    before, after = np.tile(model.first, (len(pieces), 1)), np.ones((len(pieces), k))
+    cut = [c for c in chains if len(c) > 1]
+    if not cut:
+        return before, after
+    members = [i for c in cut for i in c]
+    order, alive, tokens_ = _side_by_side([pieces[i] for i in members])
+    table, at = np.ascontiguousarray(model.emit.T), 0
+    acts = np.zeros((len(members), k, k))
+    for t, w in enumerate(alive):
+        likely = table[tokens_[at : at + w]]
+        acts[:w] = np.eye(k) * likely[:, None] if t == 0 else (acts[:w].reshape(-1, k) @ model.step).reshape(w, k, k) * likely[:, None]
+        acts[:w] /= acts[:w].sum((1, 2))[:, None, None]
+        at += w
+    place = np.empty(len(pieces), np.int64)
+    place[np.array(members)[order]] = np.arange(len(members))
+    for rank in range(max(map(len, cut)) - 1):
+        here, there = (np.array([c[rank + j] for c in cut if len(c) > rank + 1]) for j in (0, 1))
+        ends = np.einsum("nk,nkj->nj", before[here], acts[place[here]])
+        before[there] = ends / ends.sum(1, keepdims=True) @ model.step
+    for rank in range(max(map(len, cut)) - 1, 0, -1):
+        here, there = (np.array([c[rank + j] for c in cut if len(c) > rank]) for j in (0, -1))
+        starts = np.einsum("nkj,nj->nk", acts[place[here]], after[here]) @ model.step.T
+        after[there] = starts / starts.sum(1, keepdims=True)
+    return before, after
+
+
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of whole sequences (first states, steps, emissions) and their log10 likelihood."""
-    _, alive, tokens_ = _side_by_side(sequences)
+    """Baum-Welch counts of whole sequences (first states, steps, emissions) and their log10 likelihood.
+
+    Long sequences are cut into pieces that are worked side by side; what crosses a cut is taken over exactly.
+    """
+    pieces, chains = [], []
+    for s in sequences:
+        chains.append(list(range(len(pieces), len(pieces) - (-len(s) // PIECE))))
+        pieces += [s[i : i + PIECE] for i in range(0, len(s), PIECE)]
+    order, alive, tokens_ = _side_by_side(pieces)
+    before, after = (x[order] for x in _messages(model, pieces, chains))
+    last = np.empty(len(pieces), np.int64)  # place of the piece before, -1 for a first one
+    place = np.empty(len(pieces), np.int64)
+    place[order] = np.arange(len(pieces))
+    for c in chains:
+        last[place[c]] = [-1, *place[c[:-1]]]
     at = np.r_[0, np.cumsum(alive)]
     k = len(model.first)
     table = np.ascontiguousarray(model.emit.T)
     alpha, scale = np.empty((len(tokens_), k)), np.empty(len(tokens_))
+    ends = np.empty((len(pieces), k))
     for t, w in enumerate(alive):
         rows = slice(at[t], at[t] + w)
-        now = (model.first if t == 0 else alpha[at[t - 1] : at[t - 1] + w] @ model.step) * table[tokens_[rows]]
+        now = (before if t == 0 else alpha[at[t - 1] : at[t - 1] + w] @ model.step) * table[tokens_[rows]]
         scale[rows] = now.sum(1)
-        alpha[rows] = now / scale[rows][:, None]
-    step, beta = np.zeros((k, k)), np.ones((alive[-1], k))
+        alpha[rows] = ends[:w] = now / scale[rows][:, None]
+    after /= (ends * after).sum(1, keepdims=True)
+    step, beta = np.zeros((k, k)), after[: alive[-1]]
     for t in range(len(alive) - 1, 0, -1):
         w = alive[t]
         rows = slice(at[t], at[t] + w)
         arrives = table[tokens_[rows]] * beta / scale[rows][:, None]
         step += alpha[at[t - 1] : at[t - 1] + w].T @ arrives
         alpha[rows] *= beta
-        beta = np.ones((alive[t - 1], k))
+        beta = after[: alive[t - 1]].copy()
         beta[:w] = arrives @ model.step.T
-    alpha[: alive[0]] *= beta
+    rows = slice(0, alive[0])
+    arrives = table[tokens_[rows]] * beta / scale[rows][:, None]
+    crossing = last >= 0
+    step += ends[last[crossing]].T @ arrives[crossing]
+    alpha[rows] *= beta
     emit = np.stack([np.bincount(tokens_, alpha[:, s], CLASSES) for s in range(k)])
-    return alpha[: alive[0]].sum(0), step * model.step, emit, float(np.log10(scale).sum())
+    return alpha[rows][~crossing].sum(0), step * model.step, emit, float(np.log10(scale).sum())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:

@@ -66,6 +66,17 @@ def test_hmm_scores_end_to_end(documents, rows):
         assert out[d] == pytest.approx(forward(model, classes[d])[1] + within, rel=1e-5)
 
 
+def test_cut_sequences_count_as_whole_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = hmm.Model.start(4)
+    sequences = [rng.integers(0, hmm.CLASSES, n).astype("<u2") for n in (1, 7, 8, 9, 40, 3, 64, 23)]
+    whole = hmm.expected_counts(model, sequences)
+    assert whole[0].sum() == pytest.approx(len(sequences)) and whole[2].sum() == pytest.approx(sum(map(len, sequences))) and whole[1].sum() == pytest.approx(sum(len(s) - 1 for s in sequences))
+    assert whole[3] == pytest.approx(hmm.log10_likelihoods(model, sequences).sum())
+    monkeypatch.setattr(hmm, "PIECE", 8)
+    assert all(np.allclose(a, b) for a, b in zip(hmm.expected_counts(model, sequences), whole))
+
+
 def test_quality_scores_by_hand(spark, documents, rows):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     words = [t.encode().split() for _, t in rows]
