@@ -31,23 +31,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node on an edge of ``edges(u, v)``, two long columns; root is the component's smallest node.
 
-    Loops and repeated edges change nothing; an empty edge list gives an empty table.
+    Loops and repeated edges change nothing; an empty edge list gives an empty table. Rounds go on until nothing changes;
+    their number grows with the square of the logarithm of a component's size at most.
     """
-    spark = edges.sparkSession
     current = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(current)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    before, state = None, _state(current)
+    while state[0] and state != before:
         after = saved(_small_star(_large_star(current)), "edges")
         dropped(current)
         current, before, state = after, state, _state(after)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components: no fixed point within {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
