@@ -13,7 +13,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one of the smallest doc_id."""
+    """One document of each class: those whose fingerprints are within three bits, or whose five-word sets are 0.8 alike; the
+    one of the smallest doc_id stays."""
     return simhash.one_of_each(docs)
 
 
@@ -38,8 +39,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over the whole of ``documents``; each reads its predecessor's written table."""
+    """Every stage over the whole of ``documents``; each reads its predecessor's written table, which goes once it is read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = common.saved(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if i:
+            common.dropped(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
