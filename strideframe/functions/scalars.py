@@ -36,10 +36,6 @@ def feel(value: Column) -> Column:
     return F.when((value == F.floor(value)) & value.between(1, 5), value.cast("int"))
 
 
-def degrees(semicircles: Column) -> Column:
-    return semicircles * (180 / 2**31)
-
-
 def content_hash(*columns: str) -> Column:
     """sha256 of the canonical JSON of the columns, in order of their names."""
     return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))), 256)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import constants as C
+from strideframe.functions.scalars import versioned_id
 
 KEYS = ("trust_tier", "confidence", "recency", "completeness", "source_id")
 
@@ -59,6 +60,15 @@ def current_version(log: DataFrame, on: Sequence[str], order: Sequence[Column])
     return log.withColumn("rn_", F.row_number().over(latest)).where("rn_ = 1").drop("rn_")
 
 
+def versions(log: DataFrame, on: Sequence[str], order: Sequence[Column], native: str, digest: str) -> DataFrame:
+    """All versions of each key with ``is_superseded``: the latest keeps its native id, an older one is named by its hash. Versions
+    of one hash are one, however often they were delivered."""
+    once = log.dropDuplicates([*on, digest])
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(*order))
+    rows = once.withColumn("is_superseded", place > 1)
+    return rows.withColumn(native, F.when(F.col("is_superseded"), versioned_id(F.col(native), F.col(digest))).otherwise(F.col(native)))
+
+
 def first_violation(rules: Sequence[tuple[str, Column]]) -> Column:
     """The id of the first rule that a row breaks, null for a sound row."""
     return F.coalesce(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions import constants as C
+from strideframe.functions.scalars import display
 
 NUMBER = r"^[(\[\"']*(-?[0-9]+(?:[.][0-9]+)?)[.,;:!?)\]\"']*$"
 BLANK = r"[\t\n\x0B\f\r ]+"
@@ -46,7 +47,7 @@ def verify_numbers(claims: DataFrame) -> DataFrame:
     """Adds ``verdict`` and ``rewritten`` to claims ``(value, prescriptive, echo, canonical)``.
 
     Without a value: ungrounded. A prescriptive claim may only echo the request. Without a canonical value: an echo, or
-    ungrounded. Within tolerance: grounded, else contradicted; both are rewritten to the canonical value.
+    ungrounded. Within tolerance: grounded, else contradicted; both are rewritten to the canonical value as it is shown.
     """
     echo = F.coalesce(F.col("echo"), F.lit(False))
     or_echo = F.when(echo, "echo").otherwise("ungrounded")
@@ -55,7 +56,7 @@ def verify_numbers(claims: DataFrame) -> DataFrame:
         F.when(F.col("value").isNull(), "ungrounded").when(F.coalesce("prescriptive", F.lit(False)), or_echo).when(~known, or_echo)
         .when(close(F.col("value"), F.col("canonical")), "grounded").otherwise("contradicted")
     )
-    return claims.withColumn("verdict", verdict).withColumn("rewritten", F.when(F.col("verdict").isin("grounded", "contradicted"), F.bround("canonical", 1)))
+    return claims.withColumn("verdict", verdict).withColumn("rewritten", F.when(F.col("verdict").isin("grounded", "contradicted"), display(F.col("canonical"))))
 
 
 def decision(claims: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideframe.functions.result import result
 from strideframe.operators import heart, load, power
 
 GAP = "capability string, reason string, detail string"
@@ -33,10 +34,23 @@ def _load_metrics(x: Inputs) -> DataFrame:
     return power.load_bundle(power.normalized_power(x.streams).join(rates, "key").join(x.signatures.select("key", "ftp_w"), "key", "left"))
 
 
+def enveloped(metric: DataFrame, value: str) -> DataFrame:
+    """``(key, result)``: the value in its envelope, with confidence, coverage and gaps where the metric tells them."""
+    told = {c: F.col(c) for c in ("confidence", "coverage_fraction", "gap_count") if c in metric.columns}
+    made = result(F.col(value), F.col("reason"), told.get("confidence", 1.0), told.get("coverage_fraction", 1.0), told.get("gap_count", 0))
+    return metric.select("key", made.alias("result"))
+
+
+def _balance(x: Inputs, sport: str) -> DataFrame:
+    return power.w_balance_summary(x.streams, x.signatures.select("key", F.lit(sport).alias("sport"), F.col("cp_w"), F.col("w_prime_j")))
+
+
 CAPABILITIES: dict[str, Callable[..., DataFrame]] = {
     "weekly_load": lambda x, first, last: _days(load.pmc(load.daily_grid(x.daily, last)), first, last),
     "power_curve": lambda x: power.mean_maximal_power(x.streams),
     "critical_power": lambda x: power.critical_power(power.mean_maximal_power(x.streams)),
+    "normalized_power": lambda x: enveloped(power.normalized_power(x.streams), "np_w"),
+    "w_balance": lambda x, sport="cycling": _balance(x, sport),
     "load_metrics": lambda x: _load_metrics(x),
     "decoupling": lambda x: heart.decoupling(x.streams),
     "trimp": lambda x, rest, most, sex=None: heart.banister_load(x.streams, rest, most, sex),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideframe.functions import scalars
 from strideframe.operators import resolve, temporal
 from strideframe.sources import fixtures as fx
 
@@ -187,11 +188,20 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 UPSERT = """WITH b AS (SELECT o_custkey + CASE WHEN o_orderkey % 25 = 0 THEN 1000000 ELSE 0 END AS key, max_by(o_totalprice, o_orderkey) AS balance FROM orders GROUP BY 1)
 SELECT key, round(balance, 4) AS balance FROM b UNION ALL SELECT c_custkey, round(c_acctbal, 4) FROM customer WHERE c_custkey NOT IN (SELECT key FROM b)"""
 
+def candidate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of an order and supplier as versions of one record; equal line and part numbers are one version."""
+    rows = fx.candidates(spark, sf_dir).select("key", "source", "line", "native", F.concat_ws("-", "key", "source").alias("native_id"), scalars.content_hash("line", "native").alias("digest"))
+    return resolve.versions(rows, ["key", "source"], [F.desc("line"), F.desc("native")], "native_id", "digest").select("key", "source", "line", "native", "native_id", "is_superseded")
+
+
+VERSIONS = f"""WITH {fx.CANDIDATES}, v AS (SELECT DISTINCT key, source, line, native FROM candidates), r AS (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY line DESC, native DESC) > 1 AS is_superseded FROM v)
+SELECT key, source, line, native, key || '-' || source || CASE WHEN is_superseded THEN '#superseded:' || substr(sha256('{{"line":' || line || ',"native":' || native || '}}'), 1, 16) ELSE '' END AS native_id, is_superseded FROM r"""
+
 QUERIES = {
     f.__name__: f
-    for f in (signature_asof, identity_band_join, session_match, gap_self_heal, local_day_bucket, backfill_chunks, signature_intervals, field_winner, field_resolution, effective_tier, current_candidates, quarantine, tombstones, upsert)
+    for f in (candidate_versions, signature_asof, identity_band_join, session_match, gap_self_heal, local_day_bucket, backfill_chunks, signature_intervals, field_winner, field_resolution, effective_tier, current_candidates, quarantine, tombstones, upsert)
 }
 ORACLE = {
-    "signature_asof": ASOF, "identity_band_join": BAND, "session_match": SESSIONS, "gap_self_heal": HEAL, "local_day_bucket": LOCAL, "backfill_chunks": CHUNKS, "signature_intervals": INTERVALS, "field_winner": WINNER, "field_resolution": RESOLUTION,
+    "candidate_versions": VERSIONS, "signature_asof": ASOF, "identity_band_join": BAND, "session_match": SESSIONS, "gap_self_heal": HEAL, "local_day_bucket": LOCAL, "backfill_chunks": CHUNKS, "signature_intervals": INTERVALS, "field_winner": WINNER, "field_resolution": RESOLUTION,
     "effective_tier": TIER, "current_candidates": CURRENT, "quarantine": QUARANTINE, "tombstones": TOMBSTONES, "upsert": UPSERT,
 }

@@ -215,10 +215,13 @@ WHEN abs(value - canonical) <= greatest(0.02 * greatest(abs(value), abs(canonica
 
 
 def claim_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.verify_numbers(_claims(spark, sf_dir)).select("event_id", "verdict", F.col("rewritten").isNotNull().alias("is_rewritten"))
+    return text.verify_numbers(_claims(spark, sf_dir)).select("event_id", "verdict", "rewritten")
 
 
-VERIFY = f"WITH {_CLAIMS} SELECT event_id, verdict, verdict IN ('grounded', 'contradicted') AS is_rewritten FROM v"
+#: One decimal, half to even, of values of two decimals.
+VERIFY = f"""WITH {_CLAIMS}, h AS (SELECT event_id, verdict, CAST(round(canonical * 100) AS BIGINT) AS h FROM v),
+d AS (SELECT event_id, verdict, h // 10 + CASE WHEN h % 10 > 5 OR (h % 10 = 5 AND h // 10 % 2 = 1) THEN 1 ELSE 0 END AS d FROM h)
+SELECT event_id, verdict, CASE WHEN verdict IN ('grounded', 'contradicted') THEN CASE WHEN d % 10 = 0 THEN CAST(d // 10 AS VARCHAR) ELSE d // 10 || '.' || d % 10 END END AS rewritten FROM d"""
 
 
 def decision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strideframe.functions import constants as C
+from strideframe.functions.scalars import content_hash
 from strideframe.operators.resolve import current_version
 
 
@@ -19,7 +20,7 @@ def append_versions(stream: DataFrame, log: str, checkpoint: str, key: str, avai
     restart neither loses nor repeats rows. ``content_hash`` tells byte-identical re-deliveries apart from changes."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        hashed = batch.withColumn("content_hash", F.sha2(F.to_json(F.struct(*sorted(batch.columns))), 256))
+        hashed = batch.withColumn("content_hash", content_hash(*batch.columns))
         hashed.dropDuplicates([key, "content_hash"]).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
