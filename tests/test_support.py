@@ -57,3 +57,31 @@ def test_seeds_must_be_finite(spark):
     reasons = lambda *seed: {r.reason for r in listing.seeded_window(days, "2024-01-04", "2024-01-08", *seed).collect()}
     assert reasons() == reasons(float("nan"), 1.0) == {"not_seeded"} and reasons(1.0, 2.0) == {None}
     assert {r.reason for r in listing.seeded_window(days, "2024-01-01", "2024-01-08").collect()} == {None}
+
+
+def test_adapters(spark):
+    from dataclasses import dataclass
+
+    from pyspark.errors import PySparkException
+
+    from strideframe.sources import adapters
+
+    @dataclass
+    class Point:
+        name: str
+        found: object
+
+        def load(self):
+            if isinstance(self.found, Exception):
+                raise self.found
+            return self.found
+
+    read = lambda s, types: s.createDataFrame([(t,) for t in types], "gbo_type string")
+    good = adapters.Adapter("a", "file", ("activity",), ("map",), read)
+    odd = [adapters.Adapter("b", "poll", ("activity",), ("map",), read), adapters.Adapter("c", "file", ("invoice",), ("map",), read), adapters.Adapter("a", "file", ("activity",), ("map",), read), object(), RuntimeError("broken")]
+    registry = adapters.load_registry([Point("p0", good), *(Point(f"p{i}", x) for i, x in enumerate(odd, 1))])
+    assert list(registry.adapters) == ["a"]
+    assert registry.refused == {"p1": "phases missing: discover, fetch", "p2": "not writable: invoice", "p3": "key is taken: a", "p4": "not an adapter", "p5": "RuntimeError: broken"}
+    assert registry.candidates(spark, "a", types=["activity"]).count() == 1
+    with pytest.raises(PySparkException, match="schema_mismatch"):
+        registry.candidates(spark, "a", types=["activity", "daily_wellness"]).collect()
