@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -52,6 +52,13 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
 
 
+def mapped_whole(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` with each task's batches passed through ``work``, which keeps its columns; they stand at their places, as the
+    names of a frame may be such that Spark can't look them up."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(work, plain.schema).toDF(*df.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, size):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import as_bytes, slices
+from strideframe.llm.common import as_bytes, mapped_whole, slices
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -155,13 +155,14 @@ def quality_cascade(docs: DataFrame, rules: dict[str, Rule] | None = None, fract
     """
     rules = rules or RULES
     order = cascade_order(rule_statistics(docs, rules, fraction), rules)
+    at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            stays = [_run(order, rules, Measures(text)) is None for text in as_bytes(part.column("text"))]
+            stays = [_run(order, rules, Measures(text)) is None for text in as_bytes(part.column(at))]
             yield part.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return mapped_whole(docs, kept)
 
 
 DIGEST = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import as_bytes, slices
+from strideframe.llm.common import as_bytes, mapped_whole, slices
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -209,20 +209,20 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     rows that changed. Other rows and columns pass through; a null text stays null."""
     dictionary = identifier_dictionary(docs)
     counts = dict(docs.dtypes).get("n_chars") in ("bigint", "int")
+    at = docs.columns.index("text")
+    n_at = docs.columns.index("n_chars") if counts else -1
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(dictionary)
         for part in slices(batches):
-            column = part.column("text")
+            column = part.column(at)
             found = [spans(text, novelty) for text in as_bytes(column)]
             if any(found):
                 new = [masked(t, f) if f else t for t, f in zip(column.cast(pa.binary()).to_pylist(), found)]
-                at = part.schema.get_field_index("text")
                 part = part.set_column(at, part.schema.field(at), pa.array(new, pa.binary()).cast(column.type))
                 if counts:
-                    at = part.schema.get_field_index("n_chars")
-                    n = [len(t.decode("utf-8", "replace")) if f else old for t, f, old in zip(new, found, part.column(at).to_pylist())]
-                    part = part.set_column(at, part.schema.field(at), pa.array(n, part.schema.field(at).type))
+                    n = [len(t.decode("utf-8", "replace")) if f else old for t, f, old in zip(new, found, part.column(n_at).to_pylist())]
+                    part = part.set_column(n_at, part.schema.field(n_at), pa.array(n, part.schema.field(n_at).type))
             yield part
 
-    return docs.mapInArrow(rewritten, docs.schema)
+    return mapped_whole(docs, rewritten)

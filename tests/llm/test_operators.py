@@ -79,7 +79,7 @@ def test_base_spans(documents, rows, odd):
         for d, t in texts:
             digest = ",".join(f"{secrets_scan.KINDS[k]}:{s}:{e}" for s, k, e in plain_spans(t))
             want[d, hashlib.sha256(digest.encode()).hexdigest()] += 1
-        out = secrets_scan.secret_report(docs.select(*docs.columns)).collect()
+        out = secrets_scan.secret_report(docs).collect()
         assert Counter((r.doc_id, r.base_sha256) for r in out) == want
         assert all(len([x for x in r.spans.split(",") if x]) == r.n_assign + r.n_access + r.n_hex + r.n_novel for r in out)
 
