@@ -3,7 +3,7 @@
 Every token has a sparse ternary index vector by its hash. The VOCABULARY commonest tokens of the corpus have a context
 vector besides, the normalised sum of the index vectors of their neighbours (WINDOW to each side) over all documents; a
 rarer token is its index vector alone. Tokens stand in two streams: words in lower case, and as an addition their shapes
-(runs of letters, digits and marks). A document is the mean of its word vectors, that of its distinct words' vectors,
+(runs of letters and of digits, and marks). A document is the mean of its word vectors, that of its distinct words' vectors,
 the mean of its shape vectors, and as an addition what these means are over: the number of words (its logarithm) and the
 shares of distinct words and of distinct pairs of words.
 
@@ -14,7 +14,6 @@ probabilities. What is collected is bounded by FIT_ROWS and VOCABULARY.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -44,11 +43,23 @@ HELD_OUT = (4, 2)
 MEMO = 300_000
 LONGEST = 64  # bytes of a token of the vocabulary
 _SHAPES = bytes.maketrans(bytes(range(97, 123)) + bytes(range(65, 91)) + bytes(range(48, 58)) + bytes(range(128, 256)), b"x" * 26 + b"X" * 26 + b"9" * 10 + b"x" * 128)
-_RUNS = re.compile(rb"(.)\1+", re.S)
+
+
+def lowered(words: list[bytes]) -> list[bytes]:
+    return b" ".join(words).lower().split(b" ")
+
+
+def shaped(words: list[bytes]) -> list[bytes]:
+    """The shape of each word: its letters, digits and marks by kind, a run of letters or digits as a single one."""
+    joined = b" ".join(words).translate(_SHAPES)
+    for kind in (b"x", b"X", b"9"):
+        while kind + kind in joined:
+            joined = joined.replace(kind + kind, kind)
+    return joined.split(b" ")
 
 
 def shape(word: bytes) -> bytes:
-    return _RUNS.sub(rb"\1", word.translate(_SHAPES))
+    return shaped([word])[0]
 
 
 def index_vectors(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,18 +92,37 @@ class Stream:
 
 
 class Reader:
-    """Word and shape ids of texts; keeps a bounded memo of words."""
+    """Word and shape ids of texts. Words of the vocabulary are kept with both ids; the others of a text are read together."""
 
     def __init__(self, words: Stream, shapes: Stream):
-        self.words, self.shapes, self.memo = words, shapes, {}
+        self.words, self.shapes, self.memo, self.runs = words, shapes, {}, {}
+
+    def _ids(self, words: list[bytes]) -> list[int]:
+        if len(self.memo) + len(self.runs) > MEMO:
+            self.memo.clear()
+            self.runs.clear()
+        out = []
+        known, place, runs, rest = self.memo, self.words.place.get, self.runs, len(self.words.place)
+        for word, low, s in zip(words, lowered(words), shaped(words)):
+            of_shape = runs.get(s)
+            if of_shape is None:
+                of_shape = runs[s] = self.shapes.id(s)
+            at = place(low)
+            if at is None:
+                out.append((rest + zlib.crc32(low) % BUCKETS) << 20 | of_shape)
+            else:
+                known[word] = at << 20 | of_shape
+                out.append(known[word])
+        return out
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        words, memo = text.split(), self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in {w for w in words if w not in memo}:
-            memo[w] = self.words.id(w.lower()) << 20 | self.shapes.id(shape(w))
-        both = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        words = text.split()
+        found = list(map(self.memo.get, words))
+        if None in found:
+            new = [i for i, x in enumerate(found) if x is None]
+            for i, x in zip(new, self._ids([words[i] for i in new])):
+                found[i] = x
+        both = np.array(found, np.int64)
         return both >> 20, both & 0xFFFFF
 
 
@@ -119,12 +149,12 @@ def _vocabularies(docs: DataFrame) -> tuple[Stream, Stream]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(n: Counter) -> pa.RecordBatch:
-            streams = [Counter(), Counter()]
-            for word, times in n.items():
-                streams[0][word.lower()] += times
-                streams[1][shape(word)] += times
-            rows = [(k, t, times) for k, stream in enumerate(streams) for t, times in stream.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.int64()))], names=["stream", "token", "n"])
+            raw, words, shapes = list(n), {}, {}
+            for stream, tokens in ((words, lowered(raw)), (shapes, shaped(raw))):
+                for token, times in zip(tokens, n.values()):
+                    stream[token] = stream.get(token, 0) + times
+            columns = np.repeat([0, 1], [len(words), len(shapes)]), [*words, *shapes], [*words.values(), *shapes.values()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64()))], names=["stream", "token", "n"])
 
         n: Counter = Counter()
         for part in slices(batches):
