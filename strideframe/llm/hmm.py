@@ -234,26 +234,34 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
         last[place[c]] = [-1, *place[c[:-1]]]
     at = np.r_[0, np.cumsum(alive)]
     k = len(model.first)
-    table = np.ascontiguousarray(model.emit.T)
+    ahead = model.emit.T[tokens_]  # of each token in each state; relative to its scale after the forward pass
     alpha, scale = np.empty((len(tokens_), k)), np.empty(len(tokens_))
-    ends = np.empty((len(pieces), k))
     for t, w in enumerate(alive):
         rows = slice(at[t], at[t] + w)
-        now = (before if t == 0 else alpha[at[t - 1] : at[t - 1] + w] @ model.step) * table[tokens_[rows]]
-        scale[rows] = now.sum(1)
-        alpha[rows] = ends[:w] = now / scale[rows][:, None]
+        now = alpha[rows]
+        if t:
+            np.matmul(alpha[at[t - 1] : at[t - 1] + w], model.step, out=now)
+            now *= ahead[rows]
+        else:
+            np.multiply(before, ahead[rows], out=now)
+        now.sum(1, out=scale[rows])
+        now /= scale[rows][:, None]
+    ahead /= scale[:, None]
+    size = np.searchsorted(-alive, -np.arange(1, len(pieces) + 1), side="right")  # of the pieces in their order
+    ends = alpha[at[size - 1] + np.arange(len(pieces))]
     after /= (ends * after).sum(1, keepdims=True)
     step, beta = np.zeros((k, k)), after[: alive[-1]]
     for t in range(len(alive) - 1, 0, -1):
         w = alive[t]
         rows = slice(at[t], at[t] + w)
-        arrives = table[tokens_[rows]] * beta / scale[rows][:, None]
+        arrives = ahead[rows] * beta
         step += alpha[at[t - 1] : at[t - 1] + w].T @ arrives
         alpha[rows] *= beta
-        beta = after[: alive[t - 1]].copy()
-        beta[:w] = arrives @ model.step.T
+        beta = arrives @ model.step.T
+        if alive[t - 1] > w:
+            beta = np.concatenate([beta, after[w : alive[t - 1]]])
     rows = slice(0, alive[0])
-    arrives = table[tokens_[rows]] * beta / scale[rows][:, None]
+    arrives = ahead[rows] * beta
     crossing = last >= 0
     step += ends[last[crossing]].T @ arrives[crossing]
     alpha[rows] *= beta
