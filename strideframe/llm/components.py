@@ -6,12 +6,30 @@ folder. After convergence every edge joins a node to the smallest node of its co
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import dropped, saved
 
 
+def spanning_forest(edges: np.ndarray) -> np.ndarray:
+    """A spanning forest of some edges (2 x n): each node with the least of its component."""
+    ids, ends = np.unique(edges, return_inverse=True)
+    a, b = ends.reshape(edges.shape)
+    root = np.arange(len(ids))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    child = np.nonzero(root != np.arange(len(ids)))[0]
+    return np.stack([ids[child], ids[root[child]]])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
 

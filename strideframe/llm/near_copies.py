@@ -7,7 +7,7 @@ confirmed on the whole shingle sets. Equal sets are one unit, named by its hash.
 Within a bucket every unit first meets the bucket's least. Then each unit that isn't like the least meets all others of
 the bucket, so that any two of them are compared or both like the least. What meets is laid out in tiles: a task holds
 a bounded part of a bucket's units and streams the units that ask against them; the numbers of common shingles are one
-matrix product. A unit's asks return one link for each label, not its pairs.
+matrix product. A tile returns a spanning forest of its links, not its pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import as_bytes, saved, slices
-from strideframe.llm.components import components
+from strideframe.llm.components import components, spanning_forest
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
@@ -111,16 +111,19 @@ def _sets(docs: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, part, asks, key, label, shingles) sorted by the first three: links of a tile's asking units."""
+    """Rows (tile, part, asks, key, label, shingles) sorted by the first three: a spanning forest of the links between a tile's
+    asking units and its others, as pairs of a unit and the least one that it is linked to."""
     tile, held, labels, sets = None, [], np.empty(0, np.int64), []
+    found = np.empty((2, 0), np.int64)
 
-    def links(keys: list[int], own: list[int], asked: list[np.ndarray]) -> pa.RecordBatch:
-        out = []
-        for i, near in enumerate(alike(asked, sets) & (np.array(own)[:, None] != labels[None])):
-            found = np.nonzero(near)[0]
-            out += [(keys[i], held[found[k]]) for k in np.unique(labels[found], return_index=True)[1]]
-        a, b = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def links(keys: list[int], own: list[int], asked: list[np.ndarray]) -> np.ndarray:
+        near = alike(asked, sets) & (np.array(own)[:, None] != labels[None])
+        a, b = np.nonzero(near)
+        return np.stack([np.array(keys, np.int64)[a], np.array(held, np.int64)[b]])
+
+    def out() -> pa.RecordBatch:
+        tree = spanning_forest(found)
+        return pa.RecordBatch.from_arrays([pa.array(tree[0]), pa.array(tree[1])], names=["a", "b"])
 
     for batch in batches:
         for part in slices([batch], ASKED):
@@ -131,19 +134,25 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 at, asks = rows[start][:2], rows[start][2]
                 if at != tile:
-                    tile, held, labels, sets = at, [], np.empty(0, np.int64), []
+                    if found.shape[1]:
+                        yield out()
+                    tile, held, labels, sets, found = at, [], np.empty(0, np.int64), [], found[:, :0]
                 keys, own = [r[3] for r in rows[start:end]], [r[4] for r in rows[start:end]]
                 some = [np.frombuffer(r[5], np.uint64) for r in rows[start:end]]
                 if not asks:
                     held, labels, sets = held + keys, np.r_[labels, np.array(own, np.int64)], sets + some
                 elif held:
-                    yield links(keys, own, some)
+                    found = np.concatenate([found, links(keys, own, some)], axis=1)
+                    if found.shape[1] > 65_536:
+                        found = spanning_forest(found)
                 start = end
+    if found.shape[1]:
+        yield out()
 
 
 def _linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` of like units in ``rows(tile, part, asks, key, label)``: of those that ask with the others of their tile and
-    part, where labels differ."""
+    """Links ``(a, b)`` of like units in ``rows(tile, part, asks, key, label)``: a spanning forest, for each tile and part, of those
+    between units that ask and the others, where labels differ; b is the least unit of its tree."""
     return rows.join(sets, "key").repartition("tile", "part").sortWithinPartitions("tile", "part", "asks").mapInArrow(_met, "a long, b long")
 
 

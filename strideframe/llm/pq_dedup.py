@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.common import dropped, hash_sample, saved
-from strideframe.llm.components import components
+from strideframe.llm.components import components, spanning_forest
 
 LEAST_COSINE = 0.9
 #: The index is fitted on at most so many vectors.
@@ -184,11 +184,11 @@ def _searched(index: Index, least: float):
                 i, j = np.nonzero(near)
                 edges.append(np.stack([ids[i], b["vid"][cols[j]]]))
                 if sum(e.shape[1] for e in edges) > 65_536:
-                    edges = [_forest(np.concatenate(edges, 1))]
+                    edges = [spanning_forest(np.concatenate(edges, 1))]
         out_id = np.r_[np.fromiter(links, np.int64, len(links)), b["vid"][counts > 0]]
         out_n = np.r_[np.fromiter(links.values(), np.int64, len(links)), counts[counts > 0]]
         if len(out_id):
-            tree = _forest(np.concatenate(edges, 1))
+            tree = spanning_forest(np.concatenate(edges, 1))
             nothing = np.full(len(out_id) + tree.shape[1], None)
             u, v, i, n = nothing.copy(), nothing.copy(), nothing.copy(), nothing.copy()
             i[: len(out_id)], n[: len(out_id)] = out_id, out_n
@@ -215,23 +215,6 @@ def _searched(index: Index, least: float):
     return search
 
 
-def _forest(edges: np.ndarray) -> np.ndarray:
-    """A spanning forest of the edges (2 x n): each node with the least of its component."""
-    ids, ends = np.unique(edges, return_inverse=True)
-    a, b = ends.reshape(edges.shape)
-    root = np.arange(len(ids))
-    while True:
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    child = np.nonzero(root != np.arange(len(ids)))[0]
-    return np.stack([ids[child], ids[root[child]]])
-
-
 def _links(placed: DataFrame, index: Index, least: float, fair_share: int | None) -> DataFrame:
     spark = placed.sparkSession
     asks = placed.select("*", F.explode("lists").alias("list"))
