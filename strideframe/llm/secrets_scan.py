@@ -4,7 +4,8 @@ Base spans are the leftmost non-overlapping matches of three patterns (whole mat
 The method adds ``novel`` spans: a run of 16 or more key-like characters with a sensitive word before it on its
 line, or within ``REACH`` bytes of it, is a candidate, and so are the runs that continue it and all in a key block. Its novelty is the number of bytes it adds to the zstandard frame of the text
 around it, under a dictionary of the identifiers that stand around candidates all over the corpus. A candidate that
-stays nearly incompressible is reported. Base spans are never dropped; a candidate that overlaps one is not repeated.
+stays nearly incompressible is reported. Base spans are never dropped; a run that reaches beyond the base spans in it is
+a candidate as a whole, so that no part of a key is left, and one that lies inside them is not repeated.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ ACCESS_LEAST = 18
 HEX = re.compile(rb"[0-9a-f]{16,}")  # runs of 16 or more: a shorter run fails whole
 
 SENSITIVE = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"cred", b"bearer", b"private", b"salt")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}(?:[.:~][A-Za-z0-9+/_=-]+)*")  # a key's further parts may be short
 SENSITIVE_WORD = re.compile(b"(?=(" + b"|".join(SENSITIVE) + b"))")
 WORD = re.compile(rb"[A-Za-z0-9]")
 BLOCK = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----(.*?)(?=-----END |-----BEGIN |\Z)", re.S)
@@ -42,6 +43,7 @@ AROUND = 96
 #: The dictionary holds at most so many identifiers, so its size has a bound of 25 times as many bytes.
 DICTIONARY_WORDS = 2000
 LEAST_NOVELTY = 0.6
+LEAST_JUDGED = 8
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -72,13 +74,27 @@ def _blocks(text: bytes) -> list[tuple[int, int]]:
     return [m.span(2) for m in BLOCK.finditer(text) if any(word in m[1].lower() for word in SENSITIVE)]
 
 
+def _beyond(text: bytes, start: int, end: int, inside: list[Span]) -> int | None:
+    """Where a run's candidate begins if it holds letters or digits outside the base spans in it, else None. A name before
+    an assigned word is no part of a key."""
+    first, at = start, start
+    for s, kind, e in inside:
+        if s > at and kind == 0 and at == start:
+            first = s
+        elif s > at and WORD.search(text, at, s):
+            return first
+        at = max(at, e)
+    return first if at < end and WORD.search(text, at, end) else None
+
+
 def candidates(text: bytes, base: list[Span]) -> list[tuple[int, int]]:
     """Key-like runs beside a sensitive word: before the run on its line, or within REACH bytes before or after it.
 
-    The context holds for a whole BEGIN/END block, and is carried on over runs with no letter or digit between them.
+    The context holds for a whole BEGIN/END block, and is carried on over runs with no letter or digit between them. An
+    access key is a context by itself.
     """
     low = text.lower()
-    if not any(word in low for word in SENSITIVE):
+    if not any(word in low for word in SENSITIVE) and not any(kind == 1 for _, kind, _ in base):
         return []
     blocks = _blocks(text)
     # The last line of a block may be short.
@@ -99,10 +115,15 @@ def candidates(text: bytes, base: list[Span]) -> list[tuple[int, int]]:
         near = near or (at >= 0 and ends[at] > min(line, start - REACH))
         at = bisect_left(starts, end)
         near = near or (at < len(starts) and starts[at] < end + REACH)
-        known = any(s < end and e > start for s, _, e in base[k : k + 64])
-        if near and not known and (_key_like(text[start:end]) or not long):
-            found.append((start, end))
-        carried, before = near or known, end
+        inside, i = [], k
+        while i < len(base) and base[i][0] < end:
+            inside += [base[i]] if base[i][2] > start else []
+            i += 1
+        near = near or any(kind == 1 for _, kind, _ in inside)
+        first = _beyond(text, start, end, inside) if inside else start
+        if near and first is not None and (_key_like(text[first:end]) or not long):
+            found.append((first, end))
+        carried, before = near or bool(inside), end
     return found
 
 
@@ -119,7 +140,10 @@ def identifier_dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS) -> byte
             for part in slices([batch]):
                 for text in as_bytes(part.column(0)):
                     base = base_spans(text)
-                    for span in [(s, e) for s, _, e in base] + candidates(text, base):
+                    keys = candidates(text, base)
+                    # What stands around a base span inside a candidate is a part of the key.
+                    apart = [(s, e) for s, _, e in base if not any(a <= s and e <= b for a, b in keys)] if keys else [(s, e) for s, _, e in base]
+                    for span in apart + keys:
                         n.update(set(IDENTIFIER.findall(b" ".join(_around(text, span)))))
             yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in n], "n": list(n.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
@@ -141,13 +165,30 @@ class Novelty:
         return (len(self.compress(before + text[slice(*span)] + after)) - len(self.compress(before + after))) / (span[1] - span[0])
 
 
+def _remainder(start: int, end: int, kinds: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The parts of a candidate outside the base spans in it, given by kind; none where it holds no base span."""
+    inside = []
+    for of in kinds:  # spans of a kind don't overlap
+        at = max(0, bisect_left(of, (start, 0)) - 1)
+        while at < len(of) and of[at][0] < end:
+            inside += [of[at]] if of[at][1] > start else []
+            at += 1
+    inside.sort()
+    cuts = [start, *(x for span in inside for x in span), end]
+    return [(a, b) for a, b in zip(cuts[::2], cuts[1::2]) if a < b] if inside else []
+
+
 def spans(text: bytes, novelty: Novelty) -> list[Span]:
-    """Base spans, and candidates that are novel by themselves or, inside a block, together with the run before them."""
+    """Base spans, and candidates that are novel by themselves or, inside a block, together with the run before them. One
+    that holds a base span is novel too where a part outside it is, or where all such parts are too short to be judged."""
     base = base_spans(text)
     found, blocks = candidates(text, base), _blocks(text)
-    novel = []
+    novel, kinds = [], [[(s, e) for s, k, e in base if k == kind] for kind in range(3)] if found and base else []
     for i, (s, e) in enumerate(found):
         new = novelty(text, (s, e)) >= LEAST_NOVELTY
+        if not new and base and (rest := _remainder(s, e, kinds)):
+            long = [part for part in rest if part[1] - part[0] >= LEAST_JUDGED]
+            new = not long or any(novelty(text, part) >= LEAST_NOVELTY for part in long)
         if not new and i and any(x <= found[i - 1][0] and e <= y for x, y in blocks):
             new = novelty(text, (found[i - 1][0], e)) >= LEAST_NOVELTY
         if new:
