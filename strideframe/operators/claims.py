@@ -1,11 +1,9 @@
-"""Claims in texts: which metric a label means, which value it should have, where it stands, what a sentence says of it."""
+"""Claims in texts: which metric a label means, which value it should have, what a sentence says of it."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +11,6 @@ from strideframe.functions import constants as C
 from strideframe.operators.text import NEGATION_REACH
 
 ISO_DATE = r"\d{4}-\d{2}-\d{2}"
-#: A number that no digit or decimal point touches.
-BOUNDED = r"(?<![\d.]){}(?!\.?\d)"
-FIGURE = re.compile(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?")
 LOOKBACK_DAYS = 42
 FRESH_DAYS = 3
 
@@ -89,15 +84,6 @@ def conflicts(prescriptions: DataFrame, constraints: DataFrame, on: Sequence[str
     return out.select(*on, "sentence_id", F.when(F.col("hard"), "remove").otherwise("caution").alias("action"), "activities")
 
 
-def open_numbers(text: Column) -> Column:
-    """Numbers of a text that nothing excuses: not in a link, a date or an interval like 4x8, not before a unit of time or
-    road or a per cent sign, not after a word that counts parts of a plan."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"https?://[^\s)>\]]+", " "), rf"(?i){ISO_DATE}|\d+\s*x\s*\d+", " x ")
-    units = "|".join(sorted(C.PLAIN_UNITS, key=len, reverse=True))
-    number = rf"(?i)(?<![\d.])(?<!\b(?:{'|'.join(C.STRUCTURE_WORDS)})\s{{1,3}})-?+\d++(?:\.\d++)?+(?!(?:{units})(?![A-Za-z])|%)"
-    return F.regexp_extract_all(bare, F.lit(number), F.lit(0))
-
-
 def binding_violation(sentence: Column, metric: Column, as_of: Column, labels: Mapping[str, str], reference: Column, present_words: Sequence[str], fresh_days: int = FRESH_DAYS) -> Column:
     """How a claim departs from the sentence that it stands in, null where it doesn't.
 
@@ -112,61 +98,6 @@ def binding_violation(sentence: Column, metric: Column, as_of: Column, labels: M
     return F.when(F.coalesce(other, F.lit(False)), "metric_mismatch").when(F.coalesce(past & now & ~sentence.rlike(ISO_DATE), F.lit(False)), "stale_as_of")
 
 
-def _overlaps(ranges: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(a < end and start < b for a, b in ranges)
-
-
-def place_of(text: str, claim: str, taken: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """Where a claim's own number stands in a text: inside the first verbatim occurrence of the claim that isn't taken, else
-    the first free place of the number itself. A bare number that has several free places has none."""
-    figure = FIGURE.search(claim)
-    number = figure[0] if figure else claim
-    if not number:
-        return None
-    pattern = re.compile(BOUNDED.format(re.escape(number)))
-    if number != claim:
-        for found in re.finditer(re.escape(claim), text):
-            inner = pattern.search(text, found.start(), found.end())
-            # The pattern looks past the claim's end too.
-            if inner and pattern.match(text, inner.start()) and not _overlaps(taken, *inner.span()):
-                return inner.span()
-    free = [m.span() for m in pattern.finditer(text) if not _overlaps(taken, *m.span())]
-    return None if not free or (number == claim and len(free) > 1) else free[0]
-
-
-def rewritten(text: str, claims: Sequence[tuple[str, str | None]]) -> tuple[str, list[tuple[int, int]]]:
-    """A text with each claim's number replaced in its place by what it should be (removed where that is null), one claim
-    after the other, and the ranges that hold verified numbers. A minus before the number goes into a signed one."""
-    taken: list[tuple[int, int]] = []
-    for claim, value in claims:
-        where = place_of(text, claim, taken)
-        if where is None:
-            continue
-        start, end = where
-        new = value or ""
-        if new.startswith("-") and text[start - 1 : start] in ("-", "–", "—") and text[start - 2 : start - 1] not in tuple("0123456789."):
-            start -= 1
-        text = text[:start] + new + text[end:]
-        shift = len(new) - (end - start)
-        taken = [(a + shift, b + shift) if a >= end else (a, b) for a, b in taken]
-        if new:
-            taken.append((start, start + len(new)))
-    return text, sorted(taken)
-
-
-def rewritten_texts(texts: DataFrame) -> DataFrame:
-    """``texts(id, text, claims array<struct<text, value>>)`` with ``rewritten`` and ``covered``, the verified ranges as
-    ``start-end`` joined by commas. Claims are applied in their order; a null text stays null."""
-
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            done = [(None, []) if t is None else rewritten(t, [(c["text"] or "", c["value"]) for c in (cs if cs is not None else [])]) for t, cs in zip(pdf["text"], pdf["claims"])]
-            yield pd.DataFrame({"id": pdf["id"], "rewritten": [t for t, _ in done], "covered": [",".join(f"{a}-{b}" for a, b in r) for _, r in done]})
-
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text", "claims").mapInPandas(apply, f"id {kind}, rewritten string, covered string")
-
-
 def fact_sheet(days: DataFrame, most: int = 7) -> DataFrame:
     """``(key, sheet)``: current fitness, fatigue and form of ``days(key, day, ctl, atl, tsb)`` with their trend since the first
     known day, and a line for each of the last ``most`` days, the oldest first."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("metrics", "records", "serving", "incremental", "lifecycle", "validation", "contributing", "listing", "delivery", "claims", "gates", "support")
+_MODULES = ("metrics", "records", "serving", "incremental", "lifecycle", "validation", "contributing", "listing", "delivery", "claims", "figures", "gates", "support")
 
 
 def _loaded():

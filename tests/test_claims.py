@@ -1,48 +1,11 @@
 """Claims in texts against direct reading of the same rules."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.functions import constants as C
 from strideframe.operators import claims
 
 
-def plain_open_numbers(text):
-    text = re.sub(r"https?://[^\s)>\]]+", " ", text)
-    text = re.sub(r"\d{4}-\d{2}-\d{2}|\d+\s*x\s*\d+", " x ", text, flags=re.I)
-    out = []
-    for m in re.finditer(r"(?<![\d.])-?\d+(?:\.\d+)?", text):
-        after, before = text[m.end() :], re.search(r"([A-Za-z]+)\s{1,3}\Z", text[: m.start()])
-        if re.match(r"(?:m|min|mins|h|hr|hrs|s|sec|km|mi)(?![A-Za-z])|%", after, re.I) or (before and before[1].lower() in C.STRUCTURE_WORDS):
-            continue
-        out.append(m[0])
-    return out
-
-
-def test_open_numbers(spark):
-    texts = [
-        "Day 3: 4x8 at 250, then 45m easy, 20% more on 2024-05-01, 3.5 and -4 of 60kg", "lap 7 took 90min; https://a.b/12 gives 12", "weekday 5 isn't Week  6", "", "1029 102.5 5102", "Set 4x 8", "5km 5 km 7h30",
-    ]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", claims.open_numbers(F.col("t")).alias("n"))
-    assert {r.i: r.n for r in rows.collect()} == {i: plain_open_numbers(t) for i, t in enumerate(texts)}
-
-
-def test_rewriting_in_place(spark):
-    cases = [
-        ("Your fitness is 102 and load 1029.", [("fitness is 102", "98.5")], "Your fitness is 98.5 and load 1029.", "16-20"),
-        ("Form -5 now, -5 then", [("Form -5", "-4.8"), ("-5 then", "-6")], "Form -4.8 now, -6 then", "5-9,15-17"),
-        ("5 and 5", [("5", "7")], "5 and 5", ""),
-        ("range 5-7 h", [("5-7 h", "-3")], "range -3-7 h", "6-8"),
-        ("a 1,200 b", [("1,200 b", None)], "a  b", ""),
-        ("none here", [("12", "3")], "none here", ""),
-    ]
-    rows = [(i, text, changes) for i, (text, changes, _, _) in enumerate(cases)] + [(99, None, [("1", "2")]), (98, "no claims", None)]
-    out = {r.id: (r.rewritten, r.covered) for r in claims.rewritten_texts(spark.createDataFrame(rows, "id long, text string, claims array<struct<text:string,value:string>>")).collect()}
-    assert out == {i: (new, covered) for i, (_, _, new, covered) in enumerate(cases)} | {99: (None, ""), 98: ("no claims", "")}
-
-
 def test_binding(spark):
     labels = {"fitness": "ctl", "form": "tsb", "fatigue": "atl"}
     rows = [
@@ -54,7 +17,7 @@ def test_binding(spark):
     assert [r.got for r in got] == [r.want for r in got]
 
 
-@pytest.mark.parametrize(("text", "want"), [("Please no hard running, I enjoy cycling a lot these days and weeks", ["run"]), ("keine Intervalle", ["interval"]), ("I enjoy running", []), ("", [])])
+@pytest.mark.parametrize(("text", "want"), [("Please no hard running, I enjoy cycling a lot these days and weeks", ["run"]), ("nie mehr Berge, keine Sprints oder Lauf am Tag", ["hill", "sprint"]), ("I enjoy running", []), ("", [])])
 def test_forbidden(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(claims.forbidden_activities(F.col("t"), ("no", "not", "avoid", "keine")).alias("x")).first().x == want
+    assert df.select(claims.forbidden_activities(F.col("t"), ("no", "not", "avoid", "nie")).alias("x")).first().x == want
