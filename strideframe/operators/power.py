@@ -65,15 +65,87 @@ def load_bundle(powers: DataFrame) -> DataFrame:
 
 #: Seconds whose windows a task looks at together, besides those that the last windows reach into.
 MMP_BLOCK_S = 32_768
+#: Up to this duration each window length is looked at; for longer ones a search over slopes is cheaper.
+MMP_DIRECT_S = 8
+
+Window_ = tuple[float, int, int]  # mean, length, start
+
+
+def _shorter(a: Window_ | None, b: Window_ | None) -> Window_ | None:
+    """The better of two windows: by mean, then by length, then by start."""
+    return max((w for w in (a, b) if w), key=lambda w: (w[0], -w[1], -w[2]), default=None)
+
+
+def _best_by_length(total: np.ndarray, d: int, starts: int) -> Window_ | None:
+    """The best window of d to 2d - 1 samples of a gap-free run with running sums ``total``."""
+    best = None
+    for n in range(d, min(2 * d, len(total))):
+        means = (total[n:] - total[:-n])[:starts] / n
+        if len(means):
+            at = int(means.argmax())
+            best = _shorter(best, (float(means[at]), n, at))
+    return best
+
+
+def _best_by_slope(total: np.ndarray, d: int, starts: int, least: float) -> Window_ | None:
+    """The best window of at least d samples, if its mean is ``least`` or more, in a few passes over the run.
+
+    A window's mean is the slope between two points of the running sum. Against a trial slope the best end for each start
+    is found by a running minimum; the slope of the pair that gains most is the next trial, until none gains.
+    """
+    m = min(len(total) - d, starts)
+    if m <= 0:
+        return None
+    places = np.arange(len(total))
+    slope = max(float((total[d : d + m] - total[:m]).max()) / d, least)
+    noise = 16 * np.finfo(float).eps * max(1.0, float(np.abs(total).max()), abs(slope) * len(total))
+    while True:
+        q = total - slope * places
+        low = np.minimum.accumulate(q[:m])
+        gain = q[d:] - np.pad(low, (0, len(q) - d - m), mode="edge")
+        end = int(gain.argmax())
+        start = int(q[: min(end, m - 1) + 1].argmin())
+        steeper = float(total[end + d] - total[start]) / (end + d - start)
+        if gain[end] <= noise or steeper <= slope:
+            break
+        slope = steeper
+    ends = np.nonzero(gain >= -noise)[0]
+    # The last start that is as low as any before it is the one of the shortest window.
+    last = np.maximum.accumulate(np.where(q[:m] <= low + noise, np.arange(m), -1))
+    start, end = last[np.minimum(ends, m - 1)], ends + d
+    if len(short := np.nonzero(end - start < 2 * d)[0]):
+        start, end = start[short], end[short]
+    means = (total[end] - total[start]) / (end - start)
+    if not len(means) or means.max() < least:
+        return None
+    at = min(np.nonzero(means == means.max())[0].tolist(), key=lambda k: (end[k] - start[k], start[k]))
+    return float(means[at]), int(end[at] - start[at]), int(start[at])
+
+
+def best_windows(values: np.ndarray, durations: Sequence[int], starts: int) -> dict[int, Window_]:
+    """For each duration the best gap-free window of at least that many values that starts before ``starts``; NaN is a gap."""
+    ok = np.r_[False, ~np.isnan(values), False]
+    opens, closes = np.nonzero(ok[1:] & ~ok[:-1])[0], np.nonzero(ok[:-1] & ~ok[1:])[0]
+    sums = [np.r_[0, np.cumsum(values[a:b])] for a, b in zip(opens, closes)]
+    found = {}
+    for d in durations:
+        best = None
+        for at, total in zip(opens.tolist(), sums):
+            if len(total) > d and at < starts:
+                own = _best_by_length(total, d, starts - at) if d <= MMP_DIRECT_S else _best_by_slope(total, d, starts - at, best[0] if best else -np.inf)
+                best = _shorter(best, own and (own[0], own[1], own[2] + at))
+        if best:
+            found[d] = best
+    return found
 
 
 def mean_maximal_power(stream: DataFrame, durations: Sequence[int] = C.MMP_GRID_S) -> DataFrame:
     """``(key, duration_s, best_w, window_s, start_t)``: the best mean over any gap-free window of at least a duration.
 
-    A window of twice the duration or more splits into two, one of which is as good, so only lengths up to 2d - 1 are
-    looked at. Ties go to the shortest, then the earliest window. A key's seconds are cut into blocks, which a task works
-    together with the seconds that their last windows reach into; the blocks' bests then meet. Durations that no gap-free
-    window reaches have no row.
+    A window of twice the duration or more splits into two, one of which is as good, so that no longer ones are needed.
+    Ties go to the shortest, then the earliest window. A key's seconds are cut into blocks, which a task works together
+    with the seconds that their last windows reach into; the blocks' bests then meet. Durations that no gap-free window
+    reaches have no row.
     """
     lengths = sorted(set(durations))
     reach = 2 * lengths[-1]
@@ -82,23 +154,13 @@ def mean_maximal_power(stream: DataFrame, durations: Sequence[int] = C.MMP_GRID_
     before = F.when(F.col("t") - own * size < reach, own - 1)
     blocks = stream.select("key", "t", "power", F.explode(F.array_compact(F.array(own, before))).alias("block"))
 
-    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        v = pdf["power"].to_numpy(float)
-        t = pdf["t"].to_numpy()
-        starts = int(np.searchsorted(t, (pdf["block"].iloc[0] + 1) * size)) if len(t) else 0
-        ok = ~np.isnan(v)
-        total, seen = np.r_[0, np.cumsum(np.where(ok, v, 0))], np.r_[0, np.cumsum(ok)]
-        rows = []
-        for d in lengths:
-            best = None
-            for n in range(d, min(2 * d, len(v) + 1)):
-                means = np.where(seen[n:] - seen[:-n] == n, (total[n:] - total[:-n]) / n, -np.inf)[:starts]
-                at = int(means.argmax()) if len(means) else 0
-                if len(means) and means[at] > (best[0] if best else -np.inf):
-                    best = (means[at], n, int(t[at]))
-            if best:
-                rows.append((pdf["key"].iloc[0], d, *best))
+    def curve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, v = pdf["t"].to_numpy(), pdf["power"].to_numpy(float)
+        if (t[1:] < t[:-1]).any():
+            order = t.argsort(kind="stable")
+            t, v = t[order], v[order]
+        starts = int(np.searchsorted(t, (key[1] + 1) * size))
+        rows = [(key[0], d, mean, n, int(t[at])) for d, (mean, n, at) in best_windows(v, lengths, starts).items()]
         return pd.DataFrame(rows, columns=["key", "duration_s", "best_w", "window_s", "start_t"])
 
     kind = dict(stream.dtypes)["key"]
