@@ -9,7 +9,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.streaming import ingest
+from strideframe.functions import constants as C
+from strideframe.streaming import fitness, ingest
 
 
 @lru_cache(maxsize=1)
@@ -53,5 +54,33 @@ WATERMARKS = """WITH a AS (SELECT event_type, max(ts) AS t, max_by(CAST(event_id
 b AS (SELECT event_type, max(ts) AS t, max_by(CAST(event_id AS VARCHAR), ts) AS h FROM events WHERE event_id % 2 = 1 AND ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1)
 SELECT coalesce(a.event_type, b.event_type) AS event_type, epoch_us(greatest(a.t, b.t)) AS high_water_us, coalesce(b.h, a.h) AS content_hint FROM a FULL JOIN b ON a.event_type = b.event_type"""
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_watermarks)}
-ORACLE = {"stream_ingest": INGEST, "stream_watermarks": WATERMARKS}
+def stream_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitness of each user by keyed state over two runs of a stream of several batches in any order of days.
+
+    Some records are unusable; in the second run some come again as they were and some with another load.
+    """
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    load = F.when(n % 97 == 0, "n/a").when(n % 89 == 0, "NaN").when(F.col("value") <= 100, F.col("value").cast("string"))
+    records = e.select(n.alias("id"), F.col("user_id").alias("key"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), load.alias("load"))
+    early = F.col("id") % 5 < 3
+    changed = F.when(F.col("id") % 13 == 0, (F.col("load").try_cast("double") + 1).cast("string")).otherwise(F.col("load"))
+    second = records.where(~early | (F.col("id") % 11 == 0) | (F.col("id") % 13 == 0)).withColumn("load", F.when(early, changed).otherwise(F.col("load")))
+    seeds = e.where("user_id % 3 = 0").select(F.col("user_id").alias("key")).distinct().select("key", F.lit(-5).alias("day"), F.lit(50.0).alias("ctl"), F.lit(40.0).alias("atl"))
+    at = _scratch(spark)
+    for part in (records.where(early), second):
+        part.repartition(3, F.xxhash64("id")).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+        fitness.land_states(fitness.fitness_states(stream, seeds), f"{at}/states", f"{at}/checkpoint").awaitTermination()
+    lost = fitness.landed(spark, f"{at}/states", "rejected").groupBy("key").agg(F.count_distinct("id").alias("n_rejected"))
+    out = fitness.current_fitness(spark, f"{at}/states").join(lost, "key", "left")
+    return out.select("key", "day", F.round("ctl", 6).alias("ctl"), F.round("atl", 6).alias("atl"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"))
+
+
+_DECAYED = "sum((1 - exp(-1.0 / {0})) * load * exp(-(last - day) / {0})) + CASE WHEN key % 3 = 0 THEN {1} * exp(-(last + 5) / {0}) ELSE 0 END"
+FITNESS = f"""WITH e AS (SELECT event_id, user_id AS key, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, CASE WHEN event_id % 97 <> 0 AND event_id % 89 <> 0 AND value <= 100 THEN value + CASE WHEN event_id % 13 = 0 AND event_id % 5 < 3 THEN 1 ELSE 0 END END AS load FROM events),
+g AS (SELECT *, max(day) OVER (PARTITION BY key) AS last FROM e WHERE load IS NOT NULL), b AS (SELECT key, count(*) AS n FROM e WHERE load IS NULL GROUP BY 1),
+f AS (SELECT key, last AS day, {_DECAYED.format(C.CTL_DAYS, 50)} AS ctl, {_DECAYED.format(C.ATL_DAYS, 40)} AS atl FROM g GROUP BY key, last)
+SELECT f.key, CAST(day AS INTEGER) AS day, round(ctl, 6) AS ctl, round(atl, 6) AS atl, coalesce(n, 0) AS n_rejected FROM f LEFT JOIN b ON f.key = b.key"""
+
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_watermarks, stream_fitness)}
+ORACLE = {"stream_ingest": INGEST, "stream_watermarks": WATERMARKS, "stream_fitness": FITNESS}

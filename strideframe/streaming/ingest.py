@@ -1,16 +1,10 @@
-"""Incremental ingestion: versioned log by micro-batch, watermarks, and running fitness state."""
+"""Incremental ingestion: versioned log by micro-batch, current rows, watermarks."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strideframe.functions import constants as C
 from strideframe.functions.scalars import content_hash
 from strideframe.operators.resolve import current_version
 
@@ -45,34 +39,6 @@ def raised(stored: DataFrame, fresh: DataFrame, scope: list[str]) -> DataFrame:
     return both.select(*scope, F.greatest("high_water_at", "fresh_at").alias("high_water_at"), F.coalesce("fresh_hint", "content_hint").alias("content_hint"))
 
 
-STATE = "day int, ctl double, atl double"
-FITNESS = "key long, day int, ctl double, atl double"
-
-
-def running_fitness(daily: DataFrame) -> DataFrame:
-    """Fitness and fatigue of a stream of ``(key long, day int, load double)``, carried in keyed state from batch to batch.
-
-    Days are whole numbers. Days between two loads decay. A load for a day that the state has passed is folded in with the
-    weight that the days since have left of it, so late loads are never dropped.
-    """
-    c, a = math.exp(-1 / C.CTL_DAYS), math.exp(-1 / C.ATL_DAYS)
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, ctl, atl = state.get if state.exists else (None, 0.0, 0.0)
-        loads = pd.concat(list(frames)).groupby("day")["load"].sum().sort_index()
-        for d, load in loads.items():
-            load = 0.0 if pd.isna(load) else load
-            gap = 1 if day is None else d - day
-            if gap >= 0:
-                ctl, atl, day = ctl * c**gap + (1 - c) * load, atl * a**gap + (1 - a) * load, int(d)
-            else:
-                ctl, atl = ctl + (1 - c) * load * c**-gap, atl + (1 - a) * load * a**-gap
-        state.update((day, ctl, atl))
-        yield pd.DataFrame([(key[0], day, ctl, atl)], columns=["key", "day", "ctl", "atl"])
-
-    return daily.groupBy("key").applyInPandasWithState(advance, FITNESS, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
 def fold_versions(spark: SparkSession, log: str, current: str, key: str) -> DataFrame:
     """The current version of each key, kept as a table so that a run reads the batches since the last one alone.
 

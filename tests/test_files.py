@@ -54,24 +54,6 @@ def test_log_keeps_latest_version_and_reruns_change_nothing(spark):
     assert sorted((r.id, r.v) for r in ingest.current_rows(spark, f"{at}/log", "id").collect()) == [(1, 7.0), (2, 6.0)]
 
 
-def test_running_fitness_takes_late_loads(spark):
-    at = tempfile.mkdtemp(prefix="spark-")
-    schema = "key long, day int, load double"
-    query = None
-    for rows in ([(1, 0, 100.0), (1, 2, 50.0)], [(1, 1, 80.0)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
-        out = ingest.running_fitness(spark.readStream.schema(schema).parquet(f"{at}/in"))
-        query = out.writeStream.outputMode("update").option("checkpointLocation", f"{at}/ck").trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/{i}")).start()
-        query.awaitTermination()
-    import math
-
-    c = math.exp(-1 / 42)
-    want = 0.0
-    for x in (100, 80, 50):
-        want = want * c + (1 - c) * x
-    assert spark.read.parquet(f"{at}/out/1").first().ctl == pytest.approx(want)
-
-
 def test_payloads(spark):
     import json
 
