@@ -330,10 +330,10 @@ def durability(stream: DataFrame, cp: float, w_prime: float, target: int = C.DUR
 
 def endurance_score(parts: DataFrame) -> DataFrame:
     """Score of ``parts(key, ctl, shape_ratio, decoupling_pct)``: weighted means of the components present; fitness is
-    required. Confidence is 0.7 where a component is missing."""
+    required. A drift below 0 is as good as none. Confidence is 0.7 where a component is missing."""
     clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     low, high = C.ENDURANCE_SHAPE
-    comps = [clamp(F.col("ctl") / C.ENDURANCE_FULL_CTL), clamp((F.col("shape_ratio") - low) / (high - low)), clamp(1 - F.abs(F.col("decoupling_pct")) / C.ENDURANCE_FULL_DRIFT)]
+    comps = [clamp(F.col("ctl") / C.ENDURANCE_FULL_CTL), clamp((F.col("shape_ratio") - low) / (high - low)), clamp(1 - F.col("decoupling_pct") / C.ENDURANCE_FULL_DRIFT)]
     present = [F.when(finite(F.col(c)), 1.0).otherwise(0.0) for c in ("ctl", "shape_ratio", "decoupling_pct")]
     weight = sum((F.lit(w) * p for w, p in zip(C.ENDURANCE_WEIGHTS, present)), F.lit(0.0))
     total = sum((F.lit(w) * F.when(p > 0, x).otherwise(0.0) for w, p, x in zip(C.ENDURANCE_WEIGHTS, present, comps)), F.lit(0.0))

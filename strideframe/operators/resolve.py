@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strideframe.functions import constants as C
 from strideframe.functions.scalars import versioned_id
 
-KEYS = ("trust_tier", "confidence", "recency", "completeness", "source_id")
+KEYS = ("trust_tier", "confidence", "recency", "completeness", "stable_tiebreak")
 
 
 def tier_rank(tier: Column) -> Column:
@@ -35,8 +35,8 @@ def winners(rows: DataFrame, on: Sequence[str], tie: Sequence[str] = (), value:
     """One row per key: the winning candidate's columns, the rule that decided, the number of candidates and whether they
     disagree.
 
-    The five keys are compared in order; the rule is the first on which the winner and the runner-up differ, ``single``
-    without a runner-up. Candidates are in dispute if two or more have values that differ by over 5 % of the larger of
+    The five keys are compared in order; the rule is the first on which the winner and the runner-up differ, the last where
+    none does, ``sole_contributor`` without a runner-up. Candidates are in dispute if two or more have values that differ by over 5 % of the larger of
     one and the largest. The rank is cut at two, so that a group is pruned to its two best
     before it is shuffled.
     """
@@ -46,12 +46,12 @@ def winners(rows: DataFrame, on: Sequence[str], tie: Sequence[str] = (), value:
     sums = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("high"), F.min(value).alias("low"), F.count(value).alias("values"))
     two = top.join(sums, list(on))
     first, second = F.col("first"), F.col("second")
-    rule = F.lit("identical")
+    rule = F.lit(KEYS[-1])
     for i in reversed(range(len(KEYS))):
         rule = F.when(first[f"k{i}"] != second[f"k{i}"], KEYS[i]).otherwise(rule)
     spread = (F.col("high") - F.col("low")) / F.greatest(F.lit(1.0), F.abs("high"))
     disputed = F.coalesce((F.col("values") >= 2) & (spread > C.DISPUTE_TOLERANCE), F.lit(False))
-    return two.select(*on, "w", F.when(F.col("n") == 1, "single").otherwise(rule).alias("rule"), "n", disputed.alias("disputed"))
+    return two.select(*on, "w", F.when(F.col("n") == 1, "sole_contributor").otherwise(rule).alias("rule"), "n", disputed.alias("disputed"))
 
 
 def current_version(log: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:

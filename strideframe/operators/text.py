@@ -30,17 +30,18 @@ def numbers(texts: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def normal_link(url: Column) -> Column:
-    """Scheme and host in lower case, without default port, fragment and trailing slash."""
-    trimmed = F.regexp_replace(F.trim(url), r"#.*$", "")
-    head = F.lower(F.regexp_extract(trimmed, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
-    rest = F.regexp_replace(trimmed, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", "")
-    host = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
-    return F.concat(host, F.regexp_replace(rest, r"/+$", ""))
+    """A link as it is compared: without white space around it and slashes at its end, what stands before the path in lower
+    case. Ports, queries and fragments count, so that doubtful links are unequal."""
+    bare = F.regexp_replace(url, r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(bare, "/+$", "")
+    head = F.regexp_extract(bare, "(?s)^(.*?://[^/]*|[^/]*(?:/(?!/)[^/]*)*)", 1)
+    with_path = F.concat(F.lower(head), F.substr(bare, F.length(head) + 1))
+    return F.when(F.contains(bare, F.lit("://")), with_path).otherwise(F.lower(bare))
 
 
 def allowed_link(url: Column, hosts: Sequence[str]) -> Column:
-    """A link over https to exactly one of the hosts."""
-    return F.coalesce(F.regexp_extract(normal_link(url), r"^https://([^/?:]*)", 1).isin(*hosts), F.lit(False))
+    """A link over https to exactly one of the hosts, whatever its port, user, query and fragment."""
+    return F.coalesce(F.regexp_extract(F.lower(F.trim(url)), r"^https://(?:[^/?#]*@)?([^/?#:@]*)", 1).isin(*hosts), F.lit(False))
 
 
 def verify_numbers(claims: DataFrame) -> DataFrame:

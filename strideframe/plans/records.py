@@ -111,8 +111,8 @@ WINNER = f"""WITH {fx.CANDIDATES}, c AS (SELECT *, CASE WHEN value > 25 THEN 2.0
 r AS (SELECT *, row_number() OVER w AS rn, lead(rk) OVER w AS rk2, lead(confidence) OVER w AS c2, lead(observed) OVER w AS o2, lead(comp) OVER w AS p2, lead(source) OVER w AS s2 FROM c
   WINDOW w AS (PARTITION BY key, line ORDER BY rk, confidence DESC, observed DESC, comp DESC, source, native, price)),
 g AS (SELECT key, line, count(*) AS n, max(value) AS hi, min(value) AS lo FROM c GROUP BY 1, 2)
-SELECT r.key, r.line, source, tier, round(value, 6) AS value, CASE WHEN n = 1 THEN 'single' WHEN rk <> rk2 THEN 'trust_tier' WHEN confidence <> c2 THEN 'confidence' WHEN observed <> o2 THEN 'recency'
-WHEN comp <> p2 THEN 'completeness' WHEN source <> s2 THEN 'source_id' ELSE 'identical' END AS rule, n, n >= 2 AND (hi - lo) / greatest(1.0, abs(hi)) > 0.05 AS disputed
+SELECT r.key, r.line, source, tier, round(value, 6) AS value, CASE WHEN n = 1 THEN 'sole_contributor' WHEN rk <> rk2 THEN 'trust_tier' WHEN confidence <> c2 THEN 'confidence' WHEN observed <> o2 THEN 'recency'
+WHEN comp <> p2 THEN 'completeness' ELSE 'stable_tiebreak' END AS rule, n, n >= 2 AND (hi - lo) / greatest(1.0, abs(hi)) > 0.05 AS disputed
 FROM r JOIN g ON r.key = g.key AND r.line = g.line WHERE rn = 1"""
 
 

@@ -115,14 +115,14 @@ SELECT key, CASE WHEN d IS NOT NULL THEN CAST(n AS INT) END AS staleness_days, s
 def endurance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = load.pmc(load.daily_grid(fx.daily_loads(spark, sf_dir), "2024-01-31")).where(f"day = DATE '{ON}'").select("key", "ctl")
     curve = power.mean_maximal_power(fx.short_stream(spark, sf_dir), (5, 30)).groupBy("key").agg((F.max(F.when(F.col("duration_s") == 30, F.col("best_w"))) / F.max(F.when(F.col("duration_s") == 5, F.col("best_w")))).alias("shape_ratio"))
-    parts = days.join(curve, "key", "left").withColumn("decoupling_pct", F.when(F.col("key") % 3 > 0, F.col("key") / 20.0))
+    parts = days.join(curve, "key", "left").withColumn("decoupling_pct", F.when(F.col("key") % 3 > 0, (F.col("key") % 50 - 20) / 5.0))
     out = power.endurance_score(parts)
     return out.select("key", "reason", F.round("score", 5).alias("score"), F.round("confidence", 3).alias("confidence"))
 
 
 ENDURANCE = f"""{_PMC_HEAD.rstrip()}, {fx.SHORT}, {metrics._curve_sql('short', (5, 30))}, c AS (SELECT key, max(m) FILTER (d = 30) / max(m) FILTER (d = 5) AS s FROM legs GROUP BY 1),
-j AS (SELECT p.key, ctl, s, CASE WHEN p.key % 3 > 0 THEN p.key / 20.0 END AS dc FROM p LEFT JOIN c ON p.key = c.key WHERE day = DATE '{ON}'),
-w AS (SELECT key, 0.4 * least(greatest(ctl / 100, 0), 1) + CASE WHEN s IS NULL THEN 0 ELSE 0.3 * least(greatest((s - 0.5) / 0.5, 0), 1) END + CASE WHEN dc IS NULL THEN 0 ELSE 0.3 * least(greatest(1 - abs(dc) / 10, 0), 1) END AS t,
+j AS (SELECT p.key, ctl, s, CASE WHEN p.key % 3 > 0 THEN (p.key % 50 - 20) / 5.0 END AS dc FROM p LEFT JOIN c ON p.key = c.key WHERE day = DATE '{ON}'),
+w AS (SELECT key, 0.4 * least(greatest(ctl / 100, 0), 1) + CASE WHEN s IS NULL THEN 0 ELSE 0.3 * least(greatest((s - 0.5) / 0.5, 0), 1) END + CASE WHEN dc IS NULL THEN 0 ELSE 0.3 * least(greatest(1 - dc / 10, 0), 1) END AS t,
 0.4 + CASE WHEN s IS NULL THEN 0 ELSE 0.3 END + CASE WHEN dc IS NULL THEN 0 ELSE 0.3 END AS v, s IS NOT NULL AND dc IS NOT NULL AS whole FROM j)
 SELECT key, CAST(NULL AS VARCHAR) AS reason, round(CAST(100 * t / v AS DOUBLE), 5) AS score, round(CAST(CASE WHEN whole THEN 1.0 ELSE 0.7 END AS DOUBLE), 3) AS confidence FROM w"""
 
@@ -194,9 +194,8 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", text.normal_link(F.col("url")).alias("url"), text.allowed_link(F.col("url"), ["m.ththth.example.net", "thther.example.org"]).alias("allowed"))
 
 
-URLS = r"""WITH t AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), h AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS h, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS r FROM t),
-n AS (SELECT page_id, regexp_replace(regexp_replace(h, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') || regexp_replace(r, '/+$', '') AS url FROM h)
-SELECT page_id, url, regexp_extract(url, '^https://([^/?:]*)', 1) IN ('m.ththth.example.net', 'thther.example.org') AS allowed FROM n"""
+URLS = r"""WITH t AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '/+$', '') AS u FROM pages), s AS (SELECT *, strpos(u, '://') AS p FROM t), h AS (SELECT *, strpos(substr(u, p + 3), '/') AS q FROM s)
+SELECT page_id, CASE WHEN p = 0 OR q = 0 THEN lower(u) ELSE lower(left(u, p + q + 1)) || substr(u, p + q + 2) END AS url, coalesce(regexp_extract(lower(trim(url)), '^https://(?:[^/?#]*@)?([^/?#:@]*)', 1) IN ('m.ththth.example.net', 'thther.example.org'), false) AS allowed FROM h"""
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,10 +217,8 @@ def claim_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.verify_numbers(_claims(spark, sf_dir)).select("event_id", "verdict", "rewritten")
 
 
-#: One decimal, half to even, of values of two decimals.
-VERIFY = f"""WITH {_CLAIMS}, h AS (SELECT event_id, verdict, CAST(round(canonical * 100) AS BIGINT) AS h FROM v),
-d AS (SELECT event_id, verdict, h // 10 + CASE WHEN h % 10 > 5 OR (h % 10 = 5 AND h // 10 % 2 = 1) THEN 1 ELSE 0 END AS d FROM h)
-SELECT event_id, verdict, CASE WHEN verdict IN ('grounded', 'contradicted') THEN CASE WHEN d % 10 = 0 THEN CAST(d // 10 AS VARCHAR) ELSE d // 10 || '.' || d % 10 END END AS rewritten FROM d"""
+#: printf rounds the exact value of a double half to even.
+VERIFY = f"""WITH {_CLAIMS} SELECT event_id, verdict, CASE WHEN verdict IN ('grounded', 'contradicted') THEN regexp_replace(regexp_replace(printf('%.1f', canonical), '\\.0$', ''), '^-0$', '0') END AS rewritten FROM v"""
 
 
 def decision(spark: SparkSession, sf_dir: str) -> DataFrame:
