@@ -105,7 +105,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.empty((0, 1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, so that the largest component is between a half and one: squares of very small and very
+    large vectors stay in range, and no digit changes."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True)) if len(x) else (x, np.zeros((0, 1), int))
+    return np.ldexp(x, -exponent)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -155,7 +163,7 @@ def _searched(index: Index, least: float):
         which = int(rows["list"][0])
         b = {k: v[base] for k, v in rows.items()}
         codes = np.stack([np.frombuffer(c, np.uint8) for c in b["codes"]]) if len(b["codes"]) else np.empty((0, SUBSPACES), np.uint8)
-        bv = np.stack(b["v"]).astype(np.float64) if len(codes) else np.empty((0, 1))
+        bv = _scaled(np.stack(b["v"]).astype(np.float64)) if len(codes) else np.empty((0, 1))
         q = {k: v[asks] for k, v in rows.items()}
         if not len(q["vid"]) or not len(codes):
             return
@@ -165,7 +173,7 @@ def _searched(index: Index, least: float):
         counts = np.zeros(len(codes), np.int64)
         for start in range(0, len(q["vid"]), 32):
             cut = slice(start, start + 32)
-            qv = np.stack(q["v"][cut]).astype(np.float64)
+            qv = _scaled(np.stack(q["v"][cut]).astype(np.float64))
             near = np.sqrt(index.distances(_unit(qv), which, codes)) <= reach + b["error"][None]
             home = np.array([x[0] for x in q["lists"][cut]])
             ids = q["vid"][cut]

@@ -48,3 +48,9 @@ def test_recall_on_planted_near_vectors(spark, spread):
     found = sum(n * k for (_, n, _), k in got.items())
     assert 0.995 * links <= found <= links
     assert sum((want & got).values()) >= 0.99 * len(rows)
+
+
+def test_links_of_very_small_and_very_large_vectors(spark):
+    rows = [(1, [1e-200, 0.0]), (3, [2e-200, 0.0]), (4, [1e200, 1e190]), (5, [2e200, 0.0]), (6, [5e-324, 0.0]), (7, [1.7e308, 1e307]), (8, [0.0, 1e-310]), (9, [0.0, 1e300]), (10, [1e-200, 1e-200])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in pq_dedup.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {**{i: (5, 1) for i in (1, 3, 4, 5, 6, 7)}, 8: (1, 8), 9: (1, 8), 10: (0, 10)}
