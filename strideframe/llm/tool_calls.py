@@ -55,8 +55,8 @@ def canonical(value: Any) -> str:
 
 
 def _name(value: Any) -> str:
-    """An identifier or tool name as text."""
-    return _escaped(value) if isinstance(value, str) else canonical(value)
+    """An identifier, tool name or content as text."""
+    return value if isinstance(value, str) else canonical(value)
 
 
 def _is(value: Any, kind: str) -> bool:
@@ -142,11 +142,19 @@ def parsed(conv: int | None, turn: int | None, role: str | None, text: str) -> I
         yield "result", f"{conv}:{turn - 1}", 0, None, None, [], text
 
 
-RECORD = "kind string, id string, conv_id long, turn long, place long, name string, arguments string, violation string, depends_on array<string>, content string"
+RECORD = "kind string, id string, conv_id long, turn long, place long, name string, arguments string, violation string, depends_on array<string>, content string, id_json string, name_json string, content_json string"
+
+
+def _text(value: str | None) -> str | None:
+    return None if value is None else _escaped(value)
+
+
+def _quoted(value: str | None) -> str | None:
+    return None if value is None else canonical(value)
 
 
 def records(messages: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFrame:
-    """Calls and results of all messages; arguments are canonical JSON already and checked."""
+    """Calls and results of all messages; arguments are checked, and every part of a line is canonical JSON already."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -155,8 +163,9 @@ def records(messages: DataFrame, schemas: dict[str, dict[str, Any]]) -> DataFram
                 for kind, ident, place, name, arguments, depends, content in parsed(conv, turn, role, text):
                     call = kind == "call"
                     broken = (violation(arguments, schemas[name]) if name in schemas else "$: unknown tool") if call else None
-                    rows.append((kind, ident, conv, turn, place, name, canonical(arguments) if call else None, broken, depends, content))
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+                    texts = (_text(ident), _text(name), _text(content)), (_quoted(ident), _quoted(name), _quoted(content))
+                    rows.append((kind, texts[0][0], conv, turn, place, texts[0][1], canonical(arguments) if call else None, broken, [_escaped(d) for d in depends], texts[0][2], *texts[1]))
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string())
             columns = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in RECORD.split(", ")])
 
@@ -250,13 +259,11 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict[str, Any]] | None
     """
     table = saved(records(messages, schemas or SCHEMAS), "records")
     calls = table.where("kind = 'call'")
-    results = table.where("kind = 'result'").groupBy("id").agg(F.min(F.struct("turn", "content")).alias("first"), F.count(F.lit(1)).alias("n_results"))
+    results = table.where("kind = 'result'").groupBy("id").agg(F.min(F.struct("turn", "content", "content_json")).alias("first"), F.count(F.lit(1)).alias("n_results"))
     above = levels(calls.select(F.substring_index("id", ":", 1).alias("conv"), "id", "depends_on")).withColumn("depends", F.lit(True))
     rows = calls.join(results.hint("shuffle_hash"), "id", "left").join(above.hint("shuffle_hash"), "id", "left")
     rows = rows.withColumn("level", F.when(F.col("depends"), F.col("level")).otherwise(F.lit(0).cast("long")))
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
-    result = F.when(F.col("first.content").isNull(), F.lit("null")).otherwise(quoted(F.col("first.content")))
-    line = F.concat(F.lit('{"arguments":'), F.col("arguments"), F.lit(',"id":'), quoted(F.col("id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"result":'), result, F.lit("}"))
+    line = F.concat(F.lit('{"arguments":'), "arguments", F.lit(',"id":'), "id_json", F.lit(',"name":'), "name_json", F.lit(',"result":'), F.coalesce("first.content_json", F.lit("null")), F.lit("}"))
     return rows.select(
         "conv_id", "turn", "place", F.col("id").alias("call_id"), "name", "level", F.col("violation").isNull().alias("valid"), "violation",
         F.coalesce("n_results", F.lit(0)).alias("n_results"), line.alias("line"),

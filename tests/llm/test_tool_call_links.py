@@ -72,3 +72,22 @@ def test_long_chain_in_one_pass(spark):
     rows = [(1, k, "assistant", assistant({"id": str(k), "name": "f", "depends_on": [str(k - 1)] if k else []})) for k in range(3_000)]
     out = {r.call_id: r.level for r in tool_calls.linked_calls(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {f"1:{k}": k for k in range(3_000)}
+
+
+def test_lines_are_canonical_in_every_field(spark):
+    import json
+
+    bad = "\x1f\x00\b\f\n\"\\\u2028é😀"
+    lone = "\ud800"
+    rows = []
+    for i, (x, y) in enumerate([(bad, bad), (lone + "a", "\\ud800a"), ("/", "</x>")]):
+        call = {"tool_calls": [{"id": x, "name": y, "arguments": {x: y, "b": [y, {x: 1.5}]}}, {"id": y + "2", "name": x, "arguments": None}]}
+        rows += [(i, 0, "assistant", json.dumps(call)), (i, 1, "tool", json.dumps({"tool_call_id": x, "content": y})), (i, 2, "tool", json.dumps({"tool_call_id": y + "2", "content": x}))]
+    out = tool_calls.linked_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == 6
+    for r in out:
+        line = json.loads(r.line)
+        assert r.line == tool_calls.canonical(line)
+        call = json.loads(rows[3 * r.conv_id][3])["tool_calls"][r.place]
+        content = json.loads(rows[3 * r.conv_id + 1 + r.place][3])["content"]
+        assert line == {"arguments": call["arguments"], "id": f"{r.conv_id}:{call['id']}", "name": call["name"], "result": content}
