@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.functions import constants as C
+from strideframe.operators import gaps
+from strideframe.sources import paged
 from strideframe.streaming import fitness, ingest
 
 
@@ -82,5 +84,52 @@ g AS (SELECT *, max(day) OVER (PARTITION BY key) AS last FROM e WHERE load IS NO
 f AS (SELECT key, last AS day, {_DECAYED.format(C.CTL_DAYS, 50)} AS ctl, {_DECAYED.format(C.ATL_DAYS, 40)} AS atl FROM g GROUP BY key, last)
 SELECT f.key, CAST(day AS INTEGER) AS day, round(ctl, 6) AS ctl, round(atl, 6) AS atl, coalesce(n, 0) AS n_rejected FROM f LEFT JOIN b ON f.key = b.key"""
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_watermarks, stream_fitness)}
-ORACLE = {"stream_ingest": INGEST, "stream_watermarks": WATERMARKS, "stream_fitness": FITNESS}
+STAGES, PAGE_SIZE = ("activities", "wellness"), 200
+
+
+def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    refs = o.select(
+        F.lit(0).alias("scope"), F.when(F.col("o_orderkey") % 3 > 0, STAGES[0]).otherwise(STAGES[1]).alias("stage"), F.col("o_orderkey").alias("ref_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("hint"),
+        F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")).alias("payload"),
+    )
+    rows = gaps.pages(refs, STAGES, PAGE_SIZE)
+    return rows.select("stage", F.substring_index("cursor", ":", -1).cast("long").alias("offset"), "next_cursor", F.col("ref_id").cast("string").alias("ref"), "hint", "payload")
+
+
+def _delivered(rows: DataFrame) -> DataFrame:
+    return rows.select("stage", "offset", "ref", "hint", F.get_json_object("payload", "$.customer").cast("long").alias("customer"), F.col("error").isNotNull().alias("failed"))
+
+
+def paged_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders behind cursors, read up to the first broken page; a tenth of the records can't be read."""
+    at = _scratch(spark)
+    paged.write_pages(_order_pages(spark, sf_dir), at, (F.col("stage") == STAGES[1]) & (F.col("offset") == 2 * PAGE_SIZE), F.col("ref").cast("long") % 10 == 0)
+    spark.dataSource.register(paged.PagedSource)
+    return _delivered(spark.read.format("pages").options(path=at, stages=",".join(STAGES)).load())
+
+
+def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of two runs: the first ends at a broken page of the first stage, which is mended before the second."""
+    at = _scratch(spark)
+    pages = _order_pages(spark, sf_dir)
+    broken = F.col("ref").cast("long") % 10 == 0
+    last = (F.col("stage") == STAGES[1]) & (F.col("offset") == 2 * PAGE_SIZE)
+    spark.dataSource.register(paged.PagedSource)
+    for bad in (last | ((F.col("stage") == STAGES[0]) & (F.col("offset") == PAGE_SIZE)), last):
+        paged.write_pages(pages, f"{at}/pages", bad, broken)
+        stream = spark.readStream.format("pages").options(path=f"{at}/pages", stages=",".join(STAGES)).load()
+        writer = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}"))
+        query = writer.option("checkpointLocation", f"{at}/checkpoint").start()
+        query.processAllAvailable()
+        query.stop()
+    return _delivered(spark.read.schema(stream.schema).parquet(f"{at}/out"))
+
+
+PAGED = f"""WITH r AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN '{STAGES[0]}' ELSE '{STAGES[1]}' END AS stage, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS hint, o_custkey FROM orders),
+p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY stage ORDER BY o_orderkey) - 1) / {PAGE_SIZE}) * {PAGE_SIZE} AS BIGINT) AS "offset", o_orderkey % 10 = 0 AS failed FROM r)
+SELECT stage, "offset", CASE WHEN NOT failed THEN CAST(o_orderkey AS VARCHAR) END AS ref, CASE WHEN NOT failed THEN hint END AS hint, CASE WHEN NOT failed THEN o_custkey END AS customer, failed
+FROM p WHERE stage = '{STAGES[0]}' OR "offset" < {2 * PAGE_SIZE}"""
+
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_watermarks, stream_fitness, paged_batch, paged_stream)}
+ORACLE = {"stream_ingest": INGEST, "stream_watermarks": WATERMARKS, "stream_fitness": FITNESS, "paged_batch": PAGED, "paged_stream": PAGED}
