@@ -37,12 +37,12 @@ def lap_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as laps of the candidates that (order, supplier) pairs are."""
     c = fx.candidates(spark, sf_dir)
     ident = F.concat_ws("-", "key", "source")
-    laps = c.where("line % 2 = 0").select(ident.alias("candidate_id"), "line", "native", "price")
+    laps = c.select(ident.alias("candidate_id"), "line", "native", "price")
     candidates = c.groupBy(F.col("key").alias("activity_id"), "source", ident.alias("candidate_id")).agg(F.min("tier").alias("adapter_tier"))
     return contribute.laps_of_best(laps, candidates).select("activity_id", "candidate_id", "line", "native", "price")
 
 
-LAPS = f"""WITH {fx.CANDIDATES}, l AS (SELECT key || '-' || source AS candidate_id, line, native, price FROM candidates WHERE line % 2 = 0), c AS (SELECT key AS activity_id, source, key || '-' || source AS candidate_id, min(tier) AS tier FROM candidates GROUP BY 1, 2),
+LAPS = f"""WITH {fx.CANDIDATES}, l AS (SELECT key || '-' || source AS candidate_id, line, native, price FROM candidates), c AS (SELECT key AS activity_id, source, key || '-' || source AS candidate_id, min(tier) AS tier FROM candidates GROUP BY 1, 2),
 b AS (SELECT activity_id, candidate_id, row_number() OVER (PARTITION BY activity_id ORDER BY {_RANK}, source) AS n FROM c WHERE candidate_id IN (SELECT candidate_id FROM l))
 SELECT b.activity_id, l.candidate_id, line, native, price FROM l JOIN b ON b.candidate_id = l.candidate_id AND n = 1"""
 

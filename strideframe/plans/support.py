@@ -12,15 +12,15 @@ from strideframe.sources import fixtures as fx
 
 
 def hrv_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with beats, with a device's summary, with both or with neither."""
+    """Customers with beats, with a device's summary that may be empty, or with both."""
     c = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v"))
     key, v = F.col("key"), F.col("v")
     series = c.where(key % 3 == 0).select("key", *(F.when(key % 6 == 0, v * k).alias(n) for n, k in (("rmssd", 1), ("sdnn", 2), ("pnn50", 3), ("mean_nn", 4))), F.when(key % 6 > 0, "insufficient_data").alias("reason"))
-    summary = c.where(key % 5 > 0).select("key", F.when(key % 7 > 0, v + 1).alias("rmssd"), F.lit(None).cast("double").alias("sdnn"), F.lit(None).cast("double").alias("pnn50"), F.lit(None).cast("double").alias("mean_nn"))
+    summary = c.select("key", F.when((key % 5 > 0) & (key % 7 > 0), v + 1).alias("rmssd"), F.lit(None).cast("double").alias("sdnn"), F.lit(None).cast("double").alias("pnn50"), F.lit(None).cast("double").alias("mean_nn"))
     return heart.with_summary(series, summary)
 
 
-FALLBACK = """WITH c AS (SELECT c_custkey AS key, c_acctbal AS v, c_custkey % 3 = 0 AS beats, c_custkey % 5 > 0 AND c_custkey % 7 > 0 AS given FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 > 0)
+FALLBACK = """WITH c AS (SELECT c_custkey AS key, c_acctbal AS v, c_custkey % 3 = 0 AS beats, c_custkey % 5 > 0 AND c_custkey % 7 > 0 AS given FROM customer)
 SELECT key, CASE WHEN beats THEN CASE WHEN key % 6 = 0 THEN v END WHEN given THEN v + 1 END AS rmssd, CASE WHEN beats AND key % 6 = 0 THEN v * 2 END AS sdnn, CASE WHEN beats AND key % 6 = 0 THEN v * 3 END AS pnn50,
 CASE WHEN beats AND key % 6 = 0 THEN v * 4 END AS mean_nn, CASE WHEN beats THEN 'beats' WHEN given THEN 'summary' END AS source,
 CASE WHEN beats THEN CASE WHEN key % 6 > 0 THEN 'insufficient_data' END WHEN NOT given THEN 'missing_required_input' END AS reason FROM c"""

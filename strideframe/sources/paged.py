@@ -71,7 +71,10 @@ class Pages:
             yield cursor, following
             cursor = following
 
-    def rows(self, page: Page) -> Iterator[tuple]:
+    def rows(self, page: Page | None) -> Iterator[tuple]:
+        """A page's records; none for the one task that Spark makes where no page is planned."""
+        if page is None:
+            return
         for line in self.lines(f"{page.stage}:{page.offset}") or ():
             try:
                 record = json.loads(line)
