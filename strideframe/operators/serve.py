@@ -6,6 +6,7 @@ import base64
 import hashlib
 import hmac
 import json
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import constants as C
 from strideframe.functions.result import finite, ratio
+from strideframe.operators.ranks import HOT_ROWS, values_at
 
 MOST_PAGE = 200
 
@@ -122,28 +124,24 @@ def simplified_track(points: DataFrame, budget: int) -> DataFrame:
     return points.select("key", "t", "lat", "lng").groupBy("key").applyInPandas(simplify, points.select("key", "t", "lat", "lng").schema)
 
 
-def quantiles(rows: DataFrame, on: Sequence[str], value: str) -> DataFrame:
-    """Median and nearest-rank 95th percentile of each group, from counts of equal values and their running sum."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count(F.lit(1)).alias("m_"))
-    upto = counts.withColumn("upto_", F.sum("m_").over(Window.partitionBy(*on).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    upto = upto.join(rows.groupBy(*on).agg(F.count(value).alias("n")), list(on))
-    at = lambda rank: F.min(F.when(F.col("upto_") >= rank, F.col(value)))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    return upto.groupBy(*on).agg(F.max("n").alias("n"), ((at(low) + at(high)) / 2).alias("median"), at(F.ceil(0.95 * F.col("n"))).alias("p95"))
+def quantiles(rows: DataFrame, on: Sequence[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Median and nearest-rank 95th percentile of each group that has a value."""
+    of = lambda column, number: lambda n: column(n) if isinstance(n, Column) else number(n)
+    ranks = {"low": of(lambda n: F.floor((n + 1) / 2), lambda n: (n + 1) // 2), "high": of(lambda n: F.floor(n / 2) + 1, lambda n: n // 2 + 1), "p95": of(lambda n: F.ceil(0.95 * n), lambda n: math.ceil(0.95 * n))}
+    found = values_at(rows, on, value, ranks, hot_rows)
+    return found.select(*on, "n", ((F.col("low") + F.col("high")) / 2).alias("median"), "p95")
 
 
-def conformal_thresholds(examples: DataFrame, alpha: float) -> DataFrame:
+def conformal_thresholds(examples: DataFrame, alpha: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Split-conformal threshold of each group of ``(example_id, group, score, supported)``.
 
     An example counts with the highest score among its unsupported claims, 0 without one; the threshold is the score of
-    rank ceil((n + 1)(1 - alpha)), or 1 where the rank exceeds n. The rank is found from counts of equal scores.
+    rank ceil((n + 1)(1 - alpha)), or 1 where the rank exceeds n.
     """
     per_example = examples.groupBy("group", "example_id").agg(F.coalesce(F.max(F.when(~F.col("supported"), F.col("score"))), F.lit(0.0)).alias("score"))
-    counts = per_example.groupBy("group", "score").agg(F.count(F.lit(1)).alias("m"))
-    order = Window.partitionBy("group").orderBy("score")
-    upto = counts.withColumn("upto", F.sum("m").over(order)).withColumn("n", F.sum("m").over(Window.partitionBy("group")))
-    rank = F.ceil((F.col("n") + 1) * (1 - alpha))
-    return upto.groupBy("group").agg(F.max("n").alias("n"), F.coalesce(F.min(F.when(F.col("upto") >= rank, F.col("score"))), F.lit(1.0)).alias("threshold"))
+    rank = lambda n: F.ceil((n + 1) * (1 - alpha)) if isinstance(n, Column) else min(math.ceil((n + 1) * (1 - alpha)), n + 1)
+    found = values_at(per_example, ["group"], "score", {"threshold": rank}, hot_rows)
+    return found.select("group", "n", F.coalesce("threshold", F.lit(1.0)).alias("threshold"))
 
 
 def rates(labelled: DataFrame, on: Sequence[str], predicted: Column, actual: Column) -> DataFrame:
