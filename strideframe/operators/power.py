@@ -179,12 +179,13 @@ def power_curve(curves: DataFrame, activities: DataFrame) -> DataFrame:
     return best.select("athlete", "duration_s", F.col("b.best_w").alias("best_w"), F.col("b.key").alias("activity_id"), F.to_date("b.start").alias("on_date"))
 
 
-def critical_power(points: DataFrame, domain: tuple[int, int] = C.CP_DOMAIN_S, least_points: int = C.CP_LEAST_POINTS, least_ratio: float = C.CP_LEAST_RATIO, least_r2: float = C.CP_LEAST_R2) -> DataFrame:
+def critical_power(points: DataFrame, domain: tuple[int, int] = C.CP_DOMAIN_S, least_points: int = C.CP_LEAST_POINTS, least_ratio: float = C.CP_LEAST_RATIO, least_r2: float = C.CP_LEAST_R2, bias_s: int | None = None) -> DataFrame:
     """One row per key of ``points(key, duration_s, best_w)``: cp_w, w_prime_j, r2, se_cp, se_w_prime, n, reason.
 
     The line of work over time through the curve's points inside the domain: slope is critical power, intercept the work
     above it. Standard errors come from the residuals themselves. A key has no more points than the curve has durations, so
-    they are folded from an array in the same pass.
+    they are folded from an array in the same pass. With ``bias_s``, ``long_bias`` tells whether a fit leans on a duration
+    beyond it, at which the model gives too much; null without a fit.
     """
     inside = F.col("duration_s").between(*domain) & finite(F.col("best_w"))
     x, w, p = F.when(inside, F.col("duration_s").cast("double")), F.when(inside, F.col("best_w") * F.col("duration_s")), F.when(inside, F.col("best_w"))
@@ -207,6 +208,7 @@ def critical_power(points: DataFrame, domain: tuple[int, int] = C.CP_DOMAIN_S, l
     return every.select(
         "key", computed(F.col("cp"), F.col("reason")).alias("cp_w"), computed(F.col("wp"), F.col("reason")).alias("w_prime_j"), computed(F.col("r2"), F.col("reason")).alias("r2"),
         error(ratio(s2, F.col("sxx"))).alias("se_cp"), error(s2 * (ratio(F.lit(1.0), F.col("n")) + ratio(F.col("x_mean") * F.col("x_mean"), F.col("sxx")))).alias("se_w_prime"), n.alias("n"), "reason",
+        *([] if bias_s is None else [F.when(F.col("reason").isNull(), F.col("x_max") > bias_s).alias("long_bias")]),
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.operators import power
+from strideframe.functions import constants as C
+from strideframe.operators import heart, listing, power
 from strideframe.plans import metrics
 from strideframe.sources import fixtures as fx
 
@@ -67,5 +68,52 @@ def durability_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GATED = ", ".join(f"CASE WHEN key % 3 <> 0 THEN {c} END AS {c}" for c in ("fresh_w", "fatigued_w", "decrement_pct", "split_t"))
 GATED = f"SELECT key, {_GATED}, CASE WHEN key % 3 = 0 THEN 'not_applicable_for_sport' ELSE reason END AS reason FROM ({metrics.DURABILITY})"
 
-QUERIES = {f.__name__: f for f in (w_balance_gates, effort_gaps, durability_gates)}
-ORACLE = {"w_balance_gates": BALANCE, "effort_gaps": EFFORTS, "durability_gates": GATED}
+def _supplier_sports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh supplier runs; so do some without a recording."""
+    key = F.col("s_suppkey")
+    return fx.table(spark, sf_dir, "supplier").select(key.alias("key"), F.when(key % 7 == 0, "running").otherwise("cycling").alias("sport"))
+
+
+def _fits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    curve = power.mean_maximal_power(fx.long_stream(spark, sf_dir), metrics.CP_POINTS)
+    return curve, power.gated(power.critical_power(curve, least_ratio=1.5, bias_s=LONG_S), _supplier_sports(spark, sf_dir))
+
+
+def critical_power_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of suppliers' curves behind the sport gate, flagged where a long duration bears on them."""
+    out = _fits(spark, sf_dir)[1]
+    return out.select("key", F.round("cp_w", 5).alias("cp_w"), F.round("w_prime_j", 3).alias("w_prime_j"), "long_bias", "reason")
+
+
+def critical_power_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted beside observed power for some durations, of which two were never looked at."""
+    curve, fits = _fits(spark, sf_dir)
+    out = listing.critical_power_points(fits, curve, CHART_S)
+    return out.select("key", "duration_s", F.round("predicted_w", 4).alias("predicted_w"), F.round("observed_w", 4).alias("observed_w"))
+
+
+LONG_S = metrics.CP_POINTS[-1] - 1
+CHART_S = (*metrics.CP_POINTS[:2], 60, 7200)
+_FIT = metrics.CRITICAL.split("\nSELECT key, round(CASE", 1)[0] + f""",
+x AS (SELECT e.key, CASE WHEN e.key % 7 = 0 THEN 'not_applicable_for_sport' ELSE reason END AS reason, cp, wp, long FROM e JOIN (SELECT key, max(x) > {LONG_S} AS long FROM pts GROUP BY 1) l ON l.key = e.key)"""
+CP_GATES = f"{_FIT} SELECT key, CASE WHEN reason IS NULL THEN round(cp, 5) END AS cp_w, CASE WHEN reason IS NULL THEN round(wp, 3) END AS w_prime_j, CASE WHEN reason IS NULL THEN long END AS long_bias, reason FROM x"
+CP_CHART = f"""{_FIT} SELECT x.key, CAST(v.d AS BIGINT) AS duration_s, round(wp / v.d + cp, 4) AS predicted_w, round(p, 4) AS observed_w
+FROM x CROSS JOIN (VALUES {', '.join(f'({d})' for d in CHART_S)}) v(d) LEFT JOIN pts ON pts.key = x.key AND pts.x = v.d WHERE reason IS NULL"""
+
+
+def decoupling_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of power for those who ride, of speed for those who run; those who swim have neither."""
+    stream = fx.short_stream(spark, sf_dir).withColumn("speed", F.when(F.col("t") % 17 > 0, F.col("power") / 100 + 1 + F.col("t") % 3))
+    key = F.col("key")
+    sports = stream.select("key").distinct().withColumn("sport", F.when(key % 3 == 0, "cycling").when(key % 3 == 1, "running").otherwise("swimming"))
+    drift = heart.decoupling(heart.output_stream(stream, sports), least_s=40, smooth=10, least_half=10, most_cv=1.0)
+    out = power.gated(drift, sports, C.POWER_SPORTS + C.PACE_SPORTS)
+    return out.select("key", F.round("drift_pct", 6).alias("drift_pct"), "included_s", "reason")
+
+
+CHANNELS = f"""WITH {fx.SHORT}, channel AS (SELECT key, t, CASE key % 3 WHEN 0 THEN power WHEN 1 THEN CASE WHEN t % 17 > 0 THEN power / 100 + 1 + t % 3 END END AS power, hr FROM short)""" + metrics.DECOUPLING.split(fx.SHORT, 1)[1].replace("FROM short", "FROM channel").replace(
+    "CASE WHEN np = 0 THEN", "CASE WHEN g.key % 3 = 2 THEN 'not_applicable_for_sport' WHEN np = 0 THEN"
+)
+
+QUERIES = {f.__name__: f for f in (w_balance_gates, effort_gaps, durability_gates, critical_power_gates, critical_power_chart, decoupling_channels)}
+ORACLE = {"w_balance_gates": BALANCE, "effort_gaps": EFFORTS, "durability_gates": GATED, "critical_power_gates": CP_GATES, "critical_power_chart": CP_CHART, "decoupling_channels": CHANNELS}
