@@ -51,6 +51,36 @@ n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER
 SELECT key, t, round(CASE WHEN hit THEN v WHEN t1 - t0 <= 3 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS v FROM n"""
 
 
+CHANNELS = ("power", "hr", "cadence")
+
+
+def channel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's values as sets of channels: each at 1 Hz, every second one at 0.5 Hz, all but the last ten at 2 Hz; some
+    samples are no numbers, and a second kind of sets doesn't count. Every seventh user has no cadence."""
+    e = fx.events(spark, sf_dir)
+    rows = e.groupBy(F.col("user_id").alias("key")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))
+    every = F.transform("a", lambda x: F.when(x["value"] <= 200, x["value"].cast("string")).otherwise("gap"))
+    second = F.filter(every, lambda x, i: i % 2 == 0)
+    head = F.slice(every, 1, F.greatest(F.size(every) - 10, F.lit(1)))
+    sets = [
+        F.struct(F.lit(c).alias("channel"), F.lit(kind).alias("set_kind"), F.lit(rate).cast("double").alias("rate"), values.alias("values"))
+        for c, kind, rate, values in (("power", "activity", None, every), ("hr", "activity", 0.5, second), ("cadence", "activity", 2.0, head), ("hr", "recovery", 1.0, every))
+    ]
+    channels = rows.select("key", F.explode(F.array(*sets)).alias("s")).select("key", "s.*").where("key % 7 > 0 OR channel <> 'cadence'")
+    out = series.aligned_channels(series.channel_samples(channels), CHANNELS)
+    return out.select("key", F.col("t").cast("long").alias("t"), *_r(*CHANNELS))
+
+
+GRID = """WITH e AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, CASE WHEN value <= 200 THEN value END AS v FROM events),
+s AS (SELECT key, 'power' AS c, CAST(i AS DOUBLE) AS t, v FROM e UNION ALL SELECT key, 'hr', CAST(i AS DOUBLE), v FROM e WHERE i % 2 = 0 UNION ALL SELECT key, 'cadence', i / 2.0, v FROM e WHERE key % 7 > 0 AND i < greatest(n - 10, 1)),
+l AS (SELECT key, c, CAST(floor(max(t)) AS BIGINT) AS z FROM s GROUP BY 1, 2), z AS (SELECT key, min(z) AS z FROM l GROUP BY 1), g AS (SELECT key, c, CAST(unnest(range(0, z + 1)) AS DOUBLE) AS t FROM l),
+j AS (SELECT coalesce(g.key, s.key) AS key, coalesce(g.c, s.c) AS c, coalesce(g.t, s.t) AS t, s.v, s.t IS NOT NULL AS hit FROM g FULL JOIN s ON g.key = s.key AND g.c = s.c AND g.t = s.t),
+n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, last_value(v IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1, first_value(v IGNORE NULLS) OVER a AS v1 FROM j
+  WINDOW b AS (PARTITION BY key, c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY key, c ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+r AS (SELECT n.key, c, t, CASE WHEN hit THEN v WHEN t1 - t0 <= 3 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS v FROM n JOIN z ON z.key = n.key AND t <= z.z WHERE t = floor(t))
+SELECT key, CAST(t AS BIGINT) AS t, round(max(v) FILTER (c = 'power'), 6) AS power, round(max(v) FILTER (c = 'hr'), 6) AS hr, round(max(v) FILTER (c = 'cadence'), 6) AS cadence FROM r GROUP BY 1, 2"""
+
+
 def seeded_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.seeded_mean(fx.short_stream(spark, sf_dir), "power", 30).select("key", "t", *_r("mean"))
 
@@ -262,12 +292,12 @@ a IS NULL AND (b IS NOT NULL OR c IS NOT NULL) AS substituted FROM j"""
 QUERIES = {
     f.__name__: f
     for f in (
-        pmc_daily, resample_1hz, seeded_mean, stream_runs, normalized_power, load_metrics, mmp_curve, mmp_long, power_curve, critical_power, w_balance, work_above_cp, durability, trimp, trimp_zonal, hrv_time_domain,
+        pmc_daily, resample_1hz, channel_grid, seeded_mean, stream_runs, normalized_power, load_metrics, mmp_curve, mmp_long, power_curve, critical_power, w_balance, work_above_cp, durability, trimp, trimp_zonal, hrv_time_domain,
         hrv_frequency_domain, decoupling, session_load, load_chain,
     )
 }
 ORACLE = {
-    "pmc_daily": PMC, "resample_1hz": RESAMPLE, "seeded_mean": SEEDED, "stream_runs": RUNS, "normalized_power": NORMALIZED, "load_metrics": LOAD_METRICS, "mmp_curve": MMP, "mmp_long": MMP_LONG, "power_curve": POWER_CURVE,
+    "pmc_daily": PMC, "resample_1hz": RESAMPLE, "channel_grid": GRID, "seeded_mean": SEEDED, "stream_runs": RUNS, "normalized_power": NORMALIZED, "load_metrics": LOAD_METRICS, "mmp_curve": MMP, "mmp_long": MMP_LONG, "power_curve": POWER_CURVE,
     "critical_power": CRITICAL, "w_balance": WBAL, "work_above_cp": WORK, "durability": DURABILITY, "trimp": TRIMP, "trimp_zonal": ZONAL, "hrv_time_domain": HRV, "decoupling": DECOUPLING,
     "session_load": SRPE, "load_chain": CHAIN,
 }
