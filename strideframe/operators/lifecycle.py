@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -22,7 +23,7 @@ def identities(recordings: DataFrame) -> DataFrame:
     Recordings come in order of (start, id). Each joins the first open session of its athlete and sport whose opener has
     its fingerprint, or starts within 120 s and lasts as long but for the larger of 60 s and 5 %; else it opens one. The
     order matters, so a chain of starts 100 s apart is not one session. Starts further apart than the reach of a match
-    can't meet: runs between such pauses are the groups that are worked in order, a few recordings each.
+    can't meet: runs between such pauses are worked in order, as streams of rows with the openers within reach.
     """
     order = Window.partitionBy("athlete", "sport").orderBy("start", "id")
     # Equal fingerprints meet at any distance: the earliest of each print stands for it.
@@ -35,12 +36,15 @@ def identities(recordings: DataFrame) -> DataFrame:
 
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come run by run in order; a run may go on in the next frame.
-        run, opened = None, []
+        run, opened = None, deque()
         for pdf in frames:
             found = []
             for row in pdf.itertuples(index=False):
                 if run != (row.athlete, row.sport, row.run):
-                    run, opened = (row.athlete, row.sport, row.run), []
+                    run, opened = (row.athlete, row.sport, row.run), deque()
+                # Openers that no later recording can reach go, so that a run of any length is carried in a few.
+                while opened and row.s - opened[0][0] > C.MATCH_START_S:
+                    opened.popleft()
                 for start, duration, ident in opened:
                     slack = max(C.MATCH_DURATION_S, C.MATCH_DURATION_SHARE * max(duration, row.duration_s))
                     if abs(row.s - start) <= C.MATCH_START_S and abs(row.duration_s - duration) <= slack:
@@ -147,11 +151,13 @@ def token_bucket(requests: DataFrame, on: Sequence[str], at: str, rate: float, b
 def greedy_context(records: DataFrame, on: Sequence[str], budget: int) -> DataFrame:
     """Records taken by relevance while they fit a token budget; one too large is passed over and smaller ones are still tried.
 
-    ``(id, relevance, tokens)``; ties go to the smaller id. Of the records of one size only the best ``budget / size`` can ever
-    fit, so the others are left out before a group's records meet in a task.
+    ``(id, relevance, tokens)``; ties go to the smaller id. Records without tokens always fit and meet in no group. Of those of
+    one size only the best ``budget / size`` can ever fit, so the others are left out before a group's records meet in a
+    task, where no more than the budget's share of each size is left.
     """
+    rows = records.select(*on, "id", "relevance", "tokens")
     rank = F.row_number().over(Window.partitionBy(*on, "tokens").orderBy(F.desc("relevance"), "id"))
-    top = records.where(F.col("tokens") <= budget).withColumn("rank_", rank).where(F.col("rank_") * F.col("tokens") <= budget)
+    top = rows.where(F.col("tokens").between(1, budget)).withColumn("rank_", rank).where(F.col("rank_") * F.col("tokens") <= budget)
 
     def pick(frames: pd.DataFrame) -> pd.DataFrame:
         frames = frames.sort_values(["relevance", "id"], ascending=[False, True])
@@ -161,8 +167,7 @@ def greedy_context(records: DataFrame, on: Sequence[str], budget: int) -> DataFr
             left -= tokens if tokens <= left else 0
         return frames[keep]
 
-    return top.select(*on, "id", "relevance", "tokens").groupBy(*on).applyInPandas(pick, top.select(*on, "id", "relevance", "tokens").schema)
-
+    return top.select(rows.columns).groupBy(*on).applyInPandas(pick, rows.schema).unionByName(rows.where("tokens <= 0"))
 
 
 def ensured(stored: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:

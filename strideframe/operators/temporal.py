@@ -47,14 +47,6 @@ def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: Col
     return (pairs.where(keep) if keep is not None else pairs).select(*on, "l", "r")
 
 
-def first_match(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: Column, right_at: Column, width: float, order: Sequence[str], keep: Column | None = None) -> DataFrame:
-    """``left`` rows with ``match``, the first right row by ``order`` inside the band that also meets ``keep``; null where none
-    does. Pairs are folded to one for each left row and bucket before anything is shuffled on. ``left`` needs a column ``id``."""
-    pairs = band_join(left, right, on, left_at, right_at, width, keep)
-    first = pairs.groupBy(*on, F.col("l.id").alias("id")).agg(F.min_by("r", F.struct(*(F.col(f"r.{c}") for c in order))).alias("match"))
-    return left.join(first, [*on, "id"], "left")
-
-
 def same_session(l: str = "l", r: str = "r") -> Column:
     """Two recordings are one session: equal sport, and an equal fingerprint or starts within 120 s and durations within
     the larger of 60 s and 5 %."""

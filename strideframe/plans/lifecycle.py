@@ -19,6 +19,18 @@ def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.identities(rows).select("athlete", "sport", "id", "session_id")
 
 
+#: Recordings one after the other, with the openers within reach carried as a list.
+IDENTITY = """WITH RECURSIVE r AS (SELECT l_suppkey AS athlete, l_returnflag AS sport, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id, CAST(epoch(l_shipdate) AS BIGINT) + l_partkey % 900 AS s, l_quantity * 10 AS d,
+  CASE WHEN l_partkey % 40 = 0 THEN l_orderkey END AS fp FROM lineitem),
+f AS (SELECT *, CASE WHEN fp IS NULL THEN id ELSE first_value(id) OVER (PARTITION BY athlete, sport, fp ORDER BY s, id) END AS head FROM r),
+h AS (SELECT *, row_number() OVER (PARTITION BY athlete, sport ORDER BY s, id) AS n FROM f WHERE head = id),
+w AS (SELECT athlete, sport, n, id, id AS session, [{'s': s, 'd': d, 'id': id}] AS opened FROM h WHERE n = 1
+  UNION ALL SELECT athlete, sport, n, id, coalesce(m, id), CASE WHEN m IS NULL THEN list_append(near, {'s': s, 'd': d, 'id': id}) ELSE near END FROM
+    (SELECT *, list_filter(near, lambda x: abs(x.d - d) <= greatest(60, 0.05 * greatest(x.d, d)))[1].id AS m FROM
+      (SELECT h.athlete, h.sport, h.n, h.id, h.s, h.d, list_filter(w.opened, lambda x: h.s - x.s <= 120) AS near FROM w JOIN h ON h.athlete = w.athlete AND h.sport = w.sport AND h.n = w.n + 1)))
+SELECT f.athlete, f.sport, f.id, w.session AS session_id FROM f JOIN w ON w.athlete = f.athlete AND w.sport = f.sport AND w.id = f.head"""
+
+
 def never_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored against incoming channels of each order."""
     c = fx.candidates(spark, sf_dir)
@@ -132,5 +144,5 @@ SELECT np.key, CASE WHEN reason IS NULL THEN 'present' ELSE 'absent_true' END AS
 
 QUERIES = {f.__name__: f for f in (session_identity, never_regress, erasure_counts, retention, recent_summary, metric_text, rate_limit, context_pick, scalar_rules, coverage_states)}
 ORACLE = {
-    "never_regress": REGRESS, "erasure_counts": ERASURE, "retention": RETENTION, "recent_summary": SUMMARY, "metric_text": METRIC_TEXT, "rate_limit": LIMIT, "context_pick": PICK, "scalar_rules": SCALARS, "coverage_states": COVERAGE,
+    "session_identity": IDENTITY, "never_regress": REGRESS, "erasure_counts": ERASURE, "retention": RETENTION, "recent_summary": SUMMARY, "metric_text": METRIC_TEXT, "rate_limit": LIMIT, "context_pick": PICK, "scalar_rules": SCALARS, "coverage_states": COVERAGE,
 }
