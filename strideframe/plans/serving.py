@@ -60,6 +60,21 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.simplified_track(points, 10).select("key", "t")
 
 
+#: A point's weight is the least of the distances at which it and the splits above it were made; a tolerance keeps what weighs more.
+TRACK = f"""WITH RECURSIVE {fx.SHORT}, w AS (SELECT key, t, sum(power) OVER o / 1e6 AS x, sum(hr) OVER o / 1e6 AS y, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM short WHERE power IS NOT NULL WINDOW o AS (PARTITION BY key ORDER BY t)),
+s AS (SELECT key, CAST(0 AS BIGINT) AS a, n - 1 AS b, CAST('inf' AS DOUBLE) AS weight, 2 AS side FROM w WHERE i = 0
+  UNION ALL SELECT key, CASE side WHEN 0 THEN a ELSE far END, CASE side WHEN 0 THEN far ELSE b END, weight, side FROM
+    (SELECT key, a, b, -(f.i) AS far, least(weight, f.d) AS weight FROM
+      (SELECT key, a, b, weight, max({{'d': d, 'i': -i}}) AS f FROM
+        (SELECT s.key, s.a, s.b, s.weight, p.i, CASE WHEN l.x = r.x AND l.y = r.y THEN sqrt(pow(p.x - l.x, 2) + pow(p.y - l.y, 2)) ELSE abs((r.x - l.x) * (p.y - l.y) - (r.y - l.y) * (p.x - l.x)) / sqrt(pow(r.x - l.x, 2) + pow(r.y - l.y, 2)) END AS d
+         FROM s JOIN w p ON p.key = s.key AND p.i > s.a AND p.i < s.b JOIN w l ON l.key = s.key AND l.i = s.a JOIN w r ON r.key = s.key AND r.i = s.b)
+       GROUP BY 1, 2, 3, 4)) CROSS JOIN (VALUES (0), (1)) c(side) WHERE weight > 1e-6),
+k AS (SELECT key, b AS i, weight FROM s WHERE side = 0), e AS (SELECT 1e-6 * pow(2, unnest(range(20))) AS e),
+c AS (SELECT z.key, e, 2 + count(k.weight) AS m FROM (SELECT key FROM w WHERE i = 0) z CROSS JOIN e LEFT JOIN k ON k.key = z.key AND k.weight > e GROUP BY 1, 2),
+b AS (SELECT key, coalesce(min(e) FILTER (m <= 10), max(e)) AS e FROM c GROUP BY 1)
+SELECT w.key, w.t FROM w JOIN b ON b.key = w.key LEFT JOIN k ON k.key = w.key AND k.i = w.i WHERE n <= 10 OR w.i = 0 OR w.i = n - 1 OR k.weight > e"""
+
+
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = load.pmc(load.daily_grid(fx.daily_loads(spark, sf_dir), "2024-01-31")).select("key", "day", "load", "ctl", "atl", "tsb")
     out = serve.dashboard(days, F.to_date(F.lit(ON)))
@@ -279,7 +294,7 @@ QUERIES = {
     )
 }
 ORACLE = {
-    "keyset_page": PAGE, "nullable_sort_page": NULLABLE, "topk_recall": RECALL, "decimate": DECIMATE, "dashboard": DASHBOARD, "coverage_diagnosis": DIAGNOSIS, "readiness": READINESS, "sufficiency": SUFFICIENCY,
+    "keyset_page": PAGE, "nullable_sort_page": NULLABLE, "topk_recall": RECALL, "decimate": DECIMATE, "track": TRACK, "dashboard": DASHBOARD, "coverage_diagnosis": DIAGNOSIS, "readiness": READINESS, "sufficiency": SUFFICIENCY,
     "endurance_score": ENDURANCE, "quantiles": QUANTILES, "conformal": CONFORMAL, "label_rates": RATES, "regression_diff": REGRESSION, "export_union": EXPORT, "number_sweep": SWEEP, "url_normalize": URLS,
     "claim_verify": VERIFY, "decision": DECISION, "constraint_gate": _GATE, "day_tumbling": TUMBLING, "user_sessions": USER_SESSIONS, "load_rollup": ROLLUP,
 }
