@@ -80,46 +80,55 @@ def hrv_time_domain(beats: DataFrame, least_s: float = C.HRV_LEAST_S, most_corre
     return sums.select("key", *(F.when(live, F.col(c)).alias(c) for c in ("rmssd", "sdnn", "pnn50", "mean_nn")), F.col("corrected").alias("corrected_fraction"), "reason")
 
 
-def welch(x: np.ndarray, rate: float, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """One-sided power spectral density: Hann windows of min(n, most) samples, half overlapped, each less its mean."""
-    n = min(len(x), most)
+def band_powers(x: np.ndarray, rate: float) -> tuple[float, float]:
+    """Low and high band of one segment: the one-sided density of x less its mean under a Hann window, and its trapezoid area in
+    each half-open band."""
+    n = len(x)
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    parts = [x[i : i + n] for i in range(0, len(x) - n + 1, n - n // 2)]
-    power = np.mean([np.abs(np.fft.rfft((p - p.mean()) * window)) ** 2 for p in parts], axis=0) / (rate * (window**2).sum())
+    power = np.abs(np.fft.rfft((x - x.mean()) * window)) ** 2 / (rate * (window**2).sum())
     power[1 : -1 if n % 2 == 0 else None] *= 2
-    return np.fft.rfftfreq(n, 1 / rate), power
-
-
-def hrv_frequency_domain(beats: DataFrame, rate: float = 4.0) -> DataFrame:
-    """One row per key: lf, hf (ms squared), lf_hf, reason. Corrected beats on an even grid at ``rate`` Hz, then Welch's
-    spectrum and the trapezoid area of each half-open band. A recording is worked whole in a task."""
-
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        nn = pdf.sort_values("i")["nn"].to_numpy(float)
-        key, out, why = pdf["key"].iloc[0], (None, None, None), None
-        if len(nn) < 4:
-            why = "insufficient_data"
-        elif not (np.isfinite(nn).all() and (nn > 0).all()):
-            why = "out_of_domain"
-        elif pdf["replaced"].mean() > C.HRV_MOST_CORRECTED:
-            why = "insufficient_data"
-        else:
-            at = np.cumsum(nn) / 1000
-            at -= at[0]
-            even = np.interp(np.arange(0, at[-1], 1 / rate), at, nn)
-            if len(even) < 4:
-                why = "insufficient_data"
-            else:
-                f, p = welch(even - even.mean(), rate)
-                lf, hf = (float(np.trapezoid(p[b], f[b])) for b in ((f >= lo) & (f < hi) for lo, hi in (C.HRV_LF, C.HRV_HF)))
-                if hf == 0:
-                    why = "insufficient_data"
-                else:
-                    out = (lf, hf, lf / hf)
-        return pd.DataFrame([(key, *out, why)], columns=["key", "lf", "hf", "lf_hf", "reason"])
+    f = np.fft.rfftfreq(n, 1 / rate)
+    return tuple(float(np.trapezoid(power[k], f[k])) for k in ((f >= lo) & (f < hi) for lo, hi in (C.HRV_LF, C.HRV_HF)))
+
+
+def tachogram(nn: DataFrame, rate: float) -> DataFrame:
+    """``(key, k, v)``: corrected beats ``(key, i, nn)`` on an even grid at ``rate`` Hz from the first beat's end to before the
+    last's. Each beat makes the samples up to the next one's end."""
+    order = Window.partitionBy("key").orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = nn.select("key", "i", "nn", (F.sum("nn").over(so_far) / 1000 - F.first("nn").over(so_far) / 1000).alias("at"))
+    rows = rows.withColumns({"next": F.lead("nn").over(order), "until": F.lead("at").over(order)})
+    first, last = F.ceil(F.col("at") * rate), F.ceil(F.col("until") * rate) - 1
+    samples = rows.where(last >= first).select("key", "nn", "next", "at", "until", F.explode(F.sequence(first, last)).alias("k"))
+    return samples.select("key", "k", (F.col("nn") + (F.col("next") - F.col("nn")) / (F.col("until") - F.col("at")) * (F.col("k") / rate - F.col("at"))).alias("v"))
+
+
+def hrv_frequency_domain(beats: DataFrame, rate: float = 4.0, most: int = 256) -> DataFrame:
+    """One row per key: lf, hf (ms squared), lf_hf, reason.
+
+    Corrected beats on an even grid at ``rate`` Hz are cut into half-overlapping segments of min(n, ``most``) samples; a
+    task works one segment, and a band is the mean over the segments' areas.
+    """
+    nn = corrected_beats(beats)
+    sums = nn.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("nn").isNull() | ~finite(F.col("nn")) | (F.col("nn") <= 0)).alias("bad"), F.avg(F.col("replaced").cast("double")).alias("corrected"))
+    early = ladder([(F.col("n") < 4, "insufficient_data"), (F.col("bad") > 0, "out_of_domain"), (F.col("corrected") > C.HRV_MOST_CORRECTED, "insufficient_data")])
+    sums = sums.select("key", early.alias("why"))
+    samples = tachogram(nn.join(sums.where("why IS NULL").select("key"), "key"), rate)
+    sized = samples.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n >= 4").withColumn("size", F.least(F.col("n"), F.lit(most)))
+    step = F.col("size") - F.floor(F.col("size") / 2)
+    first = F.greatest(F.lit(0), F.ceil((F.col("k") - F.col("size") + 1) / step))
+    last = F.least(F.floor(F.col("k") / step), F.floor((F.col("n") - F.col("size")) / step))
+    segments = sized.where(last >= first).select("key", "k", "v", F.explode(F.sequence(first, last)).alias("segment"))
+
+    def bands(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lf, hf = band_powers(pdf["v"].to_numpy(float)[pdf["k"].to_numpy().argsort()], rate)
+        return pd.DataFrame({"key": [key[0]], "lf": lf, "hf": hf})
 
     kind = dict(beats.dtypes)["key"]
-    return corrected_beats(beats).groupBy("key").applyInPandas(spectrum, f"key {kind}, lf double, hf double, lf_hf double, reason string")
+    areas = segments.groupBy("key", "segment").applyInPandas(bands, f"key {kind}, lf double, hf double").groupBy("key").agg(F.avg("lf").alias("lf"), F.avg("hf").alias("hf"))
+    rows = sums.join(areas, "key", "left")
+    why = F.coalesce(F.col("why"), F.when(F.coalesce(F.col("hf"), F.lit(0.0)) == 0, "insufficient_data"))
+    return rows.select("key", *(F.when(why.isNull(), c).alias(n) for n, c in (("lf", F.col("lf")), ("hf", F.col("hf")), ("lf_hf", ratio(F.col("lf"), F.col("hf"))))), why.alias("reason"))
 
 
 def decoupling(stream: DataFrame, least_s: int = C.DECOUPLING_LEAST_S, smooth: int = C.DECOUPLING_SMOOTH_S, least_half: int = C.DECOUPLING_LEAST_HALF, most_cv: float = C.DECOUPLING_MOST_CV) -> DataFrame:

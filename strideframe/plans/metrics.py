@@ -245,7 +245,23 @@ round(CASE WHEN reason IS NULL THEN mean_nn END, 6) AS mean_nn, round(corrected,
 
 
 def hrv_frequency_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heart.hrv_frequency_domain(_beats(spark, sf_dir))
+    return heart.hrv_frequency_domain(_beats(spark, sf_dir)).select("key", *_r("lf", "hf", "lf_hf"), "reason")
+
+
+#: Spectra by sums of cosines and sines over each segment.
+SPECTRUM = HRV.split("d AS (SELECT *, nn - lag", 1)[0] + """g AS (SELECT key, CASE WHEN count(*) < 4 OR avg(CASE WHEN off THEN 1.0 ELSE 0.0 END) > 0.05 THEN 'insufficient_data' END AS why FROM c GROUP BY 1),
+a AS (SELECT c.key, i, nn, sum(nn) OVER o / 1000 - first_value(nn) OVER o / 1000 AS tm FROM c JOIN g ON g.key = c.key AND why IS NULL WINDOW o AS (PARTITION BY c.key ORDER BY i)),
+x AS (SELECT *, lead(nn) OVER o AS nx, lead(tm) OVER o AS til FROM a WINDOW o AS (PARTITION BY key ORDER BY i)),
+s AS (SELECT *, unnest(range(CAST(ceil(tm * 4) AS BIGINT), CAST(ceil(til * 4) AS BIGINT))) AS k FROM x WHERE til IS NOT NULL),
+v AS (SELECT key, k, nn + (nx - nn) / (til - tm) * (k / 4.0 - tm) AS v, count(*) OVER (PARTITION BY key) AS n FROM s),
+z AS (SELECT *, least(n, 256) AS size, least(n, 256) - least(n, 256) // 2 AS step FROM v WHERE n >= 4),
+e AS (SELECT *, unnest(range(0, (n - size) // step + 1)) AS seg FROM z), f AS (SELECT key, seg, size, k - seg * step AS j, v FROM e WHERE k >= seg * step AND k < seg * step + size),
+h AS (SELECT *, (v - avg(v) OVER (PARTITION BY key, seg)) * (0.5 - 0.5 * cos(2 * pi() * j / size)) AS y, 0.5 - 0.5 * cos(2 * pi() * j / size) AS win FROM f),
+q AS (SELECT key, seg, size, m, (pow(sum(y * cos(2 * pi() * m * j / size)), 2) + pow(sum(y * sin(2 * pi() * m * j / size)), 2)) / (4 * sum(win * win)) * CASE WHEN m = 0 OR 2 * m = size THEN 1 ELSE 2 END AS p, m * (CAST(1 AS DOUBLE) / (size * CAST(0.25 AS DOUBLE))) AS hz
+  FROM (SELECT *, unnest(range(0, CAST(ceil(0.4 * size / 4.0) AS BIGINT) + 1)) AS m FROM h) GROUP BY 1, 2, 3, 4),
+t AS (SELECT key, seg, hz >= 0.15 AS high, (p + lead(p) OVER o) / 2 * (lead(hz) OVER o - hz) AS area FROM q WHERE hz >= 0.04 AND hz < 0.4 WINDOW o AS (PARTITION BY key, seg, hz >= 0.15 ORDER BY m)),
+l AS (SELECT key, seg, coalesce(sum(area) FILTER (NOT high), 0) AS lf, coalesce(sum(area) FILTER (high), 0) AS hf FROM t GROUP BY 1, 2), r AS (SELECT key, avg(lf) AS lf, avg(hf) AS hf FROM l GROUP BY 1)
+SELECT g.key, CASE WHEN hf > 0 THEN round(lf, 6) END AS lf, CASE WHEN hf > 0 THEN round(hf, 6) END AS hf, CASE WHEN hf > 0 THEN round(lf / hf, 6) END AS lf_hf, coalesce(why, CASE WHEN coalesce(hf, 0) = 0 THEN 'insufficient_data' END) AS reason FROM g LEFT JOIN r ON r.key = g.key"""
 
 
 def decoupling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,6 +314,6 @@ QUERIES = {
 }
 ORACLE = {
     "pmc_daily": PMC, "resample_1hz": RESAMPLE, "channel_grid": GRID, "seeded_mean": SEEDED, "stream_runs": RUNS, "normalized_power": NORMALIZED, "load_metrics": LOAD_METRICS, "mmp_curve": MMP, "mmp_long": MMP_LONG, "power_curve": POWER_CURVE,
-    "critical_power": CRITICAL, "w_balance": WBAL, "work_above_cp": WORK, "durability": DURABILITY, "trimp": TRIMP, "trimp_zonal": ZONAL, "hrv_time_domain": HRV, "decoupling": DECOUPLING,
+    "critical_power": CRITICAL, "w_balance": WBAL, "work_above_cp": WORK, "durability": DURABILITY, "trimp": TRIMP, "trimp_zonal": ZONAL, "hrv_time_domain": HRV, "hrv_frequency_domain": SPECTRUM, "decoupling": DECOUPLING,
     "session_load": SRPE, "load_chain": CHAIN,
 }

@@ -82,10 +82,14 @@ def test_critical_power_of_a_line(spark):
     assert power.critical_power(points.where("duration_s < 600")).first().reason == "insufficient_data"
 
 
-def test_welch_finds_a_tone():
-    t = np.arange(0, 256, 0.25)
-    f, p = heart.welch(np.sin(2 * np.pi * 0.1 * t), 4.0)
-    assert f[p.argmax()] == pytest.approx(0.1, abs=0.02) and np.trapezoid(p, f) == pytest.approx(0.5, rel=0.05)
+@pytest.mark.parametrize("minutes", [1, 20])
+def test_spectrum_finds_a_tone(spark, minutes):
+    at, beats = 0.0, []
+    while at < 60 * minutes:
+        beats.append(1000 + 40 * np.sin(2 * np.pi * 0.1 * at) + 2 * np.sin(2 * np.pi * 0.25 * at))
+        at += beats[-1] / 1000
+    out = heart.hrv_frequency_domain(spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(beats)], "key long, i long, rr double")).first()
+    assert out.reason is None and out.lf == pytest.approx(800, rel=0.1) and out.hf < 10 and out.lf_hf == pytest.approx(out.lf / out.hf)
 
 
 def test_resample_takes_the_first_of_equal_times_and_keeps_gaps(spark):
