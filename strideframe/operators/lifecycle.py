@@ -53,16 +53,19 @@ def identities(recordings: DataFrame) -> DataFrame:
                 else:
                     opened.append((row.s, row.duration_s, row.id))
                     found.append(row.id)
-            yield pd.DataFrame({"head": pdf["id"], "session_id": found})
+            yield pdf[["athlete", "sport"]].assign(head=pdf["id"], session_id=found)
 
-    kind = dict(recordings.dtypes)["id"]
+    kinds = dict(recordings.dtypes)
+    kind = kinds["id"]
     sized = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("athlete", "sport", "run")))
     several = sized.where("size > 1").select("athlete", "sport", "run", "id", F.unix_micros("start").alias("us"), (F.unix_micros("start") / 1e6).alias("s"), "duration_s")
     groups = ["athlete", "sport", "run"]
-    matched = several.repartition(*groups).sortWithinPartitions(*groups, "us", "id").mapInPandas(match, f"head {kind}, session_id {kind}")
-    named = matched.unionByName(sized.where("size = 1").select(F.col("id").alias("head"), F.col("id").alias("session_id")))
-    named = named.groupBy("head").agg(F.min("session_id").alias("session_id"))  # rows that repeat an id are one recording
-    return rows.join(named, F.col("lead") == F.col("head")).drop("lead", "head")
+    matched = several.repartition(*groups).sortWithinPartitions(*groups, "us", "id").mapInPandas(match, f"athlete {kinds['athlete']}, sport {kinds['sport']}, head {kind}, session_id {kind}")
+    named = matched.unionByName(sized.where("size = 1").select("athlete", "sport", F.col("id").alias("head"), F.col("id").alias("session_id")))
+    # Rows of an athlete and sport that repeat an id are one recording.
+    named = named.groupBy(F.col("athlete").alias("a_"), F.col("sport").alias("s_"), "head").agg(F.min("session_id").alias("session_id"))
+    met = F.col("athlete").eqNullSafe(F.col("a_")) & F.col("sport").eqNullSafe(F.col("s_")) & (F.col("lead") == F.col("head"))
+    return rows.join(named, met).drop("lead", "head", "a_", "s_")
 
 
 def kept_channels(stored: DataFrame, incoming: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -15,12 +15,12 @@ def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of a supplier on one day as recordings: sessions by the ordered matching rule."""
     li = fx.table(spark, sf_dir, "lineitem")
     start = (F.unix_timestamp("l_shipdate") + F.col("l_partkey") % 900).cast("timestamp")
-    rows = li.select(F.col("l_suppkey").alias("athlete"), F.col("l_returnflag").alias("sport"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), start.alias("start"), (F.col("l_quantity") * 10).alias("duration_s"), F.when(F.col("l_partkey") % 40 == 0, F.col("l_orderkey")).alias("fingerprint"))
+    rows = li.select(F.col("l_suppkey").alias("athlete"), F.col("l_returnflag").alias("sport"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("id"), start.alias("start"), (F.col("l_quantity") * 10).alias("duration_s"), F.when(F.col("l_partkey") % 40 == 0, F.col("l_orderkey")).alias("fingerprint"))
     return lifecycle.identities(rows).select("athlete", "sport", "id", "session_id")
 
 
 #: Recordings one after the other, with the openers within reach carried as a list.
-IDENTITY = """WITH RECURSIVE r AS (SELECT l_suppkey AS athlete, l_returnflag AS sport, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id, CAST(epoch(l_shipdate) AS BIGINT) + l_partkey % 900 AS s, l_quantity * 10 AS d,
+IDENTITY = """WITH RECURSIVE r AS (SELECT l_suppkey AS athlete, l_returnflag AS sport, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS id, CAST(epoch(l_shipdate) AS BIGINT) + l_partkey % 900 AS s, l_quantity * 10 AS d,
   CASE WHEN l_partkey % 40 = 0 THEN l_orderkey END AS fp FROM lineitem),
 f AS (SELECT *, CASE WHEN fp IS NULL THEN id ELSE first_value(id) OVER (PARTITION BY athlete, sport, fp ORDER BY s, id) END AS head FROM r),
 h AS (SELECT *, row_number() OVER (PARTITION BY athlete, sport ORDER BY s, id) AS n FROM f WHERE head = id),
