@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import as_bytes, saved, slices
+from strideframe.llm.common import saved, slices
 
 FANOUT = 8
 LEVELS = 4
