@@ -161,5 +161,5 @@ def seeded_window(days: DataFrame, first: str, last: str, seed_ctl: float | None
     lacking = (F.col("begin_") < low) if not all(given) else F.lit(False)
     grid = inside.select("key", "day", "load", F.lit(False).alias("substituted"))
     rows = pmc(grid, ctl_days, atl_days, seed_ctl if all(given) else 0.0, seed_atl if all(given) else 0.0).join(begin, "key")
-    why = ladder([(lacking, "not_seeded")])
+    why = F.coalesce(ladder([(lacking, "not_seeded")]), F.col("reason"))
     return rows.select("key", "day", *(F.when(why.isNull(), F.col(c)).alias(c) for c in ("ctl", "atl", "tsb")), why.alias("reason"))

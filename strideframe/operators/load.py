@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import constants as C
+from strideframe.functions.result import finite
 
 #: Days to a block of the running sums, so that the largest exponential stays far from overflow.
 BLOCK_DAYS = 1024
@@ -44,7 +45,8 @@ def pmc(grid: DataFrame, ctl_days: float = C.CTL_DAYS, atl_days: float = C.ATL_D
     """Fitness (ctl), fatigue (atl) and form (tsb) for each day of a gap-free ``grid(key, day, load, ...)``.
 
     A null load decays as 0 and makes its day provisional. Form is the day before's fitness less its fatigue, the seeds'
-    on the first day. Confidence is 1, times 0.5 on provisional and 0.7 on substituted days.
+    on the first day. Confidence is 1, times 0.5 on provisional and 0.7 on substituted days. A load that isn't finite puts
+    all days of its key out of domain: they have a ``reason`` and no values.
     """
     per_key = Window.partitionBy("key").orderBy("day")
     rows = grid.withColumn("i", F.row_number().over(per_key) - 1).withColumn("known", F.coalesce("load", F.lit(0.0)))
@@ -60,5 +62,8 @@ def pmc(grid: DataFrame, ctl_days: float = C.CTL_DAYS, atl_days: float = C.ATL_D
         rows = rows.withColumn(name, F.col("own") + carried + seed * F.exp(-(i + 1) / days)).drop("own", "back1", "back2")
     form = F.lag(F.col("ctl") - F.col("atl"), 1, seed_ctl - seed_atl).over(per_key)
     provisional = F.col("load").isNull()
+    bad = F.coalesce(F.bool_or(F.col("load").isNotNull() & ~finite(F.col("load"))).over(Window.partitionBy("key")), F.lit(False))
+    why = F.when(bad, "out_of_domain")
     confidence = F.when(provisional, C.PROVISIONAL_CONFIDENCE).otherwise(1.0) * F.when(F.col("substituted"), C.SUBSTITUTED_CONFIDENCE).otherwise(1.0)
-    return rows.select("key", "day", "load", "ctl", "atl", form.alias("tsb"), provisional.alias("provisional"), "substituted", confidence.alias("confidence"))
+    rows = rows.select("key", "day", "load", "ctl", "atl", form.alias("tsb"), provisional.alias("provisional"), "substituted", confidence.alias("confidence"), why.alias("reason"))
+    return rows.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("ctl", "atl", "tsb", "confidence")})

@@ -25,6 +25,12 @@ def test_fitness_first_days(spark):
     assert rows[1].ctl == pytest.approx(2.2974731818766507) and rows[1].atl == pytest.approx(11.54006066748957) and rows[1].tsb == pytest.approx(-10.959378690206167)
 
 
+def test_a_load_that_is_not_finite_has_a_reason(spark):
+    rows = load.pmc(grid(spark, [100.0, float("nan"), None, 5.0])).collect()
+    assert {(r.ctl, r.atl, r.tsb, r.reason) for r in rows} == {(None, None, None, "out_of_domain")}
+    assert {r.reason for r in load.pmc(grid(spark, [100.0, None])).collect()} == {None}
+
+
 def test_fitness_over_many_blocks(spark):
     rng = random.Random(4)
     loads = [None if rng.random() < 0.05 else rng.random() * 200 for _ in range(3500)]
