@@ -37,9 +37,11 @@ LONGEST = 64
 LEAST_GAIN = 0.002
 ROUNDS = 6
 #: Tokens of the texts that are worked side by side.
-TOKENS_AT_ONCE = 1 << 18
+TOKENS_AT_ONCE = 1 << 19
 #: Tokens of the pieces that long texts are worked in.
 PIECE = 1_024
+#: Steps of time between two rescalings: a step's factor is far above 1e-35, so that doubles don't underflow.
+RESCALE = 8
 HELD_OUT = (7, 2)
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _LOWER_CASE = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -177,56 +179,72 @@ def _side_by_side(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     order = np.array(sorted(range(len(sequences)), key=lambda i: -len(sequences[i])))
     size = np.array([len(sequences[i]) for i in order])
     alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-    flat = np.concatenate([sequences[i] for i in order]).astype(np.int64)
+    flat = np.concatenate([sequences[i] for i in order])
     time = np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-    return order, alive, flat[np.argsort(time, kind="stable")]
+    laid = np.empty(len(flat), np.int64)
+    laid[np.r_[0, np.cumsum(alive)[:-1]][time] + np.repeat(np.arange(len(size)), size)] = flat
+    return order, alive, laid
+
+
+def _cut(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], list[list[int]]]:
+    """Pieces of all sequences, and the places of each sequence's pieces in order."""
+    pieces, chains = [], []
+    for s in sequences:
+        chains.append(list(range(len(pieces), len(pieces) - (-len(s) // PIECE))))
+        pieces += [s[i : i + PIECE] for i in range(0, len(s), PIECE)]
+    return pieces, chains
 
 
 def _messages(model: Model, pieces: list[np.ndarray], chains: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """What each piece of a cut sequence takes over: the distribution of its first state given all tokens before it, and the
-    relative likelihoods of all tokens after it given its last state.
+    """What each piece of a cut sequence takes over, states by pieces: the distribution of its first state given all tokens
+    before it, and the relative likelihoods of all tokens after it given its last state.
 
-    ``chains`` lists the pieces of each sequence in order. A piece's tokens act on states as one matrix; the matrices of all
-    pieces are made side by side, and only they are passed through in order.
+    A piece's tokens act on states as one matrix; the matrices of all pieces are made side by side, and only they are
+    passed through in order.
     """
     k = len(model.first)
-    before, after = np.tile(model.first, (len(pieces), 1)), np.ones((len(pieces), k))
+    before, after = np.tile(model.first[:, None], (1, len(pieces))), np.ones((k, len(pieces)))
     cut = [c for c in chains if len(c) > 1]
     if not cut:
         return before, after
     members = [i for c in cut for i in c]
     order, alive, tokens_ = _side_by_side([pieces[i] for i in members])
-    table, at = np.ascontiguousarray(model.emit.T), 0
-    acts = np.zeros((len(members), k, k))
+    turn, at = np.ascontiguousarray(model.step.T), 0
+    acts = np.empty((k, k, len(members)))  # state at the end, state at the start, piece
+    now = np.broadcast_to(np.eye(k)[:, :, None], acts.shape)
     for t, w in enumerate(alive):
-        likely = table[tokens_[at : at + w]]
-        acts[:w] = np.eye(k) * likely[:, None] if t == 0 else (acts[:w].reshape(-1, k) @ model.step).reshape(w, k, k) * likely[:, None]
-        acts[:w] /= acts[:w].sum((1, 2))[:, None, None]
+        if now.shape[2] > w:
+            acts[:, :, w : now.shape[2]] = now[:, :, w:]
+            now = now[:, :, :w]
+        likely = model.emit[:, tokens_[at : at + w]][:, None]
+        now = now * likely if t == 0 else (turn @ now.reshape(k, -1)).reshape(k, k, w) * likely
+        if t % RESCALE == RESCALE - 1:
+            now /= now.sum((0, 1))
         at += w
+    acts[:, :, : now.shape[2]] = now
+    acts /= acts.sum((0, 1))
     place = np.empty(len(pieces), np.int64)
     place[np.array(members)[order]] = np.arange(len(members))
     for rank in range(max(map(len, cut)) - 1):
         here, there = (np.array([c[rank + j] for c in cut if len(c) > rank + 1]) for j in (0, 1))
-        ends = np.einsum("nk,nkj->nj", before[here], acts[place[here]])
-        before[there] = ends / ends.sum(1, keepdims=True) @ model.step
+        ends = np.einsum("jkn,kn->jn", acts[:, :, place[here]], before[:, here])
+        before[:, there] = turn @ (ends / ends.sum(0))
     for rank in range(max(map(len, cut)) - 1, 0, -1):
         here, there = (np.array([c[rank + j] for c in cut if len(c) > rank]) for j in (0, -1))
-        starts = np.einsum("nkj,nj->nk", acts[place[here]], after[here]) @ model.step.T
-        after[there] = starts / starts.sum(1, keepdims=True)
+        starts = model.step @ np.einsum("jkn,jn->kn", acts[:, :, place[here]], after[:, here])
+        after[:, there] = starts / starts.sum(0)
     return before, after
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of whole sequences (first states, steps, emissions) and their log10 likelihood.
 
-    Long sequences are cut into pieces that are worked side by side; what crosses a cut is taken over exactly.
+    Long sequences are cut into pieces that are worked side by side; what crosses a cut is taken over exactly. Arrays are
+    states by tokens, so that every step of time works on long rows.
     """
-    pieces, chains = [], []
-    for s in sequences:
-        chains.append(list(range(len(pieces), len(pieces) - (-len(s) // PIECE))))
-        pieces += [s[i : i + PIECE] for i in range(0, len(s), PIECE)]
+    pieces, chains = _cut(sequences)
     order, alive, tokens_ = _side_by_side(pieces)
-    before, after = (x[order] for x in _messages(model, pieces, chains))
+    before, after = (x[:, order] for x in _messages(model, pieces, chains))
     last = np.empty(len(pieces), np.int64)  # place of the piece before, -1 for a first one
     place = np.empty(len(pieces), np.int64)
     place[order] = np.arange(len(pieces))
@@ -234,39 +252,40 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
         last[place[c]] = [-1, *place[c[:-1]]]
     at = np.r_[0, np.cumsum(alive)]
     k = len(model.first)
-    ahead = model.emit.T[tokens_]  # of each token in each state; relative to its scale after the forward pass
-    alpha, scale = np.empty((len(tokens_), k)), np.empty(len(tokens_))
+    turn = np.ascontiguousarray(model.step.T)
+    ahead = np.take(model.emit, tokens_, 1)  # of each token in each state; relative to its scale after the forward pass
+    alpha, likely = np.empty_like(ahead), 0.0
     for t, w in enumerate(alive):
         rows = slice(at[t], at[t] + w)
-        now = alpha[rows]
-        if t:
-            np.matmul(alpha[at[t - 1] : at[t - 1] + w], model.step, out=now)
-            now *= ahead[rows]
-        else:
-            np.multiply(before, ahead[rows], out=now)
-        now.sum(1, out=scale[rows])
-        now /= scale[rows][:, None]
-    ahead /= scale[:, None]
+        now = (turn @ alpha[:, at[t - 1] : at[t - 1] + w] if t else before) * ahead[:, rows]
+        if t % RESCALE == RESCALE - 1:
+            scale = now.sum(0)
+            now /= scale
+            ahead[:, rows] /= scale
+            likely += np.log10(scale).sum()
+        alpha[:, rows] = now
     size = np.searchsorted(-alive, -np.arange(1, len(pieces) + 1), side="right")  # of the pieces in their order
-    ends = alpha[at[size - 1] + np.arange(len(pieces))]
-    after /= (ends * after).sum(1, keepdims=True)
-    step, beta = np.zeros((k, k)), after[: alive[-1]]
+    ends = alpha[:, at[size - 1] + np.arange(len(pieces))]
+    likely += np.log10(ends.sum(0)).sum()
+    after /= (ends * after).sum(0)
+    ends /= ends.sum(0)
+    step, beta = np.zeros((k, k)), after[:, : alive[-1]]
     for t in range(len(alive) - 1, 0, -1):
         w = alive[t]
         rows = slice(at[t], at[t] + w)
-        arrives = ahead[rows] * beta
-        step += alpha[at[t - 1] : at[t - 1] + w].T @ arrives
-        alpha[rows] *= beta
-        beta = arrives @ model.step.T
+        arrives = ahead[:, rows] * beta
+        step += alpha[:, at[t - 1] : at[t - 1] + w] @ arrives.T
+        alpha[:, rows] *= beta
+        beta = model.step @ arrives
         if alive[t - 1] > w:
-            beta = np.concatenate([beta, after[w : alive[t - 1]]])
+            beta = np.concatenate([beta, after[:, w : alive[t - 1]]], 1)
     rows = slice(0, alive[0])
-    arrives = ahead[rows] * beta
+    arrives = ahead[:, rows] * beta
     crossing = last >= 0
-    step += ends[last[crossing]].T @ arrives[crossing]
-    alpha[rows] *= beta
-    emit = np.stack([np.bincount(tokens_, alpha[:, s], CLASSES) for s in range(k)])
-    return alpha[rows][~crossing].sum(0), step * model.step, emit, float(np.log10(scale).sum())
+    step += ends[:, last[crossing]] @ arrives[:, crossing].T
+    alpha[:, rows] *= beta
+    emit = np.stack([np.bincount(tokens_, alpha[s], CLASSES) for s in range(k)])
+    return alpha[:, rows][:, ~crossing].sum(1), step * model.step, emit, float(likely)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -312,20 +331,26 @@ def baum_welch(table: DataFrame, rounds: int = ROUNDS, states: int = STATES, lea
 
 
 def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Exact log10 probability of each class sequence, by the scaled forward recursion over all of them at once."""
-    order, alive, tokens_ = _side_by_side(sequences)
-    table = np.ascontiguousarray(model.emit.T)
-    total = np.zeros(len(order))
-    alpha, start = None, 0
+    """Exact log10 probability of each class sequence, by the scaled forward recursion; pieces of long sequences are worked
+    side by side, as in training."""
+    pieces, chains = _cut(sequences)
+    order, alive, tokens_ = _side_by_side(pieces)
+    now = _messages(model, pieces, chains)[0][:, order]
+    turn = np.ascontiguousarray(model.step.T)
+    total, start = np.zeros(len(pieces)), 0
     for t, w in enumerate(alive):
-        alpha = (model.first if t == 0 else alpha[:w] @ model.step) * table[tokens_[start : start + w]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        total[:w] += np.log10(scale)
+        if now.shape[1] > w:
+            total[w : now.shape[1]] += np.log10(now[:, w:].sum(0))
+        now = (turn @ now[:, :w] if t else now) * model.emit[:, tokens_[start : start + w]]
+        if t % RESCALE == RESCALE - 1:
+            scale = now.sum(0)
+            now /= scale
+            total[:w] += np.log10(scale)
         start += w
-    out = np.empty(len(order))
-    out[order] = total
-    return out
+    total[: now.shape[1]] += np.log10(now.sum(0))
+    of_piece = np.empty(len(pieces))
+    of_piece[order] = total
+    return np.array([of_piece[c].sum() for c in chains])
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, class_score double"

@@ -73,8 +73,10 @@ def test_cut_sequences_count_as_whole_ones(monkeypatch):
     whole = hmm.expected_counts(model, sequences)
     assert whole[0].sum() == pytest.approx(len(sequences)) and whole[2].sum() == pytest.approx(sum(map(len, sequences))) and whole[1].sum() == pytest.approx(sum(len(s) - 1 for s in sequences))
     assert whole[3] == pytest.approx(hmm.log10_likelihoods(model, sequences).sum())
+    alone = hmm.log10_likelihoods(model, sequences)
     monkeypatch.setattr(hmm, "PIECE", 8)
     assert all(np.allclose(a, b) for a, b in zip(hmm.expected_counts(model, sequences), whole))
+    assert np.allclose(hmm.log10_likelihoods(model, sequences), alone, rtol=1e-12)
 
 
 def test_quality_scores_by_hand(spark, documents, rows):
