@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strideframe.operators import contribute, resolve
 from strideframe.sources import fixtures as fx
+from strideframe.sources.buckets import BucketedTable
+from strideframe.sources.scratch import scratch
 
 TOP = {"power_w": "raw_stream", "latlng": "platform_computed"}
 _RANK = "CASE tier WHEN 'raw_stream' THEN 0 WHEN 'device_computed' THEN 1 WHEN 'platform_computed' THEN 2 WHEN 'modeled' THEN 3 WHEN 'summary_only' THEN 4 ELSE 5 END"
@@ -47,9 +49,13 @@ b AS (SELECT activity_id, candidate_id, row_number() OVER (PARTITION BY activity
 SELECT b.activity_id, l.candidate_id, line, native, price FROM l JOIN b ON b.candidate_id = l.candidate_id AND n = 1"""
 
 
+def _wellness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.candidates(spark, sf_dir).withColumn("completeness", F.lit(1)).withColumn("price", F.when(F.col("tier") != "summary_only", F.col("price"))).withColumn("value", F.when(F.col("line") > 3, F.col("value")))
+
+
 def wellness_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as stored wellness days, line items as what sources say of them; price is unknown to untrusted sources."""
-    rows = fx.candidates(spark, sf_dir).withColumn("completeness", F.lit(1)).withColumn("price", F.when(F.col("tier") != "summary_only", F.col("price"))).withColumn("value", F.when(F.col("line") > 3, F.col("value")))
+    rows = _wellness_rows(spark, sf_dir)
     stored = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") / 2).alias("price"), F.lit(-1.0).alias("value"))
     return contribute.resolve_wellness(rows, stored, ["key"], ["price", "value"])
 
@@ -62,18 +68,20 @@ FROM k LEFT JOIN orders ON o_orderkey = k.key LEFT JOIN p ON p.key = k.key AND p
 
 def source_switched_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical rows before and after supplier 3 is switched off: its orders are resolved again, those that only it contributed
-    to keep their row."""
+    to keep their row. Candidates and canonical rows lie in buckets of the order; those of other orders aren't read."""
     rows = fx.candidates(spark, sf_dir).withColumns({"completeness": F.lit(1), "is_superseded": F.col("native") % 17 == 0, "is_tombstone": F.lit(False), "quarantine_rule": F.lit(None).cast("string")})
     sources = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.lit(True).alias("is_active"))
 
-    def canonical(s: DataFrame) -> DataFrame:
-        won = resolve.winners(resolve.contributing(rows, s), ["key"], ["native", "price"])
+    def canonical(candidates: DataFrame, s: DataFrame) -> DataFrame:
+        won = resolve.winners(resolve.contributing(candidates, s), ["key"], ["native", "price"])
         return won.select("key", F.col("w.source").alias("source"), F.col("w.value").alias("value"), "n")
 
-    stored = canonical(sources)
-    after = canonical(contribute.with_source_active(sources, F.lit(3), False))
-    keys = contribute.affected(rows, F.lit(3), ["key"])
-    return contribute.merged_resolution(stored, after, keys, ["key"])
+    log = BucketedTable(scratch(spark, "candidates"), ("key",), files=2).write(rows)
+    table = BucketedTable(scratch(spark, "canonical"), ("key",)).write(canonical(log.read(spark), sources))
+    keys = contribute.affected(log.read(spark), F.lit(3), ["key"])
+    again = log.read(spark, log.touched(keys)).join(keys, "key", "left_semi")
+    table.refresh(keys, canonical(again, contribute.with_source_active(sources, F.lit(3), False)))
+    return table.read(spark)
 
 
 _WON = "row_number() OVER (PARTITION BY key ORDER BY " + _RANK + ", confidence DESC, observed DESC, source, native, price)"
@@ -82,6 +90,27 @@ b AS (SELECT key, source, value, {_WON} AS r, count(*) OVER (PARTITION BY key) A
 SELECT key, source, value, n FROM f UNION ALL SELECT key, source, value, n FROM a WHERE r = 1 AND key NOT IN (SELECT key FROM f)"""
 
 
+def wellness_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wellness days after sources took back every third part's line: days that others still cover are resolved again, and a
+    field that these don't have keeps its value; days without any contributor go."""
+    rows = _wellness_rows(spark, sf_dir)
+    fields = ["price", "value"]
+    table = BucketedTable(scratch(spark, "wellness"), ("key",)).write(resolve.resolve_fields(rows, ["key"], fields).select("key", *fields))
+    gone = F.col("native") % 3 == 0
+    keys = rows.where(gone).select("key").distinct()
+    left = rows.where(~gone).join(keys, "key", "left_semi")
+    covered = table.read(spark, table.touched(keys)).join(left.select("key").distinct(), "key", "left_semi")
+    table.refresh(keys, contribute.resolve_wellness(left, covered, ["key"], fields), remove=True)
+    return table.read(spark)
+
+
+REMOVED = f"""WITH {fx.CANDIDATES}, c AS (SELECT *, native % 3 = 0 AS gone FROM candidates),
+p0 AS (SELECT key, price, {_PICK.format(v="price")} FROM c WHERE tier <> 'summary_only'), v0 AS (SELECT key, value, {_PICK.format(v="value")} FROM c WHERE line > 3),
+p1 AS (SELECT key, price, {_PICK.format(v="price")} FROM c WHERE tier <> 'summary_only' AND NOT gone), v1 AS (SELECT key, value, {_PICK.format(v="value")} FROM c WHERE line > 3 AND NOT gone)
+SELECT k.key, coalesce(p1.price, p0.price) AS price, coalesce(v1.value, v0.value) AS value FROM (SELECT DISTINCT key FROM c WHERE NOT gone) k
+LEFT JOIN p0 ON p0.key = k.key AND p0.n = 1 LEFT JOIN v0 ON v0.key = k.key AND v0.n = 1 LEFT JOIN p1 ON p1.key = k.key AND p1.n = 1 LEFT JOIN v1 ON v1.key = k.key AND v1.n = 1"""
+
+
 def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates per activity after every 19th part is split off its order."""
     c = fx.candidates(spark, sf_dir).select(F.concat_ws("-", "key", "line", "native", "source").alias("candidate_id"), F.col("key").cast("string").alias("activity_id"), "native")
@@ -137,7 +166,7 @@ def zones_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
 IN_FORCE = f"""WITH {_VERSIONS} SELECT key, effective_date, round(ftp_w, 6) AS ftp_w, effective_to FROM ve WHERE NOT refused AND effective_date <= DATE '1997-07-01' AND (effective_to IS NULL OR effective_to > DATE '1997-07-01')"""
 
 
-QUERIES = {f.__name__: f for f in (channel_resolution, lap_choice, wellness_days, source_switched_off, split_candidates, gps_opt_out, signature_writes, zones_in_force)}
+QUERIES = {f.__name__: f for f in (channel_resolution, lap_choice, wellness_days, source_switched_off, wellness_removed, split_candidates, gps_opt_out, signature_writes, zones_in_force)}
 ORACLE = {
-    "channel_resolution": RESOLVED, "lap_choice": LAPS, "wellness_days": WELLNESS, "source_switched_off": SWITCHED, "split_candidates": SPLIT, "gps_opt_out": GPS, "signature_writes": WRITES, "zones_in_force": IN_FORCE,
+    "channel_resolution": RESOLVED, "lap_choice": LAPS, "wellness_days": WELLNESS, "source_switched_off": SWITCHED, "wellness_removed": REMOVED, "split_candidates": SPLIT, "gps_opt_out": GPS, "signature_writes": WRITES, "zones_in_force": IN_FORCE,
 }

@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.functions import constants as C
 from strideframe.operators import gaps
 from strideframe.sources import paged
+from strideframe.sources.scratch import scratch
 from strideframe.streaming import fitness, ingest
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one; a local master without such a setting gets a temporary one, a cluster an error."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = _own_folder()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through the version log; daily loads of the current versions."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     ingest.append_versions(source, f"{at}/log", f"{at}/checkpoint", "event_id").awaitTermination()
     rows = ingest.current_rows(spark, f"{at}/log", "event_id")
     return rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("load"), F.count(F.lit(1)).alias("n"))
@@ -68,7 +50,7 @@ def stream_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.when(F.col("id") % 13 == 0, (F.col("load").try_cast("double") + 1).cast("string")).otherwise(F.col("load"))
     second = records.where(~early | (F.col("id") % 11 == 0) | (F.col("id") % 13 == 0)).withColumn("load", F.when(early, changed).otherwise(F.col("load")))
     seeds = e.where("user_id % 3 = 0").select(F.col("user_id").alias("key")).distinct().select("key", F.lit(-5).alias("day"), F.lit(50.0).alias("ctl"), F.lit(40.0).alias("atl"))
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     for part in (records.where(early), second):
         part.repartition(3, F.xxhash64("id")).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
@@ -103,7 +85,7 @@ def _delivered(rows: DataFrame) -> DataFrame:
 
 def paged_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders behind cursors, read up to the first broken page; a tenth of the records can't be read."""
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     paged.write_pages(_order_pages(spark, sf_dir), at, (F.col("stage") == STAGES[1]) & (F.col("offset") == 2 * PAGE_SIZE), F.col("ref").cast("long") % 10 == 0)
     spark.dataSource.register(paged.PagedSource)
     return _delivered(spark.read.format("pages").options(path=at, stages=",".join(STAGES)).load())
@@ -111,7 +93,7 @@ def paged_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream of two runs: the first ends at a broken page of the first stage, which is mended before the second."""
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     pages = _order_pages(spark, sf_dir)
     broken = F.col("ref").cast("long") % 10 == 0
     last = (F.col("stage") == STAGES[1]) & (F.col("offset") == 2 * PAGE_SIZE)
