@@ -36,6 +36,8 @@ STALE_DAYS = 2
 INSUFFICIENT_DAYS = 14
 TIERS = ("raw_stream", "device_computed", "platform_computed", "modeled", "summary_only")
 DISPUTE_TOLERANCE = 0.05
+#: Fields that sources never dispute, whatever they say.
+UNDISPUTED_FIELDS = ("start_time", "sport", "sub_sport", "device_class")
 MATCH_START_S = 120
 MATCH_DURATION_S = 60
 MATCH_DURATION_SHARE = 0.05

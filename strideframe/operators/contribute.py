@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions import constants as C
-from strideframe.operators.resolve import resolve_fields, tier_rank
+from strideframe.operators.resolve import resolve_fields, tier_rank, winners
 
 
 def substitution(channel: Column, tier: Column, top_tiers: Mapping[str, str]) -> Column:
@@ -42,6 +42,50 @@ def laps_of_best(laps: DataFrame, candidates: DataFrame) -> DataFrame:
     return laps.join(best, "candidate_id")
 
 
+def _by_field(candidates: DataFrame, on: Sequence[str], numbers: Sequence[str], words: Sequence[str]) -> DataFrame:
+    """A row for each candidate and field that it has a value for."""
+    none = {"number": F.lit(None).cast("double"), "word": F.lit(None).cast("string")}
+    pair = lambda f, **v: F.struct(F.lit(f).alias("field"), *((none | v)[c].alias(c) for c in none))
+    pairs = F.array(*(pair(f, number=F.col(f).cast("double")) for f in numbers), *(pair(f, word=F.col(f)) for f in words))
+    completeness = F.when(F.coalesce("has_streams", F.lit(False)), 2.0).otherwise(1.0)
+    rank = ["tier", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "observed", completeness.alias("completeness"), "source", "candidate_id"]
+    return candidates.select(*on, *rank, F.inline(pairs)).where("number IS NOT NULL OR word IS NOT NULL")
+
+
+def field_records(candidates: DataFrame, on: Sequence[str], numbers: Sequence[str], words: Sequence[str] = (), top_tiers: Mapping[str, str] = {}, failures: DataFrame | None = None) -> DataFrame:
+    """How each field of each key was resolved, one row for every field of every key, absent ones included.
+
+    ``candidates(candidate_id, source, tier, confidence, observed, has_streams, ...)``: a candidate without a confidence has
+    1, one with streams comes before a bare summary where all else is equal. The row holds the winner's value (``number``
+    or ``word``), source and candidate, the rule that decided, the number of candidates considered (``considered`` lists
+    them) and the coverage: ``present``, ``fidelity`` and ``disputed``. Fidelity is the winner's tier, ``substituted`` with
+    the displaced tier as ``from_fidelity`` below the top of the field's class, ``absent_true`` where no candidate has the
+    field, ``absent_failed`` where ``failures(on, field)`` says that one should have. Numbers of UNDISPUTED_FIELDS and
+    words are never in dispute.
+    """
+    keys = [*on, "field"]
+    long = _by_field(candidates, on, numbers, words).withColumn("compared", F.when(~F.col("field").isin(*C.UNDISPUTED_FIELDS), F.col("number")))
+    won = winners(long, keys, ["candidate_id"], value="compared")
+    every = candidates.select(*on).distinct().withColumn("field", F.explode(F.array(*(F.lit(f) for f in (*numbers, *words)))))
+    rows = every.join(won, keys, "left")
+    failed = F.lit(False)
+    if failures is not None:
+        rows = rows.join(failures.select(*keys).distinct().withColumn("failed_", F.lit(True)), keys, "left")
+        failed = F.coalesce("failed_", F.lit(False))
+    present = F.col("n").isNotNull()
+    displaced = substitution(F.col("field"), F.col("w.tier"), top_tiers)
+    fidelity = F.when(present & displaced.isNotNull(), "substituted").when(present, F.col("w.tier")).when(failed, "absent_failed").otherwise("absent_true")
+    return rows.select(
+        *keys, "w.number", "w.word", "w.source", "w.candidate_id", "rule", F.coalesce("n", F.lit(0)).alias("n_considered"),
+        present.alias("present"), fidelity.alias("fidelity"), F.when(present, displaced).alias("from_fidelity"), F.coalesce("disputed", F.lit(False)).alias("disputed"),
+    )
+
+
+def considered(candidates: DataFrame, on: Sequence[str], numbers: Sequence[str], words: Sequence[str] = ()) -> DataFrame:
+    """``(on, field, candidate_id)``: every candidate that took part in resolving a field, as rows, however many there are."""
+    return _by_field(candidates, on, numbers, words).select(*on, "field", "candidate_id")
+
+
 def resolve_wellness(rows: DataFrame, stored: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Wellness days after a run: each field's winning value, and the stored one where no source has a value.
 

@@ -111,6 +111,35 @@ SELECT k.key, coalesce(p1.price, p0.price) AS price, coalesce(v1.value, v0.value
 LEFT JOIN p0 ON p0.key = k.key AND p0.n = 1 LEFT JOIN v0 ON v0.key = k.key AND v0.n = 1 LEFT JOIN p1 ON p1.key = k.key AND p1.n = 1 LEFT JOIN v1 ON v1.key = k.key AND v1.n = 1"""
 
 
+def coverage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fields of each order as its line items give them; prices of every fifth order failed to arrive from some source."""
+    c = fx.candidates(spark, sf_dir).withColumns({"candidate_id": F.concat_ws("-", "key", "line", "native", "source"), "has_streams": F.col("value") > 25, "start_time": F.unix_timestamp("observed")})
+    rows = c.withColumns({
+        "confidence": F.when(F.col("line") > 1, F.col("confidence")), "price": F.when((F.col("source") % 4 > 1) & (F.col("native") % 3 > 0), F.col("price")),
+        "value": F.when(F.col("source") % 3 > 0, F.col("value")), "sport": F.when(F.col("native") % 2 == 0, F.concat(F.lit("s"), F.col("native") % 7)),
+    })
+    failures = c.where("key % 5 = 0").select("key", F.lit("price").alias("field"))
+    return contribute.field_records(rows, ["key"], ["value", "price", "start_time"], ["sport"], {"value": "raw_stream"}, failures)
+
+
+_FIELD = "SELECT key, tier, CASE WHEN line > 1 THEN confidence ELSE 1.0 END AS confidence, observed, CASE WHEN value > 25 THEN 2 ELSE 1 END AS comp, source, concat_ws('-', key, line, native, source) AS candidate_id, '{f}' AS field, {number} AS number, {word} AS word FROM candidates WHERE {has}"
+RECORDS = f"""WITH {fx.CANDIDATES},
+l AS ({_FIELD.format(f="value", number="CAST(value AS DOUBLE)", word="NULL::VARCHAR", has="source % 3 > 0")}
+  UNION ALL {_FIELD.format(f="price", number="CAST(price AS DOUBLE)", word="NULL", has="source % 4 > 1 AND native % 3 > 0")}
+  UNION ALL {_FIELD.format(f="start_time", number="CAST(epoch(observed) AS DOUBLE)", word="NULL", has="true")}
+  UNION ALL {_FIELD.format(f="sport", number="NULL", word="'s' || (native % 7)", has="native % 2 = 0")}),
+r AS (SELECT *, {_RANK} AS rk, row_number() OVER w AS place, count(*) OVER k AS n, max(number) OVER k AS hi, min(number) OVER k AS lo,
+  lead({_RANK}) OVER w AS rk2, lead(confidence) OVER w AS c2, lead(observed) OVER w AS o2, lead(comp) OVER w AS p2 FROM l
+  WINDOW k AS (PARTITION BY key, field), w AS (PARTITION BY key, field ORDER BY {_RANK}, confidence DESC, observed DESC, comp DESC, source, candidate_id)),
+e AS (SELECT DISTINCT key, field FROM candidates, (VALUES ('value'), ('price'), ('start_time'), ('sport')) f(field))
+SELECT e.key, e.field, number, word, source, candidate_id, coalesce(n, 0) AS n_considered, n IS NOT NULL AS present,
+  CASE WHEN n = 1 THEN 'sole_contributor' WHEN rk <> rk2 THEN 'trust_tier' WHEN confidence <> c2 THEN 'confidence' WHEN observed <> o2 THEN 'recency' WHEN comp <> p2 THEN 'completeness' WHEN n > 1 THEN 'stable_tiebreak' END AS rule,
+  CASE WHEN n IS NULL AND e.field = 'price' AND e.key % 5 = 0 THEN 'absent_failed' WHEN n IS NULL THEN 'absent_true' WHEN e.field = 'value' AND rk > 0 THEN 'substituted' ELSE tier END AS fidelity,
+  CASE WHEN e.field = 'value' AND rk > 0 THEN 'raw_stream' END AS from_fidelity,
+  coalesce(e.field IN ('value', 'price') AND n > 1 AND (hi - lo) / greatest(1.0, abs(hi)) > 0.05, false) AS disputed
+FROM e LEFT JOIN r ON r.key = e.key AND r.field = e.field AND place = 1"""
+
+
 def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates per activity after every 19th part is split off its order."""
     c = fx.candidates(spark, sf_dir).select(F.concat_ws("-", "key", "line", "native", "source").alias("candidate_id"), F.col("key").cast("string").alias("activity_id"), "native")
@@ -166,7 +195,7 @@ def zones_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
 IN_FORCE = f"""WITH {_VERSIONS} SELECT key, effective_date, round(ftp_w, 6) AS ftp_w, effective_to FROM ve WHERE NOT refused AND effective_date <= DATE '1997-07-01' AND (effective_to IS NULL OR effective_to > DATE '1997-07-01')"""
 
 
-QUERIES = {f.__name__: f for f in (channel_resolution, lap_choice, wellness_days, source_switched_off, wellness_removed, split_candidates, gps_opt_out, signature_writes, zones_in_force)}
+QUERIES = {f.__name__: f for f in (channel_resolution, lap_choice, wellness_days, source_switched_off, wellness_removed, coverage_records, split_candidates, gps_opt_out, signature_writes, zones_in_force)}
 ORACLE = {
-    "channel_resolution": RESOLVED, "lap_choice": LAPS, "wellness_days": WELLNESS, "source_switched_off": SWITCHED, "wellness_removed": REMOVED, "split_candidates": SPLIT, "gps_opt_out": GPS, "signature_writes": WRITES, "zones_in_force": IN_FORCE,
+    "channel_resolution": RESOLVED, "lap_choice": LAPS, "wellness_days": WELLNESS, "source_switched_off": SWITCHED, "wellness_removed": REMOVED, "coverage_records": RECORDS, "split_candidates": SPLIT, "gps_opt_out": GPS, "signature_writes": WRITES, "zones_in_force": IN_FORCE,
 }
