@@ -33,6 +33,8 @@ READINESS_HRV_DROP = 0.10
 PROVISIONAL_CONFIDENCE = 0.5
 SUBSTITUTED_CONFIDENCE = 0.7
 STALE_DAYS = 2
+DIAGNOSIS_DAYS = 42
+LEAST_FITNESS = 1.0
 INSUFFICIENT_DAYS = 14
 TIERS = ("raw_stream", "device_computed", "platform_computed", "modeled", "summary_only")
 DISPUTE_TOLERANCE = 0.05

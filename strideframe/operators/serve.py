@@ -207,6 +207,27 @@ def coverage(inputs: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
     return found.select("key", present.alias("present"), F.array_except(names, present).alias("missing"), F.when(F.size(present) > 0, "completed").otherwise("degraded").alias("status"))
 
 
+def recent_coverage(keys: DataFrame, on: Column, fitness: DataFrame, curve: DataFrame, fits: DataFrame, hrv: DataFrame, signatures: DataFrame, days: int = C.DIAGNOSIS_DAYS, least_ctl: float = C.LEAST_FITNESS) -> DataFrame:
+    """``coverage`` of every key's five inputs on a day, probed over the ``days`` before it and the day itself.
+
+    Training load needs a day of ``fitness(key, day, ctl)`` with a finite fitness of ``least_ctl`` at least, as fitness that
+    merely starts from zero says nothing; the power curve any computed value of ``curve(key, day, best_w)``; critical power
+    a fit of ``fits(key, cp_w)``, which come from the window's efforts; heart-rate variability a value of ``hrv(key, day, value)``
+    on the day itself; the signature a threshold or critical power in the version of ``signatures(key, effective_date, ftp_w,
+    cp_w)`` in force. Each probe stands alone; a value that isn't finite is none.
+    """
+    known = lambda c: finite(F.col(c))
+    recent = F.col("day").between(F.date_sub(on, days), on)
+    in_force = signatures.where(F.col("effective_date") <= on).groupBy("key").agg(F.max_by(F.struct("ftp_w", "cp_w"), "effective_date").alias("v")).select("key", "v.*")
+    return coverage(
+        {
+            "training_load": fitness.where(recent & known("ctl") & (F.col("ctl") >= least_ctl)), "power_curve": curve.where(recent & known("best_w")), "critical_power": fits.where(known("cp_w")),
+            "hrv": hrv.where((F.col("day") == on) & known("value")), "signature": in_force.where(known("ftp_w") | known("cp_w")),
+        },
+        keys,
+    )
+
+
 def coverage_of(flags: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """``coverage`` from one row for each key with a flag for each input; a null flag counts as missing."""
     names = sorted(inputs)

@@ -76,8 +76,8 @@ def source_switched_off(spark: SparkSession, sf_dir: str) -> DataFrame:
         won = resolve.winners(resolve.contributing(candidates, s), ["key"], ["native", "price"])
         return won.select("key", F.col("w.source").alias("source"), F.col("w.value").alias("value"), "n")
 
-    log = BucketedTable(scratch(spark, "candidates"), ("key",), files=2).write(rows)
-    table = BucketedTable(scratch(spark, "canonical"), ("key",)).write(canonical(log.read(spark), sources))
+    log = BucketedTable(scratch(spark, "candidates"), ("key",), 16, files=2).write(rows)
+    table = BucketedTable(scratch(spark, "canonical"), ("key",), 16).write(canonical(log.read(spark), sources))
     keys = contribute.affected(log.read(spark), F.lit(3), ["key"])
     again = log.read(spark, log.touched(keys)).join(keys, "key", "left_semi")
     table.refresh(keys, canonical(again, contribute.with_source_active(sources, F.lit(3), False)))
@@ -95,7 +95,7 @@ def wellness_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     field that these don't have keeps its value; days without any contributor go."""
     rows = _wellness_rows(spark, sf_dir)
     fields = ["price", "value"]
-    table = BucketedTable(scratch(spark, "wellness"), ("key",)).write(resolve.resolve_fields(rows, ["key"], fields).select("key", *fields))
+    table = BucketedTable(scratch(spark, "wellness"), ("key",), 16).write(resolve.resolve_fields(rows, ["key"], fields).select("key", *fields))
     gone = F.col("native") % 3 == 0
     keys = rows.where(gone).select("key").distinct()
     left = rows.where(~gone).join(keys, "key", "left_semi")

@@ -106,6 +106,37 @@ k AS (SELECT DISTINCT key FROM short), x AS (SELECT k.key, i.input, f.input IS N
 SELECT key, coalesce(string_agg(input, ',' ORDER BY input) FILTER (has), '') AS present, coalesce(string_agg(input, ',' ORDER BY input) FILTER (NOT has), '') AS missing, CASE WHEN bool_or(has) THEN 'completed' ELSE 'degraded' END AS status FROM x GROUP BY 1"""
 
 
+def coverage_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs of each user over the two weeks up to a day; orders of the customer of the same number are signatures."""
+    e = fx.events(spark, sf_dir).withColumns({"key": F.col("user_id"), "day": F.to_date("ts")})
+    on = F.to_date(F.lit(ON))
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    lately = e.where(F.col("day").between(F.date_sub(on, 14), on))
+    stream = lately.select("key", (F.row_number().over(order) - 1).alias("t"), F.when(F.col("value") <= 200, F.col("value") * 5).alias("power"))
+    fits = power.critical_power(power.mean_maximal_power(stream, RECENT_POINTS), (2, 8), least_ratio=1.5)
+    curve = e.where("event_type = 'purchase'").groupBy("key", "day").agg(F.max(F.when(F.col("value") > 60, F.col("value"))).alias("best_w"))
+    hrv = e.select("key", "day", F.when(F.col("k") > 30, F.col("k").cast("double")).alias("value"))
+    signed = fx.signatures(spark, sf_dir).select("key", "effective_date", F.when(F.col("ftp_w") > 250, F.col("ftp_w")).alias("ftp_w"), F.when(F.col("fit_r2") > 0.7, F.col("ftp_w") * 0.9).alias("cp_w"))
+    days = load.pmc(load.daily_grid(fx.daily_loads(spark, sf_dir), ON))
+    out = serve.recent_coverage(e.select("key"), on, days, curve, fits, hrv, signed, 14, 25.0)
+    return out.select("key", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"), "status")
+
+
+RECENT_POINTS = (2, 4, 8)
+RECENT = f"""{_PMC_HEAD.rstrip()}, {fx.SIGNATURES}, lately AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, CASE WHEN value <= 200 THEN value * 5 END AS power
+  FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '{ON}' - 14 AND DATE '{ON}'), {metrics._curve_sql('lately', RECENT_POINTS)},
+fit AS (SELECT key, count(*) AS n, max(d) / min(d) AS ratio, (max(m) - min(m)) / max(m) AS spread, regr_slope(m * d, CAST(d AS DOUBLE)) AS cp, regr_intercept(m * d, CAST(d AS DOUBLE)) AS wp, regr_r2(m * d, CAST(d AS DOUBLE)) AS r2 FROM best WHERE k = 1 GROUP BY 1),
+latest AS (SELECT key, ftp_w, fit_r2 FROM signatures WHERE effective_date <= DATE '{ON}' QUALIFY row_number() OVER (PARTITION BY key ORDER BY effective_date DESC) = 1),
+f AS (SELECT DISTINCT key, 'training_load' AS input FROM p WHERE ctl >= 25 AND day BETWEEN DATE '{ON}' - 14 AND DATE '{ON}'
+  UNION SELECT DISTINCT user_id, 'power_curve' FROM events WHERE event_type = 'purchase' AND value > 60 AND CAST(ts AS DATE) BETWEEN DATE '{ON}' - 14 AND DATE '{ON}'
+  UNION SELECT key, 'critical_power' FROM fit WHERE n >= 3 AND ratio >= 1.5 AND spread >= 1e-6 AND r2 >= 0.95 AND cp > 0 AND wp > 0
+  UNION SELECT user_id, 'hrv' FROM events WHERE CAST(ts AS DATE) = DATE '{ON}' AND CAST(regexp_extract(props, '[0-9]+') AS INT) > 30
+  UNION SELECT key, 'signature' FROM latest WHERE ftp_w > 250 OR fit_r2 > 0.7),
+i(input) AS (VALUES ('training_load'), ('power_curve'), ('critical_power'), ('hrv'), ('signature')), k AS (SELECT DISTINCT user_id AS key FROM events),
+x AS (SELECT k.key, i.input, f.input IS NOT NULL AS has FROM k CROSS JOIN i LEFT JOIN f ON f.key = k.key AND f.input = i.input)
+SELECT key, coalesce(string_agg(input, ',' ORDER BY input) FILTER (has), '') AS present, coalesce(string_agg(input, ',' ORDER BY input) FILTER (NOT has), '') AS missing, CASE WHEN bool_or(has) THEN 'completed' ELSE 'degraded' END AS status FROM x GROUP BY 1"""
+
+
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.events(spark, sf_dir).select(F.col("event_id").alias("key"), F.when(F.col("k") != 7, F.col("k") - 60.0).alias("form"), F.when(F.col("k") % 5 > 0, F.col("value")).alias("hrv_rmssd"), F.when(F.col("k") % 7 > 0, F.lit(50.0)).alias("hrv_baseline"))
     return serve.readiness(e)
@@ -289,12 +320,12 @@ ROLLUP = "SELECT user_id % 10 AS grp, CAST(date_trunc('week', ts) AS DATE) AS we
 QUERIES = {
     f.__name__: f
     for f in (
-        keyset_page, nullable_sort_page, topk_recall, decimate, track, dashboard, coverage_diagnosis, readiness, sufficiency, endurance_score, quantiles, conformal, label_rates, regression_diff, export_union, number_sweep, url_normalize,
+        keyset_page, nullable_sort_page, topk_recall, decimate, track, dashboard, coverage_diagnosis, coverage_recent, readiness, sufficiency, endurance_score, quantiles, conformal, label_rates, regression_diff, export_union, number_sweep, url_normalize,
         claim_verify, decision, constraint_gate, day_tumbling, user_sessions, load_rollup,
     )
 }
 ORACLE = {
-    "keyset_page": PAGE, "nullable_sort_page": NULLABLE, "topk_recall": RECALL, "decimate": DECIMATE, "track": TRACK, "dashboard": DASHBOARD, "coverage_diagnosis": DIAGNOSIS, "readiness": READINESS, "sufficiency": SUFFICIENCY,
+    "keyset_page": PAGE, "nullable_sort_page": NULLABLE, "topk_recall": RECALL, "decimate": DECIMATE, "track": TRACK, "dashboard": DASHBOARD, "coverage_diagnosis": DIAGNOSIS, "coverage_recent": RECENT, "readiness": READINESS, "sufficiency": SUFFICIENCY,
     "endurance_score": ENDURANCE, "quantiles": QUANTILES, "conformal": CONFORMAL, "label_rates": RATES, "regression_diff": REGRESSION, "export_union": EXPORT, "number_sweep": SWEEP, "url_normalize": URLS,
     "claim_verify": VERIFY, "decision": DECISION, "constraint_gate": _GATE, "day_tumbling": TUMBLING, "user_sessions": USER_SESSIONS, "load_rollup": ROLLUP,
 }
