@@ -68,7 +68,7 @@ FROM k LEFT JOIN orders ON o_orderkey = k.key LEFT JOIN p ON p.key = k.key AND p
 
 def source_switched_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical rows before and after supplier 3 is switched off: its orders are resolved again, those that only it contributed
-    to keep their row. Candidates and canonical rows lie in buckets of the order; those of other orders aren't read."""
+    to keep their row. Canonical rows lie in buckets of the order; buckets without an affected order aren't read."""
     rows = fx.candidates(spark, sf_dir).withColumns({"completeness": F.lit(1), "is_superseded": F.col("native") % 17 == 0, "is_tombstone": F.lit(False), "quarantine_rule": F.lit(None).cast("string")})
     sources = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.lit(True).alias("is_active"))
 
@@ -76,10 +76,9 @@ def source_switched_off(spark: SparkSession, sf_dir: str) -> DataFrame:
         won = resolve.winners(resolve.contributing(candidates, s), ["key"], ["native", "price"])
         return won.select("key", F.col("w.source").alias("source"), F.col("w.value").alias("value"), "n")
 
-    log = BucketedTable(scratch(spark, "candidates"), ("key",), 16, files=2).write(rows)
-    table = BucketedTable(scratch(spark, "canonical"), ("key",), 16).write(canonical(log.read(spark), sources))
-    keys = contribute.affected(log.read(spark), F.lit(3), ["key"])
-    again = log.read(spark, log.touched(keys)).join(keys, "key", "left_semi")
+    table = BucketedTable(scratch(spark, "canonical"), ("key",), 16).write(canonical(rows, sources))
+    keys = contribute.affected(rows, F.lit(3), ["key"])
+    again = rows.join(keys, "key", "left_semi")
     table.refresh(keys, canonical(again, contribute.with_source_active(sources, F.lit(3), False)))
     return table.read(spark)
 
