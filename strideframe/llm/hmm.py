@@ -14,16 +14,17 @@ to the sum of log10(c + 1) that both scores need, so an inner join suffices.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import as_bytes, crc_mod, saved, slices
+from strideframe.llm.common import crc_mod, saved, slices
 
 STATES = 8
 FREQUENT = 4_000
@@ -36,6 +37,9 @@ LONGEST = 64
 #: Training stops once a round raises the mean log10 likelihood of a token by less, or after ROUNDS.
 LEAST_GAIN = 0.002
 ROUNDS = 6
+#: Bytes of text that are parted into words at a time, and of counts that are held before they are summed.
+TEXT_AT_ONCE = 8 << 20
+COUNTS_AT_ONCE = 32 << 20
 #: Tokens of the texts that are worked side by side.
 TOKENS_AT_ONCE = 1 << 19
 #: Tokens of the pieces that long texts are worked in.
@@ -56,21 +60,61 @@ def ending_class(word: bytes) -> int:
     return FREQUENT + zlib.crc32(word[-2:]) % ENDINGS
 
 
+@lru_cache(maxsize=1)
+def _ending_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all endings of one byte and of two bytes."""
+    return np.array([ending_class(bytes([a])) for a in range(256)], np.uint16), np.array([ending_class(bytes([a, b])) for a in range(256) for b in range(256)], np.uint16)
+
+
+def ending_classes(words: pa.BinaryArray) -> np.ndarray:
+    """:func:`ending_class` of words that are not empty."""
+    if not len(words):
+        return np.zeros(0, np.uint16)
+    one, two = _ending_tables()
+    borders = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data, ends = np.frombuffer(words.buffers()[2], np.uint8), borders[1:]
+    last = data[ends - 1]
+    return np.where(np.diff(borders) > 1, two[data[np.maximum(ends - 2, 0)].astype(np.int64) * 256 + last], one[last])
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about TEXT_AT_ONCE bytes of text, a longer text by itself."""
+    for batch in batches:
+        run = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()) // TEXT_AT_ONCE
+        cuts = np.r_[0, np.nonzero(np.diff(run))[0] + 1, batch.num_rows].tolist()
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
+def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """:func:`tokens` of all texts one after another, and the place of each word's text. A null text has none."""
+    parted = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, owner = parted.flatten(), pc.list_parent_indices(parted)
+    filled = pc.greater(pc.binary_length(words), 0)
+    return words.filter(filled), owner.filter(filled).to_numpy()
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """``(word binary, c)`` over the texts of ``training(text)``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(n: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
-
-        n: Counter = Counter()
-        for part in slices(batches):
-            for text in as_bytes(part.column(0)):
-                n.update(tokens(text))
-            if len(n) > 200_000:
-                yield out(n)
-                n = Counter()
-        yield out(n)
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"word": sums.column("word"), "n": sums.column("n_sum")})
+
+        for part in _portions(batches):
+            found = text_words(part.column("text"))[0].value_counts()
+            held.append(pa.table({"word": found.field("values").cast(pa.binary()), "n": found.field("counts")}))
+            if sum(t.nbytes for t in held) > COUNTS_AT_ONCE:
+                held = [summed()]
+                if held[0].nbytes > COUNTS_AT_ONCE // 2:
+                    yield from held[0].to_batches()
+                    held = []
+        if held:
+            yield from summed().to_batches()
 
     return training.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -79,7 +123,7 @@ def word_counts(training: DataFrame) -> DataFrame:
 class Lexicon:
     """What tasks need to know of the training counts, of bounded size."""
 
-    place: dict[bytes, int]  # of the commonest words
+    words: pa.BinaryArray  # the commonest ones
     log_count: np.ndarray  # log10(c + 1) of each of them
     word_class: np.ndarray
     class_log_size: np.ndarray  # log10(N_k + V_k + 1) of each class
@@ -104,15 +148,23 @@ def commonest(counts: DataFrame, most: int) -> tuple[int, list[bytes], np.ndarra
     return least, [words[i] for i in order], c[order].astype(np.int64)
 
 
+def _places(words: pa.BinaryArray, among: pa.BinaryArray) -> np.ndarray:
+    """Place of each word among others, -1 for none."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy().astype(np.int64)
+
+
 def lexicon(counts: DataFrame, training_texts: int, most: int = KNOWN) -> tuple[Lexicon, int]:
     least, words, c = commonest(counts, most)
-    own = {w: i for i, w in enumerate(words[:FREQUENT])}
-    classes = np.array([own.get(w) if i < FREQUENT else ending_class(w) for i, w in enumerate(words)], np.uint16)
+    words = pa.array(words, pa.binary())
+    own = words.slice(0, FREQUENT)
+    classes = np.r_[np.arange(len(own), dtype=np.uint16), ending_classes(words.slice(FREQUENT))]
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            k = np.array([own[w] if w in own else ending_class(w) for w in batch.column(0).to_pylist()], np.int64)
+            found = batch.column(0).cast(pa.binary())
+            k = _places(found, own)
+            k = np.where(k < 0, ending_classes(found), k)
             n += np.bincount(k, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
             v += np.bincount(k, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], names=["k", "n", "v"])
@@ -122,7 +174,7 @@ def lexicon(counts: DataFrame, training_texts: int, most: int = KNOWN) -> tuple[
     for r in sizes:
         n[r.k], v[r.k] = r.n, r.v
     n[END], v[END] = training_texts, int(training_texts > 0)
-    made = Lexicon({w: i for i, w in enumerate(words)}, np.log10(c + 1.0), classes, np.log10(n + v + 1.0), int(n.sum()), int(v.sum()), float(np.log10(training_texts + 1.0)))
+    made = Lexicon(words, np.log10(c + 1.0), classes, np.log10(n + v + 1.0), int(n.sum()), int(v.sum()), float(np.log10(training_texts + 1.0)))
     return made, least
 
 
@@ -131,26 +183,32 @@ ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_count
 
 def encoded(docs: DataFrame, shared) -> DataFrame:
     """Class sequences of whole texts with what the lexicon knows of them; ``rest`` has the words that it doesn't."""
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = shared.value
-        get = lex.place.get
-        for part in slices(batches):
-            rows = []
-            for text in as_bytes(part.column("text")):
-                words = tokens(text)
-                at = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-                unknown = np.nonzero(at < 0)[0].tolist()
-                classes = lex.word_class[at] if len(lex.word_class) else np.zeros(len(at), np.uint16)
-                if unknown:
-                    classes[unknown] = [ending_class(words[i]) for i in unknown]
-                log_counts = float(lex.log_count[at[at >= 0]].sum()) + lex.end_log_count
-                known = len(words) - len(unknown) + int(lex.end_log_count > 0)
-                rest = Counter(words[i] for i in unknown)
-                rows.append((len(words) + 1, known, log_counts, np.append(classes, np.uint16(END)).astype("<u2").tobytes(), [{"word": w, "tf": n} for w, n in rest.items()]))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.binary(), rest_type))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "classes", "rest"])
+        for part in _portions(batches):
+            rows = part.num_rows
+            words, owner = text_words(part.column("text"))
+            coded = words.dictionary_encode()
+            distinct, index = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+            at = _places(distinct, lex.words)
+            known, classes, log_count = at >= 0, ending_classes(distinct), np.zeros(len(distinct))
+            classes[known], log_count[known] = lex.word_class[at[known]], lex.log_count[at[known]]
+            size, other = np.bincount(owner, minlength=rows), ~known[index]
+            laid = np.full(len(owner) + rows, END, "<u2")
+            laid[np.arange(len(owner)) + owner] = classes[index]
+            borders = np.r_[0, np.cumsum(size + 1)] * laid.itemsize
+            pairs, tf = np.unique(owner[other] * len(distinct) + index[other], return_counts=True)
+            whose, which = np.divmod(pairs, max(len(distinct), 1))
+            rest = pa.StructArray.from_arrays([distinct.take(pa.array(which)), pa.array(tf, pa.int32())], names=["word", "tf"])
+            columns = [
+                part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(size + 1),
+                pa.array(size - np.bincount(owner[other], minlength=rows) + int(lex.end_log_count > 0)),
+                pa.array(np.bincount(owner, log_count[index], rows) + lex.end_log_count),
+                pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(laid)]),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(rows + 1)), pa.int32()), rest),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "classes", "rest"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(encode, ENCODED)
 
@@ -195,52 +253,68 @@ def _cut(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], list[list[int]]
     return pieces, chains
 
 
-def _messages(model: Model, pieces: list[np.ndarray], chains: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _passed(turn: np.ndarray, emit: np.ndarray, now: np.ndarray, pieces: list[np.ndarray]) -> np.ndarray:
+    """What becomes of the states ``now`` (states by pieces, or states by starts by pieces) over all tokens of each piece, up
+    to a factor for each piece."""
+    order, alive, tokens_ = _side_by_side(pieces)
+    now, out, at, k = now[..., order], np.empty_like(now), 0, len(turn)
+    for t, w in enumerate(alive.tolist()):
+        if now.shape[-1] > w:
+            out[..., order[w : now.shape[-1]]] = now[..., w:]
+            now = now[..., :w]
+        if t:
+            now = turn @ now if now.ndim == 2 else (turn @ now.reshape(k, -1)).reshape(k, k, w)
+        likely = np.take(emit, tokens_[at : at + w], 1, mode="clip")
+        now *= likely if now.ndim == 2 else likely[:, None]
+        if t % RESCALE == RESCALE - 1:
+            now /= now.sum(0) if now.ndim == 2 else now.sum((0, 1))
+        at += w
+    out[..., order[: now.shape[-1]]] = now
+    return out
+
+
+def _messages(model: Model, pieces: list[np.ndarray], chains: list[list[int]], backwards: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """What each piece of a cut sequence takes over, states by pieces: the distribution of its first state given all tokens
-    before it, and the relative likelihoods of all tokens after it given its last state.
+    before it, and the relative likelihoods of all tokens after it given its last state (ones unless ``backwards``).
 
-    A piece's tokens act on states as one matrix; the matrices of all pieces are made side by side, and only they are
-    passed through in order.
+    A first piece starts from the model and a last one is left without more to come, so that states pass through them as
+    they are. The tokens of a piece between act on states as one matrix; the matrices of all such pieces are made side by
+    side, and only they are passed through in order.
     """
     k = len(model.first)
     before, after = np.tile(model.first[:, None], (1, len(pieces))), np.ones((k, len(pieces)))
-    cut = [c for c in chains if len(c) > 1]
+    cut = sorted((c for c in chains if len(c) > 1), key=len, reverse=True)
     if not cut:
         return before, after
-    members = [i for c in cut for i in c]
-    order, alive, tokens_ = _side_by_side([pieces[i] for i in members])
-    turn, at = np.ascontiguousarray(model.step.T), 0
-    acts = np.empty((k, k, len(members)))  # state at the end, state at the start, piece
-    now = np.broadcast_to(np.eye(k)[:, :, None], acts.shape)
-    for t, w in enumerate(alive):
-        if now.shape[2] > w:
-            acts[:, :, w : now.shape[2]] = now[:, :, w:]
-            now = now[:, :, :w]
-        likely = model.emit[:, tokens_[at : at + w]][:, None]
-        now = now * likely if t == 0 else (turn @ now.reshape(k, -1)).reshape(k, k, w) * likely
-        if t % RESCALE == RESCALE - 1:
-            now /= now.sum((0, 1))
-        at += w
-    acts[:, :, : now.shape[2]] = now
-    acts /= acts.sum((0, 1))
+    turn = np.ascontiguousarray(model.step.T)
+    between = [i for c in cut for i in c[1:-1]]
     place = np.empty(len(pieces), np.int64)
-    place[np.array(members)[order]] = np.arange(len(members))
-    for rank in range(max(map(len, cut)) - 1):
-        here, there = (np.array([c[rank + j] for c in cut if len(c) > rank + 1]) for j in (0, 1))
-        ends = np.einsum("jkn,kn->jn", acts[:, :, place[here]], before[:, here])
-        before[:, there] = turn @ (ends / ends.sum(0))
-    for rank in range(max(map(len, cut)) - 1, 0, -1):
-        here, there = (np.array([c[rank + j] for c in cut if len(c) > rank]) for j in (0, -1))
-        starts = model.step @ np.einsum("jkn,jn->kn", acts[:, :, place[here]], after[:, here])
-        after[:, there] = starts / starts.sum(0)
+    place[between] = np.arange(len(between))
+    if between:
+        acts = _passed(turn, model.emit, np.repeat(np.eye(k)[:, :, None], len(between), 2), [pieces[i] for i in between])  # state at the end, state at the start, piece
+        acts /= acts.sum((0, 1))
+    ends = _passed(turn, model.emit, before[:, [c[0] for c in cut]], [pieces[c[0]] for c in cut])
+    for rank in range(1, len(cut[0])):
+        there, here = [c[rank] for c in cut if len(c) > rank], [c[rank] for c in cut if len(c) > rank + 1]
+        before[:, there] = turn @ (ends / ends.sum(0))[:, : len(there)]
+        if here:
+            ends = np.einsum("jkn,kn->jn", acts[:, :, place[here]], before[:, here])
+    if backwards:
+        starts = _passed(model.step, model.emit, after[:, [c[-1] for c in cut]], [pieces[c[-1]][::-1] for c in cut])
+        for rank in range(2, len(cut[0]) + 1):
+            there, here = [c[-rank] for c in cut if len(c) >= rank], [c[-rank] for c in cut if len(c) > rank]
+            comes = model.step @ starts[:, : len(there)]
+            after[:, there] = comes / comes.sum(0)
+            if here:
+                starts = np.einsum("jkn,jn->kn", acts[:, :, place[here]], after[:, here])
     return before, after
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of whole sequences (first states, steps, emissions) and their log10 likelihood.
 
-    Long sequences are cut into pieces that are worked side by side; what crosses a cut is taken over exactly. Arrays are
-    states by tokens, so that every step of time works on long rows.
+    Long sequences are cut into pieces that are worked side by side; what crosses a cut is taken over exactly. Each step of
+    time has an array of its own, states by tokens, that lies in one run of memory.
     """
     pieces, chains = _cut(sequences)
     order, alive, tokens_ = _side_by_side(pieces)
@@ -250,42 +324,46 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
     place[order] = np.arange(len(pieces))
     for c in chains:
         last[place[c]] = [-1, *place[c[:-1]]]
-    at = np.r_[0, np.cumsum(alive)]
+    at, alive = np.r_[0, np.cumsum(alive)].tolist(), alive.tolist()
     k = len(model.first)
     turn = np.ascontiguousarray(model.step.T)
-    ahead = np.take(model.emit, tokens_, 1)  # of each token in each state; relative to its scale after the forward pass
-    alpha, likely = np.empty_like(ahead), 0.0
+    # Of each token in each state, by time: likelihoods (relative to their scale after the forward pass) and the recursion.
+    ahead, alpha = ([x[k * a : k * b].reshape(k, b - a) for a, b in zip(at, at[1:])] for x in np.empty((2, k * at[-1])))
+    likely, ends = 0.0, np.empty((k, len(pieces)))
     for t, w in enumerate(alive):
-        rows = slice(at[t], at[t] + w)
-        now = (turn @ alpha[:, at[t - 1] : at[t - 1] + w] if t else before) * ahead[:, rows]
+        now = alpha[t]
+        np.take(model.emit, tokens_[at[t] : at[t + 1]], 1, out=ahead[t], mode="clip")
+        np.multiply(turn @ alpha[t - 1][:, :w] if t else before, ahead[t], out=now)
         if t % RESCALE == RESCALE - 1:
             scale = now.sum(0)
             now /= scale
-            ahead[:, rows] /= scale
+            ahead[t] /= scale
             likely += np.log10(scale).sum()
-        alpha[:, rows] = now
-    size = np.searchsorted(-alive, -np.arange(1, len(pieces) + 1), side="right")  # of the pieces in their order
-    ends = alpha[:, at[size - 1] + np.arange(len(pieces))]
+        goes_on = alive[t + 1] if t + 1 < len(alive) else 0
+        ends[:, goes_on:w] = now[:, goes_on:]
     likely += np.log10(ends.sum(0)).sum()
     after /= (ends * after).sum(0)
     ends /= ends.sum(0)
     step, beta = np.zeros((k, k)), after[:, : alive[-1]]
     for t in range(len(alive) - 1, 0, -1):
-        w = alive[t]
-        rows = slice(at[t], at[t] + w)
-        arrives = ahead[:, rows] * beta
-        step += alpha[:, at[t - 1] : at[t - 1] + w] @ arrives.T
-        alpha[:, rows] *= beta
+        arrives, w = ahead[t], alive[t]
+        arrives *= beta
+        step += alpha[t - 1][:, :w] @ arrives.T
+        alpha[t] *= beta
         beta = model.step @ arrives
         if alive[t - 1] > w:
             beta = np.concatenate([beta, after[:, w : alive[t - 1]]], 1)
-    rows = slice(0, alive[0])
-    arrives = ahead[:, rows] * beta
+    arrives = ahead[0] * beta
     crossing = last >= 0
     step += ends[:, last[crossing]] @ arrives[:, crossing].T
-    alpha[:, rows] *= beta
-    emit = np.stack([np.bincount(tokens_, alpha[s], CLASSES) for s in range(k)])
-    return alpha[:, rows][:, ~crossing].sum(1), step * model.step, emit, float(likely)
+    alpha[0] *= beta
+    emit = np.zeros((k, CLASSES))
+    for a in range(0, len(alive), 64):
+        some = alpha[a : a + 64]
+        of = tokens_[at[a] : at[a + len(some)]]
+        for total, x in zip(emit, np.concatenate(some, 1)):
+            total += np.bincount(of, x, CLASSES)
+    return alpha[0][:, ~crossing].sum(1), step * model.step, emit, float(likely)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -335,13 +413,14 @@ def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     side by side, as in training."""
     pieces, chains = _cut(sequences)
     order, alive, tokens_ = _side_by_side(pieces)
-    now = _messages(model, pieces, chains)[0][:, order]
+    now = _messages(model, pieces, chains, False)[0][:, order]
     turn = np.ascontiguousarray(model.step.T)
     total, start = np.zeros(len(pieces)), 0
-    for t, w in enumerate(alive):
+    for t, w in enumerate(alive.tolist()):
         if now.shape[1] > w:
             total[w : now.shape[1]] += np.log10(now[:, w:].sum(0))
-        now = (turn @ now[:, :w] if t else now) * model.emit[:, tokens_[start : start + w]]
+        likely = np.take(model.emit, tokens_[start : start + w], 1, mode="clip")
+        now = np.multiply(turn @ now[:, :w] if t else now, likely, out=likely)
         if t % RESCALE == RESCALE - 1:
             scale = now.sum(0)
             now /= scale
