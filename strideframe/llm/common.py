@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,16 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, size)
 
 
+def text_portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about ``most`` bytes of their column ``text``, a longer text by itself."""
+    for batch in batches:
+        run = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()) // most
+        cuts = np.r_[0, np.nonzero(np.diff(run))[0] + 1, batch.num_rows].tolist()
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import crc_mod, saved, slices
+from strideframe.llm.common import crc_mod, saved, slices, text_portions
 
 STATES = 8
 FREQUENT = 4_000
@@ -78,13 +78,7 @@ def ending_classes(words: pa.BinaryArray) -> np.ndarray:
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in runs of about TEXT_AT_ONCE bytes of text, a longer text by itself."""
-    for batch in batches:
-        run = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()) // TEXT_AT_ONCE
-        cuts = np.r_[0, np.nonzero(np.diff(run))[0] + 1, batch.num_rows].tolist()
-        for start, end in zip(cuts, cuts[1:]):
-            if end > start:
-                yield batch.slice(start, end - start)
+    return text_portions(batches, TEXT_AT_ONCE)
 
 
 def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -12,18 +12,22 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import as_text, scratch, slices
+from strideframe.llm.common import as_text, scratch, slices, text_portions
 
 END = 0
+#: Bytes of text that are encoded at a time, and texts that the library gets at a time.
+TEXT_AT_ONCE = 8 << 20
+TEXTS_AT_ONCE = 64
 #: Units kept in each of the two generations of a worker's cache.
 CACHE = 700_000
 #: Longer units are encoded each time, so that the cache's bytes are bounded too.
@@ -37,6 +41,21 @@ MARK = "!-&(-/:-@\\[-`{-~"
 UNIT = re.compile(f" ?[{LETTER}]+(?=[{MARK}]*(?:[{WHITE}]|$))| ?[{MARK}]+(?=[{WHITE}]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
 
+#: Bytes that are white space, or may be the end of a character that is.
+_MAYBE_BLANK = np.array([chr(b).isspace() or b > 127 for b in range(256)])
+
+
+def _blank_at_end(texts: pa.StringArray) -> np.ndarray:
+    """Whether each text is empty or ends with white space."""
+    borders = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    blank = np.diff(borders) == 0
+    filled = np.nonzero(~blank)[0]
+    for i in filled[_MAYBE_BLANK[data[borders[filled + 1] - 1]]].tolist():
+        blank[i] = texts[i].as_py()[-1].isspace()
+    return blank
+
+
 class Cache(dict):
     """Unit -> ids in two generations. A full young one becomes the old one, whose units come back as they are met again,
     so that common units stay. A unit in neither is its own value."""
@@ -54,7 +73,9 @@ class Cache(dict):
         if len(self) + len(found) > CACHE:
             self.old = dict(self)
             self.clear()
-        self.update((u, x) for u, x in found.items() if len(u) <= LONGEST)
+        self.update(found)
+        for unit in [u for u in found if len(u) > LONGEST]:
+            del self[unit]
 
 
 class Encoder:
@@ -81,7 +102,11 @@ class Encoder:
         self.cache = Cache()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("i", ids).tobytes() for ids in self._by_library(texts)]
+
+    def _by_library(self, texts: list[str]) -> Iterator[list[int]]:
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + TEXTS_AT_ONCE], add_special_tokens=False))
 
     def learnt(self, units: list[str]) -> dict[str, bytes]:
         """Ids of distinct units."""
@@ -91,9 +116,9 @@ class Encoder:
         # A unit without a blank of its own follows a line feed, which is a token by itself there.
         apart = np.fromiter((u[0] != " " for u in words), np.int64, len(words))
         texts = [u if u[0] == " " else "\n" + u for u in words]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(["".join(texts[i : i + 64]) for i in range(0, len(texts), 64)], add_special_tokens=False)), "<i4")
+        ids = np.fromiter(chain.from_iterable(self._by_library(["".join(texts[i : i + 64]) for i in range(0, len(texts), 64)])), "<i4")
         ends = np.cumsum(self.n_bytes[ids])
-        borders = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        borders = np.cumsum(np.fromiter(map(len, map(str.encode, texts)), np.int64, len(texts)))
         last = np.searchsorted(ends, borders) + 1
         if len(words) and (last[-1] != len(ids) or (ends[last - 1] != borders).any()):
             raise ValueError("the tokenizer file's ids don't add up to its units' bytes")
@@ -101,6 +126,16 @@ class Encoder:
         found.update((u, data[4 * a : 4 * b]) for u, a, b in zip(words, first.tolist(), last.tolist()))
         return found
 
+    def ids_of(self, units: Iterable[str]) -> list[bytes]:
+        ids = list(map(self.cache.__getitem__, units))
+        new = [i for i, x in enumerate(ids) if x.__class__ is str]
+        if new:
+            found = self.learnt(list({ids[i] for i in new}))
+            for i in new:
+                ids[i] = found[ids[i]]
+            self.cache.take(found)
+        return ids
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if not self.in_units:
@@ -110,19 +145,64 @@ class Encoder:
         for i in special:
             units[i] = []
         ends = list(accumulate(map(len, units), initial=0))
-        ids = list(map(self.cache.__getitem__, chain.from_iterable(units)))
-        new = [i for i, x in enumerate(ids) if x.__class__ is str]
-        if new:
-            found = self.learnt(list({ids[i] for i in new}))
-            for i in new:
-                ids[i] = found[ids[i]]
-            self.cache.take(found)
+        ids = self.ids_of(chain.from_iterable(units))
         out = [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
         for i, x in zip(special, self.whole([texts[i] for i in special])):
             out[i] = x
         return out
 
 
+    def ended(self, texts: pa.StringArray) -> pa.ListArray:
+        """Ids of each text and END.
+
+        Texts are parted at spaces, and each different piece, with the space before it, is encoded once. No token crosses
+        the border before a space that follows something else than white space; a text with another space, or with an added
+        token, is encoded for itself.
+        """
+        rows = len(texts)
+        parted = pc.split_pattern(texts, " ")
+        borders = parted.offsets.to_numpy().astype(np.int64)
+        coded = parted.flatten().dictionary_encode()
+        pieces, index = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        blank = _blank_at_end(coded.dictionary)
+        owner = np.repeat(np.arange(rows), np.diff(borders))
+        inside = np.ones((2, len(index)), bool)
+        inside[0, borders[:-1]] = inside[1, borders[1:] - 1] = False
+        follows, followed = inside
+        apart = np.bincount(owner[blank[index] & followed], minlength=rows) > 0 if self.in_units else np.ones(rows, bool)
+        for token in self.added:
+            apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        used = np.nonzero(follows & ~apart[owner])[0]
+        needed = np.zeros(len(pieces), bool)
+        needed[index[used]] = True
+        plain, last = needed & ~blank, np.nonzero(needed & blank)[0].tolist()
+        units = UNIT.findall(" " + " ".join(pieces[plain])) if plain.any() else []
+        ids = self.ids_of(units)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        of_piece = np.cumsum(pc.utf8_length(coded.dictionary).to_numpy()[plain] + 1)
+        last_unit = np.searchsorted(ends, of_piece)
+        if len(of_piece) and (last_unit[-1] != len(units) - 1 or (ends[last_unit] != of_piece).any()):
+            raise ValueError("the units don't add up to the pieces")
+        so_far = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[last_unit]
+        sizes = np.diff(so_far, prepend=0)
+        heads = np.where(apart, -1, index[borders[:-1]])
+        more = self([*(" " + pieces[i] for i in last), *(pieces[i] for i in heads[~apart].tolist()), *texts.filter(pa.array(apart)).to_pylist()])
+        more.append(np.array([END], "<i4").tobytes())
+        # Places in the list of all ids: pieces, ends of texts, beginnings, texts apart, END.
+        place = np.empty(len(pieces), np.int64)
+        place[plain], place[last] = np.arange(len(sizes)), len(sizes) + np.arange(len(last))
+        front = np.empty(rows, np.int64)
+        front[np.argsort(apart, kind="stable")] = len(sizes) + len(last) + np.arange(rows)
+        bounds = np.r_[0, np.cumsum(np.where(apart, 1, np.diff(borders)) + 1)]
+        taken = np.empty(bounds[-1], np.int64)
+        taken[bounds[:-1]], taken[bounds[1:] - 1] = front, len(sizes) + len(more) - 1
+        taken[bounds[owner[used]] + used - borders[owner[used]]] = place[index[used]]
+        offsets = np.r_[0, np.cumsum(np.r_[sizes, np.fromiter(map(len, more), np.int64, len(more))])] // 4
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids) + b"".join(more), "<i4")))
+        found = lists.take(pa.array(taken))
+        return pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[bounds], pa.int32()), found.flatten())
+
+
 @lru_cache(maxsize=2)
 def encoder_for(tokenizer_file: str) -> Encoder:
     """One encoder for each worker process, so that its cache outlives a task."""
@@ -135,6 +215,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def whole_text(column: pa.Array) -> pa.StringArray:
+    """A string column of valid UTF-8 without nulls, as :func:`as_text` reads it."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        column = pa.array(as_text(column), pa.string())
+    return pc.fill_null(column.cast(pa.string()), "")
+
+
 STORED = "part int, at long, doc_id long, ids array<int>"
 
 
@@ -145,13 +234,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str | None = None,
     tokenizer_file = tokenizer_file or default_tokenizer()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, end = encoder_for(tokenizer_file), 0, np.array([END], "<i4").tobytes()
-        for part in slices(batches, 64):
-            packed = [ids + end for ids in encoder(as_text(part.column("text")))]
-            sizes = np.array([len(p) // 4 for p in packed], np.int64)
-            offsets = np.r_[0, np.cumsum(sizes)]
-            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        encoder, at = encoder_for(tokenizer_file), 0
+        for part in text_portions(batches, TEXT_AT_ONCE):
+            ids = encoder.ended(whole_text(part.column("text")))
+            offsets = ids.offsets.to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("part"), pa.array(at + offsets[:-1]), part.column("doc_id"), ids], names=["part", "at", "doc_id", "ids"])
             at += int(offsets[-1])
 
