@@ -26,7 +26,7 @@ from strideframe.llm.common import as_text, scratch, slices, text_portions
 
 END = 0
 #: Bytes of text that are encoded at a time, and texts that the library gets at a time.
-TEXT_AT_ONCE = 8 << 20
+TEXT_AT_ONCE = 3 << 20
 TEXTS_AT_ONCE = 64
 #: Units kept in each of the two generations of a worker's cache.
 CACHE = 700_000
