@@ -10,22 +10,25 @@ shares of distinct words and of distinct pairs of words.
 Counts and contexts come from all documents, and no label enters them. The network is fitted on at most FIT_ROWS
 labelled rows, those of least hash among the rows that may be learnt from; a fifth of them sets the temperature of its
 probabilities. What is collected is bounded by FIT_ROWS and VOCABULARY.
+
+Some megabytes of text are worked at a time: Arrow parts them into words, and each different word of them is lowered,
+shaped and looked up once.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import as_bytes, crc_mod, hash_sample, saved, slices
+from strideframe.llm.common import crc_mod, hash_sample, saved, text_portions
 
 DIMENSIONS = 64
 NONZERO = 4
@@ -34,45 +37,61 @@ WINDOW = 2
 VOCABULARY = 16_384
 #: Index vectors of the other tokens are made once for each of so many hashes.
 BUCKETS = 65_536
-#: Texts whose contexts are summed at once.
-TEXTS_AT_ONCE = 2_048
+#: Bytes of text that are parted into words at a time, and of counts that are held before they are summed.
+TEXT_AT_ONCE = 4 << 20
+COUNTS_AT_ONCE = 32 << 20
 FIT_ROWS = 20_000
 HIDDEN = 32
 THRESHOLD = 0.7
 HELD_OUT = (4, 2)
-MEMO = 300_000
 LONGEST = 64  # bytes of a token of the vocabulary
-_SHAPES = bytes.maketrans(bytes(range(97, 123)) + bytes(range(65, 91)) + bytes(range(48, 58)) + bytes(range(128, 256)), b"x" * 26 + b"X" * 26 + b"9" * 10 + b"x" * 128)
+#: Bits of a token's id in the keys of distinct tokens of texts.
+ID_BITS = 20
+_SHAPES = np.frombuffer(bytes.maketrans(bytes(range(97, 123)) + bytes(range(65, 91)) + bytes(range(48, 58)) + bytes(range(128, 256)), b"x" * 26 + b"X" * 26 + b"9" * 10 + b"x" * 128), np.uint8)
+
 
+def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of all texts, the place of each word among them, and that of its text. A null text has none."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    words, owner = split.flatten(), pc.list_parent_indices(split)
+    filled = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(filled).dictionary_encode()
+    return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(), owner.filter(filled).to_numpy()
 
-def lowered(words: list[bytes]) -> list[bytes]:
-    return b" ".join(words).lower().split(b" ")
 
+def lowered(words: pa.Array) -> pa.Array:
+    return pc.ascii_lower(words.view(pa.string())).view(pa.binary())
 
-def shaped(words: list[bytes]) -> list[bytes]:
+
+def shaped(words: pa.Array) -> pa.Array:
     """The shape of each word: its letters, digits and marks by kind, a run of letters or digits as a single one."""
-    joined = b" ".join(words).translate(_SHAPES)
-    for kind in (b"x", b"X", b"9"):
-        while kind + kind in joined:
-            joined = joined.replace(kind + kind, kind)
-    return joined.split(b" ")
+    if not len(words):
+        return words
+    borders = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    kinds = _SHAPES[np.frombuffer(words.buffers()[2] or b"", np.uint8)[borders[0] : borders[-1]]]
+    borders = borders - borders[0]
+    stays = np.ones(len(kinds) + 1, bool)
+    stays[1:-1] = (kinds[1:] != kinds[:-1]) | ~np.isin(kinds[1:], np.frombuffer(b"xX9", np.uint8))
+    stays[borders[:-1]] = True
+    stays = stays[:-1]
+    ends = np.concatenate([[0], np.cumsum(stays)])[borders].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(kinds[stays])])
 
 
 def shape(word: bytes) -> bytes:
-    return shaped([word])[0]
+    return shaped(pa.array([word], pa.binary()))[0].as_py()
 
 
-def index_vectors(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each token's nonzero components, from seven bits of its hash for each."""
+def index_symbols(tokens: list[bytes]) -> np.ndarray:
+    """Seven bits of each token's hash for each of its index vector's nonzero components: whether it is positive, and its place."""
     hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens))
-    bits = (hashes[:, None] >> np.arange(0, 7 * NONZERO, 7, dtype=np.uint64) & np.uint64(2 * DIMENSIONS - 1)).astype(np.int64)
-    return bits % DIMENSIONS, np.where(bits >= DIMENSIONS, 1.0, -1.0)
+    return (hashes[:, None] >> np.arange(0, 7 * NONZERO, 7, dtype=np.uint64) & np.uint64(2 * DIMENSIONS - 1)).astype(np.int64)
 
 
 def dense(tokens: list[bytes]) -> np.ndarray:
     out = np.zeros((len(tokens), DIMENSIONS))
-    places, signs = index_vectors(tokens)
-    np.add.at(out, (np.arange(len(tokens))[:, None], places), signs)
+    symbols = index_symbols(tokens)
+    np.add.at(out, (np.arange(len(tokens))[:, None], symbols % DIMENSIONS), np.where(symbols >= DIMENSIONS, 1.0, -1.0))
     return out
 
 
@@ -80,50 +99,30 @@ class Stream:
     """Ids of one stream's tokens: the vocabulary, then hashes."""
 
     def __init__(self, vocabulary: list[bytes]):
-        self.vocabulary = vocabulary
-        self.place = {t: i for i, t in enumerate(vocabulary)}
+        self.vocabulary = pa.array(vocabulary, pa.binary())
 
-    def id(self, token: bytes) -> int:
-        found = self.place.get(token)
-        return len(self.place) + zlib.crc32(token) % BUCKETS if found is None else found
+    def ids(self, tokens: pa.Array) -> np.ndarray:
+        found = pc.fill_null(pc.index_in(tokens, value_set=self.vocabulary), -1).to_numpy().astype(np.int64)
+        rest = np.nonzero(found < 0)[0]
+        hashes = map(zlib.crc32, tokens.take(pa.array(rest)).to_numpy(zero_copy_only=False))
+        found[rest] = len(self.vocabulary) + np.fromiter(hashes, np.int64, len(rest)) % BUCKETS
+        return found
 
     def names(self) -> list[bytes]:
-        return self.vocabulary + [b"\n%d" % i for i in range(BUCKETS)]
-
-
-class Reader:
-    """Word and shape ids of texts. Words of the vocabulary are kept with both ids; the others of a text are read together."""
-
-    def __init__(self, words: Stream, shapes: Stream):
-        self.words, self.shapes, self.memo, self.runs = words, shapes, {}, {}
-
-    def _ids(self, words: list[bytes]) -> list[int]:
-        if len(self.memo) + len(self.runs) > MEMO:
-            self.memo.clear()
-            self.runs.clear()
-        out = []
-        known, place, runs, rest = self.memo, self.words.place.get, self.runs, len(self.words.place)
-        for word, low, s in zip(words, lowered(words), shaped(words)):
-            of_shape = runs.get(s)
-            if of_shape is None:
-                of_shape = runs[s] = self.shapes.id(s)
-            at = place(low)
-            if at is None:
-                out.append((rest + zlib.crc32(low) % BUCKETS) << 20 | of_shape)
-            else:
-                known[word] = at << 20 | of_shape
-                out.append(known[word])
-        return out
+        return self.vocabulary.to_pylist() + [b"\n%d" % i for i in range(BUCKETS)]
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split()
-        found = list(map(self.memo.get, words))
-        if None in found:
-            new = [i for i, x in enumerate(found) if x is None]
-            for i, x in zip(new, self._ids([words[i] for i in new])):
-                found[i] = x
-        both = np.array(found, np.int64)
-        return both >> 20, both & 0xFFFFF
+
+def read(words: Stream, shapes: Stream, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text, the word id and the shape id of each word of all texts, one after another."""
+    tokens, index, owner = parted(texts)
+    return owner, words.ids(lowered(tokens))[index], shapes.ids(shaped(tokens))[index]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in ascending order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.nonzero(np.diff(keys, prepend=-1))[0]
+    return keys[first], np.diff(first, append=len(keys))
 
 
 @dataclass(frozen=True)
@@ -133,38 +132,57 @@ class Pooler:
     word_vectors: np.ndarray
     shape_vectors: np.ndarray
 
-    def pool(self, reader: Reader, text: bytes) -> np.ndarray:
-        words, shapes = reader(text)
-        n = len(words)
-        if not n:
-            return np.zeros(3 * DIMENSIONS + 3)
-        distinct = np.unique(words)
-        pairs = len(np.unique(words[:-1] << 20 | words[1:]))
-        size = [np.log(n), len(distinct) / n, (pairs + 1) / n]
-        return np.concatenate([self.word_vectors[words].mean(0), self.word_vectors[distinct].mean(0), self.shape_vectors[shapes].mean(0), size]).astype(np.float64)
+    def pool(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text."""
+        owner, words, shapes = read(self.words, self.shapes, texts)
+        rows = len(texts)
+        out = np.zeros((rows, 3 * DIMENSIONS + 3))
+        n = np.bincount(owner, minlength=rows)
+        filled = np.nonzero(n)[0]
+        if not len(filled):
+            return out
+        different = np.ones(rows, np.int64)
+        for ids, vectors, at, means in ((words, self.word_vectors, 0, 2), (shapes, self.shape_vectors, 2, 1)):
+            keys, times = distinct(owner << ID_BITS | ids)
+            cuts = np.searchsorted(keys >> ID_BITS, np.arange(rows + 1))
+            weights, keys = np.stack([times, np.ones_like(times)][:means]).astype(np.float32), keys & (1 << ID_BITS) - 1
+            for i in filled.tolist():
+                one = slice(cuts[i], cuts[i + 1])
+                out[i, at * DIMENSIONS : (at + means) * DIMENSIONS] = (weights[:, one] @ vectors[keys[one]]).ravel()
+            if ids is words:
+                different = np.diff(cuts)
+        next_to = np.nonzero(owner[1:] == owner[:-1])[0]
+        pairs = np.bincount(distinct(owner[next_to] << 2 * ID_BITS | words[next_to] << ID_BITS | words[next_to + 1])[0] >> 2 * ID_BITS, minlength=rows)
+        of, n = n[filled, None], n[filled]
+        out[filled, :DIMENSIONS] /= of
+        out[filled, DIMENSIONS : 2 * DIMENSIONS] /= different[filled, None]
+        out[filled, 2 * DIMENSIONS : 3 * DIMENSIONS] /= of
+        out[filled, 3 * DIMENSIONS :] = np.stack([np.log(n), different[filled] / n, (pairs[filled] + 1) / n], 1)
+        return out
 
 
 def _vocabularies(docs: DataFrame) -> tuple[Stream, Stream]:
     """The commonest words and shapes of all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(n: Counter) -> pa.RecordBatch:
-            raw, words, shapes = list(n), {}, {}
-            for stream, tokens in ((words, lowered(raw)), (shapes, shaped(raw))):
-                for token, times in zip(tokens, n.values()):
-                    stream[token] = stream.get(token, 0) + times
-            columns = np.repeat([0, 1], [len(words), len(shapes)]), [*words, *shapes], [*words.values(), *shapes.values()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64()))], names=["stream", "token", "n"])
-
-        n: Counter = Counter()
-        for part in slices(batches):
-            for text in as_bytes(part.column(0)):
-                n.update(text.split())
-            if len(n) > 200_000:
-                yield out(n)
-                n = Counter()
-        if n:
-            yield out(n)
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            sums = pa.concat_tables(held).group_by(["stream", "token"], use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"stream": sums.column("stream"), "token": sums.column("token"), "n": sums.column("n_sum")})
+
+        for part in text_portions(batches, TEXT_AT_ONCE):
+            raw, index, _ = parted(part.column("text"))
+            n = np.bincount(index, minlength=len(raw))
+            for stream, tokens in enumerate((lowered(raw), shaped(raw))):
+                held.append(pa.table({"stream": pa.array(np.full(len(raw), stream), pa.int32()), "token": tokens, "n": n}))
+            if sum(t.nbytes for t in held) > COUNTS_AT_ONCE:
+                held = [summed()]
+                if held[0].nbytes > COUNTS_AT_ONCE // 2:
+                    yield from held[0].to_batches()
+                    held = []
+        if held:
+            yield from summed().to_batches()
 
     counts = docs.select("text").mapInArrow(counted, "stream int, token binary, n long").groupBy("stream", "token").agg(F.sum("n").alias("n"))
     counts = saved(counts.where(f"n > 1 AND length(token) <= {LONGEST}"), "token-counts")
@@ -179,20 +197,17 @@ def context_vectors(docs: DataFrame, words: Stream, shapes: Stream) -> tuple[np.
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         streams = shared.value
-        reader = Reader(*streams)
-        index = [index_vectors(s.names()) for s in streams]
-        total = [np.zeros(n * DIMENSIONS) for n in known]
-        gap = np.full(WINDOW, -1)
-        for part in slices(batches, TEXTS_AT_ONCE):
-            read = [reader(text) for text in as_bytes(part.column(0))]
-            for k, ((places, signs), t) in enumerate(zip(index, total)):
-                ids = np.concatenate([x for pair in read for x in (pair[k], gap)])
-                for step in range(1, WINDOW + 1):
+        symbols = [index_symbols(s.names()) for s in streams]
+        total = [np.zeros(2 * n * DIMENSIONS, np.int64) for n in known]
+        for part in text_portions(batches, TEXT_AT_ONCE):
+            owner, *read_ids = read(*streams, part.column("text"))
+            for step in range(1, WINDOW + 1):
+                same = owner[:-step] == owner[step:]
+                for ids, k, index, t in zip(read_ids, known, symbols, total):
                     for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
-                        near = (a >= 0) & (a < known[k]) & (b >= 0)
-                        of, by = a[near], b[near]
-                        t += np.bincount((of[:, None] * DIMENSIONS + places[by]).ravel(), signs[by].ravel(), len(t))
-        rows = np.concatenate([t.reshape(-1, DIMENSIONS) for t in total]).astype(np.float32)
+                        near = np.nonzero(same & (a < k))[0]
+                        t += np.bincount((2 * DIMENSIONS * a[near, None] + index[b[near]]).ravel(), minlength=len(t))
+        rows = np.concatenate([t[1::2] - t[::2] for t in (t.reshape(-1, DIMENSIONS) for t in total)]).astype(np.float32)
         used = np.nonzero(rows.any(1))[0]
         for start in range(0, len(used), 4_096):
             some = used[start : start + 4_096]
@@ -291,10 +306,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) ->
     shared = docs.sparkSession.sparkContext.broadcast(fit_pooler(docs))
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler = shared.value
-        reader = Reader(pooler.words, pooler.shapes)
-        for part in slices(batches):
-            x = [pooler.pool(reader, t) for t in as_bytes(part.column("text"))]
+        for part in text_portions(batches, TEXT_AT_ONCE):
+            x = list(shared.value.pool(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     fit = sample.mapInArrow(pooled, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
@@ -305,10 +318,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) ->
         network = Network.fit(x[~aside] if (~aside).any() else x, y[~aside] if (~aside).any() else y).calibrated(x[aside], y[aside])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler = shared.value
-        reader = Reader(pooler.words, pooler.shapes)
-        for part in slices(batches):
-            x = np.stack([pooler.pool(reader, t) for t in as_bytes(part.column("text"))])
+        for part in text_portions(batches, TEXT_AT_ONCE):
+            x = shared.value.pool(part.column("text"))
             score = network.probability(x) if network else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
