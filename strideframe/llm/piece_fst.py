@@ -14,28 +14,43 @@ The arcs of the piece machine share their beginnings in a trie. The shortest pat
 encoding: under the border weights at most one path of finite weight reaches each position, so the relaxation keeps
 one state for each. Blanks never follow another character inside a piece, so the composition splits before each run
 of blanks, and the paths of such stretches are found once and kept in a bounded cache.
+
+Some megabytes of text are worked at a time: Arrow parts them, and the relaxation runs over all their new stretches side
+by side, place by place; only long ones are worked one by one.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from strideframe.llm.common import as_text, slices
+from strideframe.llm.common import as_text, text_portions
 
 SPACE = "▁"
 START = -1
 INFINITE = float("inf")
 #: Stretches kept in each of the two generations of a worker's cache.
 CACHE = 400_000
+#: Longer stretches are worked one by one and not kept.
+LONGEST = 64
+#: Bytes of text that are worked at a time.
+TEXT_AT_ONCE = 3 << 20
+#: Stretches that are worked side by side.
+STRETCHES_AT_ONCE = 16_384
+#: Letters that have a column in the table of arcs; the arcs of the others are searched for.
+COMMON = 128
+#: Bits of a place in the table of borders that were weighed.
+BORDER_BITS = 21
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -140,8 +155,51 @@ class PieceMachine:
                     node = node.setdefault(c, [START, {}])[1]
                 node.setdefault(piece[-1], [START, {}])[0] = i
         self.borders: dict[int, float] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self._tabulate(n)
+
+    def _tabulate(self, n: int) -> None:
+        """The arcs, merges and pieces as arrays."""
+        inner, nodes, tips, arcs = [self.arcs], [START], [], []
+        for k, node in enumerate(inner):  # grows as it goes on
+            for c, (piece, below) in node.items():
+                into, pieces = (inner, nodes) if below else (tips, tips)
+                arcs.append((k, c, len(into), not below))
+                pieces.append(piece)
+                if below:
+                    inner.append(below)
+        times = Counter(c for _, c, _, _ in arcs)
+        letters = {c: k for k, c in enumerate(sorted(times, key=lambda c: (-times[c], c)), 1)}
+        #: Letter of each code point; 0 is one in no piece.
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[list(map(ord, letters))] = list(letters.values())
+        #: Whether a letter is a piece.
+        self.single = np.array([False, *(c in self.ids for c in letters)])
+        #: State that an arc leads to, -1 without one; states from ``n_inner`` on have no arcs.
+        self.n_inner = len(inner)
+        self.next = np.full((self.n_inner, COMMON + 1), -1, np.int32)
+        self.piece_of = np.array(nodes + tips, np.int32)
+        self.n_letters = len(letters) + 1
+        rare = [(self.n_inner * self.n_letters, -1)]
+        for k, c, at, tip in arcs:
+            at += self.n_inner * tip
+            if letters[c] < COMMON:
+                self.next[k, letters[c]] = at
+            else:
+                rare.append((k * self.n_letters + letters[c], at))
+        self.rare, self.rare_to = np.array(sorted(rare), np.int64).T.copy()
+        self.n = n
+        #: Of each piece: when its last merge came, -1 without one, and the halves that it joins.
+        self.late, self.left_half, self.right_half = np.full((3, n), -1, np.int64)
+        for i, (a, b) in self.halves.items():
+            self.late[i], self.left_half[i], self.right_half[i] = self.rank[i], a, b
+        pairs = sorted((a * n + b, self.rank[i]) for i in self.ids.values() for t in [self.text[i]] for k in range(1, len(t)) if (a := self.ids.get(t[:k])) is not None and (b := self.ids.get(t[k:])) is not None)
+        #: Pairs of pieces that join, and when they do.
+        self.pairs, self.pair_rank = np.array([*pairs, (n * n, 0)], np.int64).T.copy()
+        #: Borders that were weighed, each with whether its weight is finite, at a place by their hash.
+        self.weighed = np.full(1 << BORDER_BITS, -1, np.int64)
+        self.spelt = pa.array([b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.text)], pa.binary())
 
     def _merged(self, text: str) -> list[int]:
         """Merges of one piece from its characters; remembers the two halves that its last merge joins."""
@@ -184,6 +242,114 @@ class PieceMachine:
         self.borders[left << 32 | right] = weight
         return weight
 
+    def open_borders(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether :meth:`border` is finite, for many pairs."""
+        finite, undecided, limit = np.zeros(len(left), bool), np.arange(len(left)), np.full(len(left), len(self.rank))
+        while len(undecided):
+            key = left * self.n + right
+            at = np.searchsorted(self.pairs, key)
+            joins = (self.pairs[at] == key) & (self.pair_rank[at] < limit)
+            late_a, late_b = self.late[left], self.late[right]
+            whole = (late_a < 0) & (late_b < 0)
+            finite[undecided[whole & ~joins]] = True
+            on = ~(whole | joins)
+            left, right, late_a, late_b, undecided = left[on], right[on], late_a[on], late_b[on], undecided[on]
+            undo_left = late_a > late_b
+            limit = np.where(undo_left, late_a, late_b + 1)
+            left, right = np.where(undo_left, self.right_half[left], left), np.where(undo_left, right, self.left_half[right])
+        return finite
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`open_borders` by the table of those that were weighed; of two at one place the later stays."""
+        key = left.astype(np.int64) * self.n + right
+        place = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BORDER_BITS)).astype(np.int64)
+        known = self.weighed[place]
+        new = np.nonzero(known >> 1 != key)[0]
+        if len(new):
+            known[new] = key[new] << 1 | self.open_borders(left[new].astype(np.int64), right[new].astype(np.int64))
+            self.weighed[place[new]] = known[new]
+        return (known & 1).astype(bool)
+
+    def _step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """States that arcs lead to, -1 without one."""
+        to = self.next[node, np.minimum(letter, COMMON)]
+        seldom = np.nonzero(letter >= COMMON)[0]
+        if len(seldom):
+            key = node[seldom].astype(np.int64) * self.n_letters + letter[seldom]
+            at = np.searchsorted(self.rare, key)
+            to[seldom] = np.where(self.rare[at] == key, self.rare_to[at], -1)
+        return to
+
+    def shortest_paths(self, stretches: list[str]) -> list[bytes]:
+        """:meth:`shortest_path` of many stretches, as little-endian 32-bit integers."""
+        paths: list[bytes] = [b""] * len(stretches)
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        for i in np.nonzero(sizes > LONGEST)[0].tolist():
+            paths[i] = np.array(self.shortest_path(stretches[i]), "<i4").tobytes()
+        by_size = np.argsort(-sizes, kind="stable")
+        by_size = by_size[(sizes[by_size] > 0) & (sizes[by_size] <= LONGEST)].tolist()
+        for at in range(0, len(by_size), STRETCHES_AT_ONCE):
+            some = by_size[at : at + STRETCHES_AT_ONCE]
+            for i, path in zip(some, self._side_by_side([stretches[i] for i in some])):
+                paths[i] = path
+        return paths
+
+    def _side_by_side(self, stretches: list[str]) -> list[bytes]:
+        """Shortest paths of stretches in falling order of their size, so that those beyond a place come before the others."""
+        count, n = len(stretches), np.fromiter(map(len, stretches), np.int64, len(stretches))
+        longest = int(n[0])
+        owner, inside = np.repeat(np.arange(count), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        code = np.zeros((longest, count), np.int32)
+        code[inside, owner] = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4")
+        letters = self.letter[code]
+        beyond = np.searchsorted(-n, -np.arange(longest + 1), side="left")
+        none = np.iinfo(np.int16).max
+        weight = np.full((longest + 1, count), none, np.int16)
+        weight[0] = 0
+        state, back = np.full((longest + 1, count), START, np.int32), np.zeros_like(weight)
+        spelt: dict[int, list[int]] = {}  # code points that are no pieces, as byte pieces
+        for start in range(longest):
+            rows = np.nonzero(weight[start, : beyond[start]] < none)[0]
+            alone = rows[~self.single[letters[start, rows]]]
+            before, step, node, end = state[start, rows], weight[start, rows] + np.int16(1), np.zeros(len(rows), np.int32), start
+            while len(rows):
+                node = self._step(node, letters[end, rows])
+                end += 1
+                piece = self.piece_of[node]
+                may = np.nonzero((node >= 0) & (piece >= 0) & (step < weight[end, rows]))[0]
+                bound = before[may] >= 0
+                bound[bound] = ~self.fits(before[may[bound]], piece[may[bound]])
+                may = may[~bound]
+                to = rows[may]
+                weight[end, to], state[end, to], back[end, to] = step[may], piece[may], start
+                on = np.nonzero((node >= 0) & (node < self.n_inner) & (rows < beyond[end]))[0]
+                rows, node, before, step = rows[on], node[on], before[on], step[on]
+            if len(alone):
+                points, which = np.unique(code[start, alone], return_inverse=True)
+                for c in points.tolist():
+                    spelt[c] = [self.byte[b] for b in chr(c).encode("utf-8", "replace")]
+                step = weight[start, alone] + np.array([len(spelt[c]) for c in points.tolist()], np.int16)[which]
+                less = step < weight[start + 1, alone]
+                to = alone[less]
+                weight[start + 1, to], state[start + 1, to], back[start + 1, to] = step[less], START, start
+        total = weight[n, np.arange(count)].astype(np.int64)
+        if (total == none).any():
+            raise ValueError("a stretch without a path")
+        ends = np.cumsum(total)
+        ids = np.zeros(ends[-1], "<i4")
+        rows, place, at = np.arange(count), n, ends
+        while len(rows):
+            got, before = state[place, rows], back[place, rows].astype(np.int64)
+            ids[at - 1] = got
+            for k in np.nonzero(got == START)[0].tolist():
+                of_bytes = spelt[int(code[before[k], rows[k]])]
+                ids[at[k] - len(of_bytes) : at[k]] = of_bytes
+            at = at - (weight[place, rows] - weight[before, rows])
+            on = before > 0
+            rows, place, at = rows[on], before[on], at[on]
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def shortest_path(self, stretch: str) -> tuple[int, ...]:
         """Output of the path of least weight through the composition with one stretch."""
         n = len(stretch)
@@ -226,22 +392,41 @@ class PieceMachine:
         return tuple(reversed(out))
 
     def encode(self, text: str) -> list[int]:
-        stretches = _STRETCH.findall(self.normalise(text))
+        return np.frombuffer(b"".join(self._paths(_STRETCH.findall(self.normalise(text)))), "<i4").tolist()
+
+    def _paths(self, stretches: list[str]) -> list[bytes]:
+        """The shortest paths, kept in the young generation; a full one becomes the old one, so that common stretches stay."""
         paths = list(map(self.young.get, stretches))
         if None in paths:
-            paths = [self._path(s) if p is None else p for s, p in zip(stretches, paths)]
-        return list(chain.from_iterable(paths))
-
-    def _path(self, stretch: str) -> tuple[int, ...]:
-        """The shortest path, kept in the young generation; a full one becomes the old one, so that common stretches stay."""
-        path = self.old.get(stretch)
-        if path is None:
-            path = self.shortest_path(stretch)
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        if len(stretch) <= 64:
-            self.young[stretch] = path
-        return path
+            new = {s: self.old.get(s) for s, path in zip(stretches, paths) if path is None}
+            unknown = [s for s, path in new.items() if path is None]
+            new.update(zip(unknown, self.shortest_paths(unknown)))
+            paths = [new[s] if path is None else path for s, path in zip(stretches, paths)]
+            if len(self.young) + len(new) > CACHE:
+                self.old, self.young = self.young, {}
+            self.young.update(islice(((s, path) for s, path in new.items() if len(s) <= LONGEST), CACHE))
+        return paths
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin, with the end of the last."""
+        normal = list(map(self.normalise, texts))
+        # A character that no text has marks the beginnings of stretches.
+        mark = next(c for c in map(chr, range(1, 0x110000)) if not any(c in t for t in normal))
+        marked = [t.replace(SPACE, mark + SPACE).replace(SPACE + mark, SPACE).removeprefix(mark) for t in normal]
+        parted = pc.split_pattern(pa.array(marked, pa.string()), mark)
+        coded = parted.flatten().dictionary_encode()
+        paths = self._paths(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum(np.fromiter(map(len, paths), np.int64, len(paths)) // 4)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(paths), "<i4")))
+        found = lists.take(coded.indices)
+        return found.flatten().to_numpy(), found.offsets.to_numpy()[parted.offsets.to_numpy()]
+
+    def decode_all(self, ids: np.ndarray, borders: np.ndarray) -> list[str]:
+        """:meth:`decode` of each text's ids."""
+        parts = self.spelt.take(pa.array(ids))
+        data = (parts.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        at = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1)[borders].tolist()
+        return [self._plain(data[a:b]) for a, b in zip(at, at[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """The inverse composition; bytes that are not UTF-8 become U+FFFD."""
@@ -251,7 +436,10 @@ class PieceMachine:
                 parts.append(bytes([self.byte_of[i]]))
             elif i not in self.silent:
                 parts.append(self.text[i].encode())
-        text = b"".join(parts).decode("utf-8", "replace")
+        return self._plain(b"".join(parts))
+
+    def _plain(self, data: bytes) -> str:
+        text = data.decode("utf-8", "replace")
         prefix = self.normalise.prefix
         if prefix and text.startswith(prefix):
             text = text[len(prefix) :]
@@ -284,21 +472,16 @@ def piece_report(docs: DataFrame, model_file: str | None = None, with_pieces: bo
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = machine_for(model_file)
-        for part in slices(batches):
-            n, crc, same, chars, pieces = [], [], [], [], []
-            for text in as_text(part.column("text")):
-                ids = machine.encode(text)
-                packed = np.array(ids, "<u4")
-                decoded = machine.decode(ids)
-                n.append(len(ids))
-                crc.append(zlib.crc32(packed.tobytes()))
-                same.append(decoded == text)
-                chars.append(len(decoded))
-                pieces.append(packed.astype(np.int32))
+        for part in text_portions(batches, TEXT_AT_ONCE):
+            texts = as_text(part.column("text"))
+            ids, borders = machine.encode_all(texts)
+            decoded = machine.decode_all(ids, borders)
+            n, chars, same = np.diff(borders), list(map(len, decoded)), [a == b for a, b in zip(decoded, texts)]
+            crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(borders, borders[1:])]
             out = [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(chars, pa.int64())]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             if with_pieces:
-                out, names = [*out, pa.array(pieces, pa.list_(pa.int32()))], [*names, "pieces"]
+                out, names = [*out, pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))], [*names, "pieces"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(report, SCHEMA + (", pieces array<int>" if with_pieces else ""))
