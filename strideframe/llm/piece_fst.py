@@ -34,13 +34,13 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from strideframe.llm.common import as_text, text_portions
+from strideframe.llm.common import as_text, text_portions, tidied
 
 SPACE = "▁"
 START = -1
 INFINITE = float("inf")
-#: Stretches kept in each of the two generations of a worker's cache.
-CACHE = 400_000
+#: Stretches kept in each of the two generations of a worker's cache, which stays beside the executor's heap in later stages.
+CACHE = 50_000
 #: Longer stretches are worked one by one and not kept.
 LONGEST = 64
 #: Bytes of text that are worked at a time.
@@ -470,18 +470,23 @@ def piece_report(docs: DataFrame, model_file: str | None = None, with_pieces: bo
     """
     model_file = model_file or default_model()
 
+    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["pieces"] * with_pieces
+
+    def reported(machine: PieceMachine, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = as_text(part.column("text"))
+        ids, borders = machine.encode_all(texts)
+        decoded = machine.decode_all(ids, borders)
+        n, chars, same = np.diff(borders), list(map(len, decoded)), [a == b for a, b in zip(decoded, texts)]
+        crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(borders, borders[1:])]
+        out = [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(chars, pa.int64())]
+        if with_pieces:
+            out.append(pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32())))
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    @tidied
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = machine_for(model_file)
         for part in text_portions(batches, TEXT_AT_ONCE):
-            texts = as_text(part.column("text"))
-            ids, borders = machine.encode_all(texts)
-            decoded = machine.decode_all(ids, borders)
-            n, chars, same = np.diff(borders), list(map(len, decoded)), [a == b for a, b in zip(decoded, texts)]
-            crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(borders, borders[1:])]
-            out = [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(chars, pa.int64())]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            if with_pieces:
-                out, names = [*out, pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))], [*names, "pieces"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            yield reported(machine, part)
 
     return docs.select("doc_id", "text").mapInArrow(report, SCHEMA + (", pieces array<int>" if with_pieces else ""))
