@@ -14,7 +14,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,64 +26,71 @@ from strideframe.llm.common import as_text, scratch, slices, text_portions
 
 END = 0
 #: Bytes of text that are encoded at a time, and texts that the library gets at a time.
-TEXT_AT_ONCE = 3 << 20
+TEXT_AT_ONCE = 9 << 20
 TEXTS_AT_ONCE = 64
-#: Units kept in each of the two generations of a worker's cache.
+#: Units that a worker keeps with their ids, and their longest in bytes.
 CACHE = 700_000
-#: Longer units are encoded each time, so that the cache's bytes are bounded too.
 LONGEST = 64
 #: The characters with the Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f"
 MARK = "!-&(-/:-@\\[-`{-~"
-#: The byte-level pre-tokeniser never lets a token cross the border between two of these units: letters before marks
-#: that end a word, such marks, any other word, white space that precedes white space, a single white space.
-UNIT = re.compile(f" ?[{LETTER}]+(?=[{MARK}]*(?:[{WHITE}]|$))| ?[{MARK}]+(?=[{WHITE}]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
-
-
-#: Bytes that are white space, or may be the end of a character that is.
-_MAYBE_BLANK = np.array([chr(b).isspace() or b > 127 for b in range(256)])
-
-
-def _blank_at_end(texts: pa.StringArray) -> np.ndarray:
-    """Whether each text is empty or ends with white space."""
-    borders = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    blank = np.diff(borders) == 0
-    filled = np.nonzero(~blank)[0]
-    for i in filled[_MAYBE_BLANK[data[borders[filled + 1] - 1]]].tolist():
-        blank[i] = texts[i].as_py()[-1].isspace()
-    return blank
-
-
-class Cache(dict):
-    """Unit -> ids in two generations. A full young one becomes the old one, whose units come back as they are met again,
-    so that common units stay. A unit in neither is its own value."""
-
-    old: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes | str:
-        found = self.old.get(unit)
-        if found is None:
-            return unit
-        self[unit] = found
-        return found
-
-    def take(self, found: dict[str, bytes]) -> None:
-        if len(self) + len(found) > CACHE:
-            self.old = dict(self)
-            self.clear()
-        self.update(found)
-        for unit in [u for u in found if len(u) > LONGEST]:
-            del self[unit]
+#: Kinds of the characters below U+4000: all white space and the commonest letters, digits and marks. The others, with the
+#: apostrophe, which begins 's and the like, have kind 0.
+BLANK = 4
+KIND = np.zeros(0x4000, np.uint8)
+for _kind, _characters in enumerate((LETTER, "0-9", MARK, WHITE), 1):
+    KIND[[c for c in range(len(KIND)) if re.match(f"[{_characters}]", chr(c))]] = _kind
+_OF_BYTE = np.r_[KIND[:128], np.zeros(128, np.uint8)]
+#: Whether a unit begins between characters of two kinds: where white space begins, and where letters, digits and marks meet.
+BEGINS = np.array([b == BLANK != a or 0 < a != b > 0 and BLANK not in (a, b) for a in range(5) for b in range(5)])
+
+
+def _parts(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of the texts within their bytes, and these bytes."""
+    borders = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    return borders - borders[0], np.frombuffer(texts.buffers()[2] or b"", np.uint8)[borders[0] : borders[-1]]
+
+
+def _cut(data: np.ndarray, borders: np.ndarray) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(borders) - 1, pa.py_buffer(borders.astype(np.int32, copy=False)), pa.py_buffer(data))
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte's character in UTF-8."""
+    kind = _OF_BYTE[data]
+    if len(data) and data.max() > 127:
+        two, three = np.flatnonzero((data >= 0xC2) & (data < 0xE0)), np.flatnonzero((data >= 0xE0) & (data < 0xE4))
+        for at, more, first in ((two, 1, 31), (three, 2, 15)):
+            code = data[at].astype(np.int32) & first
+            for i in range(1, more + 1):
+                code = code << 6 | data[at + i] & 63
+            found = KIND[code]
+            for i in range(more + 1):
+                kind[at + i] = found
+    return kind
+
+
+def _units(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Borders of the units of texts that stand in ``data``.
+
+    White space belongs to the unit of what follows it. The byte-level pre-tokeniser never lets a token cross the border
+    between two units, and parts a unit as it parts it in its text: it looks ahead in white space only, which no unit of
+    other things ends with.
+    """
+    kind = _kinds(data)
+    begins = np.empty(len(data) + 1, bool)
+    begins[1:-1] = BEGINS[kind[:-1] * np.uint8(5) + kind[1:]]
+    begins[borders] = True
+    return np.flatnonzero(begins).astype(np.int32)
 
 
 class Encoder:
-    """The tokenizers library over a bounded cache of units: a repeated unit is encoded once.
+    """The tokenizers library over a bounded table of units: a repeated unit is encoded once.
 
-    New units are handed to the library side by side in one text: the pre-tokeniser parts them as it parts them in their
-    own texts, and every id stands for a known number of bytes, so that the ids fall back to their units. A file with
-    another pre-tokeniser has no such units; its texts are encoded whole.
+    New units are handed to the library side by side: the pre-tokeniser parts them as it parts them in their own texts, and
+    every id stands for a known number of bytes, so that the ids fall back to their units. A file with another pre-tokeniser
+    has no such units; its texts are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -93,13 +100,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         parts = json.loads(self.tokenizer.to_str())
         before = parts["pre_tokenizer"] or {}
-        self.in_units = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and parts["normalizer"] is None and parts["model"]["type"] == "BPE"
         #: The library finds these strings in a whole text, before units; a text that holds one is encoded whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.in_units = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and parts["normalizer"] is None and parts["model"]["type"] == "BPE" and not any(re.search(f"[{WHITE}]", a) for a in self.added)
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character of the byte alphabet is a byte
-        self.cache = Cache()
+        #: Units, their ids and how often they were met; what was met earlier counts half as much with each portion of text.
+        self.known, self.ids, self.weight = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.zeros(0, np.float32)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("i", ids).tobytes() for ids in self._by_library(texts)]
@@ -108,104 +116,68 @@ class Encoder:
         for i in range(0, len(texts), TEXTS_AT_ONCE):
             yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + TEXTS_AT_ONCE], add_special_tokens=False))
 
-    def learnt(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of distinct units."""
-        blank = [u for u in units if u.isspace()]
-        found = dict(zip(blank, self.whole(blank)))
-        words = [u for u in units if not u.isspace()]
-        # A unit without a blank of its own follows a line feed, which is a token by itself there.
-        apart = np.fromiter((u[0] != " " for u in words), np.int64, len(words))
-        texts = [u if u[0] == " " else "\n" + u for u in words]
-        ids = np.fromiter(chain.from_iterable(self._by_library(["".join(texts[i : i + 64]) for i in range(0, len(texts), 64)])), "<i4")
+    def ids_of(self, units: Iterable[str]) -> pa.ListArray:
+        """Ids of distinct units, by the library."""
+        units = pa.array(units, pa.string())
+        borders, data = _parts(units)
+        kind = _kinds(data)
+        first, last = kind[borders[:-1]] == BLANK, kind[borders[1:] - 1] == BLANK
+        spaced, bare, blank = np.flatnonzero(first & ~last), np.flatnonzero(~first), np.flatnonzero(last)
+        # A unit without white space of its own follows a line feed, which is a token by itself there.
+        texts = pa.concat_arrays([units.take(pa.array(spaced)), pc.binary_join_element_wise("\n", units.take(pa.array(bare)), "")])
+        borders, data = _parts(texts)
+        ids = np.fromiter(chain.from_iterable(self._by_library(_cut(data, np.r_[borders[:-1:64], borders[-1:]]).to_pylist())), np.int32)
         ends = np.cumsum(self.n_bytes[ids])
-        borders = np.cumsum(np.fromiter(map(len, map(str.encode, texts)), np.int64, len(texts)))
-        last = np.searchsorted(ends, borders) + 1
-        if len(words) and (last[-1] != len(ids) or (ends[last - 1] != borders).any()):
+        upto = np.r_[0, np.searchsorted(ends, borders[1:]) + 1]
+        feeds = upto[len(spaced) : -1]
+        if len(texts) and (upto[-1] != len(ids) or (ends[upto[1:] - 1] != borders[1:]).any() or (self.n_bytes[ids[feeds]] != 1).any()):
             raise ValueError("the tokenizer file's ids don't add up to its units' bytes")
-        data, first = ids.tobytes(), np.r_[0, last[:-1]] + apart
-        found.update((u, data[4 * a : 4 * b]) for u, a, b in zip(words, first.tolist(), last.tolist()))
-        return found
-
-    def ids_of(self, units: Iterable[str]) -> list[bytes]:
-        ids = list(map(self.cache.__getitem__, units))
-        new = [i for i, x in enumerate(ids) if x.__class__ is str]
-        if new:
-            found = self.learnt(list({ids[i] for i in new}))
-            for i in new:
-                ids[i] = found[ids[i]]
-            self.cache.take(found)
-        return ids
+        before = np.r_[np.zeros(len(spaced) + 1, np.int64), np.arange(1, len(bare) + 1)]
+        found = pa.ListArray.from_arrays(pa.array(upto - before, pa.int32()), pa.array(np.delete(ids, feeds)))
+        alone = pa.array(list(self._by_library(units.take(pa.array(blank)).to_pylist())), found.type)
+        return pa.concat_arrays([found, alone]).take(pa.array(np.argsort(np.r_[spaced, bare, blank])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if not self.in_units:
-            return self.whole(texts)
-        special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        units = [UNIT.findall(t) for t in texts]
-        for i in special:
-            units[i] = []
-        ends = list(accumulate(map(len, units), initial=0))
-        ids = self.ids_of(chain.from_iterable(units))
-        out = [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
-        for i, x in zip(special, self.whole([texts[i] for i in special])):
-            out[i] = x
-        return out
-
+        return [np.array(ids[:-1], "<i4").tobytes() for ids in self.ended(pa.array(texts, pa.string())).to_pylist()]
 
     def ended(self, texts: pa.StringArray) -> pa.ListArray:
-        """Ids of each text and END.
-
-        Texts are parted at spaces, and each different piece, with the space before it, is encoded once. No token crosses
-        the border before a space that follows something else than white space; a text with another space, or with an added
-        token, is encoded for itself.
-        """
-        rows = len(texts)
-        parted = pc.split_pattern(texts, " ")
-        borders = parted.offsets.to_numpy().astype(np.int64)
-        coded = parted.flatten().dictionary_encode()
-        pieces, index = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
-        blank = _blank_at_end(coded.dictionary)
-        owner = np.repeat(np.arange(rows), np.diff(borders))
-        inside = np.ones((2, len(index)), bool)
-        inside[0, borders[:-1]] = inside[1, borders[1:] - 1] = False
-        follows, followed = inside
-        apart = np.bincount(owner[blank[index] & followed], minlength=rows) > 0 if self.in_units else np.ones(rows, bool)
+        """Ids of each text and END."""
+        apart = np.full(len(texts), not self.in_units)
         for token in self.added:
             apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        used = np.nonzero(follows & ~apart[owner])[0]
-        needed = np.zeros(len(pieces), bool)
-        needed[index[used]] = True
-        plain, last = needed & ~blank, np.nonzero(needed & blank)[0].tolist()
-        units = UNIT.findall(" " + " ".join(pieces[plain])) if plain.any() else []
-        ids = self.ids_of(units)
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        of_piece = np.cumsum(pc.utf8_length(coded.dictionary).to_numpy()[plain] + 1)
-        last_unit = np.searchsorted(ends, of_piece)
-        if len(of_piece) and (last_unit[-1] != len(units) - 1 or (ends[last_unit] != of_piece).any()):
-            raise ValueError("the units don't add up to the pieces")
-        so_far = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[last_unit]
-        sizes = np.diff(so_far, prepend=0)
-        heads = np.where(apart, -1, index[borders[:-1]])
-        more = self([*(" " + pieces[i] for i in last), *(pieces[i] for i in heads[~apart].tolist()), *texts.filter(pa.array(apart)).to_pylist()])
-        more.append(np.array([END], "<i4").tobytes())
-        # Places in the list of all ids: pieces, ends of texts, beginnings, texts apart, END.
-        place = np.empty(len(pieces), np.int64)
-        place[plain], place[last] = np.arange(len(sizes)), len(sizes) + np.arange(len(last))
-        front = np.empty(rows, np.int64)
-        front[np.argsort(apart, kind="stable")] = len(sizes) + len(last) + np.arange(rows)
-        bounds = np.r_[0, np.cumsum(np.where(apart, 1, np.diff(borders)) + 1)]
-        taken = np.empty(bounds[-1], np.int64)
-        taken[bounds[:-1]], taken[bounds[1:] - 1] = front, len(sizes) + len(more) - 1
-        taken[bounds[owner[used]] + used - borders[owner[used]]] = place[index[used]]
-        offsets = np.r_[0, np.cumsum(np.r_[sizes, np.fromiter(map(len, more), np.int64, len(more))])] // 4
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids) + b"".join(more), "<i4")))
-        found = lists.take(pa.array(taken))
-        return pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[bounds], pa.int32()), found.flatten())
+        if not apart.any():
+            return self._ended_by_units(texts)
+        others = pa.array([[*ids, END] for ids in self._by_library(texts.filter(pa.array(apart)).to_pylist())], pa.list_(pa.int32()))
+        found = pa.concat_arrays([self._ended_by_units(texts.filter(pa.array(~apart))), others])
+        return found.take(pa.array(np.argsort(np.argsort(apart, kind="stable"))))
+
+    def _ended_by_units(self, texts: pa.StringArray) -> pa.ListArray:
+        """Texts are parted into units, and each different one is looked up once, or encoded."""
+        borders, data = _parts(texts)
+        starts = _units(data, borders)
+        coded = pa.concat_arrays([self.known, _cut(data, starts)]).dictionary_encode()
+        units, index = coded.dictionary, coded.indices.to_numpy()[len(self.known) :]
+        lists = pa.concat_arrays([self.ids, self.ids_of(units[len(self.known) :]), pa.array([[END]], self.ids.type)])
+        first = np.searchsorted(starts[:-1], borders)
+        found = lists.take(pa.array(np.insert(index, first[1:], len(units))))
+        self._keep(units, lists[:-1], np.bincount(index, minlength=len(units)))
+        return pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[first + np.arange(len(first))]), found.flatten())
+
+    def _keep(self, units: pa.StringArray, ids: pa.ListArray, met: np.ndarray) -> None:
+        weight = met.astype(np.float32)
+        weight[: len(self.weight)] += self.weight / 2
+        kept = np.diff(_parts(units)[0]) <= LONGEST
+        if np.count_nonzero(kept) > CACHE:
+            kept[np.argpartition(np.where(kept, -weight, np.inf), CACHE)[CACHE:]] = False
+        if not kept.all():
+            units, ids, weight = units.filter(pa.array(kept)), ids.filter(pa.array(kept)), weight[kept]
+        self.known, self.ids, self.weight = units, ids, weight
 
 
 @lru_cache(maxsize=2)
 def encoder_for(tokenizer_file: str) -> Encoder:
-    """One encoder for each worker process, so that its cache outlives a task."""
+    """One encoder for each worker process, so that its table outlives a task."""
     return Encoder(tokenizer_file)
 
 
