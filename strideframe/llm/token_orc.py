@@ -26,7 +26,7 @@ from strideframe.llm.common import as_text, scratch, slices, text_portions
 
 END = 0
 #: Bytes of text that are encoded at a time, and texts that the library gets at a time.
-TEXT_AT_ONCE = 9 << 20
+TEXT_AT_ONCE = 6 << 20
 TEXTS_AT_ONCE = 64
 #: Units that a worker keeps with their ids, and their longest in bytes.
 CACHE = 700_000
