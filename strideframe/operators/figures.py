@@ -103,6 +103,13 @@ def swept_texts(texts: DataFrame, covers: DataFrame) -> DataFrame:
     return whole.select("id", F.when(F.col("n_removed") > 0, tidy).otherwise(text).alias("text"), "n_removed")
 
 
+def whole_figures(texts: DataFrame) -> DataFrame:
+    """The pieces of each text that have a figure with no digits and no dot right before it, and none that go on behind it."""
+    # A dot may end a sentence, but not lead to another figure; a line's end behind a dot parts it from the figure.
+    touches = F.col("before").rlike(r"\.\z") | ((F.col("before") == "") & (F.col("n") > 0)) | (F.col("after").isin("", ".") & F.lead("match").over(_in_text()).isNotNull())
+    return pieces(texts, FIGURE).withColumn("touches", touches).where("match IS NOT NULL AND NOT touches").drop("touches")
+
+
 def placed_claims(texts: DataFrame, claims: DataFrame) -> DataFrame:
     """``(id, claim, value, start, end)``: the place in its text of the figure of each of ``claims(id, claim, said, value)``;
     claims without a place have no row.
@@ -114,11 +121,8 @@ def placed_claims(texts: DataFrame, claims: DataFrame) -> DataFrame:
     figure = F.regexp_extract("said", _any_script(FIGURE), 0)
     asked = claims.select("id", "claim", "said", "value", F.when(figure == "", F.col("said")).otherwise(figure).alias("figure")).where("figure <> ''")
     dealt = texts.select("id", "text").repartition("id")
-    # A dot may end a sentence, but not lead to another figure.
-    touches = F.col("before").rlike(r"\.$") | ((F.col("after") == ".") & F.lead("match").over(_in_text()).isNotNull())
-    places = pieces(dealt, FIGURE).withColumn("touches", touches).where("match IS NOT NULL AND NOT touches")
     # One list for each figure of a text, no longer than the text.
-    places = places.groupBy("id", F.col("match").alias("figure")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("places"))
+    places = whole_figures(dealt).groupBy("id", F.col("match").alias("figure")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("places"))
     says = asked.join(dealt, "id").select("id", "claim", "value", "figure", "said", _occurrences(F.col("text"), F.col("said")).alias("spans"))
     met = says.join(places, ["id", "figure"])
     inside = F.filter("places", lambda p: F.exists("spans", lambda s: (s["start"] <= p["start"]) & (p["end"] <= s["end"])))
@@ -160,9 +164,9 @@ def restated_texts(texts: DataFrame, claims: DataFrame) -> DataFrame:
     rows = cut.join(placed, (cut["id"] == placed["id"]) & (cut["start"] == placed["p_start"]), "left").select(cut["id"], "n", "before", "match", "value")
     gone = F.coalesce(F.col("value") == "", F.lit(False))
     rows = rows.withColumns({"gone": gone, "gone_before": F.coalesce(F.lag(gone).over(_in_text()), F.lit(False)), "more": F.lead("before").over(_in_text())})
-    signed = F.col("value").rlike("^-") & F.col("before").rlike(rf"{DASH}$") & ~((F.length("before") == 1) & (F.col("n") > 0))
+    signed = F.col("value").rlike("^-") & F.col("before").rlike(rf"{DASH}\z") & ~((F.length("before") == 1) & (F.col("n") > 0))
     piece = F.when(F.col("gone_before"), F.regexp_replace(_without_unit(F.col("before")), r"(?U)^\s+", "")).otherwise(F.col("before"))
-    piece = F.when(F.col("gone"), F.regexp_replace(_without_dash(piece, F.col("n") == 0), r"(?U)\s+$", "")).when(signed, F.regexp_replace(piece, rf"{DASH}$", "")).otherwise(piece)
+    piece = F.when(F.col("gone"), F.regexp_replace(_without_dash(piece, F.col("n") == 0), r"(?U)\s+$", "")).when(signed, F.regexp_replace(piece, rf"{DASH}\z", "")).otherwise(piece)
     behind = _without_unit(F.coalesce("more", F.lit("")))
     apart = F.col("before").rlike(r"(?U)\s$") | behind.rlike(r"(?U)^\s")
     at_edge = ((F.col("n") == 0) & (F.trim("before") == "")) | (F.trim(behind) == "") & F.col("last") | behind.rlike(r"(?U)^\s*[.,;:!?]")

@@ -32,13 +32,15 @@ def swept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which the first number, claimed with the eight characters before it, is replaced by three times its
-    number of digits, in every third document by a negative value, and removed in every third."""
+    """Documents in which the first number, claimed with the eight characters before it (behind it, where it opens the text),
+    is replaced by three times its number of digits, in every third document by a negative value, and removed in every
+    third. One that is part of a longer number stays."""
     texts = _texts(spark, sf_dir)
-    first = figures.pieces(texts, figures.FIGURE).where("n = 0 AND match IS NOT NULL")
+    first = figures.whole_figures(texts).where("n = 0")
+    around = F.when(F.col("before") == "", F.concat("match", F.left("after", F.lit(8)))).otherwise(F.concat(F.right("before", F.lit(8)), "match"))
     size = (3 * F.length("match")).cast("string")
     value = F.when(F.col("id") % 3 == 0, size).when(F.col("id") % 3 == 1, F.concat(F.lit("-"), size))
-    claims = first.select("id", F.lit(0).alias("claim"), F.concat(F.right("before", F.lit(8)), "match").alias("said"), value.alias("value"))
+    claims = first.select("id", F.lit(0).alias("claim"), around.alias("said"), value.alias("value"))
     covered = F.array_join(F.transform("covered", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return figures.restated_texts(texts, claims).select(F.col("id").alias("doc_id"), "text", covered.alias("covered"))
 
