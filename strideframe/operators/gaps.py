@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.sources.scratch import scratch
+
+#: A stage of more references is worked in ranges.
+HOT_ROWS = 1 << 20
 GAP = ("scope", "gbo_type", "reason", "transient", "range_start_at", "range_end_at", "start_token", "end_token")
 
 
@@ -17,20 +21,37 @@ def to_fetch(refs: DataFrame, watermarks: DataFrame, on: Sequence[str]) -> DataF
     return joined.where(keep).drop("high_water_at")
 
 
-def pages(refs: DataFrame, stages: Sequence[str], size: int, on: Sequence[str] = ("scope",)) -> DataFrame:
+def pages(refs: DataFrame, stages: Sequence[str], size: int, on: Sequence[str] = ("scope",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """References with their page's cursor ``stage:offset`` and that of the page after it, null on the last.
 
-    Stages follow one another in the order given; inside a stage references stand by id.
+    Stages follow one another in the order given; inside a stage references stand by id. Where a stage of a scope has over
+    ``hot_rows`` of them, all are written in ranges of ids, and a range's places begin where those of earlier ranges end.
     """
-    place = F.row_number().over(Window.partitionBy(*on, "stage").orderBy("ref_id")) - 1
-    rows = refs.withColumn("offset", (F.floor(place / size) * size).cast("long"))
-    in_stage = rows.groupBy(*on, "stage").agg(F.max("offset").alias("last_offset"))
+    keys = [*on, "stage"]
+    counts = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
     order = F.array_position(F.array(*(F.lit(s) for s in stages)), F.col("stage"))
     following = F.lead("stage").over(Window.partitionBy(*on).orderBy(order))
-    in_stage = in_stage.withColumn("next_stage", following)
-    joined = rows.join(in_stage, [*on, "stage"])
+    page = lambda place: (F.floor(place / size) * size).cast("long")
+    in_stage = counts.select(*keys, page(F.col("n_") - 1).alias("last_offset"), following.alias("next_stage"))
+    if (counts.agg(F.max("n_")).first()[0] or 0) > hot_rows:
+        rows, keys = _in_ranges(refs, [*keys, "ref_id"]), [*keys, "range_"]
+        upto = F.sum("n_").over(Window.partitionBy(*on, "stage").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+        ranges = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).withColumn("before_", F.coalesce(upto, F.lit(0)))
+        in_stage = ranges.join(in_stage, [*on, "stage"]).drop("n_")
+    else:
+        rows, in_stage = refs, in_stage.withColumn("before_", F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("ref_id")) - 1 + F.col("before_")
+    joined = rows.join(in_stage, keys).withColumn("offset", page(place))
     ahead = F.when(F.col("offset") < F.col("last_offset"), F.concat_ws(":", "stage", (F.col("offset") + size).cast("string"))).when(F.col("next_stage").isNotNull(), F.concat("next_stage", F.lit(":0")))
-    return joined.withColumn("cursor", F.concat_ws(":", "stage", F.col("offset").cast("string"))).withColumn("next_cursor", ahead).drop("offset", "last_offset", "next_stage")
+    out = joined.withColumn("cursor", F.concat_ws(":", "stage", F.col("offset").cast("string"))).withColumn("next_cursor", ahead)
+    return out.select(*refs.columns, "cursor", "next_cursor")
+
+
+def _in_ranges(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows, written and read again, with the number ``range_`` of the range of ``by`` that holds them."""
+    at = scratch(rows.sparkSession, "ranges")
+    rows.repartitionByRange(*by).withColumn("range_", F.spark_partition_id()).write.parquet(at)
+    return rows.sparkSession.read.parquet(at)
 
 
 def open_gaps(failures: DataFrame) -> DataFrame:
