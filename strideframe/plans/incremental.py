@@ -98,8 +98,9 @@ def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.col("ref").cast("long") % 10 == 0
     last = (F.col("stage") == STAGES[1]) & (F.col("offset") == 2 * PAGE_SIZE)
     spark.dataSource.register(paged.PagedSource)
-    for bad in (last | ((F.col("stage") == STAGES[0]) & (F.col("offset") == PAGE_SIZE)), last):
-        paged.write_pages(pages, f"{at}/pages", bad, broken)
+    mended = (F.col("stage") == STAGES[0]) & (F.col("offset") == PAGE_SIZE)
+    for rows, bad, mode in ((pages, last | mended, "overwrite"), (pages.where(mended), last, "append")):
+        paged.write_pages(rows, f"{at}/pages", bad, broken, mode)
         stream = spark.readStream.format("pages").options(path=f"{at}/pages", stages=",".join(STAGES)).load()
         writer = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}"))
         query = writer.option("checkpointLocation", f"{at}/checkpoint").start()
