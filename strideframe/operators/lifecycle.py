@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strideframe.functions import constants as C
 from strideframe.operators.resolve import tier_rank
@@ -23,49 +26,46 @@ def identities(recordings: DataFrame) -> DataFrame:
     Recordings come in order of (start, id). Each joins the first open session of its athlete and sport whose opener has
     its fingerprint, or starts within 120 s and lasts as long but for the larger of 60 s and 5 %; else it opens one. The
     order matters, so a chain of starts 100 s apart is not one session. Starts further apart than the reach of a match
-    can't meet: runs between such pauses are worked in order, as streams of rows with the openers within reach.
+    can't meet: runs between such pauses are worked in order, as streams of rows with the openers within reach. Recordings are
+    shuffled twice, by athlete and by the recording that they follow.
     """
     order = Window.partitionBy("athlete", "sport").orderBy("start", "id")
-    # Equal fingerprints meet at any distance: the earliest of each print stands for it.
-    first = F.struct("start", "id")
-    lead = F.when(F.col("fingerprint").isNotNull(), F.min_by("id", first).over(Window.partitionBy("athlete", "sport", "fingerprint")))
-    rows = recordings.withColumn("lead", F.coalesce(lead, F.col("id")))
-    heads = rows.where("lead = id")
-    pause = F.unix_timestamp("start") - F.lag(F.unix_timestamp("start")).over(order) > C.MATCH_START_S
-    runs = heads.withColumn("run", F.sum(F.coalesce(pause, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come run by run in order; a run may go on in the next frame.
-        run, opened = None, deque()
-        for pdf in frames:
-            found = []
-            for row in pdf.itertuples(index=False):
-                if run != (row.athlete, row.sport, row.run):
-                    run, opened = (row.athlete, row.sport, row.run), deque()
+    # Equal fingerprints meet at any distance: the earliest of each print stands for it. Only printed recordings are shuffled for that.
+    first = F.min_by("id", F.struct("start", "id")).over(Window.partitionBy("athlete", "sport", "fingerprint"))
+    plain = recordings.where("fingerprint IS NULL").withColumn("lead_", F.col("id"))
+    printed = recordings.where("fingerprint IS NOT NULL").withColumn("lead_", F.coalesce(first, F.col("id")))
+    heads = plain.unionByName(printed).where("lead_ = id")
+    pause = F.coalesce(F.unix_timestamp("start") - F.lag(F.unix_timestamp("start")).over(order) > C.MATCH_START_S, F.lit(True))
+    runs = heads.withColumn("pause_", pause).withColumn("alone_", F.col("pause_") & F.lead("pause_", 1, True).over(order))
+    runs = runs.select("*", (F.unix_micros("start") / 1e6).alias("s_"), F.col("duration_s").cast("double").alias("d_"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come run by run in order; a run may go on in the next batch.
+        opened = deque()
+        for batch in batches:
+            found = batch["id"].to_pylist()
+            go = np.flatnonzero(~batch["alone_"].to_numpy(zero_copy_only=False))
+            pauses, starts, durations = (batch[c].to_numpy(zero_copy_only=False)[go].tolist() for c in ("pause_", "s_", "d_"))
+            for n, paused, start, duration in zip(go.tolist(), pauses, starts, durations):
+                if paused:
+                    opened.clear()
                 # Openers that no later recording can reach go, so that a run of any length is carried in a few.
-                while opened and row.s - opened[0][0] > C.MATCH_START_S:
+                while opened and start - opened[0][0] > C.MATCH_START_S:
                     opened.popleft()
-                for start, duration, ident in opened:
-                    slack = max(C.MATCH_DURATION_S, C.MATCH_DURATION_SHARE * max(duration, row.duration_s))
-                    if abs(row.s - start) <= C.MATCH_START_S and abs(row.duration_s - duration) <= slack:
-                        found.append(ident)
+                for at, lasting, ident in opened:
+                    if abs(start - at) <= C.MATCH_START_S and abs(duration - lasting) <= max(C.MATCH_DURATION_S, C.MATCH_DURATION_SHARE * max(lasting, duration)):
+                        found[n] = ident
                         break
                 else:
-                    opened.append((row.s, row.duration_s, row.id))
-                    found.append(row.id)
-            yield pdf[["athlete", "sport"]].assign(head=pdf["id"], session_id=found)
-
-    kinds = dict(recordings.dtypes)
-    kind = kinds["id"]
-    sized = runs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("athlete", "sport", "run")))
-    several = sized.where("size > 1").select("athlete", "sport", "run", "id", F.unix_micros("start").alias("us"), (F.unix_micros("start") / 1e6).alias("s"), "duration_s")
-    groups = ["athlete", "sport", "run"]
-    matched = several.repartition(*groups).sortWithinPartitions(*groups, "us", "id").mapInPandas(match, f"athlete {kinds['athlete']}, sport {kinds['sport']}, head {kind}, session_id {kind}")
-    named = matched.unionByName(sized.where("size = 1").select("athlete", "sport", F.col("id").alias("head"), F.col("id").alias("session_id")))
-    # Rows of an athlete and sport that repeat an id are one recording.
-    named = named.groupBy(F.col("athlete").alias("a_"), F.col("sport").alias("s_"), "head").agg(F.min("session_id").alias("session_id"))
-    met = F.col("athlete").eqNullSafe(F.col("a_")) & F.col("sport").eqNullSafe(F.col("s_")) & (F.col("lead") == F.col("head"))
-    return rows.join(named, met).drop("lead", "head", "a_", "s_")
+                    opened.append((start, duration, found[n]))
+            yield batch.select(names).append_column("session_id", pa.array(found, batch["id"].type))
+
+    names = [*recordings.columns, "lead_"]
+    matched = runs.mapInArrow(match, T.StructType([*heads.select(names).schema.fields, T.StructField("session_id", recordings.schema["id"].dataType)]))
+    rows = matched.unionByName(printed.where("lead_ <> id OR id IS NULL").withColumn("session_id", F.lit(None).cast(recordings.schema["id"].dataType)))
+    # Rows of an athlete and sport that repeat an id are one recording, and those of a print follow its first.
+    named = F.min("session_id").over(Window.partitionBy("athlete", "sport", "lead_"))
+    return rows.withColumn("session_id", named).where("lead_ IS NOT NULL").drop("lead_")
 
 
 def kept_channels(stored: DataFrame, incoming: DataFrame, on: Sequence[str]) -> DataFrame:
